@@ -24,11 +24,12 @@ def _pattern_hits(text: Column, pattern: str, flags: str) -> Column:
     n = _groups(pattern)
     if n == 1:
         return F.regexp_extract_all(text, p, F.lit(1))
-    g = [F.regexp_extract_all(text, p, F.lit(i)) for i in range(1, n + 1)]
-    out = g[0]
-    for nxt in g[1:]:
-        out = F.zip_with(out, nxt, lambda a, b: F.concat(a, b))
-    return out
+    # one scan of the text for whole matches, then the groups of each short
+    # match are glued together
+    whole = F.regexp_extract_all(text, p, F.lit(0))
+    glue = "".join(f"${i}" for i in range(1, n + 1))
+    anchored = F.lit(flags + "^(?:" + pattern + ")$")
+    return F.transform(whole, lambda m: F.regexp_replace(m, anchored, F.lit(glue)))
 
 
 def extract_symbols(c, patterns=None, named_pattern: str | None = NAMED_CODE_PATTERN,

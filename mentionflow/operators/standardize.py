@@ -13,10 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (clean_text, content_hash, extract_symbols, extract_urls,
-                         is_valid_post, long_enough, post_id)
+                         long_enough, post_id)
 from .dedup import first_wins, tab_cap
 
 
+def cleaned_post_is_valid(text="text", tab="tab") -> F.Column:
+    """P1 on cleaned text (no white space at either end): non-empty text and
+    tab; the id is always 16 hex digits."""
+    return (F.coalesce(F.length(text) > 0, F.lit(False))
+            & F.coalesce(F.length(tab) > 0, F.lit(False)))
+
+
 def standardize_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64",
                       max_per_tab: int | None = None, symbols: bool = True,
                       urls: bool = True, ticker_kwargs: dict | None = None) -> DataFrame:
@@ -25,8 +32,12 @@ def standardize_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64",
     df = raw.filter(long_enough(raw_text))
     df = df.withColumn("text", clean_text(raw_text)).drop(raw_text)
     df = df.withColumn("id", post_id("text", key_fn))
-    df = df.filter(is_valid_post("id", "text", "tab"))
+    # The id is marked as seen before the validity test, so de-dup comes
+    # first. Validity is tested after the aggregate on the cleaned text, where
+    # "not blank" is just "not empty"; a filter placed before the aggregate
+    # would be pushed into the scan with the cleaning regexes inlined again.
     df = first_wins(df, "id", ("tab_rank", "ingest_seq"))
+    df = df.filter(cleaned_post_is_valid())
     if symbols:
         df = df.withColumn("symbols", extract_symbols("text", **(ticker_kwargs or {})))
     if urls:

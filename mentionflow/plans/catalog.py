@@ -37,3 +37,255 @@ def stock_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("rank").cast("long").alias("rank"), "symbol", "mention_count", "positive_mentions",
         "neutral_mentions", "negative_mentions", "overall_sentiment",
         _r6("sentiment_ratio").alias("sentiment_ratio"))
+
+
+# ---------------------------------------------------------------- helpers
+from ..functions import (bar, calculate_progress, canonical_symbols, clean_text, content_hash,
+                         content_key, extract_symbols, extract_urls, format_number,
+                         format_timestamp, is_valid_post, keyword_sentiment, long_enough,
+                         parse_timestamp_number, parse_timestamp_string, post_problems,
+                         sectors, sentiment_icon, truncate, xxh64_hex)
+from ..functions.lexicons import TEST_SECTOR_KEYWORDS, TEST_SENTIMENT_KEYWORDS
+from ..operators import enrich as E
+from ..operators import lexicon_join as LJ
+from ..session import read_table
+
+
+def _docs(spark, sf_dir, spread=True):
+    return read_table(spark, sf_dir, "documents", spread=spread)
+
+
+def _joined(c) -> F.Column:
+    return F.array_join(F.col(c) if isinstance(c, str) else c, "|")
+
+
+# ------------------------------------------------------ text and keys (P*)
+@register("clean_text")
+def q_clean_text(spark, sf_dir):
+    """P2 + P3 on every document."""
+    d = _docs(spark, sf_dir).filter(long_enough("text"))
+    c = clean_text("text")
+    return d.select("doc_id", F.md5(c).alias("text_md5"), F.length(c).cast("long").alias("n"))
+
+
+@register("clean_pages")
+def q_clean_pages(spark, sf_dir):
+    """P3 on raw web pages (tags, scripts' text kept, entities kept)."""
+    p = read_table(spark, sf_dir, "pages", spread=True)
+    c = clean_text("html")
+    return p.select("page_id", F.md5(c).alias("text_md5"), F.length(c).cast("long").alias("n"))
+
+
+@register("content_key")
+def q_content_key(spark, sf_dir):
+    """Key of cleaned text joined with its source (md5 variant)."""
+    d = _docs(spark, sf_dir).withColumn("t", clean_text("text"))
+    return d.select("doc_id", content_key("t", "source", key_fn="md5").alias("key"))
+
+
+@register("content_hash")
+def q_content_hash(spark, sf_dir):
+    """P5: key of text:author:tab, author missing (md5 variant)."""
+    d = _docs(spark, sf_dir).withColumn("t", clean_text("text"))
+    return d.select("doc_id", content_hash("t", F.lit(None).cast("string"), "source",
+                                           key_fn="md5").alias("key"))
+
+
+@register("content_key_xxh64")
+def q_content_key_xxh64(spark, sf_dir):
+    """P4 with the native xxh64 key (checked against published vectors)."""
+    d = _docs(spark, sf_dir).withColumn("t", clean_text("text"))
+    return d.select("doc_id", xxh64_hex("t").alias("key"))
+
+
+@register("symbols")
+def q_symbols(spark, sf_dir):
+    """P6 on every ticker-bearing document text."""
+    d = D.documents_raw(spark, sf_dir)
+    s = extract_symbols("raw_text")
+    return d.select(F.col("ingest_seq").alias("doc_id"), _joined(s).alias("symbols"),
+                    F.size(s).cast("long").alias("n_symbols"))
+
+
+@register("symbols_canonical")
+def q_symbols_canonical(spark, sf_dir):
+    """Ticker twins merged."""
+    d = D.documents_raw(spark, sf_dir)
+    s = canonical_symbols(extract_symbols("raw_text"))
+    return d.select(F.col("ingest_seq").alias("doc_id"), _joined(s).alias("symbols"))
+
+
+@register("urls")
+def q_urls(spark, sf_dir):
+    """P7 over page URL + raw HTML."""
+    p = read_table(spark, sf_dir, "pages", spread=True)
+    t = F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("html"))
+    u = extract_urls(t)
+    return p.select("page_id", _joined(u).alias("urls"), F.size(u).cast("long").alias("n_urls"))
+
+
+@register("keyword_sentiment")
+def q_keyword_sentiment(spark, sf_dir):
+    """P8 with the Latin test lexicon on cleaned documents."""
+    d = _docs(spark, sf_dir)
+    ks = keyword_sentiment(clean_text("text"), TEST_SENTIMENT_KEYWORDS)
+    return d.select("doc_id", ks["label"].alias("label"), _r6(ks["score"]).alias("score"),
+                    ks["pos_hits"].cast("long").alias("pos_hits"),
+                    ks["neg_hits"].cast("long").alias("neg_hits"),
+                    ks["neu_hits"].cast("long").alias("neu_hits"))
+
+
+@register("keyword_sentiment_join")
+def q_keyword_sentiment_join(spark, sf_dir):
+    """The same classification as a join against a lexicon table."""
+    d = _docs(spark, sf_dir).select("doc_id", clean_text("text").alias("text"))
+    lex = LJ.lexicon_frame(spark, TEST_SENTIMENT_KEYWORDS)
+    out = LJ.sentiment_by_join(d, lex, key="doc_id", text="text")
+    return out.select("doc_id", "label", _r6("score").alias("score"), "pos_hits", "neg_hits", "neu_hits")
+
+
+@register("sectors")
+def q_sectors(spark, sf_dir):
+    """P9 with the test sector lexicon (case-sensitive, ordered)."""
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", _joined(sectors(clean_text("text"), TEST_SECTOR_KEYWORDS)).alias("sectors"))
+
+
+@register("truncate")
+def q_truncate(spark, sf_dir):
+    """P10: 200-character preview and 100-character summary stem."""
+    d = _docs(spark, sf_dir).withColumn("t", clean_text("text"))
+    return d.select("doc_id", truncate("t", 200).alias("preview"), truncate("t", 100).alias("short"))
+
+
+@register("parse_timestamp")
+def q_parse_timestamp(spark, sf_dir):
+    """P12 + P11: event times rendered in the 4 string forms and as epoch
+    seconds / milliseconds, parsed back and formatted."""
+    e = read_table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")  # stored without zone; session zone is UTC
+    forms = {
+        "f_iso_frac": parse_timestamp_string(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
+        "f_iso": parse_timestamp_string(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        "f_space": parse_timestamp_string(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")),
+        "f_date": parse_timestamp_string(F.date_format(ts, "yyyy-MM-dd")),
+        "f_epoch_s": parse_timestamp_number(F.unix_seconds(ts)),
+        "f_epoch_ms": parse_timestamp_number(F.unix_millis(ts)),
+        "f_bad": parse_timestamp_string(F.concat(F.lit("bad "), F.col("event_id").cast("string"))),
+    }
+    return e.select("event_id", *[F.date_format(v, "yyyy-MM-dd HH:mm:ss").alias(k) for k, v in forms.items()])
+
+
+@register("progress")
+def q_progress(spark, sf_dir):
+    """Share of purchase events per user, in percent."""
+    e = read_table(spark, sf_dir, "events")
+    g = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("cur"),
+                                 F.count(F.lit(1)).alias("total"))
+    return g.select("user_id", _r6(calculate_progress("cur", "total")).alias("progress"))
+
+
+@register("format_number")
+def q_format_number(spark, sf_dir):
+    """Thousands separators on per-type event counts and value sums."""
+    e = read_table(spark, sf_dir, "events")
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"),
+                                    F.sum(F.round(F.col("value") * 1000)).cast("long").alias("v"))
+    return g.select("event_type", format_number("n").alias("n_fmt"), format_number("v").alias("v_fmt"))
+
+
+@register("sentiment_icon")
+def q_sentiment_icon(spark, sf_dir):
+    """Icon of a label (case-insensitive, unknown labels → ❓)."""
+    lab = read_table(spark, sf_dir, "labels")
+    s = (F.when(F.col("toxic") == 1, F.lit("Negative")).when(F.col("quality") == 1, F.lit("POSITIVE"))
+         .when(F.col("doc_id") % 2 == 0, F.lit("neutral")).otherwise(F.lit("meh")))
+    return lab.select("doc_id", s.alias("label"), sentiment_icon(s).alias("icon"))
+
+
+@register("bars")
+def q_bars(spark, sf_dir):
+    """P22 + P19: text bars and bullish ratio of every symbol."""
+    m = A.stock_mentions(D.posts(spark, sf_dir, engage=False), D.labelled_summaries(spark, sf_dir))
+    tot = F.col("positive_mentions") + F.col("negative_mentions") + F.col("neutral_mentions")
+    return m.select("symbol", bar("positive_mentions", tot).alias("bull_bar"),
+                    bar("negative_mentions", tot).alias("bear_bar"),
+                    bar("neutral_mentions", tot).alias("neutral_bar"),
+                    _r6(F.col("sentiment_ratio") * 100).alias("ratio_pct"))
+
+
+@register("valid_split")
+def q_valid_split(spark, sf_dir):
+    """P1 + P16: planted bad rows are flagged with their reasons."""
+    d = _docs(spark, sf_dir)
+    t = clean_text("text")
+    rows = d.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise(F.md5(t)).alias("id"),
+        F.when(F.col("doc_id") % 45 == 0, F.lit(" \t ")).otherwise(t).alias("text"),
+        F.when(F.col("doc_id") % 60 == 0, F.lit(None).cast("string")).otherwise(F.col("source")).alias("tab"),
+        F.when(F.col("doc_id") % 40 == 0, F.lit(-1)).otherwise(F.col("n_chars")).cast("long").alias("like_count"),
+        F.lit(0).cast("long").alias("comment_count"), F.lit(0).cast("long").alias("retweet_count"),
+        F.lit(0).cast("long").alias("view_count"))
+    return rows.select("doc_id", is_valid_post().alias("valid"), _joined(post_problems()).alias("reasons"))
+
+
+# ------------------------------------------------------------- enrichment
+def _posts_md5(spark, sf_dir, engage=False):
+    return D.posts(spark, sf_dir, key_fn="md5", engage=engage)
+
+
+@register("fallback_summary")
+def q_fallback_summary(spark, sf_dir):
+    """P23 over every post (test lexicons)."""
+    s = E.fallback_summaries(_posts_md5(spark, sf_dir), TEST_SENTIMENT_KEYWORDS, TEST_SECTOR_KEYWORDS)
+    return s.select("post_id", "summary", "sentiment", _r6("sentiment_score").alias("sentiment_score"),
+                    _joined("sectors").alias("sectors"), _joined("tickers").alias("tickers"),
+                    "original_text_preview", "model_used")
+
+
+@register("parse_responses")
+def q_parse_responses(spark, sf_dir):
+    """P24 + P25 + P26: one summary per post from its model reply or the fallback."""
+    p = _posts_md5(spark, sf_dir)
+    s = E.summarize(p, D.model_responses(p))
+    return s.select("post_id", "model_used", "sentiment", _r6("sentiment_score").alias("sentiment_score"),
+                    _joined("tickers").alias("tickers"), "summary",
+                    _joined(F.concat("themes", "sectors")).alias("topics"),
+                    _joined("companies").alias("companies"), "sentiment_reasoning")
+
+
+@register("prompt")
+def q_prompt(spark, sf_dir):
+    """Request text per post."""
+    pr = E.prompts(_posts_md5(spark, sf_dir))
+    return pr.select("post_id", F.md5("user_prompt").alias("prompt_md5"),
+                     (F.length("system_prompt") + F.length("user_prompt")).cast("long").alias("prompt_len"))
+
+
+def _echo_responder(system_prompt: str, user_prompt: str):
+    """A local stand-in for a model: a valid reply for most posts, garbage
+    or an exception for some."""
+    n = len(user_prompt)
+    if n % 7 == 0:
+        raise RuntimeError("simulated call failure")
+    if n % 5 == 0:
+        return "not json"
+    label = ("positive", "negative", "neutral")[n % 3]
+    return ('{"summary": "echo", "sentiment": "%s", "sentiment_score": 0.25}' % label, n % 500)
+
+
+@register("enrich_udf")
+def q_enrich_udf(spark, sf_dir):
+    """U2 + U3: responder run by mapInPandas, then parse-or-fallback."""
+    p = _posts_md5(spark, sf_dir)
+    r = E.respond_with(p, _echo_responder)
+    s = E.summarize(p, r)
+    return s.select("post_id", "model_used", "sentiment")
+
+
+@register("enrich_stats")
+def q_enrich_stats(spark, sf_dir):
+    """A10 per tab."""
+    p = _posts_md5(spark, sf_dir)
+    return E.enrichment_stats(p, D.model_responses(p))

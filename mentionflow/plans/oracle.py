@@ -93,3 +93,145 @@ SELECT CAST(row_number() OVER (ORDER BY mention_count DESC, first_pos, symbol) A
                   ELSE positive_mentions / (positive_mentions + negative_mentions) END, 6) AS sentiment_ratio
 FROM agg ORDER BY rank LIMIT 20
 """
+
+
+# ------------------------------------------------------------------ helpers
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def hits_sql(text: str, words) -> str:
+    words = list(dict.fromkeys(words))
+    if not words:
+        return "0"
+    return " + ".join(f"(CASE WHEN contains({text}, {_q(w)}) THEN 1 ELSE 0 END)" for w in words)
+
+
+def sentiment_sql(text: str, lexicon: dict) -> dict:
+    t = f"lower({text})"
+    p = hits_sql(t, lexicon.get("positive", []))
+    n = hits_sql(t, lexicon.get("negative", []))
+    u = hits_sql(t, lexicon.get("neutral", []))
+    return {"p": f"({p})", "n": f"({n})", "u": f"({u})"}
+
+
+def label_sql(p: str, n: str, u: str) -> tuple[str, str]:
+    tot = f"({p} + {n} + {u})"
+    label = (f"CASE WHEN {tot} = 0 THEN 'neutral' WHEN {p} > {n} * 1.5 THEN 'positive' "
+             f"WHEN {n} > {p} * 1.5 THEN 'negative' ELSE 'neutral' END")
+    score = (f"CASE WHEN {tot} = 0 THEN 0.5 WHEN {p} > {n} * 1.5 THEN least(0.9, 0.5 + ({p} - {n}) / ({tot} * 2.0)) "
+             f"WHEN {n} > {p} * 1.5 THEN least(0.9, 0.5 + ({n} - {p}) / ({tot} * 2.0)) ELSE 0.5 END")
+    return label, score
+
+
+def sectors_sql(text: str, sector_keywords) -> str:
+    items = []
+    for name, kws in sector_keywords:
+        cond = " OR ".join(f"contains({text}, {_q(k)})" for k in kws)
+        items.append(f"CASE WHEN {cond} THEN {_q(name)} END")
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def truncate_sql(t: str, n: int, suffix: str = "...") -> str:
+    keep = n - len(suffix)
+    return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE substr({t}, 1, {keep}) || {_q(suffix)} END"
+
+
+def joined(lst: str) -> str:
+    return f"array_to_string({lst}, '|')"
+
+
+from ..functions.lexicons import (SECTOR_KEYWORDS, SENTIMENT_KEYWORDS, SYSTEM_PROMPT,  # noqa: E402
+                                  TEST_SECTOR_KEYWORDS, TEST_SENTIMENT_KEYWORDS, USER_PROMPT_PREFIX)
+
+URL_SQL = ("list_sort(list_distinct(regexp_extract_all({t}, "
+           "'https?://[^\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}<>\"{{}}|\\\\^`\\[\\]]+')))")
+
+ORACLE["clean_text"] = f"""
+SELECT doc_id, md5({clean('text')}) AS text_md5, CAST(length({clean('text')}) AS BIGINT) AS n
+FROM documents WHERE length(text) >= 5"""
+
+ORACLE["clean_pages"] = f"""
+SELECT page_id, md5({clean('html')}) AS text_md5, CAST(length({clean('html')}) AS BIGINT) AS n FROM pages"""
+
+ORACLE["content_key"] = f"""
+SELECT doc_id, {md5key("concat_ws(':', " + clean('text') + ", nullif(source, ''))")} AS key FROM documents"""
+
+ORACLE["content_hash"] = f"""
+SELECT doc_id, {md5key(clean('text') + " || ':' || '' || ':' || coalesce(source, '')")} AS key FROM documents"""
+
+ORACLE["symbols"] = f"""
+WITH r AS (SELECT doc_id, {TAIL} AS raw_text FROM documents)
+SELECT doc_id, {joined(symbols('raw_text'))} AS symbols, CAST(len({symbols('raw_text')}) AS BIGINT) AS n_symbols FROM r"""
+
+# canonical: 600519SH → SH600519; bare code dropped when a prefixed twin exists
+ORACLE["symbols_canonical"] = f"""
+WITH r AS (SELECT doc_id, {TAIL} AS raw_text FROM documents),
+s AS (SELECT doc_id, list_transform({symbols('raw_text')},
+        lambda x: regexp_replace(x, '^(\\d{{5,6}})(SH|SZ|HK)$', '\\2\\1')) AS norm FROM r)
+SELECT doc_id, {joined("list_sort(list_distinct(list_filter(norm, lambda x: NOT (regexp_full_match(x, '\\d{5,6}') AND (list_contains(norm, 'SH' || x) OR list_contains(norm, 'SZ' || x) OR list_contains(norm, 'HK' || x))))))")} AS symbols
+FROM s"""
+
+ORACLE["urls"] = f"""
+WITH p AS (SELECT page_id, 'see ' || url || ' and ' || html AS t FROM pages)
+SELECT page_id, {joined(URL_SQL.format(t='t'))} AS urls, CAST(len({URL_SQL.format(t='t')}) AS BIGINT) AS n_urls FROM p"""
+
+_S = sentiment_sql("t", TEST_SENTIMENT_KEYWORDS)
+_L, _SC = label_sql("p", "n", "u")
+ORACLE["keyword_sentiment"] = f"""
+WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents),
+h AS (SELECT doc_id, {_S['p']} AS p, {_S['n']} AS n, {_S['u']} AS u FROM d)
+SELECT doc_id, {_L} AS label, round({_SC}, 6) AS score,
+       CAST(p AS BIGINT) AS pos_hits, CAST(n AS BIGINT) AS neg_hits, CAST(u AS BIGINT) AS neu_hits FROM h"""
+ORACLE["keyword_sentiment_join"] = ORACLE["keyword_sentiment"]
+
+ORACLE["sectors"] = f"""
+WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents)
+SELECT doc_id, {joined(sectors_sql('t', TEST_SECTOR_KEYWORDS))} AS sectors FROM d"""
+
+ORACLE["truncate"] = f"""
+WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents)
+SELECT doc_id, {truncate_sql('t', 200)} AS preview, {truncate_sql('t', 100)} AS short FROM d"""
+
+_F = "'%Y-%m-%d %H:%M:%S'"
+ORACLE["parse_timestamp"] = f"""
+SELECT event_id,
+  strftime(ts, {_F}) AS f_iso_frac, strftime(ts, {_F}) AS f_iso, strftime(ts, {_F}) AS f_space,
+  strftime(date_trunc('day', ts), {_F}) AS f_date,
+  strftime(make_timestamp(CAST(epoch(date_trunc('second', ts)) * 1000000 AS BIGINT)), {_F}) AS f_epoch_s,
+  strftime(make_timestamp(CAST(epoch(date_trunc('second', ts)) * 1000000 AS BIGINT)), {_F}) AS f_epoch_ms,
+  CAST(NULL AS VARCHAR) AS f_bad
+FROM events"""
+
+ORACLE["progress"] = """
+SELECT user_id, round(CASE WHEN count(*) <= 0 THEN 0.0
+  ELSE least(100.0, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / count(*) * 100.0) END, 6) AS progress
+FROM events GROUP BY user_id"""
+
+ORACLE["format_number"] = """
+SELECT event_type, format('{:,}', count(*)) AS n_fmt,
+       format('{:,}', CAST(sum(round(value * 1000)) AS BIGINT)) AS v_fmt
+FROM events GROUP BY event_type"""
+
+ORACLE["sentiment_icon"] = """
+WITH l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Negative' WHEN quality = 1 THEN 'POSITIVE'
+                               WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'meh' END AS label FROM labels)
+SELECT doc_id, label, CASE lower(label) WHEN 'positive' THEN '📈' WHEN 'negative' THEN '📉'
+  WHEN 'neutral' THEN '➡️' WHEN 'unknown' THEN '❓' ELSE '❓' END AS icon FROM l"""
+
+ORACLE["valid_split"] = f"""
+WITH d AS (SELECT doc_id, source, n_chars, {clean('text')} AS t FROM documents),
+r AS (SELECT doc_id,
+   CASE WHEN doc_id % 50 = 0 THEN '' ELSE md5(t) END AS id,
+   CASE WHEN doc_id % 45 = 0 THEN ' ' || chr(9) || ' ' ELSE t END AS text,
+   CASE WHEN doc_id % 60 = 0 THEN NULL ELSE source END AS tab,
+   CAST(CASE WHEN doc_id % 40 = 0 THEN -1 ELSE n_chars END AS BIGINT) AS like_count FROM d)
+SELECT doc_id,
+  coalesce(length(id) > 0, false) AND coalesce(length(text) > 0, false)
+    AND coalesce(length(trim(regexp_replace(text, '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) > 0, false)
+    AND coalesce(length(tab) > 0, false) AS valid,
+  array_to_string(list_filter([
+     CASE WHEN id IS NULL THEN 'missing_id' END, CASE WHEN text IS NULL THEN 'missing_text' END,
+     CASE WHEN tab IS NULL THEN 'missing_tab' END, CASE WHEN like_count < 0 THEN 'negative_like_count' END],
+     lambda x: x IS NOT NULL), '|') AS reasons
+FROM r"""

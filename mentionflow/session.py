@@ -64,5 +64,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read one table. ``spread=True`` is for text-heavy tables whose regex
+    work runs in the scan stage: when the files give fewer input splits than
+    there are task slots (one big row group, say), rebalance round-robin so
+    every slot gets text. Large inputs already have more splits than slots
+    and are left alone (no extra shuffle)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_out(df) if spread else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df

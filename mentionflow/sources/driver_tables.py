@@ -39,15 +39,16 @@ def source_rank(src="source") -> F.Column:
     return F.substring(F.col(src), 4, 10).cast("int")
 
 
-def documents_raw(spark: SparkSession, sf_dir: str, tickers: bool = True) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+def documents_raw(spark: SparkSession, sf_dir: str, tickers: bool = True,
+                  extra=()) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents", spread=True)
     return d.select(
         (ticker_tail("text") if tickers else F.col("text")).alias("raw_text"),
         F.col("source").alias("tab"),
         source_rank("source").alias("tab_rank"),
         F.col("doc_id").alias("ingest_seq"),
         F.lit(None).cast("string").alias("author"),
-        F.col("lang"),
+        *extra,
     )
 
 
@@ -82,7 +83,7 @@ def labelled_summaries(spark: SparkSession, sf_dir: str, key_fn: str = "xxh64")
     """One summary per labelled document (a post can get several; the
     latest ``ingest_seq`` is the one that counts, see ``last_wins``)."""
     lab = read_table(spark, sf_dir, "labels")
-    d = documents_raw(spark, sf_dir)
+    d = documents_raw(spark, sf_dir, extra=("lang",))
     j = d.join(lab, F.col("ingest_seq") == F.col("doc_id"), "inner")
     text = clean_text("raw_text")
     sentiment = (F.when(F.col("toxic") == 1, F.lit("negative"))
@@ -109,3 +110,47 @@ def labelled_summaries(spark: SparkSession, sf_dir: str, key_fn: str = "xxh64")
         F.col("ingest_seq"),
         F.col("tab_rank"),
     )
+
+
+def _j(s) -> F.Column:
+    """A JSON string literal of a column (values here need no escaping)."""
+    return F.concat(F.lit('"'), s, F.lit('"'))
+
+
+def model_responses(posts_df: DataFrame) -> DataFrame:
+    """One model reply per post, derived from the post, with planted faults
+    chosen by ``ingest_seq % 10`` (``% 20`` splits case 0):
+
+    0 broken JSON (20k) / a JSON array (20k+10), 1 only a summary,
+    2 score 7 (out of range), 3 label "bullish", 4 NULL (the call failed),
+    5 score as the string "0.5" and label "Positive", 6 ``"summary": null``,
+    7 ``"tickers": [1]``, 8 label "unknown", 9 empty content.
+    """
+    seq = F.col("ingest_seq")
+    k = seq % 10
+    code = F.lpad((seq % 89).cast("string"), 6, "0")
+    label = (F.when(k == 3, F.lit("bullish")).when(k == 5, F.lit("Positive"))
+             .when(k == 8, F.lit("unknown"))
+             .when(seq % 3 == 0, F.lit("positive")).when(seq % 3 == 1, F.lit("negative"))
+             .otherwise(F.lit("neutral")))
+    score = (F.when(k == 2, F.lit("7")).when(k == 5, F.lit('"0.5"'))
+             .otherwise(F.format_string("%.2f", ((seq % 21) - 10) / F.lit(10.0))))
+    summary = F.when(k == 6, F.lit("null")).otherwise(_j(F.concat(F.lit("Post from "), F.col("tab"))))
+    tickers = F.when(k == 7, F.lit("[1]")).otherwise(F.concat(F.lit('["SH'), code, F.lit('"]')))
+    body = F.concat(
+        F.lit('{"summary": '), summary,
+        F.lit(', "key_points": ["first point", "second point"], "tickers": '), tickers,
+        F.lit(', "companies": ['), _j(F.concat(F.lit("Co-"), F.col("tab"))), F.lit("]"),
+        F.lit(', "themes": ['), _j(F.concat(F.lit("Theme-"), (seq % 7).cast("string"))), F.lit("]"),
+        F.lit(', "sectors": ["Finance"], "sentiment": '), _j(label),
+        F.lit(', "sentiment_score": '), score,
+        F.lit(', "sentiment_reasoning": "generated"}'))
+    response = (F.when((k == 0) & (seq % 20 == 0), F.lit('{"summary": "cut off'))
+                .when(k == 0, F.lit("[1, 2]"))
+                .when(k == 1, F.lit('{"summary": "only a summary"}'))
+                .when(k == 4, F.lit(None).cast("string"))
+                .when(k == 9, F.lit(""))
+                .otherwise(body))
+    tokens = F.when(k == 4, F.lit(None)).otherwise(F.length("text") % 1000 + 100).cast("long")
+    return posts_df.select(F.col("id").alias("post_id"), response.alias("response"),
+                           tokens.alias("total_tokens"))
