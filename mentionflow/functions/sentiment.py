@@ -51,6 +51,22 @@ def keyword_sentiment(c, lexicon: dict | None = None) -> Column:
                     p.alias("pos_hits"), n.alias("neg_hits"), u.alias("neu_hits"))
 
 
+def with_keyword_sentiment(df, text, lexicon: dict | None = None, prefix: str = "ks_"):
+    """DataFrame form of ``keyword_sentiment``: hit counts become columns
+    first, label and score are derived from them. Catalyst keeps the two
+    projections apart (an expensive column referenced several times is not
+    inlined), so each keyword scan runs once per row."""
+    lex = SENTIMENT_KEYWORDS if lexicon is None else lexicon
+    t = F.lower(F.coalesce(col(text), F.lit("")))
+    out = df.withColumns({
+        f"{prefix}pos_hits": _hits(t, lex.get("positive", [])),
+        f"{prefix}neg_hits": _hits(t, lex.get("negative", [])),
+        f"{prefix}neu_hits": _hits(t, lex.get("neutral", [])),
+    })
+    s = label_from_counts(f"{prefix}pos_hits", f"{prefix}neg_hits", f"{prefix}neu_hits")
+    return out.withColumns({f"{prefix}label": s["label"], f"{prefix}score": s["score"]})
+
+
 def sectors(c, sector_keywords=None) -> Column:
     """Sectors (in configured order) with at least one keyword in the text;
     case-sensitive sub-string match."""

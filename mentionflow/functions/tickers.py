@@ -33,12 +33,14 @@ def _pattern_hits(text: Column, pattern: str, flags: str) -> Column:
 
 
 def extract_symbols(c, patterns=None, named_pattern: str | None = NAMED_CODE_PATTERN,
-                    guard: bool = True) -> Column:
+                    guard: bool = False) -> Column:
     """Distinct upper-cased symbols, sorted.
 
     Each pattern is applied case-insensitively; multi-group matches are
     concatenated; results shorter than 2 characters are dropped. The
     ``$name(CODE)$`` pattern is case-sensitive and yields the code only.
+    ``guard=True`` skips texts without any candidate character first (measured
+    slower when most texts do carry candidates).
     """
     text = F.coalesce(col(c), F.lit(""))
     pats = TICKER_PATTERNS if patterns is None else patterns

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import keyword_sentiment, sectors as sector_tags, truncate
+from ..functions import sectors as sector_tags, truncate
+from ..functions.sentiment import with_keyword_sentiment
 from ..functions.lexicons import (DEFAULT_MODEL_NAME, FALLBACK_MODEL, FALLBACK_REASONING,
                                   FALLBACK_SUFFIX, FALLBACK_SUMMARY_LEN, PREVIEW_LEN,
                                   SYSTEM_PROMPT, USER_PROMPT_PREFIX)
@@ -36,47 +37,52 @@ def _empty():
     return F.array().cast("array<string>")
 
 
-def _fallback_struct(text, symbols, lexicon=None, sector_keywords=None, neutral_score=None):
-    ks = keyword_sentiment(text, lexicon)
-    score = F.when(ks["label"] == "positive", ks["score"]).otherwise(-ks["score"])
+def _with_fallback(df: DataFrame, text="text", symbols="symbols", lexicon=None,
+                   sector_keywords=None, neutral_score=None) -> DataFrame:
+    """Adds a ``fb`` struct column with the fallback summary fields."""
+    df = with_keyword_sentiment(df, text, lexicon, prefix="_ks_")
+    lab, conf = F.col("_ks_label"), F.col("_ks_score")
+    score = F.when(lab == "positive", conf).otherwise(-conf)
     if neutral_score is not None:
-        score = F.when(ks["label"] == "neutral", F.lit(float(neutral_score))).otherwise(score)
-    return F.struct(
+        score = F.when(lab == "neutral", F.lit(float(neutral_score))).otherwise(score)
+    fb = F.struct(
         F.concat(truncate(text, FALLBACK_SUMMARY_LEN), F.lit(FALLBACK_SUFFIX)).alias("summary"),
         _empty().alias("key_points"),
-        F.coalesce(symbols, _empty()).alias("tickers"),
+        F.coalesce(F.col(symbols), _empty()).alias("tickers"),
         _empty().alias("companies"),
         _empty().alias("themes"),
         sector_tags(text, sector_keywords).alias("sectors"),
-        ks["label"].alias("sentiment"),
+        lab.alias("sentiment"),
         score.cast("double").alias("sentiment_score"),
         F.lit(FALLBACK_REASONING).alias("sentiment_reasoning"),
         F.lit(FALLBACK_MODEL).alias("model_used"),
     )
+    return df.withColumn("fb", fb).drop("_ks_pos_hits", "_ks_neg_hits", "_ks_neu_hits",
+                                        "_ks_label", "_ks_score")
 
 
 def fallback_summaries(posts: DataFrame, lexicon=None, sector_keywords=None,
                        neutral_score=None) -> DataFrame:
     """P23 for every post."""
-    fb = _fallback_struct(F.col("text"), F.col("symbols"), lexicon, sector_keywords, neutral_score)
-    return posts.select(
+    df = _with_fallback(posts, "text", "symbols", lexicon, sector_keywords, neutral_score)
+    return df.select(
         F.col("id").alias("post_id"), F.col("content_hash").alias("post_hash"), "tab",
-        fb.alias("s"), truncate("text", PREVIEW_LEN).alias("original_text_preview"),
+        "fb.*", truncate("text", PREVIEW_LEN).alias("original_text_preview"),
         "tab_rank", "ingest_seq",
-    ).select("post_id", "post_hash", "tab", "s.*", "original_text_preview", "tab_rank", "ingest_seq") \
-        .select(*SUMMARY_COLS, "tab_rank", "ingest_seq")
+    ).select(*SUMMARY_COLS, "tab_rank", "ingest_seq")
 
 
 def _vtype(v, key):
     return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 
 
-def response_checks(response="response"):
+def response_checks(response="response", parsed: str | None = None):
     """Columns describing a raw response: ``called`` (a call completed),
     ``content`` (non-empty), ``decoded`` (valid JSON), ``ok`` (all fields
-    acceptable), plus the variant ``v``."""
+    acceptable), plus the variant ``v``. Pass ``parsed`` (a column holding
+    ``try_parse_json(response)``) so the JSON is parsed once per row."""
     r = F.col(response) if isinstance(response, str) else response
-    v = F.try_parse_json(r)
+    v = F.col(parsed) if parsed else F.try_parse_json(r)
     is_obj = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
     conds = [is_obj]
     for k in STRING_FIELDS:  # missing → default, explicit null / non-string → error
@@ -140,20 +146,26 @@ def summarize(posts: DataFrame, responses: DataFrame | None = None,
         if "total_tokens" not in r.columns:
             r = r.withColumn("total_tokens", F.lit(None).cast("long"))
         j = posts.join(r.select("id", "response", "total_tokens"), on="id", how="left")
-    chk = response_checks("response")
-    parsed = _parsed_struct(chk["v"], F.col("symbols"), model_name)
-    fb = _fallback_struct(F.col("text"), F.col("symbols"), lexicon, sector_keywords, neutral_score)
-    s = F.when(chk["ok"], parsed).otherwise(fb)
+    # parse once; then the check flags; then the chosen struct (each step is
+    # its own projection, so nothing expensive is evaluated twice per row)
+    j = j.withColumn("_v", F.try_parse_json("response"))
+    chk = response_checks("response", "_v")
+    j = j.withColumns({"_called": chk["called"], "_content": chk["content"],
+                       "_ok": chk["ok"], "_failed": chk["failed"]})
+    j = _with_fallback(j, "text", "symbols", lexicon, sector_keywords, neutral_score)
+    parsed = _parsed_struct(F.col("_v"), F.col("symbols"), model_name)
+    s = F.when(F.col("_ok"), parsed).otherwise(F.col("fb"))
     extra = []
     if keep_checks:
-        extra = [chk["called"].alias("called"), chk["content"].alias("has_content"),
-                 chk["failed"].alias("failed"), F.col("total_tokens")]
+        extra = [F.col("_called").alias("called"), F.col("_content").alias("has_content"),
+                 F.col("_failed").alias("failed"), F.col("total_tokens")]
     out = j.select(
         F.col("id").alias("post_id"), F.col("content_hash").alias("post_hash"), "tab",
         s.alias("s"), truncate("text", PREVIEW_LEN).alias("original_text_preview"),
         "tab_rank", "ingest_seq", *extra)
     return out.select("post_id", "post_hash", "tab", "s.*", "original_text_preview",
-                      "tab_rank", "ingest_seq", *[c for c in ("called", "has_content", "failed", "total_tokens") if keep_checks])
+                      "tab_rank", "ingest_seq",
+                      *[c for c in ("called", "has_content", "failed", "total_tokens") if keep_checks])
 
 
 def enrichment_stats(posts: DataFrame, responses: DataFrame, by_tab: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ places so results compare by value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
@@ -46,6 +46,7 @@ from ..functions import (bar, calculate_progress, canonical_symbols, clean_text,
                          parse_timestamp_number, parse_timestamp_string, post_problems,
                          sectors, sentiment_icon, truncate, xxh64_hex)
 from ..functions.lexicons import TEST_SECTOR_KEYWORDS, TEST_SENTIMENT_KEYWORDS
+from ..functions.sentiment import with_keyword_sentiment
 from ..operators import enrich as E
 from ..operators import lexicon_join as LJ
 from ..session import read_table
@@ -127,12 +128,12 @@ def q_urls(spark, sf_dir):
 @register("keyword_sentiment")
 def q_keyword_sentiment(spark, sf_dir):
     """P8 with the Latin test lexicon on cleaned documents."""
-    d = _docs(spark, sf_dir)
-    ks = keyword_sentiment(clean_text("text"), TEST_SENTIMENT_KEYWORDS)
-    return d.select("doc_id", ks["label"].alias("label"), _r6(ks["score"]).alias("score"),
-                    ks["pos_hits"].cast("long").alias("pos_hits"),
-                    ks["neg_hits"].cast("long").alias("neg_hits"),
-                    ks["neu_hits"].cast("long").alias("neu_hits"))
+    d = _docs(spark, sf_dir).select("doc_id", clean_text("text").alias("t"))
+    k = with_keyword_sentiment(d, "t", TEST_SENTIMENT_KEYWORDS, prefix="")
+    return k.select("doc_id", "label", _r6("score").alias("score"),
+                    F.col("pos_hits").cast("long").alias("pos_hits"),
+                    F.col("neg_hits").cast("long").alias("neg_hits"),
+                    F.col("neu_hits").cast("long").alias("neu_hits"))
 
 
 @register("keyword_sentiment_join")
@@ -289,3 +290,156 @@ def q_enrich_stats(spark, sf_dir):
     """A10 per tab."""
     p = _posts_md5(spark, sf_dir)
     return E.enrichment_stats(p, D.model_responses(p))
+
+
+# ------------------------------------------------ de-dup, caps, selection
+from ..operators import dedup as DD  # noqa: E402
+from ..sources import tabs as TB  # noqa: E402
+
+
+@register("first_wins")
+def q_first_wins(spark, sf_dir):
+    """One post per id across all tabs; lowest (tab rank, capture order) wins."""
+    p = _posts_md5(spark, sf_dir)
+    return p.select("id", "tab", "ingest_seq")
+
+
+@register("last_summary")
+def q_last_summary(spark, sf_dir):
+    """The latest summary per post id."""
+    s = D.labelled_summaries(spark, sf_dir, key_fn="md5")
+    w = A.latest_summaries(s, ("sentiment", "tab"))
+    return w.select("post_id", "tab", "ingest_seq", "sentiment")
+
+
+@register("tab_cap")
+def q_tab_cap(spark, sf_dir):
+    """At most 10 posts per tab in capture order."""
+    p = _posts_md5(spark, sf_dir)
+    c = DD.tab_cap(p, 10, rank_col="rn")
+    return c.select("tab", F.col("ingest_seq").alias("doc_id"), F.col("rn").cast("long").alias("rn"))
+
+
+@register("tab_select")
+def q_tab_select(spark, sf_dir):
+    """Tab selection with the fallback rule (unknown names dropped)."""
+    dim = TB.source_tabs(spark, sf_dir)
+    chosen = TB.select_tabs(dim, ["src1", "src3", "SRC5", "bogus"])
+    p = _posts_md5(spark, sf_dir)
+    return TB.filter_tabs(p, chosen).groupBy("tab").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stored_and_new(spark, sf_dir):
+    """Stored batch: posts of English documents; new batch: all posts."""
+    raw = D.documents_raw(spark, sf_dir, extra=("lang",))
+    allp = D.standardize_posts(raw, key_fn="md5")
+    stored = allp.filter(F.col("lang") == "en")
+    return stored, allp
+
+
+@register("dedup_new")
+def q_dedup_new(spark, sf_dir):
+    """Rows of a new batch whose content hash is not stored yet."""
+    stored, new = _stored_and_new(spark, sf_dir)
+    fresh = DD.dedup_new(new.select("content_hash", "ingest_seq", "tab"),
+                         stored.select("content_hash"), "content_hash", ("ingest_seq",))
+    return fresh.select(F.col("ingest_seq").alias("doc_id"), "content_hash")
+
+
+@register("dup_flag")
+def q_dup_flag(spark, sf_dir):
+    """Membership probe of each post's content hash in the stored set."""
+    stored, new = _stored_and_new(spark, sf_dir)
+    f = DD.dup_flag(new.select("content_hash", "ingest_seq"), stored.select("content_hash"))
+    return f.select(F.col("ingest_seq").alias("doc_id"), "is_duplicate")
+
+
+@register("new_summaries")
+def q_new_summaries(spark, sf_dir):
+    """J4 + U-2: summaries whose post id is not stored (no in-batch de-dup)."""
+    s = D.labelled_summaries(spark, sf_dir, key_fn="md5")
+    lab = read_table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("ingest_seq"))
+    stored = s.join(lab, on="ingest_seq", how="left_semi")
+    return DD.new_summaries(s, stored).select("post_id", F.col("ingest_seq").alias("doc_id"))
+
+
+# ------------------------------------------------------------ aggregates
+def _posts_summ(spark, sf_dir, key_fn="md5", engage=False):
+    return (D.posts(spark, sf_dir, key_fn=key_fn, engage=engage),
+            D.labelled_summaries(spark, sf_dir, key_fn=key_fn))
+
+
+@register("stock_names")
+def q_stock_names(spark, sf_dir):
+    """A2: most frequent company per symbol (ties: first seen)."""
+    p, s = _posts_summ(spark, sf_dir)
+    return A.stock_names(p, s)
+
+
+@register("stock_samples")
+def q_stock_samples(spark, sf_dir):
+    """A3: first 5 post ids per symbol in capture order."""
+    p, _ = _posts_summ(spark, sf_dir)
+    return A.stock_samples(p, 5).select("symbol", _joined("sample_post_ids").alias("sample_post_ids"))
+
+
+@register("themes")
+def q_themes(spark, sf_dir):
+    """A4 + P20 + O2: theme counts, sentiment split, trend, rank."""
+    _, s = _posts_summ(spark, sf_dir)
+    t = A.themes(s)
+    ranked = t.withColumn("rank", F.row_number().over(Window.orderBy(*A.theme_order())))
+    return ranked.select(F.col("rank").cast("long").alias("rank"), "theme", "mention_count",
+                         "positive", "neutral", "negative", "trend")
+
+
+@register("theme_stocks")
+def q_theme_stocks(spark, sf_dir):
+    """A5: distinct (theme, ticker) pairs."""
+    _, s = _posts_summ(spark, sf_dir)
+    return A.theme_stocks(s)
+
+
+@register("theme_quotes")
+def q_theme_quotes(spark, sf_dir):
+    """First 3 previews per theme, in order."""
+    _, s = _posts_summ(spark, sf_dir)
+    q = A.theme_quotes(s, 3)
+    return q.select("theme", F.size("quotes").cast("long").alias("n_quotes"),
+                    F.md5(_joined("quotes")).alias("quotes_md5"))
+
+
+@register("overall_sentiment")
+def q_overall_sentiment(spark, sf_dir):
+    """Class counts over all summaries."""
+    _, s = _posts_summ(spark, sf_dir)
+    return A.overall_counts(s)
+
+
+@register("market_mood")
+def q_market_mood(spark, sf_dir):
+    """Mood and class shares."""
+    from ..functions import market_mood, share_pct
+    _, s = _posts_summ(spark, sf_dir)
+    o = A.overall_counts(s)
+    tot = F.col("positive") + F.col("neutral") + F.col("negative")
+    return o.select(market_mood("positive", "negative", "neutral").alias("mood"),
+                    _r6(share_pct("positive", tot)).alias("pos_pct"),
+                    _r6(share_pct("negative", tot)).alias("neg_pct"),
+                    _r6(share_pct("neutral", tot)).alias("neu_pct"))
+
+
+@register("job_totals")
+def q_job_totals(spark, sf_dir):
+    """Posts, distinct content hashes, summaries."""
+    p, s = _posts_summ(spark, sf_dir)
+    return A.job_totals(p, s)
+
+
+@register("top_discussions")
+def q_top_discussions(spark, sf_dir):
+    """P17 + O3 + J2: top 10 posts by engagement with their summaries."""
+    p, s = _posts_summ(spark, sf_dir, engage=True)
+    t = A.top_discussions(p, s, 10)
+    return t.select(F.col("rank").cast("long").alias("rank"), "id", "tab", "engagement",
+                    "like_count", "comment_count", "retweet_count", "sentiment", "summary")

@@ -235,3 +235,263 @@ SELECT doc_id,
      CASE WHEN tab IS NULL THEN 'missing_tab' END, CASE WHEN like_count < 0 THEN 'negative_like_count' END],
      lambda x: x IS NOT NULL), '|') AS reasons
 FROM r"""
+
+# ------------------------------------------------------------- enrichment
+from ..functions.lexicons import DEFAULT_MODEL_NAME  # noqa: E402
+
+
+def fallback_cols(text: str, symbols_col: str, lexicon: dict, sector_kw) -> str:
+    s = sentiment_sql(text, lexicon)
+    lab, sc = label_sql(s["p"], s["n"], s["u"])
+    return (f"{truncate_sql(text, 100)} || ' (Auto-generated)' AS fb_summary, ({lab}) AS fb_label, "
+            f"CASE WHEN ({lab}) = 'positive' THEN ({sc}) ELSE -({sc}) END AS fb_score, "
+            f"{sectors_sql(text, sector_kw)} AS fb_sectors, {symbols_col} AS fb_tickers")
+
+
+ORACLE["fallback_summary"] = f"""
+WITH {POSTS_CTE},
+f AS (SELECT id, text, {fallback_cols('text', 'symbols', TEST_SENTIMENT_KEYWORDS, TEST_SECTOR_KEYWORDS)} FROM posts)
+SELECT id AS post_id, fb_summary AS summary, fb_label AS sentiment, round(fb_score, 6) AS sentiment_score,
+       {joined('fb_sectors')} AS sectors, {joined('fb_tickers')} AS tickers,
+       {truncate_sql('text', 200)} AS original_text_preview, 'fallback' AS model_used
+FROM f"""
+
+_SEQ = "ingest_seq"
+RESP_CTE = f"""
+resp AS (
+  SELECT id, tab, text, symbols, ingest_seq, tab_rank, {_SEQ} % 10 AS k,
+    CASE WHEN {_SEQ} % 10 = 3 THEN 'bullish' WHEN {_SEQ} % 10 = 5 THEN 'Positive' WHEN {_SEQ} % 10 = 8 THEN 'unknown'
+         WHEN {_SEQ} % 3 = 0 THEN 'positive' WHEN {_SEQ} % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label,
+    CASE WHEN {_SEQ} % 10 = 2 THEN '7' WHEN {_SEQ} % 10 = 5 THEN '"0.5"'
+         ELSE printf('%.2f', (({_SEQ} % 21) - 10) / 10.0) END AS score_txt,
+    CASE WHEN {_SEQ} % 10 = 4 THEN NULL ELSE CAST(length(text) % 1000 + 100 AS BIGINT) END AS total_tokens
+  FROM posts),
+resp2 AS (
+  SELECT *,
+    CASE WHEN k = 0 AND {_SEQ} % 20 = 0 THEN '{{"summary": "cut off'
+         WHEN k = 0 THEN '[1, 2]'
+         WHEN k = 1 THEN '{{"summary": "only a summary"}}'
+         WHEN k = 4 THEN NULL
+         WHEN k = 9 THEN ''
+         ELSE '{{"summary": ' || CASE WHEN k = 6 THEN 'null' ELSE '"Post from ' || tab || '"' END
+           || ', "key_points": ["first point", "second point"], "tickers": '
+           || CASE WHEN k = 7 THEN '[1]' ELSE '["SH' || lpad(CAST({_SEQ} % 89 AS VARCHAR), 6, '0') || '"]' END
+           || ', "companies": ["Co-' || tab || '"]'
+           || ', "themes": ["Theme-' || CAST({_SEQ} % 7 AS VARCHAR) || '"]'
+           || ', "sectors": ["Finance"], "sentiment": "' || label || '"'
+           || ', "sentiment_score": ' || score_txt
+           || ', "sentiment_reasoning": "generated"}}' END AS response
+  FROM resp),
+chk AS (
+  SELECT *, CASE WHEN json_valid(response) THEN response END AS vj,
+         coalesce(length(response) > 0, false) AS content
+  FROM resp2),
+chk2 AS (
+  SELECT *, content AND vj IS NOT NULL AS decoded,
+    coalesce(json_type(vj) = 'OBJECT', false)
+    AND coalesce(json_type(vj, '$.summary') = 'VARCHAR', json_type(vj, '$.summary') IS NULL)
+    AND coalesce(json_type(vj, '$.sentiment') = 'VARCHAR', json_type(vj, '$.sentiment') IS NULL)
+    AND coalesce(json_type(vj, '$.sentiment_reasoning') IN ('VARCHAR', 'NULL'), json_type(vj, '$.sentiment_reasoning') IS NULL)
+    {''.join(f"AND (json_type(vj, '$.{a}') IS NULL OR (coalesce(json_type(vj, '$.{a}') = 'ARRAY', false) AND coalesce(list_bool_and(list_transform(json_extract(vj, '$.{a}[*]'), lambda e: json_type(e) = 'VARCHAR')), true))) " for a in ['key_points', 'tickers', 'companies', 'themes', 'sectors'])}
+    AND (json_type(vj, '$.sentiment_score') IS NULL OR (json_type(vj, '$.sentiment_score') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'VARCHAR', 'BOOLEAN')
+         AND coalesce(TRY_CAST(json_extract_string(vj, '$.sentiment_score') AS DOUBLE) BETWEEN -1 AND 1, false)))
+    AS fields_ok
+  FROM chk),
+parsed AS (
+  SELECT *, decoded AND fields_ok AS ok,
+    response IS NULL OR (decoded AND NOT fields_ok) AS failed,
+    {fallback_cols('text', 'symbols', SENTIMENT_KEYWORDS, SECTOR_KEYWORDS)}
+  FROM chk2),
+summ_out AS (
+  SELECT id AS post_id, tab, ok, failed, content, response, total_tokens,
+    CASE WHEN ok THEN {_q(DEFAULT_MODEL_NAME)} ELSE 'fallback' END AS model_used,
+    CASE WHEN ok THEN (CASE WHEN lower(coalesce(json_extract_string(vj, '$.sentiment'), 'neutral')) IN ('positive', 'neutral', 'negative', 'unknown')
+                            THEN lower(coalesce(json_extract_string(vj, '$.sentiment'), 'neutral')) ELSE 'neutral' END)
+         ELSE fb_label END AS sentiment,
+    CASE WHEN ok THEN coalesce(TRY_CAST(json_extract_string(vj, '$.sentiment_score') AS DOUBLE), 0.0) ELSE fb_score END AS sentiment_score,
+    CASE WHEN ok THEN list_concat(coalesce(json_extract_string(vj, '$.tickers[*]'), []), symbols) ELSE fb_tickers END AS tickers,
+    CASE WHEN ok THEN coalesce(json_extract_string(vj, '$.summary'), '') ELSE fb_summary END AS summary,
+    CASE WHEN ok THEN list_concat(coalesce(json_extract_string(vj, '$.themes[*]'), []), coalesce(json_extract_string(vj, '$.sectors[*]'), []))
+         ELSE fb_sectors END AS topics,
+    CASE WHEN ok THEN coalesce(json_extract_string(vj, '$.companies[*]'), []) ELSE [] END AS companies,
+    CASE WHEN ok THEN json_extract_string(vj, '$.sentiment_reasoning') ELSE 'Basic keyword-based analysis' END AS sentiment_reasoning
+  FROM parsed)
+"""
+
+ORACLE["parse_responses"] = f"""
+WITH {POSTS_CTE}, {RESP_CTE}
+SELECT post_id, model_used, sentiment, round(sentiment_score, 6) AS sentiment_score, {joined('tickers')} AS tickers,
+       summary, {joined('topics')} AS topics, {joined('companies')} AS companies, sentiment_reasoning
+FROM summ_out"""
+
+ORACLE["enrich_stats"] = f"""
+WITH {POSTS_CTE}, {RESP_CTE}
+SELECT tab, CAST(count(response) AS BIGINT) AS total_requests,
+  CAST(sum(CASE WHEN content THEN 1 ELSE 0 END) AS BIGINT) AS successful_requests,
+  CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS BIGINT) AS failed_requests,
+  CAST(coalesce(sum(CASE WHEN content THEN total_tokens END), 0) AS BIGINT) AS total_tokens,
+  CAST(sum(CASE WHEN model_used = 'fallback' THEN 1 ELSE 0 END) AS BIGINT) AS fallback_summaries,
+  count(*) AS summaries
+FROM summ_out GROUP BY tab"""
+
+ORACLE["prompt"] = f"""
+WITH {POSTS_CTE}
+SELECT id AS post_id, md5('Post content:' || chr(10) || chr(10) || text) AS prompt_md5,
+       CAST({len(SYSTEM_PROMPT)} + length('Post content:' || chr(10) || chr(10) || text) AS BIGINT) AS prompt_len
+FROM posts"""
+
+A1_CTE = """
+ps AS (
+  SELECT p.id, p.tab, p.tab_rank, p.ingest_seq, p.symbols,
+         CASE WHEN s.sentiment IN ('positive', 'negative') THEN s.sentiment ELSE 'neutral' END AS cls
+  FROM posts p LEFT JOIN last_summ s ON p.id = s.post_id),
+ex AS (SELECT unnest(symbols) AS symbol, cls, tab_rank, ingest_seq, id, tab FROM ps),
+agg AS (
+  SELECT symbol, count(*) AS mention_count,
+         CAST(sum(CASE WHEN cls = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS positive_mentions,
+         CAST(sum(CASE WHEN cls = 'neutral' THEN 1 ELSE 0 END) AS BIGINT) AS neutral_mentions,
+         CAST(sum(CASE WHEN cls = 'negative' THEN 1 ELSE 0 END) AS BIGINT) AS negative_mentions,
+         min({'r': tab_rank, 's': ingest_seq}) AS first_pos
+  FROM ex GROUP BY symbol)
+"""
+
+ORACLE["bars"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {A1_CTE}
+SELECT symbol,
+  CASE WHEN mention_count > 0 THEN repeat('█', CAST(floor(positive_mentions / mention_count * 20) AS INTEGER)) END AS bull_bar,
+  CASE WHEN mention_count > 0 THEN repeat('█', CAST(floor(negative_mentions / mention_count * 20) AS INTEGER)) END AS bear_bar,
+  CASE WHEN mention_count > 0 THEN repeat('█', CAST(floor(neutral_mentions / mention_count * 20) AS INTEGER)) END AS neutral_bar,
+  round(CASE WHEN positive_mentions + negative_mentions = 0 THEN 0.5
+             ELSE positive_mentions / (positive_mentions + negative_mentions) END * 100, 6) AS ratio_pct
+FROM agg"""
+
+# ------------------------------------------------ de-dup, caps, selection
+ORACLE["first_wins"] = f"""
+WITH {POSTS_CTE}
+SELECT id, tab, ingest_seq FROM posts"""
+
+ORACLE["last_summary"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}
+SELECT post_id, tab, ingest_seq, sentiment FROM last_summ"""
+
+ORACLE["tab_cap"] = f"""
+WITH {POSTS_CTE},
+c AS (SELECT tab, ingest_seq, row_number() OVER (PARTITION BY tab ORDER BY ingest_seq) AS rn FROM posts)
+SELECT tab, ingest_seq AS doc_id, CAST(rn AS BIGINT) AS rn FROM c WHERE rn <= 10"""
+
+ORACLE["tab_select"] = f"""
+WITH {POSTS_CTE}
+SELECT tab, count(*) AS n FROM posts WHERE tab IN ('src1', 'src3') GROUP BY tab"""
+
+POSTS_HASH_CTE = f"""{POSTS_CTE},
+ph AS (SELECT *, {md5key("text || ':' || '' || ':' || tab")} AS content_hash FROM posts),
+stored AS (SELECT DISTINCT content_hash FROM ph WHERE lang = 'en')
+"""
+
+ORACLE["dedup_new"] = f"""
+WITH {POSTS_HASH_CTE},
+firsts AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY ingest_seq) = 1)
+SELECT ingest_seq AS doc_id, content_hash FROM firsts
+WHERE content_hash NOT IN (SELECT content_hash FROM stored)"""
+
+ORACLE["dup_flag"] = f"""
+WITH {POSTS_HASH_CTE}
+SELECT ingest_seq AS doc_id, content_hash IN (SELECT content_hash FROM stored) AS is_duplicate FROM ph"""
+
+ORACLE["new_summaries"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE},
+st AS (SELECT DISTINCT post_id FROM summ WHERE ingest_seq IN (SELECT doc_id FROM labels WHERE quality = 1))
+SELECT post_id, ingest_seq AS doc_id FROM summ WHERE post_id NOT IN (SELECT post_id FROM st)"""
+
+# ------------------------------------------------------------ aggregates
+ORACLE["stock_names"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE},
+pc AS (SELECT p.id, p.tab_rank, p.ingest_seq, p.symbols, s.companies
+       FROM posts p JOIN last_summ s ON p.id = s.post_id WHERE len(s.companies) > 0),
+e1 AS (SELECT unnest(symbols) AS symbol, companies, tab_rank, ingest_seq FROM pc),
+e2 AS (SELECT symbol, unnest(companies) AS company, unnest(range(len(companies))) AS cpos, tab_rank, ingest_seq FROM e1),
+c AS (SELECT symbol, company, count(*) AS n, min({{'r': tab_rank, 's': ingest_seq, 'c': cpos}}) AS first FROM e2 GROUP BY ALL)
+SELECT symbol, company AS name FROM c
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC, first) = 1"""
+
+ORACLE["stock_samples"] = f"""
+WITH {POSTS_CTE},
+e AS (SELECT unnest(symbols) AS symbol, id, tab_rank, ingest_seq FROM posts),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY tab_rank, ingest_seq) AS rn FROM e)
+SELECT symbol, string_agg(id, '|' ORDER BY rn) AS sample_post_ids FROM r WHERE rn <= 5 GROUP BY symbol"""
+
+THEME_CTE = f"""
+summ_t AS (
+  SELECT tab_rank, ingest_seq, sentiment, tickers, {truncate_sql('text', 200)} AS preview,
+         list_concat([lang], {sectors_sql('text', TEST_SECTOR_KEYWORDS)}) AS topics
+  FROM summ),
+tr AS (SELECT unnest(topics) AS theme, unnest(range(len(topics))) AS tpos, tab_rank, ingest_seq, tickers, preview,
+              CASE WHEN sentiment IN ('positive', 'negative') THEN sentiment ELSE 'neutral' END AS cls
+       FROM summ_t)
+"""
+
+ORACLE["themes"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {THEME_CTE},
+agg AS (SELECT theme, count(*) AS mention_count,
+   CAST(sum(CASE WHEN cls = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS positive,
+   CAST(sum(CASE WHEN cls = 'neutral' THEN 1 ELSE 0 END) AS BIGINT) AS neutral,
+   CAST(sum(CASE WHEN cls = 'negative' THEN 1 ELSE 0 END) AS BIGINT) AS negative,
+   min({{'r': tab_rank, 's': ingest_seq, 't': tpos}}) AS first_pos
+   FROM tr GROUP BY theme)
+SELECT CAST(row_number() OVER (ORDER BY mention_count DESC, first_pos, theme) AS BIGINT) AS rank,
+  theme, mention_count, positive, neutral, negative,
+  CASE WHEN positive > negative * 1.5 THEN 'up' WHEN negative > positive * 1.5 THEN 'down' ELSE 'stable' END AS trend
+FROM agg"""
+
+ORACLE["theme_stocks"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {THEME_CTE}
+SELECT DISTINCT theme, ticker FROM (SELECT theme, unnest(tickers) AS ticker FROM tr)"""
+
+ORACLE["theme_quotes"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {THEME_CTE},
+r AS (SELECT theme, preview, row_number() OVER (PARTITION BY theme ORDER BY tab_rank, ingest_seq, tpos) AS rn FROM tr)
+SELECT theme, count(*) AS n_quotes, md5(string_agg(preview, '|' ORDER BY rn)) AS quotes_md5
+FROM r WHERE rn <= 3 GROUP BY theme"""
+
+OVERALL = """
+SELECT CAST(coalesce(sum(CASE WHEN sentiment = 'positive' THEN 1 ELSE 0 END), 0) AS BIGINT) AS positive,
+       CAST(coalesce(sum(CASE WHEN sentiment NOT IN ('positive', 'negative') OR sentiment IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS neutral,
+       CAST(coalesce(sum(CASE WHEN sentiment = 'negative' THEN 1 ELSE 0 END), 0) AS BIGINT) AS negative
+FROM summ"""
+
+ORACLE["overall_sentiment"] = f"WITH {POSTS_CTE}, {SUMM_CTE} {OVERALL}"
+
+ORACLE["market_mood"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, o AS ({OVERALL}), t AS (SELECT *, positive + neutral + negative AS tot FROM o)
+SELECT CASE WHEN tot = 0 THEN NULL WHEN positive > negative THEN 'bullish' WHEN negative > positive THEN 'bearish' ELSE 'mixed' END AS mood,
+  round(CASE WHEN tot = 0 THEN NULL ELSE positive / tot * 100.0 END, 6) AS pos_pct,
+  round(CASE WHEN tot = 0 THEN NULL ELSE negative / tot * 100.0 END, 6) AS neg_pct,
+  round(CASE WHEN tot = 0 THEN NULL ELSE neutral / tot * 100.0 END, 6) AS neu_pct
+FROM t"""
+
+ORACLE["job_totals"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}
+SELECT (SELECT count(*) FROM posts) AS total_posts_collected,
+       (SELECT count(DISTINCT {md5key("text || ':' || '' || ':' || tab")}) FROM posts) AS total_unique_posts,
+       (SELECT count(*) FROM summ) AS total_posts_summarized"""
+
+ENGAGE_CTE = """
+eng AS (SELECT user_id,
+   count(*) FILTER (WHERE event_type = 'click') AS like_count,
+   count(*) FILTER (WHERE event_type = 'signup') AS comment_count,
+   count(*) FILTER (WHERE event_type = 'purchase') AS retweet_count,
+   count(*) FILTER (WHERE event_type = 'view') AS view_count,
+   min(ts) AS created_at
+   FROM events GROUP BY user_id),
+pe AS (SELECT p.*, coalesce(e.like_count, 0) AS like_count, coalesce(e.comment_count, 0) AS comment_count,
+              coalesce(e.retweet_count, 0) AS retweet_count, coalesce(e.view_count, 0) AS view_count, e.created_at
+       FROM posts p LEFT JOIN eng e ON p.ingest_seq % 150 = e.user_id)
+"""
+
+ORACLE["top_discussions"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {ENGAGE_CTE},
+sc AS (SELECT *, CAST(like_count + comment_count * 2 + retweet_count * 3 AS BIGINT) AS engagement FROM pe),
+top AS (SELECT *, row_number() OVER (ORDER BY engagement DESC, tab_rank, ingest_seq) AS rank FROM sc QUALIFY rank <= 10)
+SELECT CAST(t.rank AS BIGINT) AS rank, t.id, t.tab, t.engagement, t.like_count, t.comment_count, t.retweet_count,
+       s.sentiment, CASE WHEN s.post_id IS NULL THEN NULL ELSE 'Labelled ' || s.lang || ' post' END AS summary
+FROM top t LEFT JOIN last_summ s ON t.id = s.post_id"""

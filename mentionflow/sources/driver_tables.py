@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_text, content_hash, extract_symbols, post_id, sectors, truncate)
 from ..functions.lexicons import TEST_SECTOR_KEYWORDS
-from ..operators.standardize import standardize_posts
+from ..operators.standardize import standardize_posts  # noqa: F401 (re-exported)
 from ..session import read_table
 
 N_USERS = 150
