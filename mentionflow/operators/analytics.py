@@ -200,3 +200,62 @@ def discussion_struct() -> F.Column:
                  F.col("retweet_count").alias("retweets")).alias("engagement"),
         F.col("post_url").alias("url"),
         F.col("sentiment"), F.col("summary"))
+
+
+def top_per_tab(rows: DataFrame, item: str, n: int = 3) -> DataFrame:
+    """The ``n`` most frequent items per tab (ties by item), as a sorted-by-
+    rank array; a partial ``WindowGroupLimit`` bounds what a hot tab ships."""
+    c = rows.groupBy("tab", item).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("tab").orderBy(F.col("_n").desc(), F.col(item).asc())
+    r = c.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n)
+    return r.groupBy("tab").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rk", item))), lambda s: s[item]).alias(f"top_{item}s"))
+
+
+def tab_statistics(raw: DataFrame, posts: DataFrame, summaries: DataFrame, tabs: DataFrame,
+                   raw_text: str = "raw_text", top_n: int = 3) -> DataFrame:
+    """A9 + J7: one row per configured tab (empty tabs included).
+
+    total_posts: captured rows; valid_posts: posts kept; dropped_posts: rows
+    removed as too short, blank or duplicate; class counts through J1; the
+    top symbols; earliest/latest post time. There is no capture step, so
+    duration and errors are 0."""
+    raw_counts = raw.groupBy("tab").agg(F.count(F.lit(1)).alias("total_posts"))
+    j = posts_with_sentiment(posts, summaries, ("sentiment",))
+    cls = sentiment_class("sentiment")
+    created = F.col("created_at") if "created_at" in posts.columns else F.lit(None).cast("timestamp")
+    kept = j.groupBy("tab").agg(
+        F.count(F.lit(1)).alias("valid_posts"),
+        F.count_if(cls == "positive").cast("long").alias("positive_posts"),
+        F.count_if(cls == "neutral").cast("long").alias("neutral_posts"),
+        F.count_if(cls == "negative").cast("long").alias("negative_posts"),
+        F.min(created).alias("earliest_post"), F.max(created).alias("latest_post"))
+    tops = top_per_tab(posts.select("tab", F.explode(F.array_distinct("symbols")).alias("symbol")),
+                       "symbol", top_n)
+    out = tabs.join(raw_counts, "tab", "left").join(kept, "tab", "left").join(tops, "tab", "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "tab", "tab_rank",
+        F.coalesce("total_posts", zero).alias("total_posts"),
+        F.coalesce("valid_posts", zero).alias("valid_posts"),
+        (F.coalesce("total_posts", zero) - F.coalesce("valid_posts", zero)).alias("dropped_posts"),
+        F.coalesce("positive_posts", zero).alias("positive_posts"),
+        F.coalesce("neutral_posts", zero).alias("neutral_posts"),
+        F.coalesce("negative_posts", zero).alias("negative_posts"),
+        F.coalesce("top_symbols", F.array().cast("array<string>")).alias("top_stocks"),
+        "earliest_post", "latest_post",
+        F.lit(0.0).alias("crawl_duration_seconds"), zero.alias("errors_count"))
+
+
+def tab_counts(posts: DataFrame) -> DataFrame:
+    """Posts per tab and the total (tab NULL) in one rollup pass."""
+    return posts.rollup("tab").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_summary(posts: DataFrame, summaries: DataFrame, tabs: DataFrame) -> DataFrame:
+    """Totals of a run (capture duration and errors do not apply: 0)."""
+    p = posts.agg(F.count(F.lit(1)).alias("total_posts"))
+    s = summaries.agg(F.count(F.lit(1)).alias("total_summaries"))
+    t = tabs.agg(F.count(F.lit(1)).alias("tabs_crawled"))
+    return p.crossJoin(s).crossJoin(t).withColumn("duration_seconds", F.lit(0.0)) \
+        .withColumn("errors", F.lit(0).cast("long"))  # all sides are single rows

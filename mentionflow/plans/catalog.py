@@ -443,3 +443,45 @@ def q_top_discussions(spark, sf_dir):
     t = A.top_discussions(p, s, 10)
     return t.select(F.col("rank").cast("long").alias("rank"), "id", "tab", "engagement",
                     "like_count", "comment_count", "retweet_count", "sentiment", "summary")
+
+
+# ------------------------------------------------------ tabs and pages
+from ..sources import pages as PG  # noqa: E402
+
+
+def _fmt_ts(c):
+    return F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+
+
+@register("tab_stats")
+def q_tab_stats(spark, sf_dir):
+    """A9 + J7: per-tab statistics over the tab spine (empty tabs included)."""
+    raw = D.documents_raw(spark, sf_dir, tickers=False).select("tab")
+    p, s = _posts_summ(spark, sf_dir, engage=True)
+    st = A.tab_statistics(raw, p, s, TB.source_tabs(spark, sf_dir))
+    return st.select("tab", "total_posts", "valid_posts", "dropped_posts", "positive_posts",
+                     "neutral_posts", "negative_posts", _joined("top_stocks").alias("top_stocks"),
+                     _fmt_ts("earliest_post").alias("earliest_post"), _fmt_ts("latest_post").alias("latest_post"),
+                     "crawl_duration_seconds", "errors_count")
+
+
+@register("tab_counts")
+def q_tab_counts(spark, sf_dir):
+    """Posts per tab plus the total row (tab NULL)."""
+    p, _ = _posts_summ(spark, sf_dir)
+    return A.tab_counts(p)
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    """Totals of the run."""
+    p, s = _posts_summ(spark, sf_dir)
+    return A.run_summary(p, s, TB.source_tabs(spark, sf_dir))
+
+
+@register("page_posts")
+def q_page_posts(spark, sf_dir):
+    """S5 + P1: posts extracted from captured pages."""
+    pg = read_table(spark, sf_dir, "pages", spread=True)
+    pp = PG.page_posts(pg, key_fn="md5")
+    return pp.select("page_id", "pos", "id", "tab", "text", _joined("urls").alias("urls"))

@@ -495,3 +495,47 @@ top AS (SELECT *, row_number() OVER (ORDER BY engagement DESC, tab_rank, ingest_
 SELECT CAST(t.rank AS BIGINT) AS rank, t.id, t.tab, t.engagement, t.like_count, t.comment_count, t.retweet_count,
        s.sentiment, CASE WHEN s.post_id IS NULL THEN NULL ELSE 'Labelled ' || s.lang || ' post' END AS summary
 FROM top t LEFT JOIN last_summ s ON t.id = s.post_id"""
+
+# ------------------------------------------------------ tabs and pages
+ORACLE["tab_stats"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {ENGAGE_CTE},
+tabs AS (SELECT 'src' || CAST(i AS VARCHAR) AS tab, i AS tab_rank FROM range(24) t(i)),
+rc AS (SELECT source AS tab, count(*) AS total_posts FROM documents GROUP BY source),
+j AS (SELECT pe.*, CASE WHEN s.sentiment IN ('positive', 'negative') THEN s.sentiment ELSE 'neutral' END AS cls
+      FROM pe LEFT JOIN last_summ s ON pe.id = s.post_id),
+k AS (SELECT tab, count(*) AS valid_posts,
+        sum(CASE WHEN cls = 'positive' THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN cls = 'neutral' THEN 1 ELSE 0 END) AS neu,
+        sum(CASE WHEN cls = 'negative' THEN 1 ELSE 0 END) AS neg, min(created_at) AS e, max(created_at) AS l
+      FROM j GROUP BY tab),
+sy AS (SELECT tab, unnest(symbols) AS symbol FROM posts),
+sc AS (SELECT tab, symbol, count(*) AS n FROM sy GROUP BY ALL),
+tp AS (SELECT tab, string_agg(symbol, '|' ORDER BY rk) AS top_stocks FROM
+        (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY n DESC, symbol) AS rk FROM sc) WHERE rk <= 3 GROUP BY tab)
+SELECT t.tab, coalesce(rc.total_posts, 0) AS total_posts, coalesce(k.valid_posts, 0) AS valid_posts,
+  coalesce(rc.total_posts, 0) - coalesce(k.valid_posts, 0) AS dropped_posts,
+  CAST(coalesce(k.pos, 0) AS BIGINT) AS positive_posts, CAST(coalesce(k.neu, 0) AS BIGINT) AS neutral_posts,
+  CAST(coalesce(k.neg, 0) AS BIGINT) AS negative_posts, coalesce(tp.top_stocks, '') AS top_stocks,
+  strftime(k.e, '%Y-%m-%d %H:%M:%S') AS earliest_post, strftime(k.l, '%Y-%m-%d %H:%M:%S') AS latest_post,
+  0.0 AS crawl_duration_seconds, CAST(0 AS BIGINT) AS errors_count
+FROM tabs t LEFT JOIN rc ON t.tab = rc.tab LEFT JOIN k ON t.tab = k.tab LEFT JOIN tp ON t.tab = tp.tab"""
+
+ORACLE["tab_counts"] = f"""
+WITH {POSTS_CTE}
+SELECT tab, count(*) AS n FROM posts GROUP BY ROLLUP (tab)"""
+
+ORACLE["run_summary"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}
+SELECT (SELECT count(*) FROM posts) AS total_posts, (SELECT count(*) FROM summ) AS total_summaries,
+       CAST(24 AS BIGINT) AS tabs_crawled, 0.0 AS duration_seconds, CAST(0 AS BIGINT) AS errors"""
+
+_BLOCK = "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in ("p", "h1", "li"))
+ORACLE["page_posts"] = f"""
+WITH b0 AS (SELECT page_id, regexp_extract(url, '/([a-z]{{2}})/', 1) AS tab,
+                   regexp_extract_all(html, {_q(_BLOCK)}) AS blocks FROM pages),
+b1 AS (SELECT page_id, tab, unnest(blocks) AS block, unnest(range(len(blocks))) AS pos FROM b0),
+b2 AS (SELECT page_id, tab, pos, regexp_replace(block, '<[^>]+>', '', 'g') AS raw_text FROM b1),
+c AS (SELECT page_id, tab, pos, page_id * 1000000 + pos AS ingest_seq, {clean('raw_text')} AS text
+      FROM b2 WHERE length(raw_text) >= 5),
+k AS (SELECT *, {md5key('text')} AS id FROM c
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingest_seq) = 1)
+SELECT page_id, pos, id, tab, text, {joined(URL_SQL.format(t='text'))} AS urls FROM k WHERE length(text) > 0 AND length(tab) > 0"""
