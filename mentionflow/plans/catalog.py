@@ -485,3 +485,45 @@ def q_page_posts(spark, sf_dir):
     pg = read_table(spark, sf_dir, "pages", spread=True)
     pp = PG.page_posts(pg, key_fn="md5")
     return pp.select("page_id", "pos", "id", "tab", "text", _joined("urls").alias("urls"))
+
+
+# ------------------------------------------------------------- report
+from . import report as RP  # noqa: E402
+
+
+def _report_inputs(spark, sf_dir):
+    p, s = _posts_summ(spark, sf_dir, engage=True)
+    raw = D.documents_raw(spark, sf_dir, tickers=False).select("tab")
+    stats = A.tab_statistics(raw, p, s, TB.source_tabs(spark, sf_dir))
+    end = read_table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("e"))
+    return p, s, stats, end
+
+
+@register("report_lines")
+def q_report_lines(spark, sf_dir):
+    """The whole Markdown report as ordered lines; the report time is
+    the last event time (deterministic)."""
+    p, s, stats, end = _report_inputs(spark, sf_dir)
+    job_end = F.lit(end.first()["e"])
+    return RP.report_lines(p, s, stats, job_end=job_end)
+
+
+@register("report_stocks")
+def q_report_stocks(spark, sf_dir):
+    """Most-discussed-stocks table lines."""
+    p, s = _posts_summ(spark, sf_dir)
+    return RP.stock_table(A.top_stocks(p, s, 20))
+
+
+@register("report_sentiment")
+def q_report_sentiment(spark, sf_dir):
+    """Sentiment distribution lines."""
+    _, s = _posts_summ(spark, sf_dir)
+    return RP.sentiment_section(A.overall_counts(s))
+
+
+@register("report_tabs")
+def q_report_tabs(spark, sf_dir):
+    """Per-tab statistics table lines."""
+    p, s, stats, _ = _report_inputs(spark, sf_dir)
+    return RP.tabs_section(stats)

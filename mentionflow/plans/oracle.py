@@ -539,3 +539,41 @@ c AS (SELECT page_id, tab, pos, page_id * 1000000 + pos AS ingest_seq, {clean('r
 k AS (SELECT *, {md5key('text')} AS id FROM c
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingest_seq) = 1)
 SELECT page_id, pos, id, tab, text, {joined(URL_SQL.format(t='text'))} AS urls FROM k WHERE length(text) > 0 AND length(tab) > 0"""
+
+# ------------------------------------------------------------- report
+def _static_sql(section, lines, item=0):
+    return " UNION ALL ".join(
+        f"SELECT {section} AS section_no, CAST({item} AS BIGINT) AS item_no, CAST({i} AS BIGINT) AS line_no, {_q(l)} AS line"
+        for i, l in enumerate(lines))
+
+
+ORACLE["report_stocks"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {A1_CTE},
+top AS (SELECT *, row_number() OVER (ORDER BY mention_count DESC, first_pos, symbol) AS rank FROM agg QUALIFY rank <= 20)
+{_static_sql(4, ["## Most Discussed Stocks", "", "| Rank | Symbol | Mentions | Sentiment | Bullish | Bearish | Neutral |", "|------|--------|----------|-----------|---------|---------|---------|"])}
+UNION ALL
+SELECT 4, CAST(rank AS BIGINT), CAST(0 AS BIGINT),
+  '| ' || rank || ' | ' || symbol || ' | ' || mention_count || ' | ' ||
+  CASE WHEN positive_mentions > negative_mentions * 1.5 THEN '📈' WHEN negative_mentions > positive_mentions * 1.5 THEN '📉' ELSE '➡️' END
+  || ' | ' || positive_mentions || ' | ' || negative_mentions || ' | ' || neutral_mentions || ' |'
+FROM top
+UNION ALL {_static_sql(4, [""], 1000000)}"""
+
+ORACLE["report_sentiment"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, o AS ({OVERALL})
+SELECT 5 AS section_no, CAST(0 AS BIGINT) AS item_no, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT 0 AS line_no, '## Sentiment Distribution' AS line UNION ALL SELECT 1, ''
+  UNION ALL SELECT 2, '📈 **Positive:** ' || positive || ' posts' FROM o
+  UNION ALL SELECT 3, '➡️ **Neutral:** ' || neutral || ' posts' FROM o
+  UNION ALL SELECT 4, '📉 **Negative:** ' || negative || ' posts' FROM o
+  UNION ALL SELECT 5, '')"""
+
+ORACLE["report_tabs"] = f"""
+WITH {POSTS_CTE},
+tabs AS (SELECT 'src' || CAST(i AS VARCHAR) AS tab, i AS tab_rank FROM range(24) t(i)),
+k AS (SELECT tab, count(*) AS valid_posts FROM posts GROUP BY tab)
+{_static_sql(8, ["## Data Collection Statistics", "", "| Tab | Posts | Duration (s) | Errors |", "|-----|-------|--------------|--------|"])}
+UNION ALL
+SELECT 8, CAST(t.tab_rank + 1 AS BIGINT), CAST(0 AS BIGINT), '| ' || t.tab || ' | ' || coalesce(k.valid_posts, 0) || ' | 0.0 | 0 |'
+FROM tabs t LEFT JOIN k ON t.tab = k.tab
+UNION ALL {_static_sql(8, [""], 1000000)}"""
