@@ -527,3 +527,84 @@ def q_report_tabs(spark, sf_dir):
     """Per-tab statistics table lines."""
     p, s, stats, _ = _report_inputs(spark, sf_dir)
     return RP.tabs_section(stats)
+
+
+# ---------------------------------------------------- store and streams
+import uuid as _uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import store as ST  # noqa: E402
+from ..streaming import streams as SS  # noqa: E402
+
+
+@register("roundtrip_store")
+def q_roundtrip_store(spark, sf_dir):
+    """K1 + K5 + K6 + S3: save all posts, save them again (a replay), read
+    back per tab; the second save must add nothing."""
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_roundtrip")
+    p = _posts_md5(spark, sf_dir)
+    ST.save_posts(p, layout, save_id="first")
+    ST.save_posts(p, layout, save_id="second")
+    audit = spark.read.parquet(layout.audit)
+    per = audit.groupBy("tab").agg(
+        F.sum(F.when(F.col("save_id") == "first", F.col("new_rows")).otherwise(0)).cast("long").alias("new_first"),
+        F.sum(F.when(F.col("save_id") == "second", F.col("new_rows")).otherwise(0)).cast("long").alias("new_second"))
+    rows = ST.load_posts(spark, layout).groupBy("tab").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(per, "tab", "left").na.fill(0, ["new_first", "new_second"])
+
+
+@register("roundtrip_summaries")
+def q_roundtrip_summaries(spark, sf_dir):
+    """K2 + S4: summaries saved twice; stored rows per tab."""
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_roundtrip")
+    s = D.labelled_summaries(spark, sf_dir, key_fn="md5")
+    ST.save_summaries(s, layout, save_id="first")
+    ST.save_summaries(s, layout, save_id="second")
+    return spark.read.parquet(layout.summary).groupBy("tab").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("roundtrip_json")
+def q_roundtrip_json(spark, sf_dir):
+    """S3/S4 JSON form: posts exported as JSON Lines per tab and read back
+    with the explicit schema."""
+    path = scratch_path(spark, f"jsonl-{_uuid.uuid4().hex}")
+    p = _posts_md5(spark, sf_dir)
+    ST.write_jsonl(p.select("id", "text", "tab", "symbols", "urls", "content_hash", "ingest_seq"), path)
+    back = ST.read_jsonl(spark, path)
+    return back.groupBy("tab").agg(F.count(F.lit(1)).alias("rows"),
+                                   F.count_distinct("content_hash").alias("hashes"))
+
+
+def _split_documents(spark, sf_dir, n_files=8):
+    """The documents table written as several files (a file stream source)."""
+    path = scratch_path(spark, f"docs-stream-{_uuid.uuid4().hex}")
+    D.documents_raw(spark, sf_dir).repartition(n_files).write.parquet(path)
+    return path
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """T1 + T3 + T4 + T5: documents as a file stream (two files per trigger),
+    de-duplicated by id, saved by foreachBatch; the stream is then replayed
+    from a fresh checkpoint into the same store and must add nothing."""
+    src = _split_documents(spark, sf_dir)
+    schema = spark.read.parquet(src).schema
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_stream")
+    for attempt in range(2):
+        s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
+        q = SS.start_post_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True)
+        SS.run_once(q)
+    return ST.load_posts(spark, layout).select("id").distinct()
+
+
+@register("stream_summaries")
+def q_stream_summaries(spark, sf_dir):
+    """The post stream enriched per micro-batch; summaries saved once per post."""
+    src = _split_documents(spark, sf_dir)
+    schema = spark.read.parquet(src).schema
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_stream")
+    s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
+    s = s.withColumn("tab_rank", F.lit(0)).withColumn("ingest_seq", F.col("ingest_seq"))
+    q = SS.start_summary_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True)
+    SS.run_once(q)
+    return spark.read.parquet(layout.summary).select("post_id").distinct()

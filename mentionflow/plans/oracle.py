@@ -577,3 +577,24 @@ UNION ALL
 SELECT 8, CAST(t.tab_rank + 1 AS BIGINT), CAST(0 AS BIGINT), '| ' || t.tab || ' | ' || coalesce(k.valid_posts, 0) || ' | 0.0 | 0 |'
 FROM tabs t LEFT JOIN k ON t.tab = k.tab
 UNION ALL {_static_sql(8, [""], 1000000)}"""
+
+# ---------------------------------------------------- store and streams
+ORACLE["roundtrip_store"] = f"""
+WITH {POSTS_CTE}
+SELECT tab, count(*) AS rows, count(*) AS new_first, CAST(0 AS BIGINT) AS new_second FROM posts GROUP BY tab"""
+
+ORACLE["roundtrip_summaries"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}
+SELECT tab, count(*) AS rows FROM summ GROUP BY tab"""
+
+ORACLE["roundtrip_json"] = f"""
+WITH {POSTS_CTE}
+SELECT tab, count(*) AS rows, count(DISTINCT {md5key("text || ':' || '' || ':' || tab")}) AS hashes FROM posts GROUP BY tab"""
+
+ORACLE["stream_dedup"] = f"""
+WITH {POSTS_CTE}
+SELECT id FROM posts"""
+
+ORACLE["stream_summaries"] = f"""
+WITH {POSTS_CTE}
+SELECT id AS post_id FROM posts"""
