@@ -164,8 +164,11 @@ def read_envelopes(spark: SparkSession, pattern: str, kind: str = "posts"):
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return (spark.createDataFrame([], valid_schema), spark.createDataFrame([], rej_schema))
         raise
+    # (a query may not reference the corrupt-record column alone: the
+    # metadata tab, NULL for an unreadable file, is read alongside)
     bad_files = raw.filter(F.col("_corrupt_record").isNotNull()).select(
-        "file_tab", F.col("_corrupt_record").alias("record"), F.array(F.lit("unreadable_file")).alias("reasons"))
+        F.coalesce(F.col("metadata.tab"), F.col("file_tab")).alias("file_tab"),
+        F.col("_corrupt_record").alias("record"), F.array(F.lit("unreadable_file")).alias("reasons"))
     recs = raw.filter(F.col("_corrupt_record").isNull()).select(
         "file_tab", F.explode(key).alias("record"))
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
