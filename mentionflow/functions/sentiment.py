@@ -10,12 +10,33 @@ from .lexicons import SECTOR_KEYWORDS, SENTIMENT_KEYWORDS
 
 
 def _hits(text: Column, keywords) -> Column:
-    """Number of distinct keywords that occur as sub-strings of ``text``."""
+    """Number of distinct keywords that occur as sub-strings of ``text``
+    (a sum of ``contains`` tests: plain codegen, no lambda)."""
     kws = list(dict.fromkeys(keywords))
     if not kws:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(k) for k in kws]),
-                           lambda k: F.contains(text, k)))
+    out = None
+    for k in kws:
+        e = F.when(F.contains(text, F.lit(k)), F.lit(1)).otherwise(F.lit(0))
+        out = e if out is None else out + e
+    return out
+
+
+def _caseless(ch: str) -> bool:
+    """True for characters that lower-casing neither changes nor produces:
+    CJK ideographs/punctuation and ASCII non-letters."""
+    o = ord(ch)
+    if o < 128:
+        return not ch.isalpha()
+    return (0x3000 <= o <= 0x303F or 0x3400 <= o <= 0x4DBF or 0x4E00 <= o <= 0x9FFF
+            or 0xF900 <= o <= 0xFAFF)
+
+
+def needs_lower(lexicon: dict) -> bool:
+    """``k in text.lower()`` equals ``k in text`` when every keyword character
+    is caseless in the sense above, so the (costly) lower-casing can be
+    skipped for such lexicons (the default one is all CJK)."""
+    return not all(_caseless(c) for kws in lexicon.values() for k in kws for c in k)
 
 
 def label_from_counts(p, n, u) -> Column:
@@ -42,7 +63,8 @@ def keyword_sentiment(c, lexicon: dict | None = None) -> Column:
     (overlaps count: a longer keyword and its sub-string both hit).
     """
     lex = SENTIMENT_KEYWORDS if lexicon is None else lexicon
-    t = F.lower(F.coalesce(col(c), F.lit("")))
+    t = F.coalesce(col(c), F.lit(""))
+    t = F.lower(t) if needs_lower(lex) else t
     p = _hits(t, lex.get("positive", []))
     n = _hits(t, lex.get("negative", []))
     u = _hits(t, lex.get("neutral", []))
@@ -51,18 +73,26 @@ def keyword_sentiment(c, lexicon: dict | None = None) -> Column:
                     p.alias("pos_hits"), n.alias("neg_hits"), u.alias("neu_hits"))
 
 
-def with_keyword_sentiment(df, text, lexicon: dict | None = None, prefix: str = "ks_"):
-    """DataFrame form of ``keyword_sentiment``: hit counts become columns
-    first, label and score are derived from them. Catalyst keeps the two
-    projections apart (an expensive column referenced several times is not
-    inlined), so each keyword scan runs once per row."""
+def with_keyword_sentiment(df, text, lexicon: dict | None = None, prefix: str = "ks_",
+                           only_if: Column | None = None):
+    """DataFrame form of ``keyword_sentiment``: the (lower-cased) text, then
+    the hit counts, then label and score, each its own projection. Catalyst
+    does not inline an expensive column referenced several times, so every
+    keyword scan runs once per row. ``only_if`` limits the scans to the rows
+    that need them (others get NULL)."""
     lex = SENTIMENT_KEYWORDS if lexicon is None else lexicon
-    t = F.lower(F.coalesce(col(text), F.lit("")))
+    t0 = F.coalesce(col(text), F.lit(""))
+    lt = f"{prefix}_lt"
+    df = df.withColumn(lt, F.lower(t0) if needs_lower(lex) else t0)
+    t = F.col(lt)
+
+    def gate(e):
+        return e if only_if is None else F.when(only_if, e)
     out = df.withColumns({
-        f"{prefix}pos_hits": _hits(t, lex.get("positive", [])),
-        f"{prefix}neg_hits": _hits(t, lex.get("negative", [])),
-        f"{prefix}neu_hits": _hits(t, lex.get("neutral", [])),
-    })
+        f"{prefix}pos_hits": gate(_hits(t, lex.get("positive", []))),
+        f"{prefix}neg_hits": gate(_hits(t, lex.get("negative", []))),
+        f"{prefix}neu_hits": gate(_hits(t, lex.get("neutral", []))),
+    }).drop(lt)
     s = label_from_counts(f"{prefix}pos_hits", f"{prefix}neg_hits", f"{prefix}neu_hits")
     return out.withColumns({f"{prefix}label": s["label"], f"{prefix}score": s["score"]})
 
@@ -81,7 +111,9 @@ def sectors(c, sector_keywords=None) -> Column:
         tagged.append(F.when(cond, F.lit(name)) if cond is not None else F.lit(None).cast("string"))
     if not tagged:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*tagged), lambda s: s.isNotNull())
+    # drop the NULL slots, keeping order (array_except is codegen'd; the
+    # names are distinct so its de-dup changes nothing)
+    return F.array_except(F.array(*tagged), F.array(F.lit(None).cast("string")))
 
 
 def majority_rule(pos, neg, up="positive", down="negative", flat="neutral") -> Column:

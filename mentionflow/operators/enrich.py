@@ -38,9 +38,10 @@ def _empty():
 
 
 def _with_fallback(df: DataFrame, text="text", symbols="symbols", lexicon=None,
-                   sector_keywords=None, neutral_score=None) -> DataFrame:
-    """Adds a ``fb`` struct column with the fallback summary fields."""
-    df = with_keyword_sentiment(df, text, lexicon, prefix="_ks_")
+                   sector_keywords=None, neutral_score=None, only_if=None) -> DataFrame:
+    """Adds a ``fb`` struct column with the fallback summary fields
+    (computed only where ``only_if`` holds, when given)."""
+    df = with_keyword_sentiment(df, text, lexicon, prefix="_ks_", only_if=only_if)
     lab, conf = F.col("_ks_label"), F.col("_ks_score")
     score = F.when(lab == "positive", conf).otherwise(-conf)
     if neutral_score is not None:
@@ -152,7 +153,8 @@ def summarize(posts: DataFrame, responses: DataFrame | None = None,
     chk = response_checks("response", "_v")
     j = j.withColumns({"_called": chk["called"], "_content": chk["content"],
                        "_ok": chk["ok"], "_failed": chk["failed"]})
-    j = _with_fallback(j, "text", "symbols", lexicon, sector_keywords, neutral_score)
+    j = _with_fallback(j, "text", "symbols", lexicon, sector_keywords, neutral_score,
+                       only_if=~F.col("_ok"))
     parsed = _parsed_struct(F.col("_v"), F.col("symbols"), model_name)
     s = F.when(F.col("_ok"), parsed).otherwise(F.col("fb"))
     extra = []

@@ -491,8 +491,13 @@ def q_page_posts(spark, sf_dir):
 from . import report as RP  # noqa: E402
 
 
-def _report_inputs(spark, sf_dir):
+def _report_inputs(spark, sf_dir, materialize=False):
     p, s = _posts_summ(spark, sf_dir, engage=True)
+    if materialize:
+        # every section reads posts and summaries: write them once to the
+        # shared checkpoint folder instead of recomputing them per section
+        from ..session import cut_lineage
+        p, s = cut_lineage(p), cut_lineage(s)
     raw = D.documents_raw(spark, sf_dir, tickers=False).select("tab")
     stats = A.tab_statistics(raw, p, s, TB.source_tabs(spark, sf_dir))
     end = read_table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("e"))
@@ -503,7 +508,7 @@ def _report_inputs(spark, sf_dir):
 def q_report_lines(spark, sf_dir):
     """The whole Markdown report as ordered lines; the report time is
     the last event time (deterministic)."""
-    p, s, stats, end = _report_inputs(spark, sf_dir)
+    p, s, stats, end = _report_inputs(spark, sf_dir, materialize=True)
     job_end = F.lit(end.first()["e"])
     return RP.report_lines(p, s, stats, job_end=job_end)
 

@@ -70,10 +70,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     there are task slots (one big row group, say), rebalance round-robin so
     every slot gets text. Large inputs already have more splits than slots
     and are left alone (no extra shuffle)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = _read_cached(spark, os.path.join(sf_dir, f"{name}.parquet"))
     return spread_out(df) if spread else df
 
 
+_READS: dict = {}
+
+
+def _read_cached(spark: SparkSession, path: str) -> DataFrame:
+    """Reuse the DataFrame of a table within a session (a plan, not data:
+    saves re-reading footers when one query touches a table several times)."""
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:

@@ -63,14 +63,26 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _write_audit(spark, layout: JobLayout, table: str, path: str, save_id: str) -> int:
-    """K5: per-tab totals and rows added by this save → audit table; returns
-    the number of rows this save added."""
-    stored = spark.read.parquet(path)
-    a = stored.groupBy("tab").agg(F.count(F.lit(1)).alias("total_rows"),
-                                  F.count_if(F.col("save_id") == save_id).cast("long").alias("new_rows"))
-    a = a.filter(F.col("new_rows") > 0).select(
+    """K5: rows added by this save per tab, with running totals → audit
+    table; returns the number of rows this save added.
+
+    Only this save's rows are read (each written file holds one ``save_id``,
+    so Parquet statistics skip the others) and totals come from the small
+    audit table, so the cost does not grow with what is already stored."""
+    mine = spark.read.parquet(path).filter(F.col("save_id") == save_id)
+    added = mine.groupBy("tab").agg(F.count(F.lit(1)).alias("new_rows"))
+    prior = read_stored(spark, layout.audit)
+    if prior is not None:
+        before = prior.filter(F.col("table") == table).groupBy("tab").agg(
+            F.sum("new_rows").alias("_before"))
+        added = added.join(before, "tab", "left")
+    else:
+        added = added.withColumn("_before", F.lit(0).cast("long"))
+    a = added.select(
         F.lit(table).alias("table"), "tab", F.lit(layout.job_name).alias("job_name"),
-        "total_rows", "new_rows", F.current_timestamp().alias("last_updated"), F.lit(save_id).alias("save_id"))
+        (F.coalesce("_before", F.lit(0)) + F.col("new_rows")).cast("long").alias("total_rows"),
+        F.col("new_rows").cast("long").alias("new_rows"),
+        F.current_timestamp().alias("last_updated"), F.lit(save_id).alias("save_id"))
     a.write.mode("append").parquet(layout.audit)
     got = spark.read.parquet(layout.audit).filter(F.col("save_id") == save_id) \
         .agg(F.coalesce(F.sum("new_rows"), F.lit(0)).alias("n")).first()
