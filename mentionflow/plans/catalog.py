@@ -613,3 +613,20 @@ def q_stream_summaries(spark, sf_dir):
     q = SS.start_summary_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True)
     SS.run_once(q)
     return spark.read.parquet(layout.summary).select("post_id").distinct()
+
+
+@register("report_json")
+def q_report_json(spark, sf_dir):
+    """K4: the nested report written as JSON, read back: totals and the
+    number of symbol and theme records."""
+    p, s, stats, end = _report_inputs(spark, sf_dir, materialize=True)
+    e = end.first()["e"]
+    path = scratch_path(spark, f"report-json-{_uuid.uuid4().hex}")
+    RP.write_report_json(p, s, stats, path, F.lit("run_report"), F.lit(e))
+    doc = spark.read.json(f"{path}/summary")
+    n_sym = spark.read.json(f"{path}/stock_mentions").agg(F.count(F.lit(1)).alias("stock_records"))
+    n_th = spark.read.json(f"{path}/themes").agg(F.count(F.lit(1)).alias("theme_records"))
+    return doc.select("total_posts_collected", "total_unique_posts", "total_posts_summarized",
+                      F.size("top_discussions").cast("long").alias("discussions"),
+                      F.size(F.json_object_keys(F.to_json("tab_statistics"))).cast("long").alias("tabs")) \
+        .crossJoin(n_sym).crossJoin(n_th)

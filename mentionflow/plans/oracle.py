@@ -598,3 +598,13 @@ SELECT id FROM posts"""
 ORACLE["stream_summaries"] = f"""
 WITH {POSTS_CTE}
 SELECT id AS post_id FROM posts"""
+
+ORACLE["report_json"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {THEME_CTE}
+SELECT (SELECT count(*) FROM posts) AS total_posts_collected,
+       (SELECT count(DISTINCT {md5key("text || ':' || '' || ':' || tab")}) FROM posts) AS total_unique_posts,
+       (SELECT count(*) FROM summ) AS total_posts_summarized,
+       CAST(least(10, (SELECT count(*) FROM posts)) AS BIGINT) AS discussions,
+       CAST(24 AS BIGINT) AS tabs,
+       (SELECT count(DISTINCT s) FROM (SELECT unnest(symbols) AS s FROM posts)) AS stock_records,
+       (SELECT count(DISTINCT theme) FROM tr) AS theme_records"""

@@ -214,3 +214,42 @@ def write_report(lines: DataFrame, path: str) -> str:
     (lines.repartition(1).sortWithinPartitions(*LINE_COLS[:3]).select("line")
      .write.mode("overwrite").text(path))
     return path
+
+
+def report_document(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
+                    job_name: Column, job_end: Column, top_k: int = 10) -> DataFrame:
+    """The one-row part of the nested report: job, totals, overall
+    sentiment, per-tab statistics (the tab dimension) and the top
+    discussions (P27, k rows). Every list in it is bounded."""
+    totals = A.job_totals(posts, summaries)
+    overall = A.overall_counts(summaries).select(F.create_map(
+        F.lit("positive"), F.col("positive"), F.lit("neutral"), F.col("neutral"),
+        F.lit("negative"), F.col("negative")).alias("overall_sentiment"))
+    tabs = stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        F.col("tab"), F.struct(*[F.col(c) for c in stats.columns if c != "tab_rank"]))))).alias("tab_statistics"))
+    top = A.top_discussions(posts, summaries, top_k)
+    for c in ("author", "post_url"):
+        if c not in top.columns:
+            top = top.withColumn(c, F.lit(None).cast("string"))
+    disc = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", A.discussion_struct().alias("d")))),
+                               lambda x: x["d"]).alias("top_discussions"))
+    return (totals.crossJoin(overall).crossJoin(tabs).crossJoin(disc)  # single rows
+            .select(job_name.alias("job_name"), job_end.alias("job_end"), "*"))
+
+
+def write_report_json(posts: DataFrame, summaries: DataFrame, stats: DataFrame, path: str,
+                      job_name: Column, job_end: Column) -> str:
+    """K4: ``path/summary`` (one JSON document: totals, tabs, top
+    discussions) plus ``path/stock_mentions`` and ``path/themes`` as JSON
+    Lines (one row per symbol / theme, written in parallel). A single
+    document holding every symbol would funnel an unbounded list into one
+    task, so those lists are separate parts of the same report."""
+    report_document(posts, summaries, stats, job_name, job_end).coalesce(1) \
+        .write.mode("overwrite").json(f"{path}/summary")
+    m = A.stock_mentions(posts, summaries).join(A.stock_names(posts, summaries), "symbol", "left") \
+        .join(A.stock_samples(posts, 5), "symbol", "left").drop("first_pos")
+    m.write.mode("overwrite").json(f"{path}/stock_mentions")
+    t = A.themes(summaries).join(A.theme_quotes(summaries, 3), "theme", "left") \
+        .join(A.theme_stock_lists(summaries, 5), "theme", "left").drop("first_pos")
+    t.write.mode("overwrite").json(f"{path}/themes")
+    return path
