@@ -259,3 +259,21 @@ def run_summary(posts: DataFrame, summaries: DataFrame, tabs: DataFrame) -> Data
     t = tabs.agg(F.count(F.lit(1)).alias("tabs_crawled"))
     return p.crossJoin(s).crossJoin(t).withColumn("duration_seconds", F.lit(0.0)) \
         .withColumn("errors", F.lit(0).cast("long"))  # all sides are single rows
+
+
+def global_rank(df: DataFrame, order: list, rank_col: str = "rank") -> DataFrame:
+    """1-based rank under a total order, without a single-partition window.
+
+    The range-partitioned sort keeps rows in order inside and across
+    partitions; ``monotonically_increasing_id`` then holds (partition,
+    position). Per-partition row counts (one row per partition) give prefix
+    offsets, joined back by partition id (bounded by the partition count)."""
+    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.withColumn(
+        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0))).select("_pid", "_off")
+    out = s.join(F.broadcast(offs), "_pid")
+    pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(rank_col, (F.col("_off") + pos + 1).cast("long")).drop("_mid", "_pid", "_off")

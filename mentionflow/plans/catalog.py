@@ -387,8 +387,7 @@ def q_stock_samples(spark, sf_dir):
 def q_themes(spark, sf_dir):
     """A4 + P20 + O2: theme counts, sentiment split, trend, rank."""
     _, s = _posts_summ(spark, sf_dir)
-    t = A.themes(s)
-    ranked = t.withColumn("rank", F.row_number().over(Window.orderBy(*A.theme_order())))
+    ranked = A.global_rank(A.themes(s), A.theme_order())
     return ranked.select(F.col("rank").cast("long").alias("rank"), "theme", "mention_count",
                          "positive", "neutral", "negative", "trend")
 

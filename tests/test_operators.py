@@ -134,3 +134,12 @@ def test_fallback_neutral_score(spark):
     assert r.sentiment == "neutral" and r.sentiment_score == -0.5
     r0 = E.fallback_summaries(posts, neutral_score=0.0).first()
     assert r0.sentiment_score == 0.0
+
+
+def test_global_rank_matches_row_number(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("v"), F.col("id"))
+    order = [F.col("v").desc(), F.col("id").asc()]
+    a = A.global_rank(df, order).select("id", "rank")
+    b = df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", F.col("rank").cast("long"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
