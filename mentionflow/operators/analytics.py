@@ -173,6 +173,17 @@ def job_totals(posts: DataFrame, summaries: DataFrame, approx: bool = False) ->
     return p.crossJoin(s)  # 1 row x 1 row
 
 
+def ensure_post_columns(posts: DataFrame) -> DataFrame:
+    """Optional post fields absent from a source get the record defaults
+    (counts 0, author / url / created_at NULL)."""
+    defaults = {"like_count": F.lit(0).cast("long"), "comment_count": F.lit(0).cast("long"),
+                "retweet_count": F.lit(0).cast("long"), "view_count": F.lit(0).cast("long"),
+                "author": F.lit(None).cast("string"), "post_url": F.lit(None).cast("string"),
+                "created_at": F.lit(None).cast("timestamp")}
+    missing = {k: v for k, v in defaults.items() if k not in posts.columns}
+    return posts.withColumns(missing) if missing else posts
+
+
 def engagement_score() -> F.Column:
     """Likes + 2·comments + 3·retweets."""
     return (F.col("like_count") + F.col("comment_count") * 2 + F.col("retweet_count") * 3).cast("long")
@@ -182,7 +193,7 @@ def top_discussions(posts: DataFrame, summaries: DataFrame, k: int = 10) -> Data
     """O3 + J2: top-k posts by engagement (stable), with the latest summary's
     sentiment and text when one exists. The k ids are broadcast (k rows) to
     pre-filter the summaries before their last-wins aggregation."""
-    scored = posts.withColumn("engagement", engagement_score())
+    scored = ensure_post_columns(posts).withColumn("engagement", engagement_score())
     order = [F.col("engagement").desc(), *[F.col(c).asc() for c in POST_ORDER]]
     top = top_k(scored, k, order)
     ids = top.select(F.col("id").alias("post_id"))

@@ -77,3 +77,20 @@ def test_lexicon_join_equals_literals(spark):
     a = sorted(tuple(r) for r in lit.collect())
     b = sorted(tuple(r) for r in joined.collect())
     assert a == b
+
+
+def test_three_jobs_end_to_end(spark):
+    from mentionflow.plans import jobs
+    from mentionflow.sources import tabs as TB
+    layout = ST.JobLayout(scratch_path(spark, f"j-{uuid.uuid4().hex}"), "run_e2e")
+    raw = D.documents_raw(spark, SF_SMALL)
+    added = jobs.capture_job(raw, layout, max_per_tab=5)
+    assert added == ST.load_posts(spark, layout).count() <= 5 * 20
+    assert jobs.capture_job(raw, layout, max_per_tab=5) == 0  # re-run: nothing new
+    posts = ST.load_posts(spark, layout)
+    n = jobs.enrich_job(spark, layout, D.model_responses(posts))
+    assert n == added and jobs.enrich_job(spark, layout) == 0
+    out = jobs.report_job(spark, layout, TB.source_tabs(spark), raw)
+    text = "\n".join(r.value for r in spark.read.text(f"{out}/final_report.md").collect())
+    assert text.startswith("# Xueqiu Discussion Report — run_e2e") and "## Detailed Stock Analysis" in text
+    assert spark.read.json(f"{out}/report_data/summary").first()["total_posts_collected"] == added
