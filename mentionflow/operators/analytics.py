@@ -165,12 +165,15 @@ def overall_counts(summaries: DataFrame) -> DataFrame:
 
 
 def job_totals(posts: DataFrame, summaries: DataFrame, approx: bool = False) -> DataFrame:
-    """Posts collected, distinct content hashes, summaries."""
+    """Posts collected, distinct content hashes, summaries — one
+    aggregate over the tagged union of both inputs (no join)."""
+    u = posts.select(F.col("content_hash"), F.lit(0).alias("_src")).unionByName(
+        summaries.select(F.lit(None).cast("string").alias("content_hash"), F.lit(1).alias("_src")))
     distinct = (F.approx_count_distinct("content_hash") if approx
                 else F.count_distinct("content_hash"))
-    p = posts.agg(F.count(F.lit(1)).alias("total_posts_collected"), distinct.alias("total_unique_posts"))
-    s = summaries.agg(F.count(F.lit(1)).alias("total_posts_summarized"))
-    return p.crossJoin(s)  # 1 row x 1 row
+    return u.agg(F.count_if(F.col("_src") == 0).cast("long").alias("total_posts_collected"),
+                 distinct.cast("long").alias("total_unique_posts"),
+                 F.count_if(F.col("_src") == 1).cast("long").alias("total_posts_summarized"))
 
 
 def ensure_post_columns(posts: DataFrame) -> DataFrame:
@@ -264,12 +267,15 @@ def tab_counts(posts: DataFrame) -> DataFrame:
 
 
 def run_summary(posts: DataFrame, summaries: DataFrame, tabs: DataFrame) -> DataFrame:
-    """Totals of a run (capture duration and errors do not apply: 0)."""
-    p = posts.agg(F.count(F.lit(1)).alias("total_posts"))
-    s = summaries.agg(F.count(F.lit(1)).alias("total_summaries"))
-    t = tabs.agg(F.count(F.lit(1)).alias("tabs_crawled"))
-    return p.crossJoin(s).crossJoin(t).withColumn("duration_seconds", F.lit(0.0)) \
-        .withColumn("errors", F.lit(0).cast("long"))  # all sides are single rows
+    """Totals of a run (capture duration and errors do not apply: 0),
+    one aggregate over the tagged union of the three inputs."""
+    u = (posts.select(F.lit(0).alias("_src"))
+         .unionByName(summaries.select(F.lit(1).alias("_src")))
+         .unionByName(tabs.select(F.lit(2).alias("_src"))))
+    return u.agg(F.count_if(F.col("_src") == 0).cast("long").alias("total_posts"),
+                 F.count_if(F.col("_src") == 1).cast("long").alias("total_summaries"),
+                 F.count_if(F.col("_src") == 2).cast("long").alias("tabs_crawled"),
+                 F.lit(0.0).alias("duration_seconds"), F.lit(0).cast("long").alias("errors"))
 
 
 def global_rank(df: DataFrame, order: list, rank_col: str = "rank") -> DataFrame:

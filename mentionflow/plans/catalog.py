@@ -622,10 +622,12 @@ def q_report_json(spark, sf_dir):
     e = end.first()["e"]
     path = scratch_path(spark, f"report-json-{_uuid.uuid4().hex}")
     RP.write_report_json(p, s, stats, path, F.lit("run_report"), F.lit(e))
-    doc = spark.read.json(f"{path}/summary")
-    n_sym = spark.read.json(f"{path}/stock_mentions").agg(F.count(F.lit(1)).alias("stock_records"))
-    n_th = spark.read.json(f"{path}/themes").agg(F.count(F.lit(1)).alias("theme_records"))
-    return doc.select("total_posts_collected", "total_unique_posts", "total_posts_summarized",
-                      F.size("top_discussions").cast("long").alias("discussions"),
-                      F.size(F.json_object_keys(F.to_json("tab_statistics"))).cast("long").alias("tabs")) \
-        .crossJoin(n_sym).crossJoin(n_th)
+    doc = spark.read.json(f"{path}/summary").select(
+        "total_posts_collected", "total_unique_posts", "total_posts_summarized",
+        F.size("top_discussions").cast("long").alias("discussions"),
+        F.size(F.json_object_keys(F.to_json("tab_statistics"))).cast("long").alias("tabs"))
+    n_sym = spark.read.json(f"{path}/stock_mentions").select(F.lit(1).alias("_sym"))
+    n_th = spark.read.json(f"{path}/themes").select(F.lit(1).alias("_th"))
+    u = doc.unionByName(n_sym, allowMissingColumns=True).unionByName(n_th, allowMissingColumns=True)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in doc.columns],
+                 F.count("_sym").alias("stock_records"), F.count("_th").alias("theme_records"))

@@ -233,8 +233,15 @@ def report_document(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
             top = top.withColumn(c, F.lit(None).cast("string"))
     disc = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", A.discussion_struct().alias("d")))),
                                lambda x: x["d"]).alias("top_discussions"))
-    return (totals.crossJoin(overall).crossJoin(tabs).crossJoin(disc)  # single rows
-            .select(job_name.alias("job_name"), job_end.alias("job_end"), "*"))
+    # four single-row frames → one row: union (missing columns NULL) and
+    # take the non-NULL value of each column
+    parts = [totals, overall, tabs, disc]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    cols = [c for p in parts for c in p.columns]
+    one = u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+    return one.select(job_name.alias("job_name"), job_end.alias("job_end"), *cols)
 
 
 def write_report_json(posts: DataFrame, summaries: DataFrame, stats: DataFrame, path: str,

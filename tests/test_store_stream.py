@@ -55,13 +55,18 @@ def test_envelope_import(spark):
     assert v2.count() == 0 and r2.count() == 0
 
 
-def test_stream_equals_batch(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("salts", [None, 4])
+def test_stream_equals_batch(spark, salts):
     src = scratch_path(spark, f"src-{uuid.uuid4().hex}")
     D.documents_raw(spark, SF_SMALL).repartition(4).write.parquet(src)
     schema = spark.read.parquet(src).schema
     layout = ST.JobLayout(scratch_path(spark, f"s-{uuid.uuid4().hex}"), "run_stream")
     for _ in range(2):  # replay from a fresh checkpoint: idempotent
-        s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=1), key_fn="md5")
+        s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=1), key_fn="md5",
+                                  hot_key_salts=salts)
         SS.run_once(SS.start_post_sink(s, layout, scratch_path(spark, f"c-{uuid.uuid4().hex}"), available_now=True))
     streamed = {r.id for r in ST.load_posts(spark, layout).select("id").collect()}
     batch = {r.id for r in D.posts(spark, SF_SMALL, key_fn="md5", engage=False).select("id").collect()}
