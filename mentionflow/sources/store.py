@@ -67,26 +67,31 @@ def _write_audit(spark, layout: JobLayout, table: str, path: str, save_id: str)
     table; returns the number of rows this save added.
 
     Only this save's rows are read (each written file holds one ``save_id``,
-    so Parquet statistics skip the others) and totals come from the small
-    audit table, so the cost does not grow with what is already stored."""
+    so Parquet statistics skip the others); totals come from the small
+    audit table. The result has one row per tab (a configured dimension), so
+    it is brought to the driver and written as a tiny frame: one job per
+    save, whatever is already stored."""
     mine = spark.read.parquet(path).filter(F.col("save_id") == save_id)
-    added = mine.groupBy("tab").agg(F.count(F.lit(1)).alias("new_rows"))
+    added = {r["tab"]: r["n"] for r in mine.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not added:
+        return 0
     prior = read_stored(spark, layout.audit)
+    before = {}
     if prior is not None:
-        before = prior.filter(F.col("table") == table).groupBy("tab").agg(
-            F.sum("new_rows").alias("_before"))
-        added = added.join(before, "tab", "left")
-    else:
-        added = added.withColumn("_before", F.lit(0).cast("long"))
-    a = added.select(
-        F.lit(table).alias("table"), "tab", F.lit(layout.job_name).alias("job_name"),
-        (F.coalesce("_before", F.lit(0)) + F.col("new_rows")).cast("long").alias("total_rows"),
-        F.col("new_rows").cast("long").alias("new_rows"),
-        F.current_timestamp().alias("last_updated"), F.lit(save_id).alias("save_id"))
-    a.write.mode("append").parquet(layout.audit)
-    got = spark.read.parquet(layout.audit).filter(F.col("save_id") == save_id) \
-        .agg(F.coalesce(F.sum("new_rows"), F.lit(0)).alias("n")).first()
-    return int(got["n"])
+        before = {r["tab"]: r["t"] for r in prior.filter((F.col("table") == table) & F.col("tab").isin(list(added)))
+                  .groupBy("tab").agg(F.sum("new_rows").alias("t")).collect()}
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    rows = [(table, tab, layout.job_name, int(before.get(tab) or 0) + int(n), int(n), now, save_id)
+            for tab, n in added.items()]
+    spark.createDataFrame(rows, AUDIT_SCHEMA).write.mode("append").parquet(layout.audit)
+    return int(sum(added.values()))
+
+
+AUDIT_SCHEMA = T.StructType([
+    T.StructField("table", T.StringType()), T.StructField("tab", T.StringType()),
+    T.StructField("job_name", T.StringType()), T.StructField("total_rows", T.LongType()),
+    T.StructField("new_rows", T.LongType()), T.StructField("last_updated", T.TimestampType()),
+    T.StructField("save_id", T.StringType())])
 
 
 def _save(new: DataFrame, path: str, incremental: bool, save_id: str) -> None:
@@ -101,15 +106,35 @@ def _save(new: DataFrame, path: str, incremental: bool, save_id: str) -> None:
          .partitionBy("tab").parquet(path))
 
 
+def already_saved(spark: SparkSession, layout: JobLayout, save_id: str) -> bool:
+    """True when a save with this id has been committed (replayed batch)."""
+    a = read_stored(spark, layout.audit)
+    return a is not None and not a.filter(F.col("save_id") == save_id).isEmpty()
+
+
+def _batch_tabs(df: DataFrame, max_tabs: int = 10_000) -> list[str] | None:
+    """Tabs present in a batch (tabs are a small dimension; above the bound
+    no pruning list is used)."""
+    tabs = [r[0] for r in df.select("tab").distinct().limit(max_tabs + 1).collect()]
+    return tabs if len(tabs) <= max_tabs else None
+
+
 def save_posts(posts: DataFrame, layout: JobLayout, incremental: bool = True,
                save_id: str | None = None) -> int:
     """K1: store unseen posts; returns how many were added.
 
     ``incremental=False`` replaces the partitions of the affected tabs with
-    the unseen posts only; with nothing new nothing is written."""
+    the unseen posts only; with nothing new nothing is written. The content
+    hash includes the tab, so only the stored partitions of the batch's tabs
+    can hold a match: the anti-join reads just those (partition pruning), not
+    the whole store."""
     spark = posts.sparkSession
     save_id = save_id or uuid.uuid4().hex
     stored = read_stored(spark, layout.raw)
+    if stored is not None:
+        tabs = _batch_tabs(posts)
+        if tabs is not None:
+            stored = stored.filter(F.col("tab").isin(tabs))
     order = tuple(c for c in ("tab_rank", "ingest_seq") if c in posts.columns)
     new = dedup_new(posts.drop("save_id") if "save_id" in posts.columns else posts,
                     stored.select("content_hash") if stored is not None else None,

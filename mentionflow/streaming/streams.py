@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from ..functions import clean_text, content_hash, extract_symbols, extract_urls, long_enough, post_id
 from ..functions.lexicons import MIN_SAVE_INTERVAL_SECONDS, SAVE_INTERVAL_SECONDS
 from ..operators.enrich import summarize
-from ..sources.store import JobLayout, save_posts, save_summaries
+from ..sources.store import JobLayout, already_saved, save_posts, save_summaries
 
 
 def post_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -85,9 +85,15 @@ def start_post_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
     """Every micro-batch is saved with the idempotent anti-join save. A
     user ``callback(batch_df, batch_id)`` (U1) runs first on the same batch."""
     def each(batch: DataFrame, batch_id: int):
+        sid = f"posts-{batch_id}-{layout.job_name}"
+        if already_saved(batch.sparkSession, layout, sid):
+            # a replay of a committed batch: nothing to store, but the batch
+            # still runs so the stateful operators commit their state
+            batch.write.format("noop").mode("overwrite").save()
+            return
         if callback is not None:
             callback(batch, batch_id)
-        save_posts(batch, layout, incremental=True, save_id=f"posts-{batch_id}-{layout.job_name}")
+        save_posts(batch, layout, incremental=True, save_id=sid)
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if query_name:
         w = w.queryName(query_name)
@@ -100,8 +106,12 @@ def start_summary_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
     """Enrich each micro-batch of posts (parse-or-fallback) and save the
     summaries (anti-join on post id)."""
     def each(batch: DataFrame, batch_id: int):
+        sid = f"summaries-{batch_id}-{layout.job_name}"
+        if already_saved(batch.sparkSession, layout, sid):
+            batch.write.format("noop").mode("overwrite").save()
+            return
         s = summarize(batch, responses, **summarize_kwargs)
-        save_summaries(s, layout, incremental=True, save_id=f"summaries-{batch_id}-{layout.job_name}")
+        save_summaries(s, layout, incremental=True, save_id=sid)
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _trigger(w, interval_seconds, available_now).start()
 
