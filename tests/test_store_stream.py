@@ -99,3 +99,30 @@ def test_three_jobs_end_to_end(spark):
     text = "\n".join(r.value for r in spark.read.text(f"{out}/final_report.md").collect())
     assert text.startswith("# Xueqiu Discussion Report — run_e2e") and "## Detailed Stock Analysis" in text
     assert spark.read.json(f"{out}/report_data/summary").first()["total_posts_collected"] == added
+
+
+def test_failed_batch_is_replayed_not_lost(spark):
+    """A micro-batch that fails is replayed from the checkpoint when the
+    query restarts; nothing is lost and nothing is stored twice."""
+    src = scratch_path(spark, f"src-{uuid.uuid4().hex}")
+    D.documents_raw(spark, SF_SMALL).repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    layout = ST.JobLayout(scratch_path(spark, f"s-{uuid.uuid4().hex}"), "run_fail")
+    ckpt = scratch_path(spark, f"c-{uuid.uuid4().hex}")
+    state = {"failed": False}
+
+    def flaky(batch, batch_id):
+        if batch_id == 1 and not state["failed"]:
+            state["failed"] = True
+            raise RuntimeError("simulated sink failure")
+
+    s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=1), key_fn="md5")
+    q = SS.start_post_sink(s, layout, ckpt, available_now=True, callback=flaky)
+    with pytest.raises(Exception, match="simulated sink failure|FOREACH_BATCH"):
+        SS.run_once(q)
+    s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=1), key_fn="md5")
+    SS.run_once(SS.start_post_sink(s, layout, ckpt, available_now=True, callback=flaky))
+    stored = ST.load_posts(spark, layout)
+    batch = D.posts(spark, SF_SMALL, key_fn="md5", engage=False)
+    assert stored.count() == batch.count()
+    assert {r.id for r in stored.select("id").collect()} == {r.id for r in batch.select("id").collect()}
