@@ -631,3 +631,13 @@ def q_report_json(spark, sf_dir):
     u = doc.unionByName(n_sym, allowMissingColumns=True).unionByName(n_th, allowMissingColumns=True)
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in doc.columns],
                  F.count("_sym").alias("stock_records"), F.count("_th").alias("theme_records"))
+
+
+@register("conversation_posts")
+def q_conversation_posts(spark, sf_dir):
+    """S3/U-1 with a second feed: conversation turns standardized like posts
+    (cross-role first-wins de-dup), counted per role."""
+    p = D.standardize_posts(D.conversations_raw(spark, sf_dir), key_fn="md5")
+    return p.groupBy("tab").agg(F.count(F.lit(1)).alias("posts"),
+                                F.sum(F.length("text")).cast("long").alias("chars"),
+                                F.sum(F.size("urls")).cast("long").alias("urls"))

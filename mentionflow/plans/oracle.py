@@ -608,3 +608,13 @@ SELECT (SELECT count(*) FROM posts) AS total_posts_collected,
        CAST(24 AS BIGINT) AS tabs,
        (SELECT count(DISTINCT s) FROM (SELECT unnest(symbols) AS s FROM posts)) AS stock_records,
        (SELECT count(DISTINCT theme) FROM tr) AS theme_records"""
+
+ORACLE["conversation_posts"] = f"""
+WITH c AS (SELECT role AS tab, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS tab_rank,
+                  conv_id * 100000 + turn AS ingest_seq, {clean('text')} AS text
+           FROM conversations WHERE length(text) >= 5),
+k AS (SELECT *, {md5key('text')} AS id FROM c
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY tab_rank, ingest_seq) = 1)
+SELECT tab, count(*) AS posts, CAST(sum(length(text)) AS BIGINT) AS chars,
+       CAST(sum(len({URL_SQL.format(t='text')})) AS BIGINT) AS urls
+FROM k WHERE length(text) > 0 AND length(tab) > 0 GROUP BY tab"""

@@ -154,3 +154,14 @@ def model_responses(posts_df: DataFrame) -> DataFrame:
     tokens = F.when(k == 4, F.lit(None)).otherwise(F.length("text") % 1000 + 100).cast("long")
     return posts_df.select(F.col("id").alias("post_id"), response.alias("response"),
                            tokens.alias("total_tokens"))
+
+
+def conversations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second post feed: conversation turns; tab = role (user first),
+    capture order = (conversation, turn)."""
+    c = read_table(spark, sf_dir, "conversations", spread=True)
+    return c.select(
+        F.col("text").alias("raw_text"), F.col("role").alias("tab"),
+        F.when(F.col("role") == "user", F.lit(0)).otherwise(F.lit(1)).alias("tab_rank"),
+        (F.col("conv_id") * F.lit(100000) + F.col("turn")).alias("ingest_seq"),
+        F.lit(None).cast("string").alias("author"))
