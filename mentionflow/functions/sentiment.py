@@ -22,6 +22,25 @@ def _hits(text: Column, keywords) -> Column:
     return out
 
 
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal (backslash and quote escaped)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _hits_sql(col_name: str, keywords) -> Column:
+    """``_hits`` as one SQL expression: the same plan, built in one call
+    instead of several per keyword."""
+    kws = list(dict.fromkeys(keywords))
+    if not kws:
+        return F.lit(0)
+    c = _ident(col_name)
+    return F.expr(" + ".join(f"(CASE WHEN contains({c}, {sql_str(k)}) THEN 1 ELSE 0 END)" for k in kws))
+
+
 def _caseless(ch: str) -> bool:
     """True for characters that lower-casing neither changes nor produces:
     CJK ideographs/punctuation and ASCII non-letters."""
@@ -89,9 +108,9 @@ def with_keyword_sentiment(df, text, lexicon: dict | None = None, prefix: str =
     def gate(e):
         return e if only_if is None else F.when(only_if, e)
     out = df.withColumns({
-        f"{prefix}pos_hits": gate(_hits(t, lex.get("positive", []))),
-        f"{prefix}neg_hits": gate(_hits(t, lex.get("negative", []))),
-        f"{prefix}neu_hits": gate(_hits(t, lex.get("neutral", []))),
+        f"{prefix}pos_hits": gate(_hits_sql(lt, lex.get("positive", []))),
+        f"{prefix}neg_hits": gate(_hits_sql(lt, lex.get("negative", []))),
+        f"{prefix}neu_hits": gate(_hits_sql(lt, lex.get("neutral", []))),
     }).drop(lt)
     s = label_from_counts(f"{prefix}pos_hits", f"{prefix}neg_hits", f"{prefix}neu_hits")
     return out.withColumns({f"{prefix}label": s["label"], f"{prefix}score": s["score"]})
@@ -101,6 +120,15 @@ def sectors(c, sector_keywords=None) -> Column:
     """Sectors (in configured order) with at least one keyword in the text;
     case-sensitive sub-string match."""
     sk = SECTOR_KEYWORDS if sector_keywords is None else sector_keywords
+    if isinstance(c, str):  # one SQL expression: same plan, one build call
+        t = f"coalesce({_ident(c)}, '')"
+        items = []
+        for name, kws in sk:
+            cond = " OR ".join(f"contains({t}, {sql_str(k)})" for k in kws) or "false"
+            items.append(f"CASE WHEN {cond} THEN {sql_str(name)} END")
+        if not items:
+            return F.array().cast("array<string>")
+        return F.expr(f"array_except(array({', '.join(items)}), array(CAST(NULL AS STRING)))")
     t = F.coalesce(col(c), F.lit(""))
     tagged = []
     for name, kws in sk:
