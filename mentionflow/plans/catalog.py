@@ -7,11 +7,29 @@ places so results compare by value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid as _uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import (bar, calculate_progress, canonical_symbols, clean_text, content_hash,
+                         content_key, extract_symbols, extract_urls, format_number,
+                         is_valid_post, long_enough, parse_timestamp_number,
+                         parse_timestamp_string, post_problems, sectors, sentiment_icon, truncate,
+                         xxh64_hex)
+from ..functions.lexicons import TEST_SECTOR_KEYWORDS, TEST_SENTIMENT_KEYWORDS
+from ..functions.sentiment import with_keyword_sentiment
 from ..operators import analytics as A
+from ..operators import dedup as DD
+from ..operators import enrich as E
+from ..operators import lexicon_join as LJ
+from ..session import read_table, scratch_path
 from ..sources import driver_tables as D
+from ..sources import pages as PG
+from ..sources import store as ST
+from ..sources import tabs as TB
+from ..streaming import streams as SS
+from . import report as RP
 
 QUERIES: dict = {}
 
@@ -40,16 +58,6 @@ def stock_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- helpers
-from ..functions import (bar, calculate_progress, canonical_symbols, clean_text, content_hash,
-                         content_key, extract_symbols, extract_urls, format_number,
-                         format_timestamp, is_valid_post, keyword_sentiment, long_enough,
-                         parse_timestamp_number, parse_timestamp_string, post_problems,
-                         sectors, sentiment_icon, truncate, xxh64_hex)
-from ..functions.lexicons import TEST_SECTOR_KEYWORDS, TEST_SENTIMENT_KEYWORDS
-from ..functions.sentiment import with_keyword_sentiment
-from ..operators import enrich as E
-from ..operators import lexicon_join as LJ
-from ..session import read_table
 
 
 def _docs(spark, sf_dir, spread=True):
@@ -293,8 +301,6 @@ def q_enrich_stats(spark, sf_dir):
 
 
 # ------------------------------------------------ de-dup, caps, selection
-from ..operators import dedup as DD  # noqa: E402
-from ..sources import tabs as TB  # noqa: E402
 
 
 @register("first_wins")
@@ -445,7 +451,6 @@ def q_top_discussions(spark, sf_dir):
 
 
 # ------------------------------------------------------ tabs and pages
-from ..sources import pages as PG  # noqa: E402
 
 
 def _fmt_ts(c):
@@ -487,7 +492,6 @@ def q_page_posts(spark, sf_dir):
 
 
 # ------------------------------------------------------------- report
-from . import report as RP  # noqa: E402
 
 
 def _report_inputs(spark, sf_dir, materialize=False):
@@ -534,11 +538,6 @@ def q_report_tabs(spark, sf_dir):
 
 
 # ---------------------------------------------------- store and streams
-import uuid as _uuid  # noqa: E402
-
-from ..session import scratch_path  # noqa: E402
-from ..sources import store as ST  # noqa: E402
-from ..streaming import streams as SS  # noqa: E402
 
 
 @register("roundtrip_store")
