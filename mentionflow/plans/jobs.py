@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import DEFAULT_MAX_POSTS, DEFAULT_MODEL_NAME, REPORT_FILENAME
 from ..operators import analytics as A
-from ..operators.enrich import summarize
+from ..operators.enrich import respond_with, summarize
 from ..operators.standardize import standardize_posts
 from ..sources import store as ST
 from ..sources import tabs as TB
@@ -34,14 +34,26 @@ def capture_job(raw: DataFrame, layout: ST.JobLayout, max_per_tab: int | None =
 
 
 def enrich_job(spark: SparkSession, layout: ST.JobLayout, responses: DataFrame | None = None,
-               model_name: str = DEFAULT_MODEL_NAME, **kwargs) -> int:
-    """Summarize stored posts that have no stored summary yet."""
+               model_name: str = DEFAULT_MODEL_NAME, responder=None, partitions: int | None = None,
+               **kwargs) -> int:
+    """Summarize stored posts that have no stored summary yet.
+
+    With a ``responder`` (U2), replies are first committed to
+    ``<job>/responses`` (one per post; posts already answered are skipped),
+    then parsed from there: a lost executor or a re-run never calls the
+    model twice for a committed reply, and a re-run parses the same text."""
     posts = ST.load_posts(spark, layout)
     if posts is None:
         return 0
     done = ST.read_stored(spark, layout.summary)
     if done is not None:
         posts = posts.join(done.select(F.col("post_id").alias("id")).distinct(), "id", "left_anti")
+    if responder is not None:
+        answered = ST.read_stored(spark, layout.responses)
+        todo = posts if answered is None else posts.join(
+            answered.select(F.col("post_id").alias("id")).distinct(), "id", "left_anti")
+        respond_with(todo, responder, partitions).write.mode("append").parquet(layout.responses)
+        responses = spark.read.parquet(layout.responses)
     return ST.save_summaries(summarize(posts, responses, model_name=model_name, **kwargs), layout)
 
 

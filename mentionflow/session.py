@@ -93,3 +93,25 @@ def spread_out(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+def recommended_conf(input_bytes: int, executor_memory_gb: float = 16.0, cores_per_executor: int = 4,
+                     executors: int = 1) -> dict:
+    """Partition sizing for a run over ``input_bytes`` of text.
+
+    Each shuffle partition should fit comfortably in a task's memory share
+    (executor memory / cores, about a quarter of it for execution), so the
+    initial shuffle partition count comes from the input volume. AQE then
+    coalesces small partitions and splits skewed ones at run time."""
+    per_task = executor_memory_gb * (1 << 30) / max(cores_per_executor, 1)
+    target = int(min(max(per_task / 4, 64 << 20), 512 << 20))  # 64 MB .. 512 MB
+    parts = max(executors * cores_per_executor * 2, int(input_bytes // target) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(min(target, 256 << 20)),
+        "spark.sql.session.timeZone": "UTC",
+    }

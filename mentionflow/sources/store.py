@@ -47,6 +47,7 @@ class JobLayout:
 
     raw = property(lambda self: f"{self.root}/raw")
     summary = property(lambda self: f"{self.root}/summary")
+    responses = property(lambda self: f"{self.root}/responses")
     audit = property(lambda self: f"{self.root}/audit")
     reports = property(lambda self: f"{self.root}/reports")
 

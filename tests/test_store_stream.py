@@ -126,3 +126,19 @@ def test_failed_batch_is_replayed_not_lost(spark):
     batch = D.posts(spark, SF_SMALL, key_fn="md5", engage=False)
     assert stored.count() == batch.count()
     assert {r.id for r in stored.select("id").collect()} == {r.id for r in batch.select("id").collect()}
+
+
+def test_enrich_job_commits_replies_first(spark):
+    from mentionflow.plans import jobs
+    layout = ST.JobLayout(scratch_path(spark, f"r-{uuid.uuid4().hex}"), "run_resp")
+    jobs.capture_job(D.documents_raw(spark, SF_SMALL), layout, max_per_tab=3)
+    n_posts = ST.load_posts(spark, layout).count()
+
+    def responder(system_prompt, user_prompt):
+        return '{"summary": "s", "sentiment": "positive", "sentiment_score": 0.5}'
+    assert jobs.enrich_job(spark, layout, responder=responder) == n_posts
+    assert spark.read.parquet(layout.responses).count() == n_posts
+    assert jobs.enrich_job(spark, layout, responder=responder) == 0
+    assert spark.read.parquet(layout.responses).count() == n_posts  # no second call
+    s = spark.read.parquet(layout.summary)
+    assert s.filter(F.col("model_used") == "fallback").count() == 0
