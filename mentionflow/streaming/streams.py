@@ -91,9 +91,16 @@ def start_post_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
             # still runs so the stateful operators commit their state
             batch.write.format("noop").mode("overwrite").save()
             return
-        if callback is not None:
-            callback(batch, batch_id)
-        save_posts(batch, layout, incremental=True, save_id=sid)
+        # the batch feeds several actions (callback, tab list, save): keep it
+        # for the duration of this function instead of re-running the stream
+        # stages per action (blocks lost with an executor are recomputed)
+        batch = batch.persist()
+        try:
+            if callback is not None:
+                callback(batch, batch_id)
+            save_posts(batch, layout, incremental=True, save_id=sid)
+        finally:
+            batch.unpersist()
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if query_name:
         w = w.queryName(query_name)
@@ -110,8 +117,12 @@ def start_summary_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
         if already_saved(batch.sparkSession, layout, sid):
             batch.write.format("noop").mode("overwrite").save()
             return
-        s = summarize(batch, responses, **summarize_kwargs)
-        save_summaries(s, layout, incremental=True, save_id=sid)
+        batch = batch.persist()
+        try:
+            s = summarize(batch, responses, **summarize_kwargs)
+            save_summaries(s, layout, incremental=True, save_id=sid)
+        finally:
+            batch.unpersist()
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _trigger(w, interval_seconds, available_now).start()
 
