@@ -45,10 +45,17 @@ def _trend_icon(trend: Column) -> Column:
             .when(trend == "down", F.lit(TREND_ICONS["down"])).otherwise(F.lit(TREND_ICONS["stable"])))
 
 
-def header(totals: DataFrame, job_name: Column, generated: Column) -> DataFrame:
+def _fill(template: str, value: Column) -> Column:
+    """``template`` with its one ``{…}`` slot replaced by ``value``."""
+    head, _, rest = template.partition("{")
+    tail = rest.partition("}")[2]
+    return F.concat(F.lit(head), value, F.lit(tail))
+
+
+def header(totals: DataFrame, job_name: Column, generated: Column, title: str = REPORT_TITLE) -> DataFrame:
     """Title and totals."""
     return _lines(totals, 1, F.lit(0), [
-        F.concat(F.lit(REPORT_TITLE.split("{")[0]), job_name), "",
+        _fill(title, job_name), "",
         F.concat(F.lit("**Generated:** "), generated),
         F.concat(F.lit("**Total Posts Collected:** "), format_number("total_posts_collected")),
         F.concat(F.lit("**Unique Posts:** "), format_number("total_unique_posts")),
@@ -167,15 +174,17 @@ def stock_details(top_stocks: DataFrame, k: int = 10) -> DataFrame:
     return _static(spark, 9, ["## Detailed Stock Analysis", ""]).unionByName(body)
 
 
-def footer(spark, generated: Column) -> DataFrame:
-    return _lines(spark.range(1), 10, F.lit(0), [
-        "---", "", REPORT_FOOTER, F.concat(F.lit(REPORT_SOURCE_LINE.split("{")[0]), generated,
-                                           F.lit(REPORT_SOURCE_LINE.split("}")[1]))])
+def footer(spark, generated: Column, footer_line: str = REPORT_FOOTER,
+           source_line: str = REPORT_SOURCE_LINE) -> DataFrame:
+    return _lines(spark.range(1), 10, F.lit(0), ["---", "", footer_line, _fill(source_line, generated)])
 
 
 def report_lines(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
-                 job_end: Column | None = None, job_name: Column | None = None) -> DataFrame:
-    """All sections as ordered lines. ``job_end`` defaults to now."""
+                 job_end: Column | None = None, job_name: Column | None = None,
+                 title: str = REPORT_TITLE, footer_line: str = REPORT_FOOTER,
+                 source_line: str = REPORT_SOURCE_LINE) -> DataFrame:
+    """All sections as ordered lines. ``job_end`` defaults to now; the
+    title and closing lines are parameters (``{…}`` marks the value slot)."""
     spark = posts.sparkSession
     end = job_end if job_end is not None else F.current_timestamp()
     generated = F.date_format(end, "yyyy-MM-dd HH:mm:ss")
@@ -192,11 +201,11 @@ def report_lines(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
         top = top.withColumn("post_url", F.lit(None).cast("string"))
     if "author" not in top.columns:
         top = top.withColumn("author", F.lit(None).cast("string"))
-    parts = [header(totals, name, generated), executive_summary(overall),
+    parts = [header(totals, name, generated, title), executive_summary(overall),
              key_points(themes_ranked, quotes, 10), stock_table(top_stocks),
              sentiment_section(overall), themes_section(themes_ranked, related, 15),
              discussions_section(top), tabs_section(stats), stock_details(top_stocks, 10),
-             footer(spark, generated)]
+             footer(spark, generated, footer_line, source_line)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

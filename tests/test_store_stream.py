@@ -97,7 +97,7 @@ def test_three_jobs_end_to_end(spark):
     assert n == added and jobs.enrich_job(spark, layout) == 0
     out = jobs.report_job(spark, layout, TB.source_tabs(spark), raw)
     text = "\n".join(r.value for r in spark.read.text(f"{out}/final_report.md").collect())
-    assert text.startswith("# Xueqiu Discussion Report — run_e2e") and "## Detailed Stock Analysis" in text
+    assert text.startswith("# Investor Discussion Report — run_e2e") and "## Detailed Stock Analysis" in text
     assert spark.read.json(f"{out}/report_data/summary").first()["total_posts_collected"] == added
 
 
