@@ -142,3 +142,26 @@ def test_enrich_job_commits_replies_first(spark):
     assert spark.read.parquet(layout.responses).count() == n_posts  # no second call
     s = spark.read.parquet(layout.summary)
     assert s.filter(F.col("model_used") == "fallback").count() == 0
+
+
+def test_non_incremental_save_replaces_partitions(spark):
+    """K1 with incremental=False: the affected tabs hold only the unseen
+    posts of this save; other tabs are untouched."""
+    layout = ST.JobLayout(scratch_path(spark, f"o-{uuid.uuid4().hex}"), "run_ow")
+    p = D.posts(spark, SF_SMALL, key_fn="md5", engage=False)
+    first = p.filter(F.col("tab").isin("src0", "src1"))
+    early = first.filter(F.col("ingest_seq") < 100)  # both tabs have early and late posts
+    ST.save_posts(early, layout)
+    n_new = ST.save_posts(first, layout, incremental=False)
+    late = first.filter(F.col("ingest_seq") >= 100).count()
+    assert n_new == late
+    assert ST.load_posts(spark, layout).count() == late
+    ST.save_posts(p.filter(F.col("tab") == "src2"), layout)
+    # de-dup is against what is stored: the early posts were replaced, so
+    # they are unseen again and now replace the late ones; src2 is untouched
+    n2 = ST.save_posts(first, layout, incremental=False)
+    assert n2 == early.count()
+    assert ST.save_posts(early, layout, incremental=False) == 0  # nothing unseen: nothing written
+    tabs = {r.tab for r in ST.load_posts(spark, layout).select("tab").distinct().collect()}
+    assert tabs == {"src0", "src1", "src2"}
+    assert ST.load_posts(spark, layout).filter(F.col("tab") != "src2").count() == early.count()
