@@ -488,7 +488,8 @@ def q_page_posts(spark, sf_dir):
     """S5 + P1: posts extracted from captured pages."""
     pg = read_table(spark, sf_dir, "pages", spread=True)
     pp = PG.page_posts(pg, key_fn="md5")
-    return pp.select("page_id", "pos", "id", "tab", "text", _joined("urls").alias("urls"))
+    return pp.select("page_id", F.col("pos").cast("long").alias("pos"), "id", "tab", "text",
+                     _joined("urls").alias("urls"))
 
 
 # ------------------------------------------------------------- report

@@ -516,7 +516,7 @@ SELECT t.tab, coalesce(rc.total_posts, 0) AS total_posts, coalesce(k.valid_posts
   CAST(coalesce(k.pos, 0) AS BIGINT) AS positive_posts, CAST(coalesce(k.neu, 0) AS BIGINT) AS neutral_posts,
   CAST(coalesce(k.neg, 0) AS BIGINT) AS negative_posts, coalesce(tp.top_stocks, '') AS top_stocks,
   strftime(k.e, '%Y-%m-%d %H:%M:%S') AS earliest_post, strftime(k.l, '%Y-%m-%d %H:%M:%S') AS latest_post,
-  0.0 AS crawl_duration_seconds, CAST(0 AS BIGINT) AS errors_count
+  CAST(0.0 AS DOUBLE) AS crawl_duration_seconds, CAST(0 AS BIGINT) AS errors_count
 FROM tabs t LEFT JOIN rc ON t.tab = rc.tab LEFT JOIN k ON t.tab = k.tab LEFT JOIN tp ON t.tab = tp.tab"""
 
 ORACLE["tab_counts"] = f"""
@@ -526,7 +526,7 @@ SELECT tab, count(*) AS n FROM posts GROUP BY ROLLUP (tab)"""
 ORACLE["run_summary"] = f"""
 WITH {POSTS_CTE}, {SUMM_CTE}
 SELECT (SELECT count(*) FROM posts) AS total_posts, (SELECT count(*) FROM summ) AS total_summaries,
-       CAST(24 AS BIGINT) AS tabs_crawled, 0.0 AS duration_seconds, CAST(0 AS BIGINT) AS errors"""
+       CAST(24 AS BIGINT) AS tabs_crawled, CAST(0.0 AS DOUBLE) AS duration_seconds, CAST(0 AS BIGINT) AS errors"""
 
 _BLOCK = "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in ("p", "h1", "li"))
 ORACLE["page_posts"] = f"""
