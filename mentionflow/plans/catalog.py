@@ -579,6 +579,14 @@ def q_roundtrip_json(spark, sf_dir):
                                    F.count_distinct("content_hash").alias("hashes"))
 
 
+def _state_partitions(spark) -> int:
+    """State-store partitions for the stream queries: the task slots."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return 8
+
+
 def _split_documents(spark, sf_dir, n_files=8):
     """The documents table written as several files (a file stream source)."""
     path = scratch_path(spark, f"docs-stream-{_uuid.uuid4().hex}")
@@ -596,7 +604,8 @@ def q_stream_dedup(spark, sf_dir):
     layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_stream")
     for attempt in range(2):
         s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
-        q = SS.start_post_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True)
+        q = SS.start_post_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
+                               state_partitions=_state_partitions(spark))
         SS.run_once(q)
     return ST.load_posts(spark, layout).select("id").distinct()
 
@@ -609,7 +618,8 @@ def q_stream_summaries(spark, sf_dir):
     layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_stream")
     s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
     s = s.withColumn("tab_rank", F.lit(0)).withColumn("ingest_seq", F.col("ingest_seq"))
-    q = SS.start_summary_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True)
+    q = SS.start_summary_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
+                              state_partitions=_state_partitions(spark))
     SS.run_once(q)
     return spark.read.parquet(layout.summary).select("post_id").distinct()
 

@@ -72,6 +72,22 @@ def standardize_stream(raw: DataFrame, raw_text="raw_text", key_fn: str = "xxh64
               .withColumn("content_hash", content_hash("text", author, "tab", key_fn=key_fn)))
 
 
+def _start(writer, spark: SparkSession, state_partitions: int | None):
+    """Start a query; ``state_partitions`` sets the number of state-store
+    partitions of its stateful operators (fixed in the checkpoint at first
+    start, so size it to the stream, not to the session default). The query
+    copies the session conf when it starts; the session is restored after."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def _trigger(writer, interval_seconds: int | None, available_now: bool):
     if available_now:
         return writer.trigger(availableNow=True)
@@ -81,7 +97,8 @@ def _trigger(writer, interval_seconds: int | None, available_now: bool):
 
 def start_post_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
                     interval_seconds: int | None = None, available_now: bool = False,
-                    callback: Callable[[DataFrame, int], None] | None = None, query_name: str | None = None):
+                    callback: Callable[[DataFrame, int], None] | None = None, query_name: str | None = None,
+                    state_partitions: int | None = None):
     """Every micro-batch is saved with the idempotent anti-join save. A
     user ``callback(batch_df, batch_id)`` (U1) runs first on the same batch."""
     def each(batch: DataFrame, batch_id: int):
@@ -104,12 +121,13 @@ def start_post_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if query_name:
         w = w.queryName(query_name)
-    return _trigger(w, interval_seconds, available_now).start()
+    return _start(_trigger(w, interval_seconds, available_now), stream.sparkSession, state_partitions)
 
 
 def start_summary_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
                        responses: DataFrame | None = None, interval_seconds: int | None = None,
-                       available_now: bool = False, **summarize_kwargs):
+                       available_now: bool = False, state_partitions: int | None = None,
+                       **summarize_kwargs):
     """Enrich each micro-batch of posts (parse-or-fallback) and save the
     summaries (anti-join on post id)."""
     def each(batch: DataFrame, batch_id: int):
@@ -124,7 +142,7 @@ def start_summary_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
         finally:
             batch.unpersist()
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return _trigger(w, interval_seconds, available_now).start()
+    return _start(_trigger(w, interval_seconds, available_now), stream.sparkSession, state_partitions)
 
 
 def run_once(query, timeout_s: int = 600) -> None:
