@@ -27,6 +27,16 @@ def _pos(*cols) -> F.Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
+def capture_position(tab_rank="tab_rank", ingest_seq="ingest_seq") -> F.Column:
+    """(tab rank, capture order) packed into one DECIMAL(30,0) with the same
+    ordering: (rank + 2^31)·10^20 + (seq + 2^63). A decimal aggregation
+    buffer is fixed-size, so ``min`` of it runs as a hash aggregate instead
+    of the sort aggregate a struct buffer forces."""
+    r = F.col(tab_rank).cast("decimal(30,0)") + F.lit(2 ** 31).cast("decimal(30,0)")
+    q = F.col(ingest_seq).cast("decimal(30,0)") + F.lit(str(2 ** 63)).cast("decimal(30,0)")
+    return (r * F.lit(str(10 ** 20)).cast("decimal(30,0)") + q).cast("decimal(30,0)")
+
+
 def latest_summaries(summaries: DataFrame, cols=("sentiment", "companies", "summary")) -> DataFrame:
     """The last summary per ``post_id`` (capture order of the summaries)."""
     keep = ["post_id", *POST_ORDER, *[c for c in cols if c in summaries.columns]]
@@ -45,7 +55,7 @@ def _symbol_rows(posts: DataFrame, summaries: DataFrame) -> DataFrame:
     j = posts_with_sentiment(posts, summaries, ("sentiment",))
     return j.select(F.explode(F.array_distinct("symbols")).alias("symbol"),
                     sentiment_class("sentiment").alias("cls"),
-                    _pos(*POST_ORDER).alias("first_pos"), "id", *POST_ORDER)
+                    capture_position(*POST_ORDER).alias("first_pos"), "id", *POST_ORDER)
 
 
 def stock_mentions(posts: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -51,3 +51,9 @@ def test_scan_prunes_columns(spark):
     plan = _plan(spark, "themes")
     assert "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in plan
     assert "n_chars" not in plan
+
+
+def test_mention_counts_use_hash_aggregation(spark):
+    plan = _plan(spark, "stock_mentions")
+    sym_aggs = [l for l in plan.splitlines() if "Aggregate(key" in l and "symbol" in l]
+    assert sym_aggs and all("HashAggregate" in l for l in sym_aggs)
