@@ -123,12 +123,16 @@ def themes(summaries: DataFrame) -> DataFrame:
     """A4 + P20: one row per theme (a theme listed in both themes and sectors
     counts twice)."""
     t = _theme_rows(summaries)
-    agg = t.groupBy("theme").agg(
+    # (capture position, array position) packed into DECIMAL(38,0): same
+    # order as the struct, but a fixed-size buffer (hash aggregate)
+    occ = (capture_position(*POST_ORDER).cast("decimal(38,0)") * F.lit(str(10 ** 8)).cast("decimal(38,0)")
+           + F.col("tpos").cast("decimal(38,0)")).cast("decimal(38,0)")
+    agg = t.withColumn("_occ", occ).groupBy("theme").agg(
         F.count(F.lit(1)).alias("mention_count"),
         F.count_if(F.col("cls") == "positive").cast("long").alias("positive"),
         F.count_if(F.col("cls") == "neutral").cast("long").alias("neutral"),
         F.count_if(F.col("cls") == "negative").cast("long").alias("negative"),
-        F.min(_pos(*POST_ORDER, "tpos")).alias("first_pos"),
+        F.min("_occ").alias("first_pos"),
     )
     return agg.withColumn("trend", theme_trend("positive", "negative")).withColumn(
         "sentiment_distribution",
