@@ -45,3 +45,14 @@ def test_summary_record_checks(spark):
     assert got["124"] == ["bad_sentiment"]
     assert got["125"] == ["score_out_of_range"]
     assert got["126"] == ["negative_processing_time", "preview_too_long"]
+
+
+def test_recommended_conf_scales_with_input():
+    from mentionflow.session import recommended_conf
+    small = recommended_conf(10 << 30, executor_memory_gb=16, cores_per_executor=4, executors=10)
+    big = recommended_conf(100 << 40, executor_memory_gb=16, cores_per_executor=4, executors=1000)
+    assert int(small["spark.sql.shuffle.partitions"]) >= 80  # at least 2 waves of slots
+    # ~100 TB at <= 512 MB per partition: hundreds of thousands of partitions
+    assert int(big["spark.sql.shuffle.partitions"]) >= (100 << 40) // (512 << 20)
+    assert int(big["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) <= 512 << 20
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
