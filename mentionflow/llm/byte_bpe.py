@@ -29,9 +29,9 @@ OVERLAP = 512
 #: (the longest contraction) and it isn't the last one seen.
 LOOK = 3
 #: Distinct pieces whose ids a task remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Ids a task gathers before it hands rows on.
-FLUSH_IDS = 4_000_000
+FLUSH_IDS = 500_000
 
 
 def _default_path() -> str:
@@ -193,13 +193,9 @@ def decode(encoded: DataFrame, id_col="doc_id", ids_col="ids", path: str | None
         raw = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             raw[i] = piece
-        lengths = np.array([len(x) for x in raw], dtype=np.int64)
         for b in batches:
             ids = b.column(1)
-            flat, counts = ids.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(ids).fill_null(0).to_numpy()
-            data = b"".join([raw[i] for i in flat.tolist()])
-            ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(counts)])]
-            out = pa.array([data[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            out = pa.array((b"".join([raw[i] for i in own.as_py() or ()]) for own in ids), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids, out], [b.schema.names[0], "ids", "decoded"])
 
     return encoded.select(id_col, F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

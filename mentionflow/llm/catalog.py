@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, compression_quality, pu_toxicity, simhash
+from . import byte_bpe, compression_quality, pu_toxicity, simhash, template_decontamination, viterbi_counts
 from .common import table
 
 QUERIES: dict = {}
@@ -30,11 +30,21 @@ def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.score(docs, pu_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@register
+def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_counts.counts(table(spark, sf_dir, "documents"))
+
+
 @register
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+@register
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
