@@ -4,8 +4,9 @@ over the whole tables, with production parameters."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, compression_quality, pu_toxicity, simhash, template_decontamination, viterbi_counts
+from . import byte_bpe, compression_quality, pu_toxicity, simhash, template_decontamination, viterbi_counts, warc_derivatives
 from .common import table
 
 QUERIES: dict = {}
@@ -18,6 +19,12 @@ def register(fn):
     return fn
 
 
+@register
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = warc_derivatives.derivatives(warc_derivatives.responses_of(table(spark, sf_dir, "pages")))
+    return d.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 @register
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.groups(table(spark, sf_dir, "documents"))
