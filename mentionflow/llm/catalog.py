@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compression_quality, pu_toxicity, simhash, template_decontamination, viterbi_counts, warc_derivatives
+from . import (byte_bpe, compression_quality, distribution_divergence, pu_toxicity, simhash, template_decontamination,
+               viterbi_counts, warc_derivatives)
 from .common import table
 
 QUERIES: dict = {}
@@ -25,6 +26,14 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 
+@register
+def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution_divergence.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_distribution_divergence"] = distribution_divergence.oracle()
+
+
 @register
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.groups(table(spark, sf_dir, "documents"))
