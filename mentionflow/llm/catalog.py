@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (byte_bpe, compression_quality, distribution_divergence, pu_toxicity, simhash, template_decontamination,
-               viterbi_counts, warc_derivatives)
+               viterbi_counts, warc_derivatives, weak_pii)
 from .common import table
 
 QUERIES: dict = {}
@@ -46,6 +46,11 @@ def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.score(docs, pu_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@register
+def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.digests(weak_pii.detect(table(spark, sf_dir, "documents")))
+
+
 @register
 def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi_counts.counts(table(spark, sf_dir, "documents"))
