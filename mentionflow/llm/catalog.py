@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, compression_quality, distribution_divergence, pu_toxicity, simhash, template_decontamination,
+from . import (byte_bpe, compression_quality, distribution_divergence, fuzzy_lines, pu_toxicity, simhash, template_decontamination,
                viterbi_counts, warc_derivatives, weak_pii)
 from .common import table
 
@@ -51,6 +51,11 @@ def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.digests(weak_pii.detect(table(spark, sf_dir, "documents")))
 
 
+@register
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.report(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi_counts.counts(table(spark, sf_dir, "documents"))
