@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentionflow.llm import byte_bpe, compression_quality, simhash
+from mentionflow.llm import byte_bpe, compression_quality, fuzzy_lines, simhash, template_decontamination
 from mentionflow.llm.common import stored, table
 
 #: No SQL form: dictionaries, fingerprints and tokens are beyond SQL; tests compare with brute force.
@@ -18,17 +18,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression_quality.keep_good(docs, model)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat, equal or similar, one that stays."""
+    return fuzzy_lines.dedup_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: 3-word shingles, 2 bits."""
     return simhash.one_of_each(docs, shingle_words=3, max_bits=2)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, in its words or re-parameterised."""
+    return template_decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of each document."""
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs)))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("tokens", tokens)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
+          ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
