@@ -1,30 +1,27 @@
 """SimHash near-duplicates with pigeonring filtering (Qin and Xiao 2018).
 
-The 64 bits are a ring of ``SEGMENTS`` segments. Two fingerprints within
+The 64 bits are a ring of ``max_bits + 1`` segments. Two fingerprints within
 ``max_bits`` have a chain of consecutive segments, from some segment on, whose
-differences over the first l segments stay within l * max_bits / SEGMENTS, for
-every l. The chain grows one segment at a time, by equi-joins on keys that
-spell out the allowed differences; at each length the fingerprints that have no
-partner left are pruned. At the full length the key test is the Hamming check
-itself. All members of a key group are linked to its least one, so a group of
-any size costs as many rows as it has members."""
+differences over the first l segments stay within l * max_bits / segments, for
+every l. Fingerprints without a partner in any chain of all but one segment are
+pruned by an equi-join on keys that spell out the differences its budget
+allows; on the whole ring the key test is the full Hamming check. All members
+of a key group are linked to its least one, so a group costs as many rows as it has members."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, stored, strings
+from .common import components, map_arrow, stored, strings
 
 BITS = 64
 SHINGLE_WORDS = 3
 MAX_BITS = 2
-SEGMENTS = 3
 SEED = 42
 #: Shingles hashed before their bits are added up: bounds the memory of a text.
 BLOCK = 200_000
@@ -53,10 +50,10 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle_word
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], [b.schema.names[0], "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp bigint")
 
 
-def ring(max_bits: int, segments: int = SEGMENTS) -> list[tuple[int, int]]:
+def ring(segments: int) -> list[tuple[int, int]]:
     """(first bit, width) of the segments."""
     edges = [BITS * i // segments for i in range(segments + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -67,66 +64,68 @@ def _bits(i: int, length: int, layout: list[tuple[int, int]]) -> list[int]:
     return [b for s in range(length) for b in range(layout[(i + s) % len(layout)][0], sum(layout[(i + s) % len(layout)]))]
 
 
-def _signed(mask: int) -> int:
+def _mask(bits) -> int:
+    """Signed number with these bits set."""
+    mask = sum(1 << b for b in bits)
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def chain_keys(fps: DataFrame, i: int, length: int, layout: list[tuple[int, int]], budget: int) -> DataFrame:
-    """(fp, key) so that two fingerprints that differ in at most ``budget`` (0, 1
-    or 2) bits of the chain share a key, and two that share one do differ in at
-    most so many. 0: the chain's bits. 1: these with any one bit masked. 2: the
-    values within one bit of them (each of two such is one bit away from a common value)."""
-    own = _bits(i, length, layout)
-    chain = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in own))))
-    free = own[layout[i][1]:]  # the first segment must be equal: its budget is 0
-    if budget == 0:
-        return fps.select("fp", F.struct(F.lit(i).alias("i"), F.lit(-1).alias("j"), chain.alias("v")).alias("key"))
-    one = F.array(*[F.lit(_signed(1 << b)) for b in free])
+def chain_keys(fps: DataFrame, length: int, layout: list[tuple[int, int]], budget: int) -> DataFrame:
+    """(fp, c, v): keys of the chains of ``length`` segments, c telling where the
+    chain begins and what is masked. Two fingerprints share a key exactly if
+    in one of the chains the first segment is equal (its budget is 0) and at most
+    ``budget`` (0 or 1) bits differ in all."""
+    masks = []
+    for i in range(len(layout)):
+        own = _bits(i, length, layout)
+        if budget == 0:
+            masks.append((i << 8, _mask(own)))
+        else:
+            masks += [(i << 8 | b + 1, _mask(set(own) - {b})) for b in own[layout[i][1]:]]
+    m = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).cast("long").alias("m")) for c, x in masks])).alias("k")
+    return fps.select("fp", m).select("fp", F.col("k.c").alias("c"), F.col("fp").bitwiseAND(F.col("k.m")).alias("v"))
+
+
+def ring_keys(fps: DataFrame, budget: int) -> DataFrame:
+    """(fp, c, v) keys of the whole ring: those that share one differ in at most
+    ``budget`` bits, and all that do share one. 1: any one bit masked. 2: the values within one bit
+    (two fingerprints within two bits have one in common)."""
     if budget == 1:
-        masked = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(free) - 1)), lambda j: F.struct(
-            F.lit(i).alias("i"), j.alias("j"), F.col("_c").bitwiseAND(F.bitwise_not(F.element_at(one, j + 1))).alias("v"))))
-        return fps.select("fp", chain.alias("_c")).select("fp", masked.alias("key"))
-    near = F.explode(F.transform(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in free]), lambda m: F.struct(
-        F.lit(i).alias("i"), F.lit(-1).alias("j"), F.col("_c").bitwiseXOR(m).alias("v"))))
-    return fps.select("fp", chain.alias("_c")).select("fp", near.alias("key"))
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    """(key, low) of the keys that two or more fingerprints have; low: the least of them."""
-    return keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key", "low")
+        masks = [(b, _mask(set(range(BITS)) - {b})) for b in range(BITS)]
+        value = F.col("fp").bitwiseAND(F.col("k.m"))
+    else:
+        masks = [(0, 0), *[(0, _mask({b})) for b in range(BITS)]]
+        value = F.col("fp").bitwiseXOR(F.col("k.m"))
+    m = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).cast("long").alias("m")) for c, x in masks])).alias("k")
+    return fps.select("fp", m).select("fp", F.col("k.c").alias("c"), value.alias("v"))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) links between distinct fingerprints within ``max_bits`` bits: not
-    all pairs, but enough that their components are those of all pairs."""
-    if max_bits not in (0, 1, 2) or segments <= max_bits:
-        raise ValueError("max_bits must be 0, 1 or 2, and there must be more segments")
-    if max_bits == 0:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    layout = ring(max_bits, segments)
-    found = []
-    for i in range(segments):
-        left = fps
-        for length in range(1, segments + 1):
-            budget = length * max_bits // segments
-            keys = chain_keys(left, i, length, layout, budget)
-            shared = _shared(keys)
-            if length < segments:
-                left = keys.join(shared.select("key"), "key", "left_semi").select("fp").distinct()
-            else:
-                found.append(keys.join(shared, "key").select(F.col("fp").alias("a"), F.col("low").alias("b")))
-    out = reduce(DataFrame.unionByName, found).where("a <> b").distinct()
-    return out.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    all pairs, but enough that their components are those of all pairs.
+
+    Key groups are small whatever the data: distinct fingerprints that agree
+    on two of three segments differ in the 22 bits left, so 2^22 rows of 20 bytes at most."""
+    if max_bits not in (1, 2):
+        raise ValueError("max_bits must be 1 or 2")
+    segments = max_bits + 1
+    length = segments - 1
+    keys = chain_keys(fps, length, ring(segments), length * max_bits // segments)
+    same = W.partitionBy("c", "v")
+    chained = keys.withColumn("n", F.count("*").over(same)).where("n > 1").select("fp").distinct()
+    whole = ring_keys(chained, max_bits).withColumn("low", F.min("fp").over(same)).where("fp <> low")
+    pairs = whole.select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
 def groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = SHINGLE_WORDS,
-           max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+           max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fp, component_id) of every row of ``docs``; ``component_id`` is the
     least id reachable over fingerprints within ``max_bits`` bits. A row with a NULL id
     gets the least id of its group (NULL if it has none); repeated rows are one group."""
     fp = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     least = stored(fp.groupBy("fp").agg(F.min(id_col).alias("least")), "least")
-    nodes = components(links(least.select("fp"), max_bits, segments))
+    nodes = components(links(least.select("fp"), max_bits))
     rooted = least.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
