@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (overall_sentiment, sentiment_class, sentiment_ratio, theme_trend)
-from .dedup import last_wins
+from ..sources.tabs import with_spine
+from .dedup import capture_position, last_wins
 
 POST_ORDER = ("tab_rank", "ingest_seq")
 
@@ -27,16 +28,6 @@ def _pos(*cols) -> F.Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def capture_position(tab_rank="tab_rank", ingest_seq="ingest_seq") -> F.Column:
-    """(tab rank, capture order) packed into one DECIMAL(30,0) with the same
-    ordering: (rank + 2^31)·10^20 + (seq + 2^63). A decimal aggregation
-    buffer is fixed-size, so ``min`` of it runs as a hash aggregate instead
-    of the sort aggregate a struct buffer forces."""
-    r = F.col(tab_rank).cast("decimal(30,0)") + F.lit(2 ** 31).cast("decimal(30,0)")
-    q = F.col(ingest_seq).cast("decimal(30,0)") + F.lit(str(2 ** 63)).cast("decimal(30,0)")
-    return (r * F.lit(str(10 ** 20)).cast("decimal(30,0)") + q).cast("decimal(30,0)")
-
-
 def latest_summaries(summaries: DataFrame, cols=("sentiment", "companies", "summary")) -> DataFrame:
     """The last summary per ``post_id`` (capture order of the summaries)."""
     keep = ["post_id", *POST_ORDER, *[c for c in cols if c in summaries.columns]]
@@ -150,9 +141,13 @@ def theme_stocks(summaries: DataFrame) -> DataFrame:
     return t.select("theme", F.explode("tickers").alias("ticker")).distinct()
 
 
-def theme_stock_lists(summaries: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` related stocks of each theme (sorted), as an array."""
+def theme_stock_lists(summaries: DataFrame, n: int | None = None) -> DataFrame:
+    """The related stocks of each theme (sorted), as an array; ``n``: only the
+    first of them, for display. (Distinct tickers of a theme: a list of the
+    report, as long as the ticker universe at most.)"""
     p = theme_stocks(summaries)
+    if n is None:
+        return p.groupBy("theme").agg(F.array_sort(F.collect_set("ticker")).alias("related_stocks"))
     w = Window.partitionBy("theme").orderBy("ticker")
     r = p.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
     return r.groupBy("theme").agg(F.array_sort(F.collect_list("ticker")).alias("related_stocks"))
@@ -206,13 +201,17 @@ def engagement_score() -> F.Column:
     return (F.col("like_count") + F.col("comment_count") * 2 + F.col("retweet_count") * 3).cast("long")
 
 
-def top_discussions(posts: DataFrame, summaries: DataFrame, k: int = 10) -> DataFrame:
+def top_discussions(posts: DataFrame, summaries: DataFrame, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
     """O3 + J2: top-k posts by engagement (stable), with the latest summary's
     sentiment and text when one exists. The k ids are broadcast (k rows) to
-    pre-filter the summaries before their last-wins aggregation."""
+    pre-filter the summaries before their last-wins aggregation. Where
+    ``posts`` has no ``text``, it comes from ``texts`` (id, text), for k rows."""
     scored = ensure_post_columns(posts).withColumn("engagement", engagement_score())
     order = [F.col("engagement").desc(), *[F.col(c).asc() for c in POST_ORDER]]
     top = top_k(scored, k, order)
+    if texts is not None and "text" not in top.columns:
+        t = texts.select("id", "text").join(F.broadcast(top.select("id")), "id", "left_semi").dropDuplicates(["id"])
+        top = top.join(F.broadcast(t), "id", "left")
     ids = top.select(F.col("id").alias("post_id"))
     s = summaries.join(F.broadcast(ids), on="post_id", how="left_semi")
     s = latest_summaries(s, ("sentiment", "summary")).drop(*POST_ORDER).withColumnRenamed("post_id", "id")
@@ -240,15 +239,30 @@ def top_per_tab(rows: DataFrame, item: str, n: int = 3) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("_rk", item))), lambda s: s[item]).alias(f"top_{item}s"))
 
 
+def capture_log_stats(log: DataFrame) -> DataFrame:
+    """(tab, crawl_duration_seconds, errors_count) of a capture log (tab, at,
+    error): from the first to the last entry of the tab, and its failed ones."""
+    return log.groupBy("tab").agg(
+        ((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / F.lit(1e6)).alias("crawl_duration_seconds"),
+        F.count_if("error").cast("long").alias("errors_count"))
+
+
 def tab_statistics(raw: DataFrame, posts: DataFrame, summaries: DataFrame, tabs: DataFrame,
-                   raw_text: str = "raw_text", top_n: int = 3) -> DataFrame:
+                   top_n: int = 3, log: DataFrame | None = None) -> DataFrame:
     """A9 + J7: one row per configured tab (empty tabs included).
 
-    total_posts: captured rows; valid_posts: posts kept; dropped_posts: rows
-    removed as too short, blank or duplicate; class counts through J1; the
-    top symbols; earliest/latest post time. There is no capture step, so
-    duration and errors are 0."""
-    raw_counts = raw.groupBy("tab").agg(F.count(F.lit(1)).alias("total_posts"))
+    total_posts: captured rows; valid_posts: posts kept; duplicate_posts:
+    captured rows long enough whose id another row has taken (``raw`` has
+    ``tab`` and ``candidate``, true for these); dropped_posts: all that were not kept; class
+    counts through J1; the top symbols and themes; earliest/latest post time;
+    duration and errors from the capture ``log`` (tab, at, error), 0 without one."""
+    cand = F.count_if("candidate").cast("long") if "candidate" in raw.columns else F.lit(None).cast("long")
+    raw_counts = raw.groupBy("tab").agg(F.count(F.lit(1)).alias("total_posts"), cand.alias("candidates"))
+    zero = F.lit(0).cast("long")
+    if log is None:
+        logged = tabs.select("tab", F.lit(0.0).alias("crawl_duration_seconds"), zero.alias("errors_count"))
+    else:
+        logged = capture_log_stats(log)
     j = posts_with_sentiment(posts, summaries, ("sentiment",))
     cls = sentiment_class("sentiment")
     created = F.col("created_at") if "created_at" in posts.columns else F.lit(None).cast("timestamp")
@@ -260,19 +274,24 @@ def tab_statistics(raw: DataFrame, posts: DataFrame, summaries: DataFrame, tabs:
         F.min(created).alias("earliest_post"), F.max(created).alias("latest_post"))
     tops = top_per_tab(posts.select("tab", F.explode(F.array_distinct("symbols")).alias("symbol")),
                        "symbol", top_n)
-    out = tabs.join(raw_counts, "tab", "left").join(kept, "tab", "left").join(tops, "tab", "left")
-    zero = F.lit(0).cast("long")
+    by_theme = top_per_tab(summaries.select("tab", F.explode(F.concat(
+        F.coalesce("themes", F.array().cast("array<string>")), F.coalesce("sectors", F.array().cast("array<string>")))).alias("theme")),
+        "theme", top_n)
+    out = with_spine(tabs, raw_counts.join(kept, "tab", "full").join(logged, "tab", "full")) \
+        .join(tops, "tab", "left").join(by_theme, "tab", "left")
     return out.select(
         "tab", "tab_rank",
         F.coalesce("total_posts", zero).alias("total_posts"),
         F.coalesce("valid_posts", zero).alias("valid_posts"),
         (F.coalesce("total_posts", zero) - F.coalesce("valid_posts", zero)).alias("dropped_posts"),
+        F.greatest(F.coalesce("candidates", zero) - F.coalesce("valid_posts", zero), zero).alias("duplicate_posts"),
         F.coalesce("positive_posts", zero).alias("positive_posts"),
         F.coalesce("neutral_posts", zero).alias("neutral_posts"),
         F.coalesce("negative_posts", zero).alias("negative_posts"),
         F.coalesce("top_symbols", F.array().cast("array<string>")).alias("top_stocks"),
-        "earliest_post", "latest_post",
-        F.lit(0.0).alias("crawl_duration_seconds"), zero.alias("errors_count"))
+        F.coalesce("top_themes", F.array().cast("array<string>")).alias("top_themes"),
+        "earliest_post", "latest_post", F.coalesce("crawl_duration_seconds", F.lit(0.0)).alias("crawl_duration_seconds"),
+        F.coalesce("errors_count", zero).alias("errors_count"))
 
 
 def tab_counts(posts: DataFrame) -> DataFrame:
@@ -280,16 +299,21 @@ def tab_counts(posts: DataFrame) -> DataFrame:
     return posts.rollup("tab").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_summary(posts: DataFrame, summaries: DataFrame, tabs: DataFrame) -> DataFrame:
-    """Totals of a run (capture duration and errors do not apply: 0),
-    one aggregate over the tagged union of the three inputs."""
+def run_summary(posts: DataFrame, summaries: DataFrame, tabs: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Totals of a run, one aggregate over the tagged union of its inputs;
+    duration (first to last entry) and errors come from the capture ``log`` (tab, at, error)."""
     u = (posts.select(F.lit(0).alias("_src"))
          .unionByName(summaries.select(F.lit(1).alias("_src")))
          .unionByName(tabs.select(F.lit(2).alias("_src"))))
+    if log is None:
+        u = u.withColumns({"at": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("boolean")})
+    else:
+        u = u.unionByName(log.select(F.lit(3).alias("_src"), F.col("at").cast("timestamp").alias("at"), "error"), allowMissingColumns=True)
     return u.agg(F.count_if(F.col("_src") == 0).cast("long").alias("total_posts"),
                  F.count_if(F.col("_src") == 1).cast("long").alias("total_summaries"),
                  F.count_if(F.col("_src") == 2).cast("long").alias("tabs_crawled"),
-                 F.lit(0.0).alias("duration_seconds"), F.lit(0).cast("long").alias("errors"))
+                 F.coalesce((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / F.lit(1e6), F.lit(0.0)).alias("duration_seconds"),
+                 F.count_if(F.col("error")).cast("long").alias("errors"))
 
 
 def global_rank(df: DataFrame, order: list, rank_col: str = "rank") -> DataFrame:

@@ -13,23 +13,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, key: str | list[str], order: list[str], pick_min: bool) -> DataFrame:
+def first_wins(df: DataFrame, key="id", order=("tab_rank", "ingest_seq"), row_id=None) -> DataFrame:
+    """One row per key: the smallest ``order`` tuple wins.
+
+    The winners are found on narrow rows (key and position), and the rows that
+    lost are taken out by an anti-join on ``row_id`` (default: the position), so
+    text is never an aggregation buffer. ``row_id`` must name a row; rows with a
+    NULL key are no copies of each other and stay."""
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
-    agg = F.min(packed) if pick_min else F.max(packed)
-    out = df.groupBy(*keys).agg(agg.alias("_w"))
-    return out.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in order + rest]).select(*df.columns)
+    row_id = list(row_id or order)
+    narrow = df.select(*dict.fromkeys([*keys, *order, *row_id])).withColumn("_pos", _position(list(order)))
+    best = narrow.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    lost = narrow.join(best, keys).filter(F.col("_pos") > F.col("_first")).select(*row_id)
+    return df.join(lost, row_id, "left_anti").select(*df.columns)
+
+
+def _position(order: list[str]) -> F.Column:
+    """One comparable value of an order; (tab_rank, ingest_seq) as a decimal,
+    a buffer of fixed size that keeps the minimum a hash aggregate."""
+    return capture_position(*order) if order == ["tab_rank", "ingest_seq"] else F.struct(*order)
 
 
-def first_wins(df: DataFrame, key="id", order=("tab_rank", "ingest_seq")) -> DataFrame:
-    """One row per key: the smallest ``order`` tuple wins."""
-    return _pick(df, key, list(order), True)
+def capture_position(tab_rank="tab_rank", ingest_seq="ingest_seq") -> F.Column:
+    """(tab rank, capture order) packed into one DECIMAL(30,0) with the same
+    ordering: (rank + 2^31)·10^20 + (seq + 2^63). A decimal aggregation
+    buffer is fixed-size, so ``min`` of it runs as a hash aggregate instead
+    of the sort aggregate a struct buffer forces."""
+    r = F.col(tab_rank).cast("decimal(30,0)") + F.lit(2 ** 31).cast("decimal(30,0)")
+    q = F.col(ingest_seq).cast("decimal(30,0)") + F.lit(str(2 ** 63)).cast("decimal(30,0)")
+    return (r * F.lit(str(10 ** 20)).cast("decimal(30,0)") + q).cast("decimal(30,0)")
 
 
 def last_wins(df: DataFrame, key="post_id", order=("ingest_seq",)) -> DataFrame:
     """One row per key: the largest ``order`` tuple wins (later saves replace)."""
-    return _pick(df, key, list(order), False)
+    keys, order = ([key] if isinstance(key, str) else list(key)), list(order)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    out = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_w"))
+    return out.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in order + rest]).select(*df.columns)
 
 
 def tab_cap(df: DataFrame, max_per_tab: int, tab="tab", order=("ingest_seq",),
@@ -41,11 +61,43 @@ def tab_cap(df: DataFrame, max_per_tab: int, tab="tab", order=("ingest_seq",),
     return out if rank_col else out.drop(rn)
 
 
+def capped_capture(df: DataFrame, max_per_tab: int, stored: DataFrame | None = None) -> DataFrame:
+    """W1 + W2 as the capture loop has them: the tabs in rank order, each takes
+    its first ``max_per_tab`` posts that no tab before it took. A post beyond the
+    cap isn't seen yet: a later tab may take its copy. ``stored`` (id, tab):
+    posts taken by earlier runs; they are seen, and count in their tab.
+
+    One round for each tab over narrow rows (id, tab, position). What a round
+    takes is bounded by the cap, so what was taken is broadcast (tabs are
+    configuration; tabs x cap ids of 16 characters)."""
+    narrow = df.select("id", "tab", "tab_rank", "ingest_seq")
+    spark = df.sparkSession
+    ranks = [r[0] for r in narrow.select("tab_rank").distinct().orderBy("tab_rank").collect()]
+    have = {} if stored is None else {r["tab"]: r["n"] for r in stored.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken: list[tuple] = []
+    kind = "id string, tab string, tab_rank int, ingest_seq " + df.schema["ingest_seq"].dataType.simpleString()
+    for rank in ranks:
+        own = narrow.filter(F.col("tab_rank").eqNullSafe(F.lit(rank)))
+        if stored is not None:
+            own = own.join(stored.select("id"), "id", "left_anti")
+        if taken:
+            own = own.join(F.broadcast(spark.createDataFrame(taken, kind).select("id")), "id", "left_anti")
+        first = own.groupBy("tab", "id").agg(F.min(F.struct("ingest_seq", "tab_rank")).alias("p"))
+        w = Window.partitionBy("tab").orderBy("p.ingest_seq")
+        room = F.lit(max_per_tab)
+        for tab, n in have.items():
+            room = F.when(F.col("tab") == tab, max(0, max_per_tab - n)).otherwise(room)
+        got = first.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= room)
+        taken += [tuple(r) for r in got.select("id", "tab", "p.tab_rank", "p.ingest_seq").collect()]
+    chosen = spark.createDataFrame(taken, kind)
+    return df.join(F.broadcast(chosen), ["id", "tab", "tab_rank", "ingest_seq"], "left_semi")
+
+
 def dedup_new(new: DataFrame, stored: DataFrame | None, key="content_hash",
-              order=("ingest_seq",)) -> DataFrame:
+              order=("ingest_seq",), row_id=None) -> DataFrame:
     """Rows of ``new`` whose key is unseen: one per key inside the batch
     (first in capture order), none whose key is already stored."""
-    first = first_wins(new, key, order) if order else new.dropDuplicates([key])
+    first = first_wins(new, key, order, row_id) if order else new.dropDuplicates([key])
     if stored is None:
         return first
     return first.join(stored.select(key).distinct(), on=key, how="left_anti")
@@ -57,8 +109,8 @@ def dup_flag(df: DataFrame, seen: DataFrame, key="content_hash", flag="is_duplic
     return df.join(marks, on=key, how="left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def new_summaries(new: DataFrame, stored: DataFrame | None, key="post_id") -> DataFrame:
-    """Summaries whose ``post_id`` is not stored yet (no in-batch de-dup)."""
+def new_summaries(new: DataFrame, stored: DataFrame | None, keys=("post_id", "tab")) -> DataFrame:
+    """Summaries whose post id is not stored yet in their tab (no in-batch de-dup)."""
     if stored is None:
         return new
-    return new.join(stored.select(key).distinct(), on=key, how="left_anti")
+    return new.join(stored.select(*keys).distinct(), on=list(keys), how="left_anti")

@@ -133,26 +133,45 @@ def _parsed_struct(v, symbols, model_name):
     )
 
 
+_LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def _with_variant(df: DataFrame, json_col: str, name: str) -> DataFrame:
+    """``df`` with the parsed JSON; of repeated keys the last counts. Spark fixes
+    that choice when the expression is built, so the session's setting is put back at once."""
+    conf = df.sparkSession.conf
+    old = conf.get(_LAST_KEY_WINS, None)
+    conf.set(_LAST_KEY_WINS, "true")
+    try:
+        return df.withColumn(name, F.try_parse_json(json_col))
+    finally:
+        conf.set(_LAST_KEY_WINS, old) if old is not None else conf.unset(_LAST_KEY_WINS)
+
+
 def summarize(posts: DataFrame, responses: DataFrame | None = None,
               model_name: str = DEFAULT_MODEL_NAME, lexicon=None, sector_keywords=None,
               neutral_score=None, keep_checks: bool = False) -> DataFrame:
     """P25: exactly one summary per post. ``responses`` has
-    ``post_id, response[, total_tokens]`` (at most one row per post); with
-    no responses every post takes the fallback."""
+    ``post_id, response[, total_tokens]``; of several replies to one post the
+    greatest text counts. A post without a row was not asked: it takes the fallback, and
+    is no failure."""
     if responses is None:
         j = posts.withColumn("response", F.lit(None).cast("string")) \
-            .withColumn("total_tokens", F.lit(None).cast("long"))
+            .withColumn("total_tokens", F.lit(None).cast("long")).withColumn("_asked", F.lit(None).cast("boolean"))
     else:
         r = responses.withColumnRenamed("post_id", "id")
         if "total_tokens" not in r.columns:
             r = r.withColumn("total_tokens", F.lit(None).cast("long"))
-        j = posts.join(r.select("id", "response", "total_tokens"), on="id", how="left")
+        # one reply for each post, whatever the table holds: a text in two
+        # tabs has one id, and both posts take its reply
+        r = r.groupBy("id").agg(F.max(F.struct("response", "total_tokens")).alias("r"))
+        j = posts.join(r.select("id", "r.response", "r.total_tokens", F.lit(True).alias("_asked")), on="id", how="left")
     # parse once; then the check flags; then the chosen struct (each step is
     # its own projection, so nothing expensive is evaluated twice per row)
-    j = j.withColumn("_v", F.try_parse_json("response"))
+    j = _with_variant(j, "response", "_v")
     chk = response_checks("response", "_v")
     j = j.withColumns({"_called": chk["called"], "_content": chk["content"],
-                       "_ok": chk["ok"], "_failed": chk["failed"]})
+                       "_ok": chk["ok"], "_failed": F.coalesce("_asked", F.lit(False)) & chk["failed"]})
     j = _with_fallback(j, "text", "symbols", lexicon, sector_keywords, neutral_score,
                        only_if=~F.col("_ok"))
     parsed = _parsed_struct(F.col("_v"), F.col("symbols"), model_name)
@@ -185,11 +204,11 @@ def enrichment_stats(posts: DataFrame, responses: DataFrame, by_tab: bool = True
     return s.groupBy("tab").agg(*aggs) if by_tab else s.agg(*aggs)
 
 
-def prompts(posts: DataFrame) -> DataFrame:
-    """The user message of each post (the system text is a constant)."""
+def prompts(posts: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
+    """The user message of each post and the system text."""
     return posts.select(F.col("id").alias("post_id"),
                         F.concat(F.lit(USER_PROMPT_PREFIX), F.col("text")).alias("user_prompt"),
-                        F.lit(SYSTEM_PROMPT).alias("system_prompt"))
+                        F.lit(system_prompt).alias("system_prompt"))
 
 
 RESPONSE_SCHEMA = T.StructType([T.StructField("post_id", T.StringType()),
@@ -198,28 +217,31 @@ RESPONSE_SCHEMA = T.StructType([T.StructField("post_id", T.StringType()),
 
 
 def respond_with(posts: DataFrame, responder: Callable[[str, str], "str | tuple | None"],
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, system_prompt: str = SYSTEM_PROMPT,
+                 concurrency: int = 1) -> DataFrame:
     """Call ``responder(system_prompt, user_prompt)`` for each post in
     Arrow batches on the executors. It returns the reply text or
     ``(text, total_tokens)``; an exception gives a NULL reply (the post then
-    falls back) and never fails the task. ``partitions`` bounds concurrency."""
-    req = prompts(posts).select("post_id", "user_prompt")
+    falls back) and never fails the task. ``partitions`` bounds the tasks,
+    ``concurrency`` the requests that a task has open at a time."""
+    req = prompts(posts, system_prompt).select("post_id", "user_prompt")
     if partitions:
         req = req.repartition(partitions)
 
     def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
-        for pdf in batches:
-            out, toks = [], []
-            for up in pdf["user_prompt"]:
-                try:
-                    r = responder(SYSTEM_PROMPT, up)
-                except Exception:  # noqa: BLE001 - one bad row must not fail the batch
-                    r = None
-                if isinstance(r, tuple):
-                    out.append(r[0]); toks.append(r[1])
-                else:
-                    out.append(r); toks.append(None)
-            yield pd.DataFrame({"post_id": pdf["post_id"], "response": out,
-                                "total_tokens": pd.array(toks, dtype="Int64")})
+
+        def ask(up):
+            try:
+                r = responder(system_prompt, up)
+            except Exception:  # noqa: BLE001 - one bad row must not fail the batch
+                r = None
+            return r if isinstance(r, tuple) else (r, None)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                out, toks = map(list, zip(*pool.map(ask, pdf["user_prompt"]), strict=True)) if len(pdf) else ([], [])
+                yield pd.DataFrame({"post_id": pdf["post_id"], "response": out,
+                                    "total_tokens": pd.array(toks, dtype="Int64")})
     return req.mapInPandas(run, RESPONSE_SCHEMA)

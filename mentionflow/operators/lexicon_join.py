@@ -1,76 +1,51 @@
 """Text × lexicon on sub-string containment, as an equi-join.
 
 A nested-loop join of every text with every keyword grows with both sides.
-Instead each text is scanned once by an Aho-Corasick automaton over the
-keywords (in Arrow batches on the executors), which emits the distinct
-(key, keyword) hits; hits are then equi-joined with the lexicon table and
-aggregated. Cost is linear in text length whatever the lexicon size; the
-lexicon itself is a small dimension whose size is checked before it is
-shipped to the tasks.
+Instead each text is turned into its distinct sub-strings of the lengths that
+keywords have, and these are equi-joined with the lexicon table. The cost grows
+with the texts and with the number of distinct keyword lengths, not with the
+lexicon; of the lexicon only these lengths reach the driver (at most as many as
+the longest keyword has characters). Texts are first dealt out by key: the
+exploded rows are spread over all tasks, and the counts by key need no further shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.sentiment import label_from_counts
 
-MAX_LEXICON = 500_000
-
 
 def lexicon_frame(spark: SparkSession, lexicon: dict) -> DataFrame:
     rows = [(label, kw) for label, kws in lexicon.items() for kw in dict.fromkeys(kws)]
     return spark.createDataFrame(rows, "label string, keyword string")
 
 
-def _keywords(lexicon: DataFrame, max_keywords: int) -> list[str]:
-    kw = lexicon.select("keyword").distinct()
-    n = kw.count()
-    if n > max_keywords:
-        raise ValueError(f"lexicon has {n} keywords, above the {max_keywords} limit")
-    return [r[0] for r in kw.collect()]
-
-
-def keyword_hits(df: DataFrame, lexicon: DataFrame, key: str, text: str,
-                 lower: bool = False, max_keywords: int = MAX_LEXICON) -> DataFrame:
-    """Distinct (key, keyword) pairs with keyword ⊂ text."""
-    words = _keywords(lexicon, max_keywords)
-    key_type = df.schema[key].dataType
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField("keyword", T.StringType())])
-    src = df.select(key, (F.lower(text) if lower else F.col(text)).alias("_t"))
+def keyword_hits(df: DataFrame, lexicon: DataFrame, key: str, text: str, lower: bool = False) -> DataFrame:
+    """(key, label, keyword), once for each keyword that is part of the text. Empty
+    and NULL keywords are part of none; rows with a NULL key or text have none."""
+    lex = lexicon.select("label", "keyword").filter(F.length("keyword") > 0).distinct()
+    lengths = sorted(r[0] for r in lex.select(F.length("keyword")).distinct().collect())
+    src = df.select(key, (F.lower(text) if lower else F.col(text)).alias("_t")).filter(F.col("_t").isNotNull() & F.col(key).isNotNull())
+    if not lengths:
+        return src.select(key).join(lex, F.lit(False))
 
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        for w in words:
-            if w:
-                auto.add_word(w, w)
-        ready = len(auto) > 0
-        if ready:
-            auto.make_automaton()
-        for pdf in batches:
-            ks, hs = [], []
-            if ready:
-                for k, t in zip(pdf[key], pdf["_t"]):
-                    if t is None:
-                        continue
-                    seen = {w for _, w in auto.iter(t)}
-                    ks.extend([k] * len(seen))
-                    hs.extend(seen)
-            yield pd.DataFrame({key: ks, "keyword": hs})
-    return src.mapInPandas(scan, out_schema)
+    def parts(n):
+        ends = F.length("_t") - (n - 1)
+        return F.when(ends > 0, F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), lambda i: F.substr("_t", i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+    every = F.array_distinct(reduce(lambda a, b: F.concat(a, b), map(parts, lengths)))
+    return src.repartition(key).select(key, F.explode(every).alias("keyword")).join(lex, "keyword").select(key, "label", "keyword").distinct()
 
 
 def sentiment_by_join(df: DataFrame, lexicon: DataFrame, key: str = "id",
                       text: str = "text") -> DataFrame:
     """Keyword sentiment of each row via hits ⋈ lexicon; same result as
     ``functions.keyword_sentiment`` with the lexicon as literals."""
-    hits = keyword_hits(df, lexicon, key, text, lower=True)
-    labelled = hits.join(F.broadcast(lexicon.select("label", "keyword").distinct()), on="keyword", how="inner")
-    counts = labelled.groupBy(key).agg(
+    counts = keyword_hits(df, lexicon, key, text, lower=True).groupBy(key).agg(
         F.count_if(F.col("label") == "positive").alias("pos_hits"),
         F.count_if(F.col("label") == "negative").alias("neg_hits"),
         F.count_if(F.col("label") == "neutral").alias("neu_hits"))

@@ -3,8 +3,8 @@
 Order matters and follows the capture loop: short raw texts are dropped,
 texts are cleaned, the id is the key of the cleaned text, the first copy of
 an id wins across all tabs, invalid posts are dropped, symbols/URLs are
-extracted (after de-dup, so each distinct text is scanned once) and each tab
-is capped in capture order.
+extracted (after de-dup, so each distinct text is scanned once). With a cap,
+each tab takes its first posts that no tab before it took.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_text, content_hash, extract_symbols, extract_urls,
                          long_enough, post_id)
-from .dedup import first_wins, tab_cap
+from .dedup import capped_capture, first_wins
 
 
 def cleaned_post_is_valid(text="text", tab="tab") -> F.Column:
@@ -26,9 +26,12 @@ def cleaned_post_is_valid(text="text", tab="tab") -> F.Column:
 
 def standardize_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64",
                       max_per_tab: int | None = None, symbols: bool = True,
-                      urls: bool = True, ticker_kwargs: dict | None = None) -> DataFrame:
-    """``raw`` needs ``raw_text, tab, tab_rank, ingest_seq``; other columns
-    (author, created_at, engagement …) are carried along."""
+                      urls: bool = True, ticker_kwargs: dict | None = None,
+                      taken: DataFrame | None = None) -> DataFrame:
+    """``raw`` needs ``raw_text, tab, tab_rank, ingest_seq``, the last two
+    naming a row; other columns (author, created_at, engagement …) are carried
+    along. ``max_per_tab`` caps each tab as the capture loop does
+    (``capped_capture``); ``taken`` (id, tab): posts that earlier runs stored, counted in the cap."""
     df = raw.filter(long_enough(raw_text))
     df = df.withColumn("text", clean_text(raw_text)).drop(raw_text)
     df = df.withColumn("id", post_id("text", key_fn))
@@ -36,13 +39,13 @@ def standardize_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64",
     # first. Validity is tested after the aggregate on the cleaned text, where
     # "not blank" is just "not empty"; a filter placed before the aggregate
     # would be pushed into the scan with the cleaning regexes inlined again.
-    df = first_wins(df, "id", ("tab_rank", "ingest_seq"))
-    df = df.filter(cleaned_post_is_valid())
+    if max_per_tab:
+        df = capped_capture(df.filter(cleaned_post_is_valid()), max_per_tab, taken)
+    else:
+        df = first_wins(df, "id", ("tab_rank", "ingest_seq")).filter(cleaned_post_is_valid())
     if symbols:
         df = df.withColumn("symbols", extract_symbols("text", **(ticker_kwargs or {})))
     if urls:
         df = df.withColumn("urls", extract_urls("text"))
-    if max_per_tab:
-        df = tab_cap(df, max_per_tab)
     author = "author" if "author" in df.columns else F.lit(None).cast("string")
     return df.withColumn("content_hash", content_hash("text", author, "tab", key_fn=key_fn))

@@ -60,8 +60,8 @@ def stock_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- helpers
 
 
-def _docs(spark, sf_dir, spread=True):
-    return read_table(spark, sf_dir, "documents", spread=spread)
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
 
 
 def _joined(c) -> F.Column:
@@ -80,7 +80,7 @@ def q_clean_text(spark, sf_dir):
 @register("clean_pages")
 def q_clean_pages(spark, sf_dir):
     """P3 on raw web pages (tags, scripts' text kept, entities kept)."""
-    p = read_table(spark, sf_dir, "pages", spread=True)
+    p = read_table(spark, sf_dir, "pages")
     c = clean_text("html")
     return p.select("page_id", F.md5(c).alias("text_md5"), F.length(c).cast("long").alias("n"))
 
@@ -127,7 +127,7 @@ def q_symbols_canonical(spark, sf_dir):
 @register("urls")
 def q_urls(spark, sf_dir):
     """P7 over page URL + raw HTML."""
-    p = read_table(spark, sf_dir, "pages", spread=True)
+    p = read_table(spark, sf_dir, "pages")
     t = F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("html"))
     u = extract_urls(t)
     return p.select("page_id", _joined(u).alias("urls"), F.size(u).cast("long").alias("n_urls"))
@@ -362,7 +362,7 @@ def q_dup_flag(spark, sf_dir):
 
 @register("new_summaries")
 def q_new_summaries(spark, sf_dir):
-    """J4 + U-2: summaries whose post id is not stored (no in-batch de-dup)."""
+    """J4 + U-2: summaries whose post id is not stored in their tab (no in-batch de-dup)."""
     s = D.labelled_summaries(spark, sf_dir, key_fn="md5")
     lab = read_table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("ingest_seq"))
     stored = s.join(lab, on="ingest_seq", how="left_semi")
@@ -460,13 +460,13 @@ def _fmt_ts(c):
 @register("tab_stats")
 def q_tab_stats(spark, sf_dir):
     """A9 + J7: per-tab statistics over the tab spine (empty tabs included)."""
-    raw = D.documents_raw(spark, sf_dir, tickers=False).select("tab")
     p, s = _posts_summ(spark, sf_dir, engage=True)
-    st = A.tab_statistics(raw, p, s, TB.source_tabs(spark, sf_dir))
-    return st.select("tab", "total_posts", "valid_posts", "dropped_posts", "positive_posts",
+    st = A.tab_statistics(D.captured(spark, sf_dir), p, s, TB.source_tabs(spark, sf_dir), log=D.capture_log(spark, sf_dir))
+    return st.select("tab", "total_posts", "valid_posts", "dropped_posts", "duplicate_posts", "positive_posts",
                      "neutral_posts", "negative_posts", _joined("top_stocks").alias("top_stocks"),
+                     _joined("top_themes").alias("top_themes"),
                      _fmt_ts("earliest_post").alias("earliest_post"), _fmt_ts("latest_post").alias("latest_post"),
-                     "crawl_duration_seconds", "errors_count")
+                     _r6("crawl_duration_seconds").alias("crawl_duration_seconds"), "errors_count")
 
 
 @register("tab_counts")
@@ -480,13 +480,14 @@ def q_tab_counts(spark, sf_dir):
 def q_run_summary(spark, sf_dir):
     """Totals of the run."""
     p, s = _posts_summ(spark, sf_dir)
-    return A.run_summary(p, s, TB.source_tabs(spark, sf_dir))
+    r = A.run_summary(p, s, TB.source_tabs(spark, sf_dir), D.capture_log(spark, sf_dir))
+    return r.withColumn("duration_seconds", _r6("duration_seconds"))
 
 
 @register("page_posts")
 def q_page_posts(spark, sf_dir):
     """S5 + P1: posts extracted from captured pages."""
-    pg = read_table(spark, sf_dir, "pages", spread=True)
+    pg = read_table(spark, sf_dir, "pages")
     pp = PG.page_posts(pg, key_fn="md5")
     return pp.select("page_id", F.col("pos").cast("long").alias("pos"), "id", "tab", "text",
                      _joined("urls").alias("urls"))
@@ -499,11 +500,11 @@ def _report_inputs(spark, sf_dir, materialize=False):
     p, s = _posts_summ(spark, sf_dir, engage=True)
     if materialize:
         # every section reads posts and summaries: write them once to the
-        # shared checkpoint folder instead of recomputing them per section
+        # shared checkpoint folder instead of recomputing them per section,
+        # without the texts, which only the ten top discussions need
         from ..session import cut_lineage
-        p, s = cut_lineage(p), cut_lineage(s)
-    raw = D.documents_raw(spark, sf_dir, tickers=False).select("tab")
-    stats = A.tab_statistics(raw, p, s, TB.source_tabs(spark, sf_dir))
+        p, s = cut_lineage(p.drop("text", "urls")), cut_lineage(s)
+    stats = A.tab_statistics(D.captured(spark, sf_dir), p, s, TB.source_tabs(spark, sf_dir), log=D.capture_log(spark, sf_dir))
     end = read_table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("e"))
     return p, s, stats, end
 
@@ -514,7 +515,21 @@ def q_report_lines(spark, sf_dir):
     the last event time (deterministic)."""
     p, s, stats, end = _report_inputs(spark, sf_dir, materialize=True)
     job_end = F.lit(end.first()["e"])
-    return RP.report_lines(p, s, stats, job_end=job_end)
+    return RP.report_lines(p, s, stats, job_end=job_end, texts=_texts(spark, sf_dir))
+
+
+def _texts(spark, sf_dir):
+    return _posts_md5(spark, sf_dir).select("id", "text")
+
+
+@register("report_file")
+def q_report_file(spark, sf_dir):
+    """K3: the Markdown report written as one file and read back, numbered lines."""
+    path = scratch_path(spark, f"report-{_uuid.uuid4().hex}")
+    RP.write_report(q_report_lines(spark, sf_dir), path)
+    t = spark.read.text(path, wholetext=True).agg(F.concat_ws("", F.collect_list("value")).alias("t"))  # one bounded file
+    return t.select(F.posexplode(F.split(F.regexp_replace("t", "\n$", ""), "\n")).alias("line_no", "line")).withColumn(
+        "line_no", F.col("line_no").cast("long"))
 
 
 @register("report_stocks")
@@ -549,10 +564,12 @@ def q_roundtrip_store(spark, sf_dir):
     p = _posts_md5(spark, sf_dir)
     ST.save_posts(p, layout, save_id="first")
     ST.save_posts(p, layout, save_id="second")
+    ST.save_posts(p, layout, save_id="second")  # retried: no further audit rows
     audit = spark.read.parquet(layout.audit)
     per = audit.groupBy("tab").agg(
         F.sum(F.when(F.col("save_id") == "first", F.col("new_rows")).otherwise(0)).cast("long").alias("new_first"),
-        F.sum(F.when(F.col("save_id") == "second", F.col("new_rows")).otherwise(0)).cast("long").alias("new_second"))
+        F.sum(F.when(F.col("save_id") == "second", F.col("new_rows")).otherwise(0)).cast("long").alias("new_second"),
+        F.count(F.lit(1)).alias("saves"), F.max("total_rows").alias("total_rows"))
     rows = ST.load_posts(spark, layout).groupBy("tab").agg(F.count(F.lit(1)).alias("rows"))
     return rows.join(per, "tab", "left").na.fill(0, ["new_first", "new_second"])
 
@@ -564,7 +581,12 @@ def q_roundtrip_summaries(spark, sf_dir):
     s = D.labelled_summaries(spark, sf_dir, key_fn="md5")
     ST.save_summaries(s, layout, save_id="first")
     ST.save_summaries(s, layout, save_id="second")
-    return spark.read.parquet(layout.summary).groupBy("tab").agg(F.count(F.lit(1)).alias("rows"))
+    once = ST.read_stored(spark, layout.summary).groupBy("tab").agg(F.count(F.lit(1)).alias("rows"))
+    other = ST.JobLayout(layout.base, "run_overwritten")
+    ST.save_summaries(s.filter(F.col("ingest_seq") % 2 == 0), other)
+    ST.save_summaries(s, other, incremental=False)
+    again = ST.read_stored(spark, other.summary).groupBy("tab").agg(F.count(F.lit(1)).alias("rows_overwritten"))
+    return once.join(again, "tab", "full")
 
 
 @register("roundtrip_json")
@@ -605,9 +627,9 @@ def q_stream_dedup(spark, sf_dir):
     for attempt in range(2):
         s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
         q = SS.start_post_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
-                               state_partitions=_state_partitions(spark))
+                               state_partitions=_state_partitions(spark), key_fn="md5")
         SS.run_once(q)
-    return ST.load_posts(spark, layout).select("id").distinct()
+    return ST.load_posts(spark, layout).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("stream_summaries")
@@ -621,7 +643,71 @@ def q_stream_summaries(spark, sf_dir):
     q = SS.start_summary_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
                               state_partitions=_state_partitions(spark))
     SS.run_once(q)
-    return spark.read.parquet(layout.summary).select("post_id").distinct()
+    return ST.read_stored(spark, layout.summary).groupBy("post_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("stream_two_sources")
+def q_stream_two_sources(spark, sf_dir):
+    """T5 + U1: two streams (documents of English and of other languages), each
+    with a checkpoint of its own, into one layout; the callback sees each micro-batch.
+    The ids stored, which must be those of both streams, and the rows the callbacks saw."""
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_two")
+    seen = scratch_path(spark, f"seen-{_uuid.uuid4().hex}")
+    for i, keep in enumerate((F.col("lang") == "en", ~F.col("lang").eqNullSafe("en"))):
+        src = scratch_path(spark, f"docs-stream-{_uuid.uuid4().hex}")
+        D.documents_raw(spark, sf_dir, extra=("lang",)).filter(keep).drop("lang").write.parquet(src)
+        s = SS.standardize_stream(SS.post_stream(spark, src, spark.read.parquet(src).schema), key_fn="md5")
+        q = SS.start_post_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True, key_fn="md5",
+                               callback=lambda b, _: b.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(seen),
+                               state_partitions=_state_partitions(spark))
+        SS.run_once(q)
+    ids = ST.load_posts(spark, layout).agg(F.count_distinct("id").alias("stored_ids"))
+    u = ids.unionByName(spark.read.parquet(seen).agg(F.sum("n").alias("seen")), allowMissingColumns=True)
+    return u.agg(F.max("stored_ids").alias("stored_ids"), F.max("seen").alias("seen"))
+
+
+@register("tab_dimension")
+def q_tab_dimension(spark, sf_dir):
+    """The configured tabs and the sources that the documents add, in order."""
+    return TB.source_tabs(spark, sf_dir).select("tab", "tab_rank", "description")
+
+
+@register("timestamps_shown")
+def q_timestamps_shown(spark, sf_dir):
+    """P11 + K6: event times as reports show them, and the job name of each time's second."""
+    from ..functions import format_timestamp
+    e = read_table(spark, sf_dir, "events")
+    return e.select("event_id", format_timestamp(F.col("ts").cast("timestamp")).alias("shown"),
+                    F.date_format(F.col("ts").cast("timestamp"), "'run_'yyyyMMdd_HHmmss").alias("job"))
+
+
+@register("discussions_json")
+def q_discussions_json(spark, sf_dir):
+    """The nested record of each of the top 10 discussions, as JSON."""
+    p, s = _posts_summ(spark, sf_dir, engage=True)
+    t = A.top_discussions(A.ensure_post_columns(p), s, 10)
+    return t.select(F.col("rank").cast("long").alias("rank"), F.to_json(A.discussion_struct()).alias("record"))
+
+
+@register("envelope_import")
+def q_envelope_import(spark, sf_dir):
+    """S1 + S3 + P16 + A1: documents written as JSON envelopes of at most 500
+    records, some with planted faults, imported, saved, and their symbols counted: valid
+    records by tab, rejected ones by reason, mentions by symbol."""
+    path = scratch_path(spark, f"envelopes-{_uuid.uuid4().hex}")
+    D.write_envelopes(spark, sf_dir, path)
+    valid, rejected = ST.read_envelopes(spark, f"{path}/*/*", "posts")
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_import")
+    ST.save_posts(valid, layout)
+    stored = ST.load_posts(spark, layout)
+    none = spark.createDataFrame([], "post_id string, sentiment string, companies array<string>, tab_rank int, ingest_seq bigint")
+    m = A.stock_mentions(stored, none)
+    return (valid.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).select(F.lit("valid").alias("kind"), F.col("tab").alias("key"), "n")
+            .unionByName(stored.groupBy("tab").agg(F.count_distinct("content_hash").alias("n")).select(
+                F.lit("stored").alias("kind"), F.col("tab").alias("key"), "n"))
+            .unionByName(rejected.select(F.explode("reasons").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(
+                F.lit("rejected").alias("kind"), "key", "n"))
+            .unionByName(m.select(F.lit("symbol").alias("kind"), F.col("symbol").alias("key"), F.col("mention_count").alias("n"))))
 
 
 @register("report_json")
@@ -631,16 +717,17 @@ def q_report_json(spark, sf_dir):
     p, s, stats, end = _report_inputs(spark, sf_dir, materialize=True)
     e = end.first()["e"]
     path = scratch_path(spark, f"report-json-{_uuid.uuid4().hex}")
-    RP.write_report_json(p, s, stats, path, F.lit("run_report"), F.lit(e))
+    RP.write_report_json(p, s, stats, path, F.lit("run_report"), F.lit(e), texts=_texts(spark, sf_dir))
     doc = spark.read.json(f"{path}/summary").select(
         "total_posts_collected", "total_unique_posts", "total_posts_summarized",
         F.size("top_discussions").cast("long").alias("discussions"),
         F.size(F.json_object_keys(F.to_json("tab_statistics"))).cast("long").alias("tabs"))
     n_sym = spark.read.json(f"{path}/stock_mentions").select(F.lit(1).alias("_sym"))
-    n_th = spark.read.json(f"{path}/themes").select(F.lit(1).alias("_th"))
+    n_th = spark.read.json(f"{path}/themes").select(F.lit(1).alias("_th"), F.size("related_stocks").alias("_rel"))
     u = doc.unionByName(n_sym, allowMissingColumns=True).unionByName(n_th, allowMissingColumns=True)
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in doc.columns],
-                 F.count("_sym").alias("stock_records"), F.count("_th").alias("theme_records"))
+                 F.count("_sym").alias("stock_records"), F.count("_th").alias("theme_records"),
+                 F.sum(F.greatest("_rel", F.lit(0))).cast("long").alias("related_stocks"))
 
 
 @register("conversation_posts")

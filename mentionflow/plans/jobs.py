@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import DEFAULT_MAX_POSTS, DEFAULT_MODEL_NAME, REPORT_FILENAME
+from ..functions.lexicons import DEFAULT_MODEL_NAME, REPORT_FILENAME
 from ..operators import analytics as A
 from ..operators.enrich import respond_with, summarize
 from ..operators.standardize import standardize_posts
@@ -23,14 +23,17 @@ from ..sources import tabs as TB
 from . import report as RP
 
 
-def capture_job(raw: DataFrame, layout: ST.JobLayout, max_per_tab: int | None = DEFAULT_MAX_POSTS,
+def capture_job(raw: DataFrame, layout: ST.JobLayout, max_per_tab: int | None = None,
                 tabs: list[str] | None = None, key_fn: str = "xxh64") -> int:
     """``raw`` has ``raw_text, tab, tab_rank, ingest_seq`` (+ optional author,
-    created_at, engagement columns). Returns the number of posts added."""
+    created_at, engagement columns). ``max_per_tab`` (no cap by default) counts
+    the posts stored before. Returns the number of posts added."""
     if tabs:
         raw = TB.filter_tabs(raw, tabs)
-    posts = standardize_posts(raw, key_fn=key_fn, max_per_tab=max_per_tab)
-    return ST.save_posts(posts, layout)
+    stored = ST.load_posts(raw.sparkSession, layout) if max_per_tab else None
+    posts = standardize_posts(raw, key_fn=key_fn, max_per_tab=max_per_tab,
+                              taken=None if stored is None else stored.select("id", "tab"))
+    return ST.save_posts(posts, layout, key_fn=key_fn)
 
 
 def enrich_job(spark: SparkSession, layout: ST.JobLayout, responses: DataFrame | None = None,
@@ -47,7 +50,7 @@ def enrich_job(spark: SparkSession, layout: ST.JobLayout, responses: DataFrame |
         return 0
     done = ST.read_stored(spark, layout.summary)
     if done is not None:
-        posts = posts.join(done.select(F.col("post_id").alias("id")).distinct(), "id", "left_anti")
+        posts = posts.join(done.select(F.col("post_id").alias("id"), "tab").distinct(), ["id", "tab"], "left_anti")
     if responder is not None:
         answered = ST.read_stored(spark, layout.responses)
         todo = posts if answered is None else posts.join(
@@ -69,6 +72,8 @@ def report_job(spark: SparkSession, layout: ST.JobLayout, tab_dim: DataFrame | N
                                               "original_text_preview string")
     dim = tab_dim if tab_dim is not None else TB.tab_dimension(spark)
     raw_tabs = raw.select("tab") if raw is not None else posts.select("tab")
+    extra = posts.select("tab").distinct().join(dim.select("tab"), "tab", "left_anti")
+    dim = dim.unionByName(extra, allowMissingColumns=True)  # stored tabs that are not configured
     stats = A.tab_statistics(raw_tabs, posts, summaries, dim)
     end = F.current_timestamp()
     lines = RP.report_lines(posts, summaries, stats, job_end=end, job_name=F.lit(layout.job_name))

@@ -400,8 +400,8 @@ SELECT ingest_seq AS doc_id, content_hash IN (SELECT content_hash FROM stored) A
 
 ORACLE["new_summaries"] = f"""
 WITH {POSTS_CTE}, {SUMM_CTE},
-st AS (SELECT DISTINCT post_id FROM summ WHERE ingest_seq IN (SELECT doc_id FROM labels WHERE quality = 1))
-SELECT post_id, ingest_seq AS doc_id FROM summ WHERE post_id NOT IN (SELECT post_id FROM st)"""
+st AS (SELECT DISTINCT post_id, tab FROM summ WHERE ingest_seq IN (SELECT doc_id FROM labels WHERE quality = 1))
+SELECT post_id, ingest_seq AS doc_id FROM summ WHERE (post_id, tab) NOT IN (SELECT (post_id, tab) FROM st)"""
 
 # ------------------------------------------------------------ aggregates
 ORACLE["stock_names"] = f"""
@@ -485,7 +485,7 @@ eng AS (SELECT user_id,
    FROM events GROUP BY user_id),
 pe AS (SELECT p.*, coalesce(e.like_count, 0) AS like_count, coalesce(e.comment_count, 0) AS comment_count,
               coalesce(e.retweet_count, 0) AS retweet_count, coalesce(e.view_count, 0) AS view_count, e.created_at
-       FROM posts p LEFT JOIN eng e ON p.ingest_seq % 150 = e.user_id)
+       FROM posts p LEFT JOIN eng e ON p.ingest_seq % (SELECT coalesce(max(user_id) + 1, 1) FROM events) = e.user_id)
 """
 
 ORACLE["top_discussions"] = f"""
@@ -497,10 +497,25 @@ SELECT CAST(t.rank AS BIGINT) AS rank, t.id, t.tab, t.engagement, t.like_count,
 FROM top t LEFT JOIN last_summ s ON t.id = s.post_id"""
 
 # ------------------------------------------------------ tabs and pages
+TABS_CTE = """tabs AS (
+  SELECT 'src' || CAST(i AS VARCHAR) AS tab, CAST(i AS INTEGER) AS tab_rank, 'source ' || i AS description FROM range(24) t(i)
+  UNION ALL SELECT DISTINCT source, CAST(substr(source, 4) AS INTEGER), source FROM documents
+  WHERE source NOT IN (SELECT 'src' || CAST(i AS VARCHAR) FROM range(24) t(i)))"""
+LOG_CTE = """log AS (SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS tab, ts AS seen_at, event_type = 'error' AS error FROM events),
+lg AS (SELECT tab, date_diff('microsecond', min(seen_at), max(seen_at)) / 1e6 AS secs, count(*) FILTER (WHERE error) AS errors FROM log GROUP BY tab)"""
+
+ORACLE["tab_dimension"] = f"""WITH {TABS_CTE} SELECT tab, tab_rank, description FROM tabs"""
+
 ORACLE["tab_stats"] = f"""
 WITH {POSTS_CTE}, {SUMM_CTE}, {ENGAGE_CTE},
-tabs AS (SELECT 'src' || CAST(i AS VARCHAR) AS tab, i AS tab_rank FROM range(24) t(i)),
+{TABS_CTE},
 rc AS (SELECT source AS tab, count(*) AS total_posts FROM documents GROUP BY source),
+ca AS (SELECT tab, count(*) AS candidates FROM cand WHERE length(text) > 0 GROUP BY tab),
+{LOG_CTE},
+th AS (SELECT tab, lang AS theme FROM summ UNION ALL SELECT tab, unnest({sectors_sql('text', TEST_SECTOR_KEYWORDS)}) FROM summ),
+tc AS (SELECT tab, theme, count(*) AS n FROM th GROUP BY ALL),
+tt AS (SELECT tab, string_agg(theme, '|' ORDER BY rk) AS top_themes FROM
+        (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY n DESC, theme) AS rk FROM tc) WHERE rk <= 3 GROUP BY tab),
 j AS (SELECT pe.*, CASE WHEN s.sentiment IN ('positive', 'negative') THEN s.sentiment ELSE 'neutral' END AS cls
       FROM pe LEFT JOIN last_summ s ON pe.id = s.post_id),
 k AS (SELECT tab, count(*) AS valid_posts,
@@ -513,29 +528,35 @@ tp AS (SELECT tab, string_agg(symbol, '|' ORDER BY rk) AS top_stocks FROM
         (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY n DESC, symbol) AS rk FROM sc) WHERE rk <= 3 GROUP BY tab)
 SELECT t.tab, coalesce(rc.total_posts, 0) AS total_posts, coalesce(k.valid_posts, 0) AS valid_posts,
   coalesce(rc.total_posts, 0) - coalesce(k.valid_posts, 0) AS dropped_posts,
+  coalesce(ca.candidates, 0) - coalesce(k.valid_posts, 0) AS duplicate_posts,
   CAST(coalesce(k.pos, 0) AS BIGINT) AS positive_posts, CAST(coalesce(k.neu, 0) AS BIGINT) AS neutral_posts,
   CAST(coalesce(k.neg, 0) AS BIGINT) AS negative_posts, coalesce(tp.top_stocks, '') AS top_stocks,
+  coalesce(tt.top_themes, '') AS top_themes,
   strftime(k.e, '%Y-%m-%d %H:%M:%S') AS earliest_post, strftime(k.l, '%Y-%m-%d %H:%M:%S') AS latest_post,
-  CAST(0.0 AS DOUBLE) AS crawl_duration_seconds, CAST(0 AS BIGINT) AS errors_count
-FROM tabs t LEFT JOIN rc ON t.tab = rc.tab LEFT JOIN k ON t.tab = k.tab LEFT JOIN tp ON t.tab = tp.tab"""
+  round(coalesce(lg.secs, 0.0), 6) AS crawl_duration_seconds, coalesce(lg.errors, 0) AS errors_count
+FROM tabs t LEFT JOIN ca ON t.tab = ca.tab LEFT JOIN tt ON t.tab = tt.tab LEFT JOIN lg ON t.tab = lg.tab LEFT JOIN rc ON t.tab = rc.tab LEFT JOIN k ON t.tab = k.tab LEFT JOIN tp ON t.tab = tp.tab"""
 
 ORACLE["tab_counts"] = f"""
 WITH {POSTS_CTE}
 SELECT tab, count(*) AS n FROM posts GROUP BY ROLLUP (tab)"""
 
 ORACLE["run_summary"] = f"""
-WITH {POSTS_CTE}, {SUMM_CTE}
+WITH {POSTS_CTE}, {SUMM_CTE}, {TABS_CTE}, {LOG_CTE}
 SELECT (SELECT count(*) FROM posts) AS total_posts, (SELECT count(*) FROM summ) AS total_summaries,
-       CAST(24 AS BIGINT) AS tabs_crawled, CAST(0.0 AS DOUBLE) AS duration_seconds, CAST(0 AS BIGINT) AS errors"""
+       (SELECT count(*) FROM tabs) AS tabs_crawled,
+       (SELECT round(date_diff('microsecond', min(seen_at), max(seen_at)) / 1e6, 6) FROM log) AS duration_seconds,
+       (SELECT count(*) FROM log WHERE error) AS errors"""
 
-_BLOCK = "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in ("p", "h1", "li"))
+_TAG = r"(?i)</?(?:p|h1|li)(?:\s[^>]*)?>"
 ORACLE["page_posts"] = f"""
 WITH b0 AS (SELECT page_id, regexp_extract(url, '/([a-z]{{2}})/', 1) AS tab,
-                   regexp_extract_all(html, {_q(_BLOCK)}) AS blocks FROM pages),
-b1 AS (SELECT page_id, tab, unnest(blocks) AS block, unnest(range(len(blocks))) AS pos FROM b0),
-b2 AS (SELECT page_id, tab, pos, regexp_replace(block, '<[^>]+>', '', 'g') AS raw_text FROM b1),
-c AS (SELECT page_id, tab, pos, page_id * 1000000 + pos AS ingest_seq, {clean('raw_text')} AS text
-      FROM b2 WHERE length(raw_text) >= 5),
+                   regexp_split_to_array(coalesce(html, ''), {_q(_TAG)}) AS runs, regexp_extract_all(coalesce(html, ''), {_q(_TAG)}) AS marks FROM pages),
+b1 AS (SELECT page_id, tab, unnest(runs) AS run, unnest(range(len(runs))) AS pos, marks FROM b0),
+b2 AS (SELECT page_id, tab, pos, run, sum(CASE WHEN pos = 0 THEN 0 WHEN marks[pos] LIKE '</%' THEN -1 ELSE 1 END)
+         OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM b1),
+b3 AS (SELECT page_id, tab, pos, regexp_replace(run, '<[^>]+>', '', 'g') AS raw_text FROM b2 WHERE depth > 0),
+c AS (SELECT page_id, tab, pos, page_id * 2147483648 + pos AS ingest_seq, {clean('raw_text')} AS text
+      FROM b3 WHERE length(raw_text) >= 5),
 k AS (SELECT *, {md5key('text')} AS id FROM c
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingest_seq) = 1)
 SELECT page_id, pos, id, tab, text, {joined(URL_SQL.format(t='text'))} AS urls FROM k WHERE length(text) > 0 AND length(tab) > 0"""
@@ -568,24 +589,127 @@ SELECT 5 AS section_no, CAST(0 AS BIGINT) AS item_no, CAST(line_no AS BIGINT) AS
   UNION ALL SELECT 4, '📉 **Negative:** ' || negative || ' posts' FROM o
   UNION ALL SELECT 5, '')"""
 
-ORACLE["report_tabs"] = f"""
-WITH {POSTS_CTE},
-tabs AS (SELECT 'src' || CAST(i AS VARCHAR) AS tab, i AS tab_rank FROM range(24) t(i)),
-k AS (SELECT tab, count(*) AS valid_posts FROM posts GROUP BY tab)
-{_static_sql(8, ["## Data Collection Statistics", "", "| Tab | Posts | Duration (s) | Errors |", "|-----|-------|--------------|--------|"])}
-UNION ALL
-SELECT 8, CAST(t.tab_rank + 1 AS BIGINT), CAST(0 AS BIGINT), '| ' || t.tab || ' | ' || coalesce(k.valid_posts, 0) || ' | 0.0 | 0 |'
-FROM tabs t LEFT JOIN k ON t.tab = k.tab
+def _row_sql(section: int, item: str, exprs: list[str], source: str) -> str:
+    """Lines of each row of ``source``; NULL lines are left out."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM (SELECT {section} AS section_no, CAST({item} AS BIGINT) AS item_no, CAST({i} AS BIGINT) AS line_no, {e} AS line FROM {source}) "
+        f"WHERE line IS NOT NULL" for i, e in enumerate(exprs))
+
+
+STATS_CTE = f"""{TABS_CTE}, {LOG_CTE}, vp AS (SELECT tab, count(*) AS n FROM posts GROUP BY tab),
+stats AS (SELECT t.tab, t.tab_rank, coalesce(vp.n, 0) AS n, coalesce(lg.secs, 0.0) AS secs, coalesce(lg.errors, 0) AS errors
+  FROM tabs t LEFT JOIN vp ON t.tab = vp.tab LEFT JOIN lg ON t.tab = lg.tab)"""
+_R8 = f"""{_static_sql(8, ["## Data Collection Statistics", "", "| Tab | Posts | Duration (s) | Errors |", "|-----|-------|--------------|--------|"])}
+UNION ALL {_row_sql(8, 'tab_rank + 1', ["'| ' || tab || ' | ' || n || ' | ' || printf('%.1f', secs) || ' | ' || errors || ' |'"], 'stats')}
 UNION ALL {_static_sql(8, [""], 1000000)}"""
+ORACLE["report_tabs"] = f"WITH {POSTS_CTE}, {STATS_CTE} {_R8}"
+
+_ICON = "CASE {x} WHEN 'positive' THEN '📈' WHEN 'negative' THEN '📉' ELSE '➡️' END"
+_TREND = "CASE WHEN positive > negative * 1.5 THEN 'up' WHEN negative > positive * 1.5 THEN 'down' ELSE 'stable' END"
+from ..functions.lexicons import REPORT_FOOTER, REPORT_SOURCE_LINE, REPORT_TITLE, TREND_ICONS  # noqa: E402
+
+
+def _slot(template: str, value: str) -> str:
+    head, _, rest = template.partition("{")
+    return f"{_q(head)} || {value} || {_q(rest.partition('}')[2])}"
+
+
+_BAR = "repeat('█', CAST(floor({x} / mention_count * 20) AS INTEGER))"
+_DISC = "t.like_count, t.comment_count, t.retweet_count"
+_REPORT = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {A1_CTE}, {THEME_CTE}, {ENGAGE_CTE}, {STATS_CTE}, o AS ({OVERALL}),
+o2 AS (SELECT *, positive + neutral + negative AS tot FROM o),
+fin AS (SELECT max(ts) AS e FROM events),
+totals AS (SELECT (SELECT count(*) FROM posts) AS a, (SELECT count(DISTINCT {md5key("text || ':' || '' || ':' || tab")}) FROM posts) AS b,
+                  (SELECT count(*) FROM summ) AS c, strftime(e, '%Y-%m-%d %H:%M:%S') AS shown, strftime(e, 'run_%Y%m%d_%H%M%S') AS job FROM fin),
+tha AS (SELECT theme, count(*) AS n, sum(CASE WHEN cls = 'positive' THEN 1 ELSE 0 END) AS positive,
+   sum(CASE WHEN cls = 'neutral' THEN 1 ELSE 0 END) AS neutral, sum(CASE WHEN cls = 'negative' THEN 1 ELSE 0 END) AS negative,
+   min({{'r': tab_rank, 's': ingest_seq, 't': tpos}}) AS first_pos FROM tr GROUP BY theme),
+thr AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_pos, theme) AS rank, {_TREND} AS trend FROM tha QUALIFY rank <= 15),
+q1 AS (SELECT theme, preview FROM tr QUALIFY row_number() OVER (PARTITION BY theme ORDER BY tab_rank, ingest_seq, tpos) = 1),
+rel AS (SELECT theme, string_agg(ticker, ', ' ORDER BY ticker) AS stocks FROM (
+   SELECT theme, ticker, row_number() OVER (PARTITION BY theme ORDER BY ticker) AS rn FROM (
+     SELECT DISTINCT theme, ticker FROM (SELECT theme, unnest(tickers) AS ticker FROM tr))) WHERE rn <= 5 GROUP BY theme),
+tq AS (SELECT thr.*, q1.preview, rel.stocks FROM thr LEFT JOIN q1 USING (theme) LEFT JOIN rel USING (theme)),
+st AS (SELECT *, row_number() OVER (ORDER BY mention_count DESC, first_pos, symbol) AS rank,
+   CASE WHEN positive_mentions > negative_mentions * 1.5 THEN 'positive' WHEN negative_mentions > positive_mentions * 1.5 THEN 'negative' ELSE 'neutral' END AS mood,
+   CASE WHEN positive_mentions + negative_mentions = 0 THEN 0.5 ELSE positive_mentions / (positive_mentions + negative_mentions) END AS ratio
+   FROM agg QUALIFY rank <= 20),
+sc AS (SELECT *, CAST(like_count + comment_count * 2 + retweet_count * 3 AS BIGINT) AS engagement FROM pe),
+td AS (SELECT *, row_number() OVER (ORDER BY engagement DESC, tab_rank, ingest_seq) AS rank FROM sc QUALIFY rank <= 10),
+disc AS (SELECT t.*, s.sentiment FROM td t LEFT JOIN last_summ s ON t.id = s.post_id),
+lines AS (
+{_row_sql(1, '0', [_slot(REPORT_TITLE, 'job'), "''", "'**Generated:** ' || shown", "'**Total Posts Collected:** ' || format('{:,}', a)",
+                   "'**Unique Posts:** ' || format('{:,}', b)", "'**Posts Summarized:** ' || format('{:,}', c)", "''"], 'totals')}
+UNION ALL {_row_sql(2, '0', ["'## Executive Summary'", "''",
+    "CASE WHEN tot > 0 THEN 'Overall market sentiment is **' || CASE WHEN positive > negative THEN 'bullish' WHEN negative > positive THEN 'bearish' ELSE 'mixed' END || '** with ' "
+    "|| printf('%.1f', positive / tot * 100.0) || '% positive, ' || printf('%.1f', negative / tot * 100.0) || '% negative, and ' || printf('%.1f', neutral / tot * 100.0) || '% neutral discussions.' END",
+    "''"], 'o2')}
+UNION ALL {_static_sql(3, ["## Key Discussion Points", ""])}
+UNION ALL {_row_sql(3, 'rank', ["rank || '. **' || theme || '** (' || n || ' mentions) ' || " + _ICON.format(x="CASE trend WHEN 'up' THEN 'positive' WHEN 'down' THEN 'negative' ELSE 'neutral' END"),
+    "'   - *\"' || (" + truncate_sql('preview', 100) + ") || '\"*'"], '(SELECT * FROM tq WHERE rank <= 10)')}
+UNION ALL {_static_sql(3, [""], 1000000)}
+UNION ALL {_static_sql(4, ["## Most Discussed Stocks", "", "| Rank | Symbol | Mentions | Sentiment | Bullish | Bearish | Neutral |", "|------|--------|----------|-----------|---------|---------|---------|"])}
+UNION ALL {_row_sql(4, 'rank', ["'| ' || rank || ' | ' || symbol || ' | ' || mention_count || ' | ' || " + _ICON.format(x='mood') + " || ' | ' || positive_mentions || ' | ' || negative_mentions || ' | ' || neutral_mentions || ' |'"], 'st')}
+UNION ALL {_static_sql(4, [""], 1000000)}
+UNION ALL {_row_sql(5, '0', ["'## Sentiment Distribution'", "''", "'📈 **Positive:** ' || positive || ' posts'", "'➡️ **Neutral:** ' || neutral || ' posts'", "'📉 **Negative:** ' || negative || ' posts'", "''"], 'o')}
+UNION ALL {_static_sql(6, ["## Investment Themes & Sectors", ""])}
+UNION ALL {_row_sql(6, 'rank', ["'### ' || theme || ' ' || CASE trend WHEN 'up' THEN " + _q(TREND_ICONS['up']) + " WHEN 'down' THEN " + _q(TREND_ICONS['down']) + " ELSE " + _q(TREND_ICONS['stable']) + " END",
+    "'- **Mentions:** ' || n", "'- **Related Stocks:** ' || stocks", "'- **Sentiment:** Positive ' || positive || ', Negative ' || negative || ', Neutral ' || neutral", "''"], 'tq')}
+UNION ALL {_static_sql(7, ["## Representative Discussions (Verbatim Quotes)", ""])}
+UNION ALL {_row_sql(7, 'rank', ["'### Discussion #' || rank", "'**Tab:** ' || tab || ' | **Author:** None'", "CASE WHEN len(symbols) > 0 THEN '**Stocks Mentioned:** ' || array_to_string(symbols, ', ') END",
+    "'**Sentiment:** ' || sentiment", "''", "'> ' || text", "''", "'*👍 ' || like_count || ' | 💬 ' || comment_count || ' | 🔄 ' || retweet_count || '*'", "NULL", "''", "'---'", "''"], 'disc')}
+UNION ALL {_R8}
+UNION ALL {_static_sql(9, ["## Detailed Stock Analysis", ""])}
+UNION ALL {_row_sql(9, 'rank', ["'### ' || symbol", "'**Total Mentions:** ' || mention_count", "'**Sentiment Ratio:** ' || printf('%.1f', ratio * 100.0) || '% bullish'", "''", "'```'",
+    "'Bullish:  ' || " + _BAR.format(x='positive_mentions') + " || ' (' || positive_mentions || ')'", "'Bearish:  ' || " + _BAR.format(x='negative_mentions') + " || ' (' || negative_mentions || ')'",
+    "'Neutral:  ' || " + _BAR.format(x='neutral_mentions') + " || ' (' || neutral_mentions || ')'", "'```'", "''"], '(SELECT * FROM st WHERE rank <= 10)')}
+UNION ALL {_row_sql(10, '0', ["'---'", "''", _q(REPORT_FOOTER), _slot(REPORT_SOURCE_LINE, 'shown')], 'totals')})
+"""
+ORACLE["report_lines"] = _REPORT + "SELECT section_no, item_no, line_no, line FROM lines"
+ORACLE["report_file"] = _REPORT + """SELECT CAST(row_number() OVER (ORDER BY section_no, item_no, line_no) - 1 AS BIGINT) AS line_no, line FROM lines"""
+
+ORACLE["timestamps_shown"] = """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime(ts, 'run_%Y%m%d_%H%M%S') AS job FROM events"""
+
+ORACLE["discussions_json"] = f"""
+WITH {POSTS_CTE}, {SUMM_CTE}, {ENGAGE_CTE},
+sc AS (SELECT *, CAST(like_count + comment_count * 2 + retweet_count * 3 AS BIGINT) AS engagement FROM pe),
+top AS (SELECT *, row_number() OVER (ORDER BY engagement DESC, tab_rank, ingest_seq) AS rank FROM sc QUALIFY rank <= 10)
+SELECT CAST(t.rank AS BIGINT) AS rank, CAST(CASE WHEN s.post_id IS NULL
+    THEN to_json({{'id': t.id, 'tab': t.tab, 'text': t.text, 'symbols': t.symbols, 'engagement': {{'likes': t.like_count, 'comments': t.comment_count, 'retweets': t.retweet_count}}}})
+    ELSE to_json({{'id': t.id, 'tab': t.tab, 'text': t.text, 'symbols': t.symbols, 'engagement': {{'likes': t.like_count, 'comments': t.comment_count, 'retweets': t.retweet_count}},
+                   'sentiment': s.sentiment, 'summary': 'Labelled ' || s.lang || ' post'}}) END AS VARCHAR) AS record
+FROM top t LEFT JOIN last_summ s ON t.id = s.post_id"""
+
+ORACLE["enrich_udf"] = f"""
+WITH {POSTS_CTE}, n AS (SELECT id, text, length('Post content:' || chr(10) || chr(10) || text) AS n FROM posts),
+f AS (SELECT id, n, {fallback_cols('text', '[]', SENTIMENT_KEYWORDS, SECTOR_KEYWORDS)} FROM n)
+SELECT id AS post_id, CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN 'fallback' ELSE {_q(DEFAULT_MODEL_NAME)} END AS model_used,
+  CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN fb_label WHEN n % 3 = 0 THEN 'positive' WHEN n % 3 = 1 THEN 'negative' ELSE 'neutral' END AS sentiment
+FROM f"""
+
+ORACLE["envelope_import"] = f"""
+WITH d AS (SELECT doc_id, source AS tab, {TAIL} AS text, doc_id % 11 AS k FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+ok AS (SELECT * FROM d WHERE k NOT IN (1, 2, 3, 4, 5, 9, 10)),
+st AS (SELECT tab, text FROM ok GROUP BY ALL),
+sy AS (SELECT unnest({symbols('text')}) AS symbol FROM st)
+SELECT 'valid' AS kind, tab AS key, count(*) AS n FROM ok GROUP BY tab
+UNION ALL SELECT 'stored', tab, count(*) FROM st GROUP BY tab
+UNION ALL SELECT 'rejected', CASE k WHEN 3 THEN 'negative_like_count' WHEN 4 THEN 'missing_text' WHEN 9 THEN 'wrong_type_tab'
+  WHEN 5 THEN 'wrong_type_symbols' WHEN 10 THEN 'wrong_type_symbols' ELSE 'wrong_type_like_count' END AS r, count(*)
+  FROM d WHERE k IN (1, 2, 3, 4, 5, 9, 10) GROUP BY r
+UNION ALL SELECT 'symbol', symbol, count(*) FROM sy GROUP BY symbol"""
 
 # ---------------------------------------------------- store and streams
 ORACLE["roundtrip_store"] = f"""
 WITH {POSTS_CTE}
-SELECT tab, count(*) AS rows, count(*) AS new_first, CAST(0 AS BIGINT) AS new_second FROM posts GROUP BY tab"""
+SELECT tab, count(*) AS rows, count(*) AS new_first, CAST(0 AS BIGINT) AS new_second, CAST(2 AS BIGINT) AS saves,
+  count(*) AS total_rows FROM posts GROUP BY tab"""
 
 ORACLE["roundtrip_summaries"] = f"""
 WITH {POSTS_CTE}, {SUMM_CTE}
-SELECT tab, count(*) AS rows FROM summ GROUP BY tab"""
+SELECT tab, count(*) AS rows, count(*) AS rows_overwritten FROM summ GROUP BY tab"""
 
 ORACLE["roundtrip_json"] = f"""
 WITH {POSTS_CTE}
@@ -593,25 +717,32 @@ SELECT tab, count(*) AS rows, count(DISTINCT {md5key("text || ':' || '' || ':' |
 
 ORACLE["stream_dedup"] = f"""
 WITH {POSTS_CTE}
-SELECT id FROM posts"""
+SELECT id, CAST(1 AS BIGINT) AS rows FROM posts"""
 
 ORACLE["stream_summaries"] = f"""
 WITH {POSTS_CTE}
-SELECT id AS post_id FROM posts"""
+SELECT id AS post_id, CAST(1 AS BIGINT) AS rows FROM posts"""
+
+ORACLE["stream_two_sources"] = f"""
+WITH {POSTS_CTE}
+SELECT (SELECT count(DISTINCT id) FROM keyed) AS stored_ids,
+  CAST((SELECT count(DISTINCT id) FROM keyed WHERE lang = 'en') + (SELECT count(DISTINCT id) FROM keyed WHERE lang <> 'en') AS BIGINT) AS seen"""
+
 
 ORACLE["report_json"] = f"""
-WITH {POSTS_CTE}, {SUMM_CTE}, {THEME_CTE}
+WITH {POSTS_CTE}, {SUMM_CTE}, {THEME_CTE}, {TABS_CTE}
 SELECT (SELECT count(*) FROM posts) AS total_posts_collected,
        (SELECT count(DISTINCT {md5key("text || ':' || '' || ':' || tab")}) FROM posts) AS total_unique_posts,
        (SELECT count(*) FROM summ) AS total_posts_summarized,
        CAST(least(10, (SELECT count(*) FROM posts)) AS BIGINT) AS discussions,
-       CAST(24 AS BIGINT) AS tabs,
+       (SELECT count(*) FROM tabs) AS tabs,
        (SELECT count(DISTINCT s) FROM (SELECT unnest(symbols) AS s FROM posts)) AS stock_records,
-       (SELECT count(DISTINCT theme) FROM tr) AS theme_records"""
+       (SELECT count(DISTINCT theme) FROM tr) AS theme_records,
+       (SELECT count(DISTINCT (theme, ticker)) FROM (SELECT theme, unnest(tickers) AS ticker FROM tr)) AS related_stocks"""
 
 ORACLE["conversation_posts"] = f"""
 WITH c AS (SELECT role AS tab, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS tab_rank,
-                  conv_id * 100000 + turn AS ingest_seq, {clean('text')} AS text
+                  conv_id * 2147483648 + turn AS ingest_seq, {clean('text')} AS text
            FROM conversations WHERE length(text) >= 5),
 k AS (SELECT *, {md5key('text')} AS id FROM c
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY tab_rank, ingest_seq) = 1)

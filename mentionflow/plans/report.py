@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import format_number, sentiment_icon, truncate
-from ..functions.formatting import bar
+from ..functions.formatting import bar, format_timestamp
 from ..functions.lexicons import (QUOTE_LEN, REPORT_FOOTER, REPORT_SOURCE_LINE, REPORT_TITLE,
                                   TREND_ICONS)
 from ..functions.sentiment import market_mood
@@ -62,12 +62,18 @@ def header(totals: DataFrame, job_name: Column, generated: Column, title: str =
         F.concat(F.lit("**Posts Summarized:** "), format_number("total_posts_summarized")), ""])
 
 
+def one_decimal(x: Column) -> Column:
+    """One digit after the point, a tie of the exact binary value to the even
+    digit (``format_number`` rounds so; ``%.1f`` would round ties up)."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
+
 def executive_summary(overall: DataFrame) -> DataFrame:
     """R2: mood sentence, omitted when there are no summaries."""
     tot = F.col("positive") + F.col("negative") + F.col("neutral")
 
     def pct(c):
-        return F.format_string("%.1f", F.col(c) / tot * 100.0)
+        return one_decimal(F.col(c) / tot * 100.0)
     sentence = F.when(tot > 0, F.concat(
         F.lit("Overall market sentiment is **"), market_mood("positive", "negative", "neutral"),
         F.lit("** with "), pct("positive"), F.lit("% positive, "), pct("negative"),
@@ -151,7 +157,7 @@ def tabs_section(stats: DataFrame) -> DataFrame:
                               "|-----|-------|--------------|--------|"])
     rows = _lines(stats, 8, F.col("tab_rank") + 1, [F.concat(
         F.lit("| "), F.col("tab"), F.lit(" | "), _s("valid_posts"), F.lit(" | "),
-        F.format_string("%.1f", F.col("crawl_duration_seconds")), F.lit(" | "), _s("errors_count"), F.lit(" |"))])
+        one_decimal(F.col("crawl_duration_seconds")), F.lit(" | "), _s("errors_count"), F.lit(" |"))])
     return head.unionByName(rows).unionByName(_static(spark, 8, [""], 1_000_000))
 
 
@@ -164,8 +170,8 @@ def stock_details(top_stocks: DataFrame, k: int = 10) -> DataFrame:
     body = _lines(t, 9, F.col("rank"), [
         F.concat(F.lit("### "), F.col("symbol")),
         F.concat(F.lit("**Total Mentions:** "), _s("mention_count")),
-        F.concat(F.lit("**Sentiment Ratio:** "), F.format_string("%.1f%%", F.col("sentiment_ratio") * 100.0),
-                 F.lit(" bullish")), "",
+        F.concat(F.lit("**Sentiment Ratio:** "), one_decimal(F.col("sentiment_ratio") * 100.0),
+                 F.lit("% bullish")), "",
         F.when(has, F.lit("```")),
         F.when(has, F.concat(F.lit("Bullish:  "), bar("positive_mentions", tot), F.lit(" ("), _s("positive_mentions"), F.lit(")"))),
         F.when(has, F.concat(F.lit("Bearish:  "), bar("negative_mentions", tot), F.lit(" ("), _s("negative_mentions"), F.lit(")"))),
@@ -182,12 +188,13 @@ def footer(spark, generated: Column, footer_line: str = REPORT_FOOTER,
 def report_lines(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
                  job_end: Column | None = None, job_name: Column | None = None,
                  title: str = REPORT_TITLE, footer_line: str = REPORT_FOOTER,
-                 source_line: str = REPORT_SOURCE_LINE) -> DataFrame:
+                 source_line: str = REPORT_SOURCE_LINE, texts: DataFrame | None = None) -> DataFrame:
     """All sections as ordered lines. ``job_end`` defaults to now; the
-    title and closing lines are parameters (``{…}`` marks the value slot)."""
+    title and closing lines are parameters (``{…}`` marks the value slot).
+    ``texts`` (id, text) is where R7 finds its ten texts if ``posts`` has none."""
     spark = posts.sparkSession
     end = job_end if job_end is not None else F.current_timestamp()
-    generated = F.date_format(end, "yyyy-MM-dd HH:mm:ss")
+    generated = format_timestamp(end)
     name = job_name if job_name is not None else F.date_format(end, "'run_'yyyyMMdd_HHmmss")
     totals = A.job_totals(posts, summaries)
     overall = A.overall_counts(summaries)
@@ -196,7 +203,7 @@ def report_lines(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
     quotes = A.theme_quotes(summaries, 3)
     related = A.theme_stock_lists(summaries, 5)
     top_stocks = A.top_stocks(posts, summaries, 20)
-    top = A.top_discussions(posts, summaries, 10)
+    top = A.top_discussions(posts, summaries, 10, texts)
     if "post_url" not in top.columns:
         top = top.withColumn("post_url", F.lit(None).cast("string"))
     if "author" not in top.columns:
@@ -212,11 +219,6 @@ def report_lines(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
     return out
 
 
-def render(lines: DataFrame) -> DataFrame:
-    """Lines in report order (bounded: a few hundred rows)."""
-    return lines.orderBy(*LINE_COLS[:3])
-
-
 def write_report(lines: DataFrame, path: str) -> str:
     """K3: one ordered Markdown text file (single partition: the report is
     bounded by its display limits)."""
@@ -226,7 +228,7 @@ def write_report(lines: DataFrame, path: str) -> str:
 
 
 def report_document(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
-                    job_name: Column, job_end: Column, top_k: int = 10) -> DataFrame:
+                    job_name: Column, job_end: Column, top_k: int = 10, texts: DataFrame | None = None) -> DataFrame:
     """The one-row part of the nested report: job, totals, overall
     sentiment, per-tab statistics (the tab dimension) and the top
     discussions (P27, k rows). Every list in it is bounded."""
@@ -236,7 +238,7 @@ def report_document(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
         F.lit("negative"), F.col("negative")).alias("overall_sentiment"))
     tabs = stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
         F.col("tab"), F.struct(*[F.col(c) for c in stats.columns if c != "tab_rank"]))))).alias("tab_statistics"))
-    top = A.top_discussions(posts, summaries, top_k)
+    top = A.top_discussions(posts, summaries, top_k, texts)
     for c in ("author", "post_url"):
         if c not in top.columns:
             top = top.withColumn(c, F.lit(None).cast("string"))
@@ -254,18 +256,18 @@ def report_document(posts: DataFrame, summaries: DataFrame, stats: DataFrame,
 
 
 def write_report_json(posts: DataFrame, summaries: DataFrame, stats: DataFrame, path: str,
-                      job_name: Column, job_end: Column) -> str:
+                      job_name: Column, job_end: Column, texts: DataFrame | None = None) -> str:
     """K4: ``path/summary`` (one JSON document: totals, tabs, top
     discussions) plus ``path/stock_mentions`` and ``path/themes`` as JSON
     Lines (one row per symbol / theme, written in parallel). A single
     document holding every symbol would funnel an unbounded list into one
     task, so those lists are separate parts of the same report."""
-    report_document(posts, summaries, stats, job_name, job_end).coalesce(1) \
+    report_document(posts, summaries, stats, job_name, job_end, texts=texts).coalesce(1) \
         .write.mode("overwrite").json(f"{path}/summary")
     m = A.stock_mentions(posts, summaries).join(A.stock_names(posts, summaries), "symbol", "left") \
         .join(A.stock_samples(posts, 5), "symbol", "left").drop("first_pos")
     m.write.mode("overwrite").json(f"{path}/stock_mentions")
     t = A.themes(summaries).join(A.theme_quotes(summaries, 3), "theme", "left") \
-        .join(A.theme_stock_lists(summaries, 5), "theme", "left").drop("first_pos")
+        .join(A.theme_stock_lists(summaries), "theme", "left").drop("first_pos")
     t.write.mode("overwrite").json(f"{path}/themes")
     return path

@@ -69,32 +69,3 @@ ENVELOPE_META_SUMMARIES = T.StructType([
     T.StructField("total_summaries", L), T.StructField("new_summaries_this_save", L),
     T.StructField("last_updated", S),
 ])
-
-
-def post_envelope_schema() -> T.StructType:
-    return T.StructType([
-        T.StructField("metadata", ENVELOPE_META_POSTS),
-        T.StructField("posts", T.ArrayType(POST)),
-        T.StructField("_corrupt_record", S),
-    ])
-
-
-def summary_envelope_schema() -> T.StructType:
-    return T.StructType([
-        T.StructField("metadata", ENVELOPE_META_SUMMARIES),
-        T.StructField("summaries", T.ArrayType(SUMMARY)),
-        T.StructField("_corrupt_record", S),
-    ])
-
-
-def conform(df, schema: T.StructType):
-    """Project ``df`` onto ``schema``: missing columns become typed NULLs."""
-    from pyspark.sql import functions as F
-    cols = []
-    have = set(df.columns)
-    for f in schema.fields:
-        if f.name in have:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)

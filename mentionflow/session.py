@@ -41,10 +41,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster names a shared folder in ``spark.checkpoint.dir``; use it.
 
-    Only when it is unset (local tests) do we create a scratch folder.
-    """
+    Only local runs may do without: they get a scratch folder of their own.
+    On a cluster an unset folder is an error, as its tasks share no other."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="mentionflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -67,37 +70,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read one table. ``spread=True`` is for text-heavy tables whose regex
-    work runs in the scan stage: when the files give fewer input splits than
-    there are task slots (one big row group, say), rebalance round-robin so
-    every slot gets text. Large inputs already have more splits than slots
-    and are left alone (no extra shuffle)."""
-    df = _read_cached(spark, os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_out(df) if spread else df
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that this library wrote (any Hadoop file system)."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # Connect: the folder's owner cleans it
+        return
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_READS: dict = {}
-
-
-def _read_cached(spark: SparkSession, path: str) -> DataFrame:
-    """Reuse the DataFrame of a table within a session (a plan, not data:
-    saves re-reading footers when one query touches a table several times)."""
-    key = (id(spark), path)
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _READS[key] = df
-    return df
-
-
-def spread_out(df: DataFrame) -> DataFrame:
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Connect): leave the layout alone
-        return df
-    return df.repartition(slots) if splits < slots else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table. Every call lists its files anew: rows that were
+    appended meanwhile are seen."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def recommended_conf(input_bytes: int, executor_memory_gb: float = 16.0, cores_per_executor: int = 4,

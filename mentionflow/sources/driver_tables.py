@@ -5,7 +5,7 @@
   function of the text itself (exact copies stay exact copies):
   `` $N(SH<len%97, 6 digits>)$`` and, when ``len % 3 == 0``, `` 600519.SH``.
   The second one makes a single symbol hold a third of all mentions.
-* engagement: ``events`` of user ``doc_id % 150``; click → like,
+* engagement: ``events`` of user ``doc_id % number of users``; click → like,
   signup → comment, purchase → retweet, view → view; first event = created_at.
 * summary: a ``labels`` row; toxic → negative, else quality → positive,
   else neutral; themes = [lang]; sectors from a test lexicon.
@@ -23,7 +23,6 @@ from ..functions.lexicons import TEST_SECTOR_KEYWORDS
 from ..operators.standardize import standardize_posts  # noqa: F401 (re-exported)
 from ..session import read_table
 
-N_USERS = 150
 TICKER_MOD = 97
 
 
@@ -41,7 +40,7 @@ def source_rank(src="source") -> F.Column:
 
 def documents_raw(spark: SparkSession, sf_dir: str, tickers: bool = True,
                   extra=()) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", spread=True)
+    d = read_table(spark, sf_dir, "documents")
     return d.select(
         (ticker_tail("text") if tickers else F.col("text")).alias("raw_text"),
         F.col("source").alias("tab"),
@@ -66,7 +65,9 @@ def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_engagement(posts: DataFrame, eng: DataFrame) -> DataFrame:
-    p = posts.withColumn("user_id", F.col("ingest_seq") % N_USERS)
+    # users are numbered from 0: the modulus comes from the data, so every event reaches a post
+    n = eng.agg(F.coalesce(F.max("user_id") + 1, F.lit(1))).scalar()
+    p = posts.withColumn("user_id", F.col("ingest_seq") % n)
     out = p.join(eng, on="user_id", how="left").drop("user_id")
     for c in ("like_count", "comment_count", "retweet_count", "view_count"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
@@ -156,12 +157,57 @@ def model_responses(posts_df: DataFrame) -> DataFrame:
                            tokens.alias("total_tokens"))
 
 
+def capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture log (tab, at, error): each event is an access of the tab that
+    its user reads; events of type ``error`` failed."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("tab"),
+                    F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("error"))
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, candidate) of every captured row; candidate: long enough, and not blank once cleaned."""
+    d = documents_raw(spark, sf_dir)
+    ok = F.coalesce((F.length("raw_text") >= 5) & (F.length(clean_text("raw_text")) > 0), F.lit(False))
+    return d.select("tab", ok.alias("candidate"))
+
+
 def conversations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second post feed: conversation turns; tab = role (user first),
     capture order = (conversation, turn)."""
-    c = read_table(spark, sf_dir, "conversations", spread=True)
+    c = read_table(spark, sf_dir, "conversations")
     return c.select(
         F.col("text").alias("raw_text"), F.col("role").alias("tab"),
         F.when(F.col("role") == "user", F.lit(0)).otherwise(F.lit(1)).alias("tab_rank"),
-        (F.col("conv_id") * F.lit(100000) + F.col("turn")).alias("ingest_seq"),
+        (F.col("conv_id") * F.lit(2 ** 31) + F.col("turn")).alias("ingest_seq"),
         F.lit(None).cast("string").alias("author"))
+
+
+def write_envelopes(spark: SparkSession, sf_dir: str, path: str, per_file: int = 500) -> None:
+    """Documents as ``posts_<tab>.json`` envelopes of at most ``per_file``
+    records, faults planted by ``doc_id % 11``: 1 a count that is a word, 2 a
+    null count, 3 a negative count, 4 no text, 5 a number among the symbols,
+    6 a count as a string of digits (accepted), 7 a stale content hash (computed
+    anew), 8 no counts at all (defaults), 9 a number for the tab, 10 a null list."""
+    d = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & F.col("source").isNotNull())
+    k = F.col("doc_id") % 11
+    text = ticker_tail("text")
+    count = F.when(k == 1, F.lit('"many"')).when(k == 2, F.lit("null")).when(k == 3, F.lit("-1")).when(k == 6, F.lit('"12"')).otherwise(
+        (F.col("doc_id") % 50).cast("string"))
+    symbols = F.when(k == 5, F.lit("[1]")).when(k == 10, F.lit("null")).otherwise(F.to_json(extract_symbols(text)))
+
+    def quoted(c):  # a JSON string
+        j = F.to_json(F.struct(c.alias("v")))
+        return F.substr(j, F.lit(6), F.length(j) - 6)
+    parts = [F.concat(F.lit('"id": "'), F.col("doc_id").cast("string"), F.lit('"')),
+             F.when(k != 4, F.concat(F.lit('"text": '), quoted(text))),
+             F.concat(F.lit('"tab": '), F.when(k == 9, F.lit("9")).otherwise(quoted(F.col("source")))),
+             F.when(k != 8, F.concat(F.lit('"like_count": '), count)),
+             F.concat(F.lit('"symbols": '), symbols),
+             F.when(k == 7, F.lit('"content_hash": "stale"'))]
+    rec = d.select(F.col("source").alias("tab"), F.floor(F.col("doc_id") / per_file).alias("part"), "doc_id",
+                   F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("r"))
+    one = rec.groupBy("tab", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "r"))), lambda x: x["r"]), ",\n").alias("body"))
+    env = one.select(F.concat(F.lit("posts_"), F.col("tab"), F.lit(".json")).alias("file"), F.concat(
+        F.lit('{"metadata": {"tab": "'), F.col("tab"), F.lit('"}, "posts": ['), F.col("body"), F.lit("]}")).alias("value"))
+    env.repartition("file", F.xxhash64("value")).write.option("maxRecordsPerFile", 1).partitionBy("file").text(path)

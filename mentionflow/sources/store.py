@@ -9,9 +9,14 @@ Native layout (Parquet, partitioned by tab)::
 
 Saves are idempotent: new posts are anti-joined on ``content_hash`` against
 what is stored (and de-duplicated inside the batch), summaries on
-``post_id``; a replayed save adds nothing. Each save stamps its rows with a
-``save_id``; counts are read back from committed files, so they survive task
-retries and executor loss.
+``post_id`` and tab; a replayed save adds nothing. Each save stamps its rows
+with a ``save_id``; counts are read back from committed files, so they survive
+task retries and executor loss. A ``save_id`` names one save: repeated after
+its audit rows are there, it stores and reports nothing more.
+
+A batch is first written to the shared scratch folder, so its transformations
+run once; it is spread over at most ``FILES_PER_TAB`` files for each tab, and
+the scratch copy is removed after the save.
 """
 
 from __future__ import annotations
@@ -20,15 +25,16 @@ import datetime as _dt
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lexicons import RAW_FILE_PREFIX, SUMMARY_FILE_PREFIX
-from ..functions.validate import post_problems, summary_problems
+from ..functions.keys import content_hash
+from ..functions.lexicons import RAW_FILE_PREFIX, SUMMARY_FILE_PREFIX, TABS
+from ..functions.validate import POST_FIELDS, SUMMARY_FIELDS, record_problems, record_value
 from ..operators.dedup import dedup_new, new_summaries
 from ..schemas import POST, SUMMARY, ENVELOPE_META_POSTS, ENVELOPE_META_SUMMARIES
-from ..session import cut_lineage
+from ..session import remove_path, scratch_path
 
 
 def job_name_at(ts: _dt.datetime | None = None) -> str:
@@ -52,40 +58,24 @@ class JobLayout:
     reports = property(lambda self: f"{self.root}/reports")
 
 
+#: Files that one save writes for a tab at most.
+FILES_PER_TAB = 8
+
+
 def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None when nothing was written yet."""
+    """The stored table, or None when nothing was written yet. ``tab`` is read
+    as the string it was written as (``007`` stays ``007``)."""
     try:
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
     except AnalysisException as e:  # PATH_NOT_FOUND / unable to infer: empty store
         msg = str(e)
         if "PATH_NOT_FOUND" in msg or "UNABLE_TO_INFER_SCHEMA" in msg or "does not exist" in msg:
             return None
         raise
-
-
-def _write_audit(spark, layout: JobLayout, table: str, path: str, save_id: str) -> int:
-    """K5: rows added by this save per tab, with running totals → audit
-    table; returns the number of rows this save added.
-
-    Only this save's rows are read (each written file holds one ``save_id``,
-    so Parquet statistics skip the others); totals come from the small
-    audit table. The result has one row per tab (a configured dimension), so
-    it is brought to the driver and written as a tiny frame: one job per
-    save, whatever is already stored."""
-    mine = spark.read.parquet(path).filter(F.col("save_id") == save_id)
-    added = {r["tab"]: r["n"] for r in mine.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not added:
-        return 0
-    prior = read_stored(spark, layout.audit)
-    before = {}
-    if prior is not None:
-        before = {r["tab"]: r["t"] for r in prior.filter((F.col("table") == table) & F.col("tab").isin(list(added)))
-                  .groupBy("tab").agg(F.sum("new_rows").alias("t")).collect()}
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(table, tab, layout.job_name, int(before.get(tab) or 0) + int(n), int(n), now, save_id)
-            for tab, n in added.items()]
-    spark.createDataFrame(rows, AUDIT_SCHEMA).write.mode("append").parquet(layout.audit)
-    return int(sum(added.values()))
+    if "tab" in df.columns and not isinstance(df.schema["tab"].dataType, T.StringType):
+        fields = [T.StructField("tab", T.StringType()) if f.name == "tab" else f for f in df.schema.fields]
+        df = spark.read.schema(T.StructType(fields)).parquet(path)
+    return df
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -95,69 +85,122 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("save_id", T.StringType())])
 
 
-def _save(new: DataFrame, path: str, incremental: bool, save_id: str) -> None:
-    stamped = new.withColumn("save_id", F.lit(save_id))
+def _write_audit(spark, layout: JobLayout, table: str, path: str, save_id: str, tabs: DataFrame) -> int:
+    """K5: one audit row for each tab of the batch: rows this save added (0
+    included) and rows now stored, counted from the committed files; returns the
+    number of rows added. Only the batch's partitions are read, and of them the
+    ``save_id`` column."""
+    now = read_stored(spark, path)
+    if now is None:
+        counts = tabs.select("tab", F.lit(0).cast("long").alias("total_rows"), F.lit(0).cast("long").alias("new_rows"))
+    else:
+        per = now.join(tabs, "tab", "left_semi").groupBy("tab").agg(
+            F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("save_id") == save_id).cast("long").alias("new_rows"))
+        counts = tabs.join(per, "tab", "left").na.fill(0, ["total_rows", "new_rows"])
+    rows = counts.select(F.lit(table).alias("table"), "tab", F.lit(layout.job_name).alias("job_name"), "total_rows", "new_rows",
+                         F.current_timestamp().alias("last_updated"), F.lit(save_id).alias("save_id"))
+    rows.coalesce(1).write.mode("append").parquet(layout.audit)  # a row for each tab of the batch
+    return int(_audit_of(spark, layout, table, save_id).agg(F.sum("new_rows")).first()[0] or 0)
+
+
+def _audit_of(spark, layout: JobLayout, table: str, save_id: str) -> DataFrame | None:
+    a = read_stored(spark, layout.audit)
+    return None if a is None else a.filter((F.col("table") == table) & (F.col("save_id") == save_id))
+
+
+def _save(new: DataFrame, path: str, incremental: bool, save_id: str, spread_by: str) -> None:
+    """Write the new rows, tab and a bounded salt deciding the task: a hot tab is
+    split over FILES_PER_TAB tasks, and no save leaves more files than that for a tab."""
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(FILES_PER_TAB))
+    stamped = new.withColumn("save_id", F.lit(save_id)).repartition("tab", salt)
+    w = stamped.write.partitionBy("tab")
     if incremental:
-        stamped.write.mode("append").partitionBy("tab").parquet(path)
+        w.mode("append").parquet(path)
     else:
-        # the batch was computed against the stored table: cut lineage before
-        # replacing its partitions (reliable checkpoint in the shared folder)
-        stamped = cut_lineage(stamped)
-        (stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("tab").parquet(path))
+        w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def already_saved(spark: SparkSession, layout: JobLayout, save_id: str) -> bool:
+def already_saved(spark: SparkSession, layout: JobLayout, save_id: str, table: str = "posts") -> bool:
     """True when a save with this id has been committed (replayed batch)."""
-    a = read_stored(spark, layout.audit)
-    return a is not None and not a.filter(F.col("save_id") == save_id).isEmpty()
+    a = _audit_of(spark, layout, table, save_id)
+    return a is not None and not a.isEmpty()
 
 
-def _batch_tabs(df: DataFrame, max_tabs: int = 10_000) -> list[str] | None:
-    """Tabs present in a batch (tabs are a small dimension; above the bound
-    no pruning list is used)."""
-    tabs = [r[0] for r in df.select("tab").distinct().limit(max_tabs + 1).collect()]
-    return tabs if len(tabs) <= max_tabs else None
+def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def save_posts(posts: DataFrame, layout: JobLayout, incremental: bool = True,
-               save_id: str | None = None) -> int:
+               save_id: str | None = None, key_fn: str = "xxh64") -> int:
     """K1: store unseen posts; returns how many were added.
 
+    A NULL ``content_hash`` is computed from text, author and tab.
     ``incremental=False`` replaces the partitions of the affected tabs with
     the unseen posts only; with nothing new nothing is written. The content
     hash includes the tab, so only the stored partitions of the batch's tabs
-    can hold a match: the anti-join reads just those (partition pruning), not
-    the whole store."""
+    can hold a match: the anti-join reads just those, by dynamic partition pruning."""
     spark = posts.sparkSession
     save_id = save_id or uuid.uuid4().hex
-    stored = read_stored(spark, layout.raw)
-    if stored is not None:
-        tabs = _batch_tabs(posts)
-        if tabs is not None:
-            stored = stored.filter(F.col("tab").isin(tabs))
-    order = tuple(c for c in ("tab_rank", "ingest_seq") if c in posts.columns)
-    new = dedup_new(posts.drop("save_id") if "save_id" in posts.columns else posts,
-                    stored.select("content_hash") if stored is not None else None,
-                    "content_hash", order or None)
-    if not incremental and new.isEmpty():
+    if already_saved(spark, layout, save_id, "posts"):
         return 0
-    _save(new, layout.raw, incremental, save_id)
-    return _write_audit(spark, layout, "posts", layout.raw, save_id)
+    author = "author" if "author" in posts.columns else F.lit(None).cast("string")
+    own = content_hash("text", author, "tab", key_fn=key_fn) if "text" in posts.columns else None
+    if "content_hash" not in posts.columns:
+        posts = posts.withColumn("content_hash", own)
+    elif own is not None:
+        posts = posts.withColumn("content_hash", F.coalesce("content_hash", own))
+    batch, scratch = _staged(posts.drop("save_id"), "batch")
+    try:
+        # (a filter on the tabs lets Spark prune the stored partitions by them)
+        tabs = batch.select("tab").distinct().filter(F.col("tab") >= "")
+        stored = read_stored(spark, layout.raw)
+        if stored is not None:
+            stored = stored.join(F.broadcast(tabs), "tab", "left_semi").select("content_hash") if _few(tabs) else stored.select("content_hash")
+        order = [c for c in ("tab_rank", "ingest_seq") if c in batch.columns]
+        # the staged files don't change, so neither do the row numbers
+        rows = batch.withColumn("_row", F.monotonically_increasing_id())
+        new = dedup_new(rows, stored, "content_hash", [*order, "_row"], ["_row"]).drop("_row")
+        if not incremental and new.isEmpty():
+            return 0
+        if incremental:
+            _save(new, layout.raw, True, save_id, "content_hash")
+        else:  # the batch was computed against the table whose partitions it replaces
+            held, second = _staged(new, "batch")
+            _save(held, layout.raw, False, save_id, "content_hash")
+            remove_path(spark, second)
+        return _write_audit(spark, layout, "posts", layout.raw, save_id, tabs)
+    finally:
+        remove_path(spark, scratch)
+
+
+#: Tabs that are sent to every task to prune partitions; a batch with more is joined by a shuffle.
+BROADCAST_TABS = 10_000
+
+
+def _few(tabs: DataFrame) -> bool:
+    return tabs.limit(BROADCAST_TABS + 1).count() <= BROADCAST_TABS
 
 
 def save_summaries(summaries: DataFrame, layout: JobLayout, incremental: bool = True,
                    save_id: str | None = None) -> int:
-    """K2: store summaries whose post id is not stored yet."""
+    """K2: store summaries whose post id is not stored yet in their tab;
+    ``incremental=False`` replaces the partitions of the affected tabs with all of them."""
     spark = summaries.sparkSession
     save_id = save_id or uuid.uuid4().hex
-    stored = read_stored(spark, layout.summary)
-    s = summaries.drop("save_id") if "save_id" in summaries.columns else summaries
-    new = new_summaries(s, stored)
-    if not incremental and new.isEmpty():
+    if already_saved(spark, layout, save_id, "summaries"):
         return 0
-    _save(new, layout.summary, incremental, save_id)
-    return _write_audit(spark, layout, "summaries", layout.summary, save_id)
+    batch, scratch = _staged(summaries.drop("save_id"), "batch")
+    try:
+        stored = read_stored(spark, layout.summary) if incremental else None
+        new = new_summaries(batch, stored)
+        if not incremental and new.isEmpty():
+            return 0
+        _save(new, layout.summary, incremental, save_id, "post_id")
+        return _write_audit(spark, layout, "summaries", layout.summary, save_id, batch.select("tab").distinct())
+    finally:
+        remove_path(spark, scratch)
 
 
 def load_posts(spark: SparkSession, layout: JobLayout, tabs: list[str] | None = None) -> DataFrame | None:
@@ -176,47 +219,58 @@ def _envelope_schema(meta: T.StructType, key: str) -> T.StructType:
                          T.StructField("_corrupt_record", T.StringType())])
 
 
-def read_envelopes(spark: SparkSession, pattern: str, kind: str = "posts"):
+def read_envelopes(spark: SparkSession, pattern: str, kind: str = "posts", tabs=None, key_fn: str = "xxh64"):
     """Read ``{metadata, posts|summaries: [...]}`` documents.
 
-    Returns ``(valid, rejected)``. The tab of a record is taken from the file
-    name (``posts_<tab>.json``); a missing path gives empty frames; an
-    unreadable file or an invalid record lands in ``rejected`` with reasons.
-    Envelopes are single multi-line documents (not splittable): import them
-    once, then work on the Parquet layout."""
+    Returns ``(valid, rejected)``. Each record is checked field by field
+    (missing → default, null or a value of another type → rejected, see
+    ``functions.validate``), its content hash is computed anew, and it gets what the
+    analytics need: ``tab_rank`` (configured tabs first, in their order, then the others by
+    name) and ``ingest_seq`` (its number in the file, after the files before it).
+    The tab of a file (``posts_<tab>.json``) is ``file_tab``; a missing path
+    gives empty frames; an unreadable file or an invalid record lands in
+    ``rejected`` with reasons. An envelope is one multi-line document (not
+    splittable); its records are dealt out over all tasks once it is read."""
     if kind == "posts":
-        meta, key, schema, prefix, problems = ENVELOPE_META_POSTS, "posts", POST, RAW_FILE_PREFIX, post_problems
+        meta, key, schema, prefix, fields = ENVELOPE_META_POSTS, "posts", POST, RAW_FILE_PREFIX, POST_FIELDS
     else:
-        meta, key, schema, prefix, problems = (ENVELOPE_META_SUMMARIES, "summaries", SUMMARY,
-                                               SUMMARY_FILE_PREFIX, summary_problems)
+        meta, key, schema, prefix, fields = ENVELOPE_META_SUMMARIES, "summaries", SUMMARY, SUMMARY_FILE_PREFIX, SUMMARY_FIELDS
     rej_schema = T.StructType([T.StructField("file_tab", T.StringType()), T.StructField("record", T.StringType()),
                                T.StructField("reasons", T.ArrayType(T.StringType()))])
-    valid_schema = T.StructType(schema.fields + [T.StructField("file_tab", T.StringType())])
+    names = [f.name for f in schema.fields]
+    valid_schema = T.StructType([*schema.fields, T.StructField("tab_rank", T.IntegerType()), T.StructField("file_tab", T.StringType())])
     try:
-        raw = (spark.read.schema(_envelope_schema(meta, key)).option("multiLine", True)
-               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-               .json(pattern))
-        raw = raw.withColumn("file_tab", F.regexp_extract(F.col("_metadata.file_name"),
-                                                          rf"^{prefix}(.*)\.json$", 1))
+        text = spark.read.text(pattern, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return (spark.createDataFrame([], valid_schema), spark.createDataFrame([], rej_schema))
         raise
-    # (a query may not reference the corrupt-record column alone: the
-    # metadata tab, NULL for an unreadable file, is read alongside)
-    bad_files = raw.filter(F.col("_corrupt_record").isNotNull()).select(
-        F.coalesce(F.col("metadata.tab"), F.col("file_tab")).alias("file_tab"),
-        F.col("_corrupt_record").alias("record"), F.array(F.lit("unreadable_file")).alias("reasons"))
-    recs = raw.filter(F.col("_corrupt_record").isNull()).select(
-        "file_tab", F.explode(key).alias("record"))
-    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    parsed = recs.withColumn("r", F.from_json("record", loose, {"mode": "PERMISSIVE"}))
-    parsed = parsed.select("file_tab", "record", "r.*")
-    checked = parsed.withColumn("reasons", F.when(F.col(schema.fields[0].name).isNull() & F.col(schema.fields[1].name).isNull(),
-                                                  F.array(F.lit("malformed_record"))).otherwise(problems()))
-    valid = checked.filter(F.size("reasons") == 0).select(*[f.name for f in schema.fields], "file_tab")
+    raw = text.select(
+        "value", F.from_json("value", _envelope_schema(meta, key), {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"),
+        F.col("_metadata.file_path").alias("file"),
+        F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"{prefix}([^/]*)\.json", 1).alias("file_tab"))
+    broken = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
+    bad_files = raw.filter(broken).select("file_tab", F.col("value").alias("record"), F.array(F.lit("unreadable_file")).alias("reasons"))
+    raw = raw.filter(~broken)
+    recs = raw.select("file_tab", "file", F.posexplode(f"j.{key}").alias("pos", "record"))
+    recs = recs.repartition("file", "pos").withColumn("_v", F.try_parse_json("record"))
+    checked = recs.withColumn("reasons", record_problems("_v", fields))
+    good = checked.filter(F.size("reasons") == 0)
+    values = {n: record_value("_v", n, fields) for n in names if n in fields}
+    valid = good.select("file_tab", "file", "pos", *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                                                     for f in schema.fields if f.name != "ingest_seq"])
+    if kind == "posts":
+        valid = valid.withColumn("content_hash", content_hash("text", "author", "tab", key_fn=key_fn))
+    order = {name: i for i, (name, _) in enumerate(tabs or TABS)}
+    rank = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("tab")), F.lit(len(order)))
+    # one row for each tab and for each file: small, numbered in one task
+    dim = valid.select("tab", rank.alias("r")).distinct().withColumn("tab_rank", F.row_number().over(Window.orderBy("r", "tab")) - 1).drop("r")
+    files = raw.groupBy("file").agg(F.max(F.greatest(F.size(f"j.{key}"), F.lit(0))).alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    valid = valid.join(dim, "tab").join(files.select("file", "before"), "file")
+    valid = valid.withColumn("ingest_seq", (F.col("before") + F.col("pos")).cast("long"))
     rejected = checked.filter(F.size("reasons") > 0).select("file_tab", "record", "reasons").unionByName(bad_files)
-    return valid, rejected
+    return valid.select(*names, "tab_rank", "file_tab"), rejected
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:

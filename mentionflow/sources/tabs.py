@@ -18,10 +18,17 @@ def tab_dimension(spark: SparkSession, tabs=None) -> DataFrame:
 
 
 def source_tabs(spark: SparkSession, sf_dir: str | None = None, n: int = 24) -> DataFrame:
-    """Tab dimension of the benchmark tables: ``src0 .. src{n-1}``; more tabs
-    than sources occur, so empty tabs exist (they must still be reported)."""
+    """Tab dimension of the benchmark tables: the configured ``src0 .. src{n-1}``
+    (more than occur, so empty tabs exist, which must still be reported), and
+    whatever other sources the documents at ``sf_dir`` have."""
     rows = [(f"src{i}", i, f"source {i}") for i in range(n)]
-    return spark.createDataFrame(rows, TAB_SCHEMA)
+    dim = spark.createDataFrame(rows, TAB_SCHEMA)
+    if sf_dir is None:
+        return dim
+    seen = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("tab")).where("tab IS NOT NULL").distinct()
+    more = seen.join(dim.select("tab"), "tab", "left_anti").select(
+        "tab", F.try_to_number(F.substring("tab", 4, 9), F.lit("999999999")).cast("int").alias("tab_rank"), F.col("tab").alias("description"))
+    return dim.unionByName(more)
 
 
 def select_tabs(dim: DataFrame | list, names) -> list[str]:

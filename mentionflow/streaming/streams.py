@@ -17,6 +17,8 @@ micro-batch is arrival order, and caps run inside ``foreachBatch``.
 
 from __future__ import annotations
 
+import json
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,15 @@ from pyspark.sql import types as T
 from ..functions import clean_text, content_hash, extract_symbols, extract_urls, long_enough, post_id
 from ..functions.lexicons import MIN_SAVE_INTERVAL_SECONDS, SAVE_INTERVAL_SECONDS
 from ..operators.enrich import summarize
+from ..session import remove_path, scratch_path
 from ..sources.store import JobLayout, already_saved, save_posts, save_summaries
 
 
+#: Tasks that a hot id is first spread over.
+DEFAULT_SALTS = 8
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def post_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.format(fmt).schema(schema)
@@ -39,7 +47,7 @@ def post_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 def standardize_stream(raw: DataFrame, raw_text="raw_text", key_fn: str = "xxh64",
                        event_time: str | None = None, watermark: str | None = None,
-                       hot_key_salts: int | None = None) -> DataFrame:
+                       hot_key_salts: int | None = DEFAULT_SALTS) -> DataFrame:
     """Same expressions as the batch path; de-dup by id is stateful.
 
     Streaming de-dup has no map-side combine: every copy of an id in a
@@ -73,19 +81,22 @@ def standardize_stream(raw: DataFrame, raw_text="raw_text", key_fn: str = "xxh64
 
 
 def _start(writer, spark: SparkSession, state_partitions: int | None):
-    """Start a query; ``state_partitions`` sets the number of state-store
+    """Start a query. Its de-dup state is kept for the whole run, so it lives in
+    RocksDB, off the heap. ``state_partitions`` sets the number of state-store
     partitions of its stateful operators (fixed in the checkpoint at first
     start, so size it to the stream, not to the session default). The query
     copies the session conf when it starts; the session is restored after."""
-    if not state_partitions:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def _trigger(writer, interval_seconds: int | None, available_now: bool):
@@ -95,29 +106,37 @@ def _trigger(writer, interval_seconds: int | None, available_now: bool):
     return writer.trigger(processingTime=f"{secs} seconds")
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was made: batch
+    numbers start again with each checkpoint, so a save is named by both."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").agg(F.max("value")).first()[0]
+    return json.loads(text)["id"]
+
+
 def start_post_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
                     interval_seconds: int | None = None, available_now: bool = False,
                     callback: Callable[[DataFrame, int], None] | None = None, query_name: str | None = None,
-                    state_partitions: int | None = None):
+                    state_partitions: int | None = None, key_fn: str = "xxh64"):
     """Every micro-batch is saved with the idempotent anti-join save. A
     user ``callback(batch_df, batch_id)`` (U1) runs first on the same batch."""
     def each(batch: DataFrame, batch_id: int):
-        sid = f"posts-{batch_id}-{layout.job_name}"
+        sid = f"posts-{_stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
         if already_saved(batch.sparkSession, layout, sid):
             # a replay of a committed batch: nothing to store, but the batch
             # still runs so the stateful operators commit their state
             batch.write.format("noop").mode("overwrite").save()
             return
-        # the batch feeds several actions (callback, tab list, save): keep it
-        # for the duration of this function instead of re-running the stream
-        # stages per action (blocks lost with an executor are recomputed)
-        batch = batch.persist()
+        if callback is None:  # the save reads the batch once: it stages it in the shared folder
+            save_posts(batch, layout, incremental=True, save_id=sid, key_fn=key_fn)
+            return
+        path = scratch_path(batch.sparkSession, f"stream-batch-{uuid.uuid4().hex}")
+        batch.write.parquet(path)
         try:
-            if callback is not None:
-                callback(batch, batch_id)
-            save_posts(batch, layout, incremental=True, save_id=sid)
+            held = batch.sparkSession.read.schema(batch.schema).parquet(path)
+            callback(held, batch_id)
+            save_posts(held, layout, incremental=True, save_id=sid, key_fn=key_fn)
         finally:
-            batch.unpersist()
+            remove_path(batch.sparkSession, path)
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if query_name:
         w = w.queryName(query_name)
@@ -131,25 +150,23 @@ def start_summary_sink(stream: DataFrame, layout: JobLayout, checkpoint: str,
     """Enrich each micro-batch of posts (parse-or-fallback) and save the
     summaries (anti-join on post id)."""
     def each(batch: DataFrame, batch_id: int):
-        sid = f"summaries-{batch_id}-{layout.job_name}"
-        if already_saved(batch.sparkSession, layout, sid):
+        sid = f"summaries-{_stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        if already_saved(batch.sparkSession, layout, sid, "summaries"):
             batch.write.format("noop").mode("overwrite").save()
             return
-        batch = batch.persist()
-        try:
-            s = summarize(batch, responses, **summarize_kwargs)
-            save_summaries(s, layout, incremental=True, save_id=sid)
-        finally:
-            batch.unpersist()
+        save_summaries(summarize(batch, responses, **summarize_kwargs), layout, incremental=True, save_id=sid)
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _start(_trigger(w, interval_seconds, available_now), stream.sparkSession, state_partitions)
 
 
-def run_once(query, timeout_s: int = 600) -> None:
-    """Wait for an ``availableNow`` query to drain, surface its error."""
-    query.awaitTermination(timeout_s)
-    if query.isActive:
+def run_once(query, timeout_s: float | None = None) -> None:
+    """Wait until an ``availableNow`` query has drained its source, and
+    surface its error. With ``timeout_s`` an unfinished query is stopped and
+    TimeoutError raised: it never passes for a finished one."""
+    done = query.awaitTermination(timeout_s) if timeout_s is not None else query.awaitTermination()
+    if timeout_s is not None and not done:
         query.stop()
+        raise TimeoutError(f"the stream was not drained in {timeout_s} s; its checkpoint resumes it")
     exc = query.exception()
     if exc is not None:
         raise RuntimeError(str(exc))

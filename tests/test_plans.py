@@ -41,9 +41,9 @@ def test_dedup_is_partially_aggregated(spark):
 
 def test_flagship_join_reuses_dedup_partitioning(spark):
     plan = _plan(spark, "stock_mentions")
-    # exchanges: dedup by id, last-wins by post_id, mentions by symbol; the
-    # J1 join itself adds none
-    assert plan.count("hashpartitioning(id") == 1
+    # exchanges: de-dup by id on narrow rows and J1 by id, last-wins by
+    # post_id, mentions by symbol
+    assert plan.count("hashpartitioning(id") == 2
     assert plan.count("hashpartitioning(post_id") == 1
 
 
@@ -57,3 +57,17 @@ def test_mention_counts_use_hash_aggregation(spark):
     plan = _plan(spark, "stock_mentions")
     sym_aggs = [l for l in plan.splitlines() if "Aggregate(key" in l and "symbol" in l]
     assert sym_aggs and all("HashAggregate" in l for l in sym_aggs)
+
+
+@pytest.mark.parametrize("name", ["first_wins", "stock_mentions", "dedup_new"])
+def test_no_aggregate_carries_text(spark, name):
+    """Rows are de-duplicated on narrow keys: no aggregation buffer holds a text."""
+    plan = _plan(spark, name)
+    aggs = [line for line in plan.splitlines() if "Aggregate(" in line]
+    assert aggs and not any("text" in line for line in aggs), aggs
+
+
+def test_lexicon_join_runs_in_the_jvm(spark):
+    plan = _plan(spark, "keyword_sentiment_join")
+    for bad in ("Python", "Pandas", "Arrow", "NestedLoop"):
+        assert bad not in plan

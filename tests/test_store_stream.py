@@ -184,3 +184,95 @@ def test_stream_dedup_within_watermark(spark):
     streamed = {r.id for r in ST.load_posts(spark, layout).select("id").collect()}
     batch = {r.id for r in D.posts(spark, SF_SMALL, key_fn="md5", engage=False).select("id").collect()}
     assert streamed == batch
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "id string, text string, tab string, author string, content_hash string, tab_rank int, ingest_seq bigint")
+
+
+def test_save_ids_hashes_tabs_and_totals(spark):
+    """A retried save adds and reports nothing more; NULL hashes are computed, not
+    merged; tabs stay strings; the audit tells what is stored, also for zero new rows."""
+    layout = ST.JobLayout(scratch_path(spark, f"a-{uuid.uuid4().hex}"), "run_a")
+    rows = [(str(i), f"text {i}", "007" if i % 2 else "012", None, None, 0, i) for i in range(5)]
+    assert ST.save_posts(_rows(spark, rows), layout, save_id="one") == 5
+    assert ST.save_posts(_rows(spark, rows), layout, save_id="one") == 0
+    assert ST.save_posts(_rows(spark, rows), layout, save_id="two") == 0
+    assert sorted({r.tab for r in ST.load_posts(spark, layout).collect()}) == ["007", "012"]
+    audit = {(r.save_id, r.tab): (r.new_rows, r.total_rows) for r in ST.read_stored(spark, layout.audit).collect()}
+    assert audit == {("one", "007"): (2, 2), ("one", "012"): (3, 3), ("two", "007"): (0, 2), ("two", "012"): (0, 3)}
+    assert ST.save_posts(_rows(spark, [("9", "new", "007", None, None, 0, 9)]), layout, incremental=False, save_id="three") == 1
+    after = {r.tab: (r.new_rows, r.total_rows) for r in ST.read_stored(spark, layout.audit).filter("save_id = 'three'").collect()}
+    assert after == {"007": (1, 1)}
+
+
+def test_save_writes_a_bounded_number_of_files(spark):
+    layout = ST.JobLayout(scratch_path(spark, f"f-{uuid.uuid4().hex}"), "run_f")
+    ST.save_posts(D.posts(spark, SF_SMALL, key_fn="md5", engage=False), layout)
+    stored = ST.load_posts(spark, layout)
+    assert len(stored.inputFiles()) <= stored.select("tab").distinct().count() * ST.FILES_PER_TAB
+
+
+def test_summaries_by_tab_and_overwrite(spark):
+    layout = ST.JobLayout(scratch_path(spark, f"s-{uuid.uuid4().hex}"), "run_s")
+    def make(keys):
+        return spark.createDataFrame(keys, "post_id string, tab string")
+    assert ST.save_summaries(make([("1", "a"), ("1", "b"), ("2", "a")]), layout) == 3
+    assert ST.save_summaries(make([("1", "c"), ("1", "a")]), layout) == 1  # the same text in another tab
+    assert ST.save_summaries(make([("1", "a"), ("2", "a"), ("3", "a"), ("4", "a")]), layout, incremental=False) == 4
+    assert sorted(tuple(r) for r in ST.read_stored(spark, layout.summary).select("post_id", "tab").collect()) == [
+        ("1", "a"), ("1", "b"), ("1", "c"), ("2", "a"), ("3", "a"), ("4", "a")]
+
+
+def test_run_once_does_not_pass_an_unfinished_stream():
+    class Query:
+        stopped = False
+        def awaitTermination(self, timeout=None):
+            return False
+        def stop(self):
+            self.stopped = True
+    q = Query()
+    with pytest.raises(TimeoutError):
+        SS.run_once(q, timeout_s=1)
+    assert q.stopped
+
+
+def test_cap_leaves_a_copy_to_the_next_tab(spark):
+    """W1 + W2: a post beyond the cap of its tab isn't seen yet, so its copy in a later tab is taken;
+    what earlier runs stored counts in the cap."""
+    from mentionflow.operators.standardize import standardize_posts
+    raw = spark.createDataFrame([("first post of a", "a", 0, 1), ("shared post", "a", 0, 2), ("shared post", "b", 1, 3), ("only in b", "b", 1, 4),
+                                 ("first post of a", "b", 1, 5)], "raw_text string, tab string, tab_rank int, ingest_seq bigint")
+    def kept(n, taken=None):
+        return sorted((r.tab, r.ingest_seq) for r in standardize_posts(raw, max_per_tab=n, taken=taken).collect())
+    assert kept(1) == [("a", 1), ("b", 3)]
+    assert kept(2) == [("a", 1), ("a", 2), ("b", 4)]
+    first = standardize_posts(raw, max_per_tab=1).select("id", "tab")
+    assert kept(1, first) == []
+    assert kept(2, first) == [("b", 4)]
+
+
+def test_one_reply_for_each_post_and_unasked_posts(spark):
+    from mentionflow.operators import enrich as E
+    posts = spark.createDataFrame([("1", "a text", "h", "x", [], 0, 1), ("1", "a text", "g", "y", [], 1, 2), ("2", "b text", "k", "x", [], 0, 3)],
+                                  "id string, text string, content_hash string, tab string, symbols array<string>, tab_rank int, ingest_seq bigint")
+    replies = spark.createDataFrame([("1", '{"summary": "s"}', 5), ("1", '{"summary": "s"}', 5)], "post_id string, response string, total_tokens bigint")
+    assert E.summarize(posts, replies).count() == 3
+    r = E.enrichment_stats(posts, replies, by_tab=False).first()
+    assert (r.total_requests, r.failed_requests, r.fallback_summaries, r.summaries) == (2, 0, 1, 3)
+
+
+def test_envelope_values(spark):
+    """Types as the record model has them: strings of digits count, words and nulls do not; defaults are filled."""
+    d = tempfile.mkdtemp(prefix="env-")
+    posts = [{"id": "1", "text": "t", "tab": "007", "like_count": "12", "content_hash": "stale"}, {"id": 5, "text": "t", "tab": "a"},
+             {"id": "2", "text": "t", "tab": "a", "view_count": "many"}, {"id": "3", "text": "t", "tab": "a", "symbols": None},
+             {"id": "4", "text": "t", "tab": "a", "urls": ["x", 1]}, {"id": "6", "text": "t", "tab": "a", "like_count": 1.5}, 7]
+    with open(os.path.join(d, "posts_007.json"), "w") as f:
+        json.dump({"metadata": {}, "posts": posts}, f)
+    valid, rejected = ST.read_envelopes(spark, os.path.join(d, "posts_*.json"))
+    v = valid.collect()
+    assert [(r.id, r.tab, r.like_count, r.view_count, r.symbols, r.tab_rank, r.ingest_seq) for r in v] == [("1", "007", 12, 0, [], 0, 0)]
+    assert v[0].content_hash != "stale" and len(v[0].content_hash) == 16
+    assert sorted(r.reasons[0] for r in rejected.collect()) == [
+        "malformed_record", "wrong_type_id", "wrong_type_like_count", "wrong_type_symbols", "wrong_type_urls", "wrong_type_view_count"]
