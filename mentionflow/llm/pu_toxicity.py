@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out, sample_ids, texts_of
+from .common import each_text, held_out, map_arrow, sample_ids, texts_of
 
 #: Bounds of the training sample and of a sampled text.
-POSITIVE_ROWS = 3000
-UNLABELLED_ROWS = 9000
+POSITIVE_ROWS = 2000
+UNLABELLED_ROWS = 6000
 SAMPLE_CHARS = 60_000
 #: Size of the feature table and the word-start lengths that count as features.
 FEATURES = 512
@@ -55,23 +55,25 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, n_features: in
     bias0 = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model({}, bias0)
-    fp, fu = [features(t) for t in positive], [features(t) for t in unlabelled]
-    cp, cu = Counter(f for s in fp for f in s), Counter(f for s in fu for f in s)
+    # the feature sets are made again where they are needed: all of them at once would be many times the texts
+    cp = Counter(f for t in positive for f in features(t))
+    least = min(MIN_POSITIVE, len(positive))
+    cp = {f: c for f, c in cp.items() if c >= least}
+    cu = Counter(f for t in unlabelled for f in features(t) & cp.keys())
     lift = {}
     for f, c in cp.items():
-        if c >= min(MIN_POSITIVE, len(fp)):
-            p = c / len(fp)
-            neg = max(0.0, cu.get(f, 0) / len(fu) - prior * p) / (1 - prior)
-            lift[f] = c * np.log((p + 1 / len(fp)) / (neg + 1 / len(fu)))
+        p = c / len(positive)
+        neg = max(0.0, cu.get(f, 0) / len(unlabelled) - prior * p) / (1 - prior)
+        lift[f] = c * np.log((p + 1 / len(positive)) / (neg + 1 / len(unlabelled)))
     names = sorted(lift, key=lambda f: (-lift[f], f))[:n_features]
     index = {f: i for i, f in enumerate(names)}
 
-    def matrix(sets):
-        x = np.zeros((len(sets), len(names)), np.float32)
-        for r, s in enumerate(sets):
-            x[r, [index[f] for f in s if f in index]] = 1
+    def matrix(texts):
+        x = np.zeros((len(texts), len(names)), np.float32)
+        for r, t in enumerate(texts):
+            x[r, [index[f] for f in features(t) & index.keys()]] = 1
         return x
-    xp, xu = matrix(fp), matrix(fu)
+    xp, xu = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(len(names), np.float32), bias0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
@@ -121,6 +123,6 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", thres
         yield from each_text(batches, scorer(model), ["score"], [pa.float64()])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    out = map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
     return out.select(id_col, held_out(id_col).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
