@@ -609,10 +609,10 @@ def _state_partitions(spark) -> int:
         return 8
 
 
-def _split_documents(spark, sf_dir, n_files=8):
-    """The documents table written as several files (a file stream source)."""
+def _split_documents(spark, sf_dir, rows_per_file=2000):
+    """The documents table written as files of a few thousand rows (a file stream source)."""
     path = scratch_path(spark, f"docs-stream-{_uuid.uuid4().hex}")
-    D.documents_raw(spark, sf_dir).repartition(n_files).write.parquet(path)
+    D.documents_raw(spark, sf_dir).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return path
 
 
