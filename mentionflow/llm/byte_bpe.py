@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import map_arrow, strings
 
 CHUNK_CHARS = 65536
 OVERLAP = 512
@@ -167,17 +167,17 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None =
     def segments(batches):
         yield from _encoded(batches, path, pattern, ["_id", "copy", "segment"], _segment_ids)
 
-    whole = d.where(F.length("_text") <= chunk_chars).mapInArrow(short, f"_id {kind}, ids array<int>")
-    chunks = d.where(F.length("_text") > chunk_chars) \
-        .mapInArrow(cut, f"_id {kind}, copy bigint, k int, start bigint, chunk string").repartition("copy", "k")
-    chunks = chunks.mapInArrow(starts, f"_id {kind}, copy bigint, k int, start bigint, chunk string, head array<bigint>, tail array<bigint>")
+    whole = map_arrow(d.where(F.length("_text") <= chunk_chars), short, f"_id {kind}, ids array<int>")
+    chunks = map_arrow(d.where(F.length("_text") > chunk_chars), cut,
+                       f"_id {kind}, copy bigint, k int, start bigint, chunk string").repartition("copy", "k")
+    chunks = map_arrow(chunks, starts, f"_id {kind}, copy bigint, k int, start bigint, chunk string, head array<bigint>, tail array<bigint>")
     w = W.partitionBy("copy").orderBy("k")
     seams = chunks.withColumn("lo", F.array_min(F.array_intersect(F.lag("tail").over(w), "head"))) \
         .withColumn("hi", F.array_min(F.array_intersect("tail", F.lead("head").over(w)))) \
         .withColumn("segment", F.sum(F.when(F.col("lo").isNotNull() | (F.col("k") == 0), 1).otherwise(0)).over(w))
     parts = seams.groupBy("_id", "copy", "segment").agg(
         F.sort_array(F.collect_list(F.struct("k", "start", "chunk", "lo", "hi"))).alias("parts"))
-    done = parts.repartition("copy", "segment").mapInArrow(segments, f"_id {kind}, copy bigint, segment bigint, ids array<int>")
+    done = map_arrow(parts.repartition("copy", "segment"), segments, f"_id {kind}, copy bigint, segment bigint, ids array<int>")
     joined = done.groupBy("_id", "copy").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("segment", "ids"))), lambda s: s["ids"])).alias("ids"))
     return whole.unionByName(joined.select("_id", "ids")).withColumnRenamed("_id", id_col)
@@ -198,7 +198,7 @@ def decode(encoded: DataFrame, id_col="doc_id", ids_col="ids", path: str | None
             out = pa.array((b"".join([raw[i] for i in own.as_py() or ()]) for own in ids), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids, out], [b.schema.names[0], "ids", "decoded"])
 
-    return encoded.select(id_col, F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return map_arrow(encoded.select(id_col, F.col(ids_col).alias("ids")), run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame, id_col="doc_id") -> DataFrame:

@@ -51,6 +51,21 @@ def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int, id_col="doc_id",
     return sorted(tuple(r) for r in j.collect())
 
 
+#: Rows of an Arrow batch. Texts may be long, so a batch has far fewer rows than Spark's default.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, which bounds what the JVM and a
+    Python worker hold at a time. It is a setting of the session (Spark has none for a
+    query); one that the session has made smaller stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, NULL as the empty string."""
     return [x or "" for x in column.to_pylist()]

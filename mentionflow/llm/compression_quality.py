@@ -12,7 +12,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out, sample_ids, texts_of
+from .common import each_text, held_out, map_arrow, sample_ids, texts_of
 
 #: Parameters. Texts are compressed in blocks, so that repetition inside a long
 #: text does not hide what the dictionaries know of it.
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", thres
         yield from each_text(batches, scorer(model), ["score"], [pa.float64()])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    out = map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
     return out.select(id_col, held_out(id_col).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -171,4 +171,4 @@ def keep_good(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", t
             at = b.schema.names.index(text_col)
             keep = [judge(t or "")[0] >= threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

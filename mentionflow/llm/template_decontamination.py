@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, strings
+from .common import map_arrow, stored, strings
 
 WINDOW = 5
 #: Words of a window that must be no placeholder.
@@ -126,7 +126,7 @@ def windows(rows: DataFrame, id_col: str, text_col="text", window: int = WINDOW,
                      pa.array(total[row].astype(np.int32))], ["id", "pos", "h", "slots", "total"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, text_col).mapInArrow(run, f"id {kind}, pos int, h bigint, slots array<string>, total int")
+    return map_arrow(rows.select(id_col, text_col), run, f"id {kind}, pos int, h bigint, slots array<string>, total int")
 
 
 def _filter(items: DataFrame) -> np.ndarray:

@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import each_text
+from .common import each_text, map_arrow
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -140,4 +140,4 @@ def counts(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None =
         yield from each_text(batches, count, ["n_tokens", "score"], [pa.int64(), pa.float64()])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, score double")
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens bigint, score double")

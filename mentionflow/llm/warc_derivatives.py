@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 CRLF = "\r\n"
 SOFTWARE = "mentionflow derivative builder"
 #: The source's HTTP headers that the metadata record repeats, in this order.
@@ -117,8 +119,8 @@ def derivatives(responses: DataFrame, key_col="page_id") -> DataFrame:
                 [b.schema.names[0], *(n for n, _, _ in FIELDS)])
 
     kind = responses.schema[key_col].dataType.simpleString()
-    return responses.select(key_col, "record_id", "target_uri", "date", "http_headers", "payload") \
-        .mapInArrow(run, f"`{key_col}` {kind}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS))
+    own = responses.select(key_col, "record_id", "target_uri", "date", "http_headers", "payload")
+    return map_arrow(own, run, f"`{key_col}` {kind}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS))
 
 
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -142,4 +144,4 @@ def parse(records: DataFrame, record_col="record") -> DataFrame:
                 heads.append(list(fields.items()))
                 blocks.append(rest[:int(fields.get("Content-Length", 0))])
             yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["headers", "block"])
-    return records.select(record_col).mapInArrow(run, "headers map<string,string>, block binary")
+    return map_arrow(records.select(record_col), run, "headers map<string,string>, block binary")
