@@ -33,12 +33,25 @@ def keyword_hits(df: DataFrame, lexicon: DataFrame, key: str, text: str, lower:
     if not lengths:
         return src.select(key).join(lex, F.lit(False))
 
-    def parts(n):
-        ends = F.length("_t") - (n - 1)
-        return F.when(ends > 0, F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), lambda i: F.substr("_t", i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>"))
-    every = F.array_distinct(reduce(lambda a, b: F.concat(a, b), map(parts, lengths)))
-    return src.repartition(key).select(key, F.explode(every).alias("keyword")).join(lex, "keyword").select(key, "label", "keyword").distinct()
+    src = src.repartition(key).select(key, F.split("_t", "").alias("g1"))
+    for n in _steps(lengths):  # from characters to longer sub-strings: each is two shorter ones in a row
+        a = n // 2 if n % 2 == 0 else n - 1
+        many = F.size("g1") - (n - 1)
+        pairs = F.zip_with(F.slice(f"g{a}", F.lit(1), many), F.slice(f"g{n - a}", F.lit(a + 1), many), lambda x, y: F.concat(x, y))
+        src = src.withColumn(f"g{n}", F.when(many > 0, pairs).otherwise(F.array().cast("array<string>")))
+    every = F.array_distinct(F.concat(*[F.col(f"g{n}") for n in lengths]))
+    return src.select(key, F.explode(every).alias("keyword")).join(lex, "keyword").select(key, "label", "keyword").distinct()
+
+
+def _steps(lengths: list[int]) -> list[int]:
+    """Lengths over 1 to be made, in ascending order: each from its halves or from one less."""
+    need, todo = set(), [n for n in lengths if n > 1]
+    while todo:
+        n = todo.pop()
+        if n > 1 and n not in need:
+            need.add(n)
+            todo.append(n // 2 if n % 2 == 0 else n - 1)
+    return sorted(need)
 
 
 def sentiment_by_join(df: DataFrame, lexicon: DataFrame, key: str = "id",
