@@ -11,8 +11,6 @@ exploded rows are spread over all tasks, and the counts by key need no further s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
