@@ -228,6 +228,34 @@ def test_fuzzy_lines(spark):
     assert edges > 1000 and got <= exact and len(got) >= 0.98 * len(exact)
 
 
+def jaccard(a, b):
+    a, b = ({x[k:k + fuzzy_lines.SHINGLE] for k in range(len(x) - fuzzy_lines.SHINGLE + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("edit", ["first", "last", "appended"])
+def test_fuzzy_lines_recall_by_length(spark, edit):
+    """Lines with one edit that leaves them similar enough are linked, short ones too."""
+    rng = random.Random(17)
+    pairs = {}
+    for size in (20, 25, 30, 40, 60, 100):
+        for _ in range(150):
+            line = ""
+            while len(line) < size:
+                line += "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) + " "
+            line = line[:size - 1] + "q"
+            other = {"first": "#" + line[1:], "last": line[:-1] + "#", "appended": line + "#"}[edit]
+            if jaccard(line, other) >= fuzzy_lines.SIMILARITY:
+                pairs.setdefault(size, []).append((line, other))
+    docs = [(i, "\n".join(p)) for i, p in enumerate(p for x in pairs.values() for p in x)]
+    got = {r.doc_id: r.n_removed for r in fuzzy_lines.report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    at = 0
+    for size, own in pairs.items():
+        assert sum(got[i] for i in range(at, at + len(own))) >= 0.97 * len(own), size
+        at += len(own)
+    assert len(pairs) == 6
+
+
 def test_removed_lines_leave_the_text(spark):
     docs = spark.createDataFrame([(1, "This line is said twice here.\nand a unique one that stays", 1), (2, "x\nThis line is said twice here.\n", 2), (3, "This line is said twice HERE.", 3)],
                                  "doc_id bigint, text string, n_chars bigint")
