@@ -256,6 +256,19 @@ def test_fuzzy_lines_recall_by_length(spark, edit):
     assert len(pairs) == 6
 
 
+def test_fuzzy_lines_without_spaces(spark):
+    """Unlike URLs with one start share few buckets; similar lines that differ at their start are linked."""
+    rng = random.Random(23)
+    tail = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50)) for _ in range(400)]
+    docs = [(i, f"https://{t}") for i, t in enumerate(tail)] + [(1000 + i, f"http://{t}") for i, t in enumerate(tail[:40])]
+    docs += [(2000, "ein\tlanger\tsatz\tmit\ttabs\tund\tohne\tleerzeichen\tdarin"), (2001, "Xin\tlanger\tsatz\tmit\ttabs\tund\tohne\tleerzeichen\tdarin")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert fuzzy_lines.buckets(fuzzy_lines.signatures(fuzzy_lines.lines_of(d))).agg({"n": "max"}).first()[0] < 50
+    exact, edges = slow_removed(docs)
+    got = {(r.doc_id, int(p)) for r in fuzzy_lines.report(d).collect() for p in r.removed.split(",") if p}
+    assert edges == 41 and got <= exact and len(got) >= 0.97 * len(exact)
+
+
 def test_removed_lines_leave_the_text(spark):
     docs = spark.createDataFrame([(1, "This line is said twice here.\nand a unique one that stays", 1), (2, "x\nThis line is said twice here.\n", 2), (3, "This line is said twice HERE.", 3)],
                                  "doc_id bigint, text string, n_chars bigint")
