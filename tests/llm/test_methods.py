@@ -269,6 +269,31 @@ def test_fuzzy_lines_without_spaces(spark):
     assert edges == 41 and got <= exact and len(got) >= 0.97 * len(exact)
 
 
+def test_fuzzy_lines_lose_no_pair_of_a_bucket(spark):
+    """Versions of hot lines: the components are those of all similar pairs that share a bucket."""
+    rng = random.Random(29)
+    docs = []
+    for _ in range(3):
+        base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(24)]
+        for _ in range(350):
+            line = list(base)
+            for at in rng.sample(range(24), rng.choice([1, 2, 3])):
+                line[at] = f"{rng.choice('abcdefgh')}{at}"
+            docs.append((len(docs), " ".join(line)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lines = fuzzy_lines.lines_of(d)
+    text = {(r.k1, r.k2): r.norm for r in lines.collect()}
+    by_bucket = collections.defaultdict(set)
+    for r in fuzzy_lines.buckets(fuzzy_lines.signatures(lines)).collect():
+        by_bucket[r.bucket].add(text[r.k1, r.k2])
+    assert max(map(len, by_bucket.values())) > 100
+    pairs = {(a, b) for own in by_bucket.values() for a in own for b in own if a < b}
+    names = {f"{a & 2 ** 64 - 1:X}:{b & 2 ** 64 - 1:X}": n for (a, b), n in text.items()}
+    exact = roots(text.values(), [p for p in pairs if jaccard(*p) >= fuzzy_lines.SIMILARITY])
+    got = roots(text.values(), [(names[r.a], names[r.b]) for r in fuzzy_lines.links(d).collect()])
+    assert got == exact and len(set(exact.values())) < len(exact)
+
+
 def test_removed_lines_leave_the_text(spark):
     docs = spark.createDataFrame([(1, "This line is said twice here.\nand a unique one that stays", 1), (2, "x\nThis line is said twice here.\n", 2), (3, "This line is said twice HERE.", 3)],
                                  "doc_id bigint, text string, n_chars bigint")
