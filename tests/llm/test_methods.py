@@ -294,6 +294,12 @@ def test_fuzzy_lines_lose_no_pair_of_a_bucket(spark):
     assert got == exact and len(set(exact.values())) < len(exact)
 
 
+def test_short_lines_that_repeat(spark):
+    """Equal short lines go but for the first; blank ones stay, tabs and carriage returns too."""
+    docs = spark.createDataFrame([(1, "Menu\n\n\t\r\nOne more short\nlog in"), (2, " menu\n\n\t\r\nan other\nLog in "), (3, "}\n}\nx")], "doc_id bigint, text string")
+    assert {r.doc_id: r.removed for r in fuzzy_lines.report(docs).collect()} == {1: "", 2: "0,4", 3: "1"}
+
+
 def test_removed_lines_leave_the_text(spark):
     docs = spark.createDataFrame([(1, "This line is said twice here.\nand a unique one that stays", 1), (2, "x\nThis line is said twice here.\n", 2), (3, "This line is said twice HERE.", 3)],
                                  "doc_id bigint, text string, n_chars bigint")
