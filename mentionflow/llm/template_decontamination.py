@@ -1,6 +1,6 @@
 """Benchmark decontamination by template: numbers, names and units become typed
 placeholders, template windows of documents and benchmark items are hash-joined,
-and the values in the slots must map consistently, which catches questions that
+and each value in the slots must map to one, which catches questions that
 were asked again with other parameters."""
 
 from __future__ import annotations
@@ -145,9 +145,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
     """(id, item, n_windows, item_windows, share, longest, reparameterised) of
     the documents that hold a benchmark item.
 
-    Windows that match at one offset form an alignment; it counts if its slots
-    map one to one between item and document. An item is held if alignments
-    that count cover ``min_share`` of its windows or one has ``min_run`` of them. NULL and empty
+    Windows that match at one offset form an alignment; those of its windows count
+    whose slots' item values have one value each in the document. An item is held if windows
+    that count cover ``min_share`` of its windows or one alignment has ``min_run`` of them. NULL and empty
     texts and NULL ids match nothing; repeated rows of one id are one
     document; an empty benchmark gives no rows."""
     items = windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text, window, min_plain)
@@ -158,9 +158,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
     joined = own.join(F.broadcast(items) if n <= BROADCAST_WINDOWS else items, "h")
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     aligned = joined.groupBy("id", "item", "total", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    left, right = F.size(F.array_distinct("pairs.i")), F.size(F.array_distinct("pairs.d"))
-    good = aligned.where((F.size("pairs") == left) & (F.size("pairs") == right))
+        F.collect_set(F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs"))).alias("w"))
+    # item values with several values in the document: only the windows that hold one are left out
+    values = aligned.withColumn("i", F.array_sort(F.transform(F.array_distinct(F.flatten("w.pairs")), lambda p: p["i"])))
+    values = values.withColumn("torn", F.filter("i", lambda x, n: (n > 0) & (x == F.get("i", n - 1))))
+    good = values.withColumn("w", F.filter("w", lambda w: ~F.arrays_overlap(w["pairs"]["i"], F.col("torn")))).where(F.size("w") > 0)
+    good = good.select("id", "item", "total", F.array_distinct("w.at").alias("at"), F.flatten("w.pairs").alias("pairs"))
     per = good.groupBy("id", "item").agg(
         F.max("total").alias("item_windows"), F.max(F.size("at")).alias("longest"),
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),

@@ -322,6 +322,17 @@ def test_decontamination(spark):
     assert out == {(1, 1): True, (4, 1): False, (5, 2): False}
 
 
+def test_decontamination_with_one_value_changed(spark):
+    """A conflict of one value leaves the other windows, and two values may become one."""
+    long = ("A farmer near the river keeps 12 sheep and a few old goats in the barn behind his house, where the roof was mended last summer by two "
+            "friends who came from far away, and every morning before work he counts 12 sheep again while his dog waits at the gate")
+    speeds = "One train drives 60 km in the first hour and the other one drives 80 km in the same time, so which of the two is faster?"
+    b = spark.createDataFrame([(1, long), (2, speeds)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, long.replace("counts 12", "counts 13")), (2, speeds.replace("60", "70").replace("80", "70"))], "doc_id bigint, text string")
+    out = {(r.doc_id, r.item_id): r.reparameterised for r in template_decontamination.matches(d, b).collect()}
+    assert out == {(1, 1): False, (2, 2): True}
+
+
 def labelled():
     rows = duckdb.sql(f"SELECT doc_id, text, quality, toxic FROM '{LABELLED}/documents.parquet' JOIN '{LABELLED}/labels.parquet' USING (doc_id) ORDER BY hash(doc_id)").fetchall()
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
