@@ -40,13 +40,13 @@ CONTEXT_CHARS = 30
 #: addresses, titles with names, and runs of digit groups, local telephone numbers among them.
 _AT = r"\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?"
 _DOT = r"(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20)"
-CANDIDATE = (r"(?i:\b(?:token|secret|password|passwd|pwd|api_?key|access_?key|key)\b)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{12,400}+"
-             r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + r"[A-Za-z0-9-]{1,63}" + _DOT + r"[A-Za-z]{2,12}\b"
+CANDIDATE = (r"(?i:\b(?:token|secret|password|passwd|pwd|api_?key|access_?key|key)\b)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{12,}+"
+             r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + r"[A-Za-z0-9-]{1,63}(?:" + _DOT + r"[A-Za-z0-9-]{1,63}){0,125}" + _DOT + r"[A-Za-z]{2,63}\b"
              r"|\b(?:" + TITLES + r")\.?\x20[A-ZÀ-Ý][a-zà-ÿ]{1,30}(?:\x20[A-ZÀ-Ý][a-zà-ÿ]{1,30})?"
              r"|(?<![0-9+.-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,7}){1,4}+(?![0-9])"
              r"|(?<![0-9A-Za-z+])[0-9]{9,19}+(?![0-9A-Za-z])")
-#: A place where a candidate may be; texts without one are not searched.
-CANDIDATE_HINT = r"[0-9]{2}|(?i:[\[(\x20]at[\])\x20])|\b(?:" + TITLES + r")\.?\x20[A-ZÀ-Ý]"
+#: A place where a candidate may be, of each alternative; texts without one are not searched.
+CANDIDATE_HINT = r"[0-9]{2}|(?i:[\[(\x20]at[\])\x20]|(?:token|secret|password|passwd|pwd|key)\x20?[=:])|\b(?:" + TITLES + r")\.?\x20[A-ZÀ-Ý]"
 
 #: Votes: personal, not personal, no opinion.
 YES, NO, NONE = 1, 0, 2

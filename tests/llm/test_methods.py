@@ -186,6 +186,14 @@ def test_pii_weak_labels(spark):
     assert got[0].startswith("secret:0:") and got[1].startswith("email:") and got[2] == "phone:5:17" and got[3] == ""
 
 
+def test_pii_candidates_are_whole(spark):
+    """Secrets are found without other digits around, and secrets and written-out addresses to their end."""
+    texts = ["api_key=aK3bQ9xZ7mP4tL8vN2wR", "Password: " + "aB3" * 300, "john (at) mail dot example dot co dot uk, or so", "meet me at noon. all is well"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(c.o, c.s, c.e) for c in r.candidates] for r in weak_pii.spans(d).collect()}
+    assert got == {0: [(4, 0, 28)], 1: [(4, 0, 910)], 2: [(0, 0, 40)], 3: []}
+
+
 def line_sets(docs):
     where = collections.defaultdict(list)
     for doc, text in sorted(docs):
