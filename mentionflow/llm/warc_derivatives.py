@@ -18,8 +18,6 @@ from .common import map_arrow
 
 CRLF = "\r\n"
 SOFTWARE = "mentionflow derivative builder"
-#: The source's HTTP headers that the metadata record repeats, in this order.
-KEPT_HEADERS = ("content-type", "content-language", "content-length", "last-modified", "etag", "server")
 SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))",
                      re.S | re.I)
 BLOCK_TAG = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|"
@@ -69,7 +67,7 @@ def derive(source_id: str, uri: str, date: str, http: str, markup: str) -> list[
     payload_digest, block_digest = digest(payload), digest(http.encode("utf-8", "replace") + payload)
     title, language = TITLE.search(markup), LANGUAGE.search(markup)
     info = [("sourcePayloadDigest", payload_digest), ("sourceBlockDigest", block_digest), ("sourceStatus", status)]
-    info += [("sourceHeader", f"{k}: {v}") for name in KEPT_HEADERS for k, v in headers if k == name]
+    info += [("sourceHeader", f"{k}: {v}") for k, v in headers]
     info += [("title", html.unescape(title[1]))] if title else []
     info += [("languages-html", language[1])] if language else []
     links = [html.unescape(next(x for x in m.groups() if x is not None)) for m in LINK.finditer(markup)]

@@ -385,6 +385,15 @@ def test_warc_round_trip(spark):
     assert text.record_id != meta.record_id
 
 
+def test_warc_keeps_every_header(spark):
+    head = "HTTP/1.1 200 OK\r\nDate: Mon, 01 Jan 2024 00:00:00 GMT\r\nX-Robots-Tag: noarchive\r\nContent-Type: text/html\r\nLink: </a>; rel=next\r\nLink: </b>; rel=prev\r\n\r\n"
+    one = spark.createDataFrame([(1, "<urn:uuid:1>", "http://h/", "2024-01-01T00:00:00Z", head, "<p>x")],
+                                "page_id bigint, record_id string, target_uri string, date string, http_headers string, payload string")
+    parsed = {r.headers["WARC-Type"]: r.block.decode() for r in warc_derivatives.parse(warc_derivatives.derivatives(one)).collect()}
+    assert [x[14:] for x in parsed["metadata"].split("\r\n") if x.startswith("sourceHeader: ")] == [
+        "date: Mon, 01 Jan 2024 00:00:00 GMT", "x-robots-tag: noarchive", "content-type: text/html", "link: </a>; rel=next", "link: </b>; rel=prev"]
+
+
 def test_pipeline(spark):
     """Each stage on what its predecessor kept, against the same rules by brute force."""
     import corpus_pipeline as c
