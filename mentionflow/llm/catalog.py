@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, compression_quality, distribution_divergence, fuzzy_lines, pu_toxicity, simhash, template_decontamination,
-               viterbi_counts, warc_derivatives, weak_pii)
+from . import (byte_bpe, compression_quality, distribution_divergence, fuzzy_lines, pu_toxicity, simhash, source_mixing,
+               template_decontamination, viterbi_counts, warc_derivatives, weak_pii)
 from .common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,11 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression_quality.score(docs, compression_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.taken(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_mixing"] = source_mixing.oracle()
