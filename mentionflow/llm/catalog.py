@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, compression_quality, conversation_repair, distribution_divergence, fuzzy_lines, pu_toxicity, simhash, source_mixing,
+from . import (byte_bpe, compression_quality, conversation_repair, distribution_divergence, fuzzy_lines, negative_mining, pu_toxicity, simhash, source_mixing,
                template_decontamination, viterbi_counts, warc_derivatives, weak_pii)
 from .common import table
 
@@ -85,6 +85,14 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op11_source_mixing"] = source_mixing.oracle()
 
 
+@register
+def op12_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negative_mining.mine(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_negative_mining"] = negative_mining.oracle()
+
+
 @register
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))

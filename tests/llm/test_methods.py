@@ -421,5 +421,5 @@ def test_pipeline(spark):
 def test_entry_lists_all():
     from __spark_entry__ import oracle_sql, queries
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert "op2_distribution_divergence" in oracle_sql()
