@@ -28,6 +28,17 @@ def first_wins(df: DataFrame, key="id", order=("tab_rank", "ingest_seq"), row_id
     return df.join(lost, row_id, "left_anti").select(*df.columns)
 
 
+def first_rows(df: DataFrame, key="id", order=("tab_rank", "ingest_seq")) -> DataFrame:
+    """One row per key that is never NULL: the smallest ``order`` tuple wins.
+
+    ``df`` is read once, with all its columns: ``row_number() = 1`` is planned as a ``WindowGroupLimit`` before
+    the shuffle, which leaves a key one row for each task, and one after it. The rows come out partitioned by
+    the key. For wide rows that are dear to make; ``first_wins`` reads cheap rows (files) twice, but never sorts the wide ones."""
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
+    return df.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
+
+
 def _position(order: list[str]) -> F.Column:
     """One comparable value of an order; (tab_rank, ingest_seq) as a decimal,
     a buffer of fixed size that keeps the minimum a hash aggregate."""

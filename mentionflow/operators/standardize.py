@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_text, content_hash, extract_symbols, extract_urls,
                          long_enough, post_id)
-from .dedup import capped_capture, first_wins
+from .dedup import capped_capture, first_rows
 
 
 def cleaned_post_is_valid(text="text", tab="tab") -> F.Column:
@@ -32,9 +32,19 @@ def standardize_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64",
     naming a row; other columns (author, created_at, engagement …) are carried
     along. ``max_per_tab`` caps each tab as the capture loop does
     (``capped_capture``); ``taken`` (id, tab): posts that earlier runs stored, counted in the cap."""
+    return distinct_posts(cleaned_posts(raw, raw_text, key_fn), key_fn, max_per_tab, symbols, urls, ticker_kwargs, taken)
+
+
+def cleaned_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64") -> DataFrame:
+    """The rows that are long enough, with their cleaned ``text`` and its key as ``id``."""
     df = raw.filter(long_enough(raw_text))
     df = df.withColumn("text", clean_text(raw_text)).drop(raw_text)
-    df = df.withColumn("id", post_id("text", key_fn))
+    return df.withColumn("id", post_id("text", key_fn))
+
+
+def distinct_posts(df: DataFrame, key_fn="xxh64", max_per_tab: int | None = None, symbols: bool = True, urls: bool = True,
+                   ticker_kwargs: dict | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """Posts of ``cleaned_posts``: de-duplicated (or capped), valid, with what is extracted from their texts."""
     # The id is marked as seen before the validity test, so de-dup comes
     # first. Validity is tested after the aggregate on the cleaned text, where
     # "not blank" is just "not empty"; a filter placed before the aggregate
@@ -42,7 +52,7 @@ def standardize_posts(raw: DataFrame, raw_text="raw_text", key_fn="xxh64",
     if max_per_tab:
         df = capped_capture(df.filter(cleaned_post_is_valid()), max_per_tab, taken)
     else:
-        df = first_wins(df, "id", ("tab_rank", "ingest_seq")).filter(cleaned_post_is_valid())
+        df = first_rows(df, "id", ("tab_rank", "ingest_seq")).filter(cleaned_post_is_valid())
     if symbols:
         df = df.withColumn("symbols", extract_symbols("text", **(ticker_kwargs or {})))
     if urls:

@@ -23,7 +23,7 @@ from ..operators import analytics as A
 from ..operators import dedup as DD
 from ..operators import enrich as E
 from ..operators import lexicon_join as LJ
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, staged
 from ..sources import driver_tables as D
 from ..sources import pages as PG
 from ..sources import store as ST
@@ -256,7 +256,7 @@ def q_fallback_summary(spark, sf_dir):
 @register("parse_responses")
 def q_parse_responses(spark, sf_dir):
     """P24 + P25 + P26: one summary per post from its model reply or the fallback."""
-    p = _posts_md5(spark, sf_dir)
+    p = staged(_posts_md5(spark, sf_dir), "posts")  # posts, and the replies that are made from them
     s = E.summarize(p, D.model_responses(p))
     return s.select("post_id", "model_used", "sentiment", _r6("sentiment_score").alias("sentiment_score"),
                     _joined("tickers").alias("tickers"), "summary",
@@ -287,7 +287,7 @@ def _echo_responder(system_prompt: str, user_prompt: str):
 @register("enrich_udf")
 def q_enrich_udf(spark, sf_dir):
     """U2 + U3: responder run by mapInPandas, then parse-or-fallback."""
-    p = _posts_md5(spark, sf_dir)
+    p = staged(_posts_md5(spark, sf_dir), "posts")
     r = E.respond_with(p, _echo_responder)
     s = E.summarize(p, r)
     return s.select("post_id", "model_used", "sentiment")
@@ -296,7 +296,7 @@ def q_enrich_udf(spark, sf_dir):
 @register("enrich_stats")
 def q_enrich_stats(spark, sf_dir):
     """A10 per tab."""
-    p = _posts_md5(spark, sf_dir)
+    p = staged(_posts_md5(spark, sf_dir), "posts")
     return E.enrichment_stats(p, D.model_responses(p))
 
 
@@ -460,8 +460,9 @@ def _fmt_ts(c):
 @register("tab_stats")
 def q_tab_stats(spark, sf_dir):
     """A9 + J7: per-tab statistics over the tab spine (empty tabs included)."""
-    p, s = _posts_summ(spark, sf_dir, engage=True)
-    st = A.tab_statistics(D.captured(spark, sf_dir), p, s, TB.source_tabs(spark, sf_dir), log=D.capture_log(spark, sf_dir))
+    seen, p = D.captured_and_posts(spark, sf_dir, "md5")
+    s = staged(D.labelled_summaries(spark, sf_dir, key_fn="md5"), "summaries")
+    st = A.tab_statistics(seen, staged(p.drop("text", "urls"), "posts"), s, TB.source_tabs(spark, sf_dir), log=D.capture_log(spark, sf_dir))
     return st.select("tab", "total_posts", "valid_posts", "dropped_posts", "duplicate_posts", "positive_posts",
                      "neutral_posts", "negative_posts", _joined("top_stocks").alias("top_stocks"),
                      _joined("top_themes").alias("top_themes"),
@@ -496,30 +497,25 @@ def q_page_posts(spark, sf_dir):
 # ------------------------------------------------------------- report
 
 
-def _report_inputs(spark, sf_dir, materialize=False):
-    p, s = _posts_summ(spark, sf_dir, engage=True)
-    if materialize:
-        # every section reads posts and summaries: write them once to the
-        # shared checkpoint folder instead of recomputing them per section,
-        # without the texts, which only the ten top discussions need
-        from ..session import cut_lineage
-        p, s = cut_lineage(p.drop("text", "urls")), cut_lineage(s)
-    stats = A.tab_statistics(D.captured(spark, sf_dir), p, s, TB.source_tabs(spark, sf_dir), log=D.capture_log(spark, sf_dir))
+def _report_inputs(spark, sf_dir):
+    """(posts, summaries, statistics, the last event, (id, text) of the posts)."""
+    seen, p = D.captured_and_posts(spark, sf_dir, "md5")
+    s = D.labelled_summaries(spark, sf_dir, key_fn="md5")
+    # every section reads posts and summaries: they are written once to the shared
+    # folder, and the texts are read for the ten top discussions only
+    p, s = staged(p.drop("urls"), "posts"), staged(s, "summaries")
+    stats = A.tab_statistics(seen, p, s, TB.source_tabs(spark, sf_dir), log=D.capture_log(spark, sf_dir))
     end = read_table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("e"))
-    return p, s, stats, end
+    return p.drop("text"), s, stats, end, p.select("id", "text")
 
 
 @register("report_lines")
 def q_report_lines(spark, sf_dir):
     """The whole Markdown report as ordered lines; the report time is
     the last event time (deterministic)."""
-    p, s, stats, end = _report_inputs(spark, sf_dir, materialize=True)
+    p, s, stats, end, texts = _report_inputs(spark, sf_dir)
     job_end = F.lit(end.first()["e"])
-    return RP.report_lines(p, s, stats, job_end=job_end, texts=_texts(spark, sf_dir))
-
-
-def _texts(spark, sf_dir):
-    return _posts_md5(spark, sf_dir).select("id", "text")
+    return RP.report_lines(p, s, stats, job_end=job_end, texts=texts)
 
 
 @register("report_file")
@@ -549,7 +545,7 @@ def q_report_sentiment(spark, sf_dir):
 @register("report_tabs")
 def q_report_tabs(spark, sf_dir):
     """Per-tab statistics table lines."""
-    p, s, stats, _ = _report_inputs(spark, sf_dir)
+    p, s, stats, *_ = _report_inputs(spark, sf_dir)
     return RP.tabs_section(stats)
 
 
@@ -714,10 +710,10 @@ def q_envelope_import(spark, sf_dir):
 def q_report_json(spark, sf_dir):
     """K4: the nested report written as JSON, read back: totals and the
     number of symbol and theme records."""
-    p, s, stats, end = _report_inputs(spark, sf_dir, materialize=True)
+    p, s, stats, end, texts = _report_inputs(spark, sf_dir)
     e = end.first()["e"]
     path = scratch_path(spark, f"report-json-{_uuid.uuid4().hex}")
-    RP.write_report_json(p, s, stats, path, F.lit("run_report"), F.lit(e), texts=_texts(spark, sf_dir))
+    RP.write_report_json(p, s, stats, path, F.lit("run_report"), F.lit(e), texts=texts)
     doc = spark.read.json(f"{path}/summary").select(
         "total_posts_collected", "total_unique_posts", "total_posts_summarized",
         F.size("top_discussions").cast("long").alias("discussions"),

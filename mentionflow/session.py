@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder, and read from there: what reads it
+    several times takes only the columns it needs, and a lost executor costs no second run of ``df``."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that this library wrote (any Hadoop file system)."""
     jvm = getattr(spark, "_jvm", None)

@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import (clean_text, content_hash, extract_symbols, post_id, sectors, truncate)
+from ..functions import (clean_text, content_hash, extract_symbols, long_enough, post_id, sectors, truncate)
 from ..functions.lexicons import TEST_SECTOR_KEYWORDS
-from ..operators.standardize import standardize_posts  # noqa: F401 (re-exported)
-from ..session import read_table
+from ..operators.standardize import cleaned_posts, distinct_posts, standardize_posts
+from ..session import read_table, staged
 
 TICKER_MOD = 97
 
@@ -165,11 +165,15 @@ def capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("error"))
 
 
-def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tab, candidate) of every captured row; candidate: long enough, and not blank once cleaned."""
-    d = documents_raw(spark, sf_dir)
-    ok = F.coalesce((F.length("raw_text") >= 5) & (F.length(clean_text("raw_text")) > 0), F.lit(False))
-    return d.select("tab", ok.alias("candidate"))
+def captured_and_posts(spark: SparkSession, sf_dir: str, key_fn: str = "xxh64", engage: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(captured, posts) from one cleaning of the texts, which is staged. captured: (tab, candidate) of every
+    captured row; candidate: long enough, and not blank once cleaned."""
+    raw = documents_raw(spark, sf_dir)
+    clean = staged(cleaned_posts(raw, key_fn=key_fn), "cleaned")
+    short = raw.filter(~F.coalesce(long_enough("raw_text"), F.lit(False))).select("tab", F.lit(False).alias("candidate"))
+    rows = clean.select("tab", F.coalesce(F.length("text") > 0, F.lit(False)).alias("candidate")).unionByName(short)
+    p = distinct_posts(clean, key_fn)
+    return rows, with_engagement(p, engagement(spark, sf_dir)) if engage else p
 
 
 def conversations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,19 +34,33 @@ def test_first_n_is_pre_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan and "Partial" in plan, name
 
 
-def test_dedup_is_partially_aggregated(spark):
+def test_dedup_is_cut_before_the_shuffle(spark):
+    """A hot id ships one row for each task; the store, whose rows are files, finds them on narrow rows."""
     plan = _plan(spark, "first_wins")
-    assert "partial_min(" in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "partial_min(" in _plan(spark, "dedup_new")
 
 
 def test_flagship_join_reuses_dedup_partitioning(spark):
     plan = _plan(spark, "stock_mentions")
-    # exchanges: de-dup by id on narrow rows and J1 by id, last-wins by
-    # post_id, mentions by symbol
-    assert plan.count("hashpartitioning(id") == 2
+    # exchanges: de-dup and J1 by id, last-wins by post_id, mentions by symbol
+    assert plan.count("hashpartitioning(id") == 1
     assert plan.count("hashpartitioning(post_id") == 1
 
 
+@pytest.mark.parametrize("name,scans", [("first_wins", 1), ("stock_samples", 1), ("stock_mentions", 2), ("stock_names", 2), ("keyword_sentiment", 1)])
+def test_texts_are_read_and_cleaned_once(spark, name, scans):
+    """Once for the posts, and once for the summaries where a query reads them."""
+    plan = _plan(spark, name)
+    assert sum("FileScan" in line and "text" in line.split("ReadSchema")[1] for line in plan.splitlines() if "ReadSchema" in line) == scans
+
+
+@pytest.mark.parametrize("name", ["parse_responses", "enrich_stats", "tab_stats"])
+def test_staged_posts_are_not_cleaned_again(spark, name):
+    plan = _plan(spark, name)
+    assert sum("documents.parquet" in line and "text" in line.split("ReadSchema")[1] for line in plan.splitlines() if "ReadSchema" in line) == (name == "tab_stats")  # lengths of the short rows
+
+
 def test_scan_prunes_columns(spark):
     plan = _plan(spark, "themes")
     assert "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in plan
@@ -59,7 +73,7 @@ def test_mention_counts_use_hash_aggregation(spark):
     assert sym_aggs and all("HashAggregate" in l for l in sym_aggs)
 
 
-@pytest.mark.parametrize("name", ["first_wins", "stock_mentions", "dedup_new"])
+@pytest.mark.parametrize("name", ["stock_mentions", "dedup_new"])
 def test_no_aggregate_carries_text(spark, name):
     """Rows are de-duplicated on narrow keys: no aggregation buffer holds a text."""
     plan = _plan(spark, name)
