@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import remove_staged, staged
+
 
 def first_wins(df: DataFrame, key="id", order=("tab_rank", "ingest_seq"), row_id=None) -> DataFrame:
     """One row per key: the smallest ``order`` tuple wins.
@@ -72,36 +74,71 @@ def tab_cap(df: DataFrame, max_per_tab: int, tab="tab", order=("ingest_seq",),
     return out if rank_col else out.drop(rn)
 
 
+#: Tabs and chosen rows that are sent to every task at most (some 50 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _few(df: DataFrame, n: int | None = None) -> DataFrame:
+    n = df.limit(BROADCAST_ROWS + 1).count() if n is None else n
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def capped_capture(df: DataFrame, max_per_tab: int, stored: DataFrame | None = None) -> DataFrame:
-    """W1 + W2 as the capture loop has them: the tabs in rank order, each takes
+    """W1 + W2 as the capture loop has them: the tabs in order (rank, then name), each takes
     its first ``max_per_tab`` posts that no tab before it took. A post beyond the
     cap isn't seen yet: a later tab may take its copy. ``stored`` (id, tab):
     posts taken by earlier runs; they are seen, and count in their tab.
 
-    One round for each tab over narrow rows (id, tab, position). What a round
-    takes is bounded by the cap, so what was taken is broadcast (tabs are
-    configuration; tabs x cap ids of 16 characters)."""
-    narrow = df.select("id", "tab", "tab_rank", "ingest_seq")
+    Deferred acceptance finds what the loop finds, for all tabs at once. Each id offers itself to the first tab that does
+    not refuse it; a tab with more offers than room keeps the first in capture order, and refuses what lies
+    behind its last one from then on. That limit only moves forward, so the rounds end when none moves; the first
+    ``r`` tabs are right after ``r`` rounds at the latest, and most after a few. A round reads narrow offers (id, tab, position)
+    and the limits, a row for each tab; only the number of moved limits reaches the driver."""
     spark = df.sparkSession
-    ranks = [r[0] for r in narrow.select("tab_rank").distinct().orderBy("tab_rank").collect()]
-    have = {} if stored is None else {r["tab"]: r["n"] for r in stored.groupBy("tab").agg(F.count(F.lit(1)).alias("n")).collect()}
-    taken: list[tuple] = []
-    kind = "id string, tab string, tab_rank int, ingest_seq " + df.schema["ingest_seq"].dataType.simpleString()
-    for rank in ranks:
-        own = narrow.filter(F.col("tab_rank").eqNullSafe(F.lit(rank)))
-        if stored is not None:
-            own = own.join(stored.select("id"), "id", "left_anti")
-        if taken:
-            own = own.join(F.broadcast(spark.createDataFrame(taken, kind).select("id")), "id", "left_anti")
-        first = own.groupBy("tab", "id").agg(F.min(F.struct("ingest_seq", "tab_rank")).alias("p"))
-        w = Window.partitionBy("tab").orderBy("p.ingest_seq")
-        room = F.lit(max_per_tab)
-        for tab, n in have.items():
-            room = F.when(F.col("tab") == tab, max(0, max_per_tab - n)).otherwise(room)
-        got = first.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= room)
-        taken += [tuple(r) for r in got.select("id", "tab", "p.tab_rank", "p.ingest_seq").collect()]
-    chosen = spark.createDataFrame(taken, kind)
-    return df.join(F.broadcast(chosen), ["id", "tab", "tab_rank", "ingest_seq"], "left_semi")
+    tabs = df.select("tab", "tab_rank").distinct()
+    numbered = tabs.withColumn("tab_no", F.row_number().over(Window.orderBy("tab_rank", "tab")))  # a row for each tab
+    room = F.lit(max_per_tab).cast("long")
+    if stored is not None:
+        have = stored.groupBy(F.col("tab").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+        numbered = numbered.join(have, F.col("tab").eqNullSafe(F.col("_t")), "left").drop("_t")
+        room = F.greatest(room - F.coalesce("_n", F.lit(0).cast("long")), F.lit(0).cast("long"))
+    made = [staged(numbered.select("tab", "tab_rank", "tab_no", room.alias("room")), "capture-tabs")]
+    few = _few(made[0])
+    one = df.select("id", "tab", "tab_rank", "ingest_seq").join(
+        few.select(F.col("tab").alias("_t"), F.col("tab_rank").alias("_r"), "tab_no"),
+        F.col("tab").eqNullSafe(F.col("_t")) & F.col("tab_rank").eqNullSafe(F.col("_r")))
+    offers = one.groupBy("id", "tab_no").agg(F.min("ingest_seq").alias("seq"))
+    if stored is not None:
+        offers = offers.join(stored.select("id").distinct(), "id", "left_anti")
+    made.append(staged(offers, "capture-offers"))
+    offers, limits, moved = made[1], None, 1
+    while moved:
+        open_ = offers
+        if limits is not None:
+            open_ = offers.join(_few(limits), "tab_no", "left").where("last IS NULL OR seq < last OR seq = last AND id <= last_id")
+        choice = open_.groupBy("id").agg(F.min(capture_position("tab_no", "seq")).alias("p"))
+        # the position names the offer: its tab and its place there
+        tab_no = (F.floor(F.col("p") / F.lit(str(10 ** 20)).cast("decimal(30,0)")) - F.lit(2 ** 31)).cast("int").alias("tab_no")
+        seq = (F.col("p") % F.lit(str(10 ** 20)).cast("decimal(30,0)") - F.lit(str(2 ** 63)).cast("decimal(30,0)")).cast("long").alias("seq")
+        held = choice.select("id", tab_no, seq).join(few.select("tab_no", "room"), "tab_no")
+        w = Window.partitionBy("tab_no").orderBy("seq", "id")
+        # a tab that is full, or has no room, has a limit: its last one kept
+        first = held.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_per_tab)
+        full = first.where("n = room").select("tab_no", F.col("seq").alias("last"), F.col("id").alias("last_id"))
+        none = few.where("room = 0").select("tab_no", F.lit(-2 ** 63).alias("last"), F.lit("").alias("last_id"))
+        now = staged(full.unionByName(none), "capture-limits")
+        made.append(now)
+        if limits is None:
+            moved = now.limit(1).count()
+        else:
+            before = limits.select("tab_no", F.struct("last", "last_id").alias("_b"))
+            moved = now.join(_few(before), "tab_no", "left").where(~F.col("_b").eqNullSafe(F.struct("last", "last_id"))).limit(1).count()
+        limits = now
+    chosen = staged(first.where("n <= room").select("id", "tab_no", F.col("seq").alias("ingest_seq")).join(
+        few.select("tab_no", "tab", "tab_rank"), "tab_no").drop("tab_no"), "capture")
+    for t in made:
+        remove_staged(t)
+    return df.join(_few(chosen), ["id", "tab", "tab_rank", "ingest_seq"], "left_semi")
 
 
 def dedup_new(new: DataFrame, stored: DataFrame | None, key="content_hash",

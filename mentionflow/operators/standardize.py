@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_text, content_hash, extract_symbols, extract_urls,
                          long_enough, post_id)
+from ..session import staged
 from .dedup import capped_capture, first_rows
 
 
@@ -50,7 +51,8 @@ def distinct_posts(df: DataFrame, key_fn="xxh64", max_per_tab: int | None = None
     # "not blank" is just "not empty"; a filter placed before the aggregate
     # would be pushed into the scan with the cleaning regexes inlined again.
     if max_per_tab:
-        df = capped_capture(df.filter(cleaned_post_is_valid()), max_per_tab, taken)
+        # the rounds read narrow columns, and the texts of the chosen
+        df = capped_capture(staged(df.filter(cleaned_post_is_valid()), "cleaned"), max_per_tab, taken)
     else:
         df = first_rows(df, "id", ("tab_rank", "ingest_seq")).filter(cleaned_post_is_valid())
     if symbols:

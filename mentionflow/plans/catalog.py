@@ -326,6 +326,23 @@ def q_tab_cap(spark, sf_dir):
     return c.select("tab", F.col("ingest_seq").alias("doc_id"), F.col("rn").cast("long").alias("rn"))
 
 
+def _capture(spark, sf_dir, cap):
+    p = D.posts(spark, sf_dir, key_fn="md5", engage=False, max_per_tab=cap)
+    return p.select("id", "tab", F.col("ingest_seq").alias("doc_id"))
+
+
+@register("capture_cap_10")
+def q_capture_cap_10(spark, sf_dir):
+    """W1 + W2 as the capture loop has them: each tab in order takes 10 posts that no tab before it took."""
+    return _capture(spark, sf_dir, 10)
+
+
+@register("capture_cap_100")
+def q_capture_cap_100(spark, sf_dir):
+    """The same with the configured default of 100 posts."""
+    return _capture(spark, sf_dir, 100)
+
+
 @register("tab_select")
 def q_tab_select(spark, sf_dir):
     """Tab selection with the fallback rule (unknown names dropped)."""

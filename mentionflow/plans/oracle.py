@@ -379,6 +379,26 @@ WITH {POSTS_CTE},
 c AS (SELECT tab, ingest_seq, row_number() OVER (PARTITION BY tab ORDER BY ingest_seq) AS rn FROM posts)
 SELECT tab, ingest_seq AS doc_id, CAST(rn AS BIGINT) AS rn FROM c WHERE rn <= 10"""
 
+
+
+def capture_cap(cap: int) -> str:
+    """The capture loop itself: one step for each tab, with all ids that the tabs before it took."""
+    return f"""
+WITH RECURSIVE {POSTS_CTE},
+tabs AS (SELECT tab, tab_rank, row_number() OVER (ORDER BY tab_rank, tab) AS t FROM (SELECT DISTINCT tab, tab_rank FROM keyed)),
+c AS (SELECT id, t, min(ingest_seq) AS seq FROM keyed JOIN tabs USING (tab, tab_rank) GROUP BY ALL),
+run AS (SELECT 0::BIGINT AS t, []::VARCHAR[] AS ids, []::STRUCT(id VARCHAR, t BIGINT, seq BIGINT)[] AS got
+        UNION ALL
+        SELECT t + 1, list_concat(ids, coalesce(list(id) FILTER (rn <= {cap}), [])), list_concat(got, coalesce(list({{'id': id, 't': t + 1, 'seq': seq}}) FILTER (rn <= {cap}), []))
+        FROM (SELECT run.t, run.ids, run.got, c.id, c.seq, CASE WHEN c.id IS NULL THEN {cap} + 1 ELSE row_number() OVER (ORDER BY c.seq) END AS rn
+              FROM run LEFT JOIN c ON c.t = run.t + 1 AND NOT list_contains(run.ids, c.id) WHERE run.t < (SELECT max(t) FROM tabs))
+        GROUP BY t, ids, got)
+SELECT g.id, tab, g.seq AS doc_id FROM (SELECT unnest(got) AS g FROM run WHERE t = (SELECT max(t) FROM tabs)) JOIN tabs ON tabs.t = g.t"""
+
+
+ORACLE["capture_cap_10"] = capture_cap(10)
+ORACLE["capture_cap_100"] = capture_cap(100)
+
 ORACLE["tab_select"] = f"""
 WITH {POSTS_CTE}
 SELECT tab, count(*) AS n FROM posts WHERE tab IN ('src1', 'src3') GROUP BY tab"""

@@ -94,6 +94,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def remove_staged(df: DataFrame) -> None:
+    """Delete the files that ``staged`` wrote for ``df``."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, folder)
+
+
 def recommended_conf(input_bytes: int, executor_memory_gb: float = 16.0, cores_per_executor: int = 4,
                      executors: int = 1) -> dict:
     """Partition sizing for a run over ``input_bytes`` of text.

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 """Table cases (FIXTURES §3) through the DataFrame operators."""
 
 from pyspark.sql import functions as F
@@ -143,3 +146,53 @@ def test_global_rank_matches_row_number(spark):
     a = A.global_rank(df, order).select("id", "rank")
     b = df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", F.col("rank").cast("long"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def capture_loop(rows, cap, stored=()):
+    """The tabs one after the other, as the capture loop takes posts."""
+    seen, count = {i for i, _ in stored}, {}
+    for _, t in stored:
+        count[t] = count.get(t, 0) + 1
+    out = []
+    for _, t in sorted({(r[2], r[1]) for r in rows}):
+        for i, tab, rank, seq in sorted((r for r in rows if r[1] == t), key=lambda r: r[3]):
+            if count.get(t, 0) < cap and i not in seen:
+                seen.add(i)
+                count[t] = count.get(t, 0) + 1
+                out.append((i, tab, rank, seq))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,cap", [(1, 3), (2, 1), (3, 10), (4, 5)])
+def test_capped_capture_is_the_loop(spark, seed, cap):
+    rng = random.Random(seed)
+    rows = [(f"p{rng.randrange(120)}", f"t{t}", t // 2, s) for s in range(600) for t in [min(rng.randrange(14), rng.randrange(14))]]
+    stored = [(f"p{i}", f"t{i % 4}") for i in range(0, 40, 7)] if seed > 2 else []
+    kind = "id string, tab string, tab_rank int, ingest_seq long"
+    have = spark.createDataFrame(stored, "id string, tab string") if stored else None
+    got = DD.capped_capture(spark.createDataFrame(rows, kind), cap, have)
+    assert sorted(map(tuple, got.collect())) == capture_loop(rows, cap, stored)
+
+
+def test_capped_capture_of_many_tabs(spark):
+    """10,000 tabs: a few rounds, not one for each tab; a chain of refused copies goes down many of them."""
+    rows = [(f"p{t}-{k}", f"t{t:05}", t, 10 * t + k) for t in range(10000) for k in range(3)]
+    rows += [(f"p{t - 1}-2", f"t{t:05}", t, 10 * t + 5) for t in range(1, 10000, 2)]
+    rows += [("chain", f"t{t:05}", t, 10 * t + 9) for t in range(0, 30, 1)]
+    kind = "id string, tab string, tab_rank int, ingest_seq long"
+    got = DD.capped_capture(spark.createDataFrame(rows, kind), 2)
+    assert sorted(map(tuple, got.collect())) == capture_loop_by_tab(rows, 2)
+
+
+def capture_loop_by_tab(rows, cap):
+    by_tab, seen, out = {}, set(), []
+    for r in rows:
+        by_tab.setdefault((r[2], r[1]), []).append(r)
+    for t in sorted(by_tab):
+        took = 0
+        for r in sorted(by_tab[t], key=lambda r: r[3]):
+            if took < cap and r[0] not in seen:
+                seen.add(r[0])
+                took += 1
+                out.append(r)
+    return sorted(out)
