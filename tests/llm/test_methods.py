@@ -264,6 +264,27 @@ def test_fuzzy_lines_recall_by_length(spark, edit):
     assert len(pairs) == 6
 
 
+def test_fuzzy_lines_recall_of_long_lines(spark):
+    """Around the borders between the kinds of signatures, with words changed, put in and left out; each size on its own."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    pairs = {}
+    for size in (85, 99, 130, 250, 395, 420, 510, 900):
+        while len(pairs.setdefault(size, [])) < 60:
+            words = [word() for _ in range(size // 6)]
+            other = list(words)
+            for _ in range(rng.randrange(1, max(2, size // 80))):
+                at = rng.randrange(len(other))
+                other[at:at + 1] = rng.choice([[], [word()], [other[at], word()]])
+            line, other = " ".join(words), " ".join(other)
+            if jaccard(line, other) >= fuzzy_lines.SIMILARITY:
+                pairs[size].append((line, other))
+    docs = [(i, "\n".join(p)) for i, p in enumerate(p for x in pairs.values() for p in x)]
+    got = {r.doc_id: r.n_removed for r in fuzzy_lines.report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for k, size in enumerate(pairs):
+        assert sum(got[i] for i in range(60 * k, 60 * k + 60)) >= 57, size
+
+
 def test_fuzzy_lines_without_spaces(spark):
     """Unlike URLs with one start share few buckets; similar lines that differ at their start are linked."""
     rng = random.Random(23)
