@@ -24,6 +24,7 @@ from ..operators import dedup as DD
 from ..operators import enrich as E
 from ..operators import lexicon_join as LJ
 from ..session import read_table, scratch_path, staged
+from ..sources import blocks as BL
 from ..sources import driver_tables as D
 from ..sources import pages as PG
 from ..sources import store as ST
@@ -511,6 +512,20 @@ def q_page_posts(spark, sf_dir):
                      _joined("urls").alias("urls"))
 
 
+@register("selected_blocks")
+def q_selected_blocks(spark, sf_dir):
+    """Elements by tag and class with their nesting, cleaned (the pages have articles, advertisements, lists and open paragraphs)."""
+    b = BL.selected_blocks(read_table(spark, sf_dir, "pages"), ("article", ".ad", "div[class*='item__']", "nav", "li", "p", "b"))
+    return BL.cleaned_blocks(b)
+
+
+@register("selected_posts")
+def q_selected_posts(spark, sf_dir):
+    """S5 + W2 + P1: posts of the elements that the capture loop selects."""
+    p = BL.selected_posts(read_table(spark, sf_dir, "pages"), key_fn="md5")
+    return p.select("page_id", "pos", "id", "tab", "text", _joined("urls").alias("urls"))
+
+
 # ------------------------------------------------------------- report
 
 

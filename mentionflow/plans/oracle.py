@@ -581,6 +581,58 @@ k AS (SELECT *, {md5key('text')} AS id FROM c
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingest_seq) = 1)
 SELECT page_id, pos, id, tab, text, {joined(URL_SQL.format(t='text'))} AS urls FROM k WHERE length(text) > 0 AND length(tab) > 0"""
 
+
+def _blocks_sql(chosen: str) -> str:
+    """S5 by a recursion over the tags of a page: the list of open elements after each tag. An
+    element ends at the tag after the last one that it is open at. ``chosen``: a condition on tag and cls."""
+    from ..sources import blocks as B
+
+    def names(x):
+        return ", ".join(_q(n) for n in sorted(x))
+
+    def last(st, test):  # place of the last open element, 0 if there is none
+        return f"coalesce(list_max(list_transform(range(1, len({st}) + 1), lambda i: CASE WHEN {st}[i].n {test} THEN i ELSE 0 END)), 0)"
+    ended = " ".join(f"WHEN tag = {_q(t)} AND {last('s1', f'IN ({names(e)})')} > {last('s1', f'IN ({names(b)})')} THEN list_slice(s1, 1, {last('s1', f'IN ({names(e)})')} - 1)"
+                     for t, (e, b) in B.IMPLIED.items())
+    return rf"""
+h AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)', '', 'g') AS x FROM pages),
+s AS (SELECT page_id, url, regexp_split_to_array(x, '<(?:/?)[a-zA-Z][a-zA-Z0-9:-]*[^<>]*>') AS runs, regexp_extract_all(x, '<(?:/?)[a-zA-Z][a-zA-Z0-9:-]*[^<>]*>') AS marks FROM h),
+t0 AS (SELECT page_id, url, unnest(marks) AS m, unnest(runs[2:]) AS run, unnest(range(len(marks)))::BIGINT AS k FROM s),
+t AS (SELECT page_id, url, k, run, m LIKE '</%' AS closing, lower(regexp_extract(m, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) AS tag,
+             coalesce(nullif(regexp_extract(m, '(?i)\sclass\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(m, '(?i)\sclass\s*=\s*''([^'']*)''', 1), ''),
+                      regexp_extract(m, '(?i)\sclass\s*=\s*([^\s"''>]+)', 1)) AS cls FROM t0),
+o AS (SELECT page_id, -1::BIGINT AS k, []::STRUCT(n VARCHAR, k BIGINT)[] AS st FROM pages GROUP BY 1
+      UNION ALL
+      SELECT page_id, k, CASE
+        WHEN NOT closing THEN CASE WHEN tag IN ({names(B.VOID)}) THEN s2 ELSE list_append(s2, {{'n': tag, 'k': k}}) END
+        WHEN own = 0 THEN s2
+        WHEN tag IN ({names(B.FORMATTING)}) THEN list_concat(list_slice(s2, 1, own - 1), list_slice(s2, own + 1, len(s2)))
+        WHEN tag IN ({names(B.BLOCK)}) OR own > {last('s2', f'IN ({names(B.BLOCK)})')} THEN list_slice(s2, 1, own - 1)
+        ELSE s2 END
+      FROM (SELECT *, {last('s2', '= tag')} AS own FROM (SELECT *, CASE WHEN closing THEN s1 {ended} ELSE s1 END AS s2 FROM (
+        SELECT t.page_id, t.k, t.tag, t.closing, CASE WHEN NOT t.closing AND t.tag IN ({names(B.ENDS_P)})
+            AND {last('o.st', "= 'p'")} > {last('o.st', f'IN ({names(B.P_SCOPE)})')} THEN list_slice(o.st, 1, {last('o.st', "= 'p'")} - 1) ELSE o.st END AS s1
+        FROM o JOIN t ON t.page_id = o.page_id AND t.k = o.k + 1)))),
+e AS (SELECT page_id, x.k AS k, max(seen) AS z FROM (SELECT page_id, k AS seen, unnest(st) AS x FROM o) GROUP BY ALL),
+c AS (SELECT e.page_id, t.url, e.k, e.z, t.tag FROM e JOIN t ON e.page_id = t.page_id AND e.k = t.k WHERE {chosen}),
+blocks AS (SELECT c.page_id, any_value(c.url) AS url, c.k AS pos, any_value(c.tag) AS tag, trim(string_agg(
+             CASE WHEN t.k > c.k AND (t.tag = 'br' OR t.tag IN ({names(B.BLOCK)})) THEN chr(10) ELSE '' END || t.run, '' ORDER BY t.k), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS raw_text
+           FROM c JOIN t ON t.page_id = c.page_id AND t.k BETWEEN c.k AND c.z GROUP BY c.page_id, c.k)"""
+
+
+_CLASSES = "regexp_split_to_array(trim(cls), '[ ]+')"
+ORACLE["selected_blocks"] = f"""
+WITH RECURSIVE {_blocks_sql(f"tag IN ('article', 'nav', 'li', 'p', 'b') OR list_contains({_CLASSES}, 'ad') OR tag = 'div' AND contains(cls, 'item__')")}
+SELECT page_id, pos, tag, {clean('raw_text')} AS text FROM blocks WHERE length(raw_text) >= 5"""
+
+_POST_ITEMS = f"""tag = 'article' OR list_has_any({_CLASSES}, ['timeline__item', 'status-item'])
+  OR tag = 'div' AND (list_has_any({_CLASSES}, ['flow-item', 'feed-item']) OR regexp_matches(cls, 'AnonymousHome|timeline-live|TimelineItem_item_|item__'))"""
+ORACLE["selected_posts"] = f"""
+WITH RECURSIVE {_blocks_sql(_POST_ITEMS)},
+c2 AS (SELECT page_id, pos, regexp_extract(url, '/([a-z]{{2}})/', 1) AS tab, {clean('raw_text')} AS text FROM blocks WHERE length(raw_text) >= 5),
+k2 AS (SELECT *, {md5key('text')} AS id FROM c2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id, pos) = 1)
+SELECT page_id, pos, id, tab, text, {joined(URL_SQL.format(t='text'))} AS urls FROM k2 WHERE length(text) > 0 AND length(tab) > 0"""
+
 # ------------------------------------------------------------- report
 def _static_sql(section, lines, item=0):
     return " UNION ALL ".join(
