@@ -40,13 +40,20 @@ def sample_ids(rows: DataFrame, n: int, id_col="doc_id") -> DataFrame:
     return ids.orderBy(F.xxhash64(id_col), id_col).limit(n)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int, id_col="doc_id",
+#: Parts that a long text of a sample is cut to, evenly spread from its start to its end.
+PARTS = 8
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, rows: int, total_chars: int, id_col="doc_id",
              text_col="text") -> list[tuple]:
-    """Collect (columns of ``ids`` ..., text), one row for each id, of the texts
-    up to ``max_chars`` long. ``ids`` is a bounded sample: it is broadcast, and
-    at most one text for each of its rows reaches the driver."""
-    t = docs.select(id_col, F.col(text_col).alias("_text")).where(
-        F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
+    """Collect (columns of ``ids`` ..., text), one row for each id: at most ``rows`` of them and ``total_chars``
+    characters. A text with more than its even share of these is cut to PARTS parts of it before anything moves, so
+    every text counts and none is left out. ``ids`` is that bounded sample: it is broadcast."""
+    share = max(PARTS, total_chars // max(1, rows))
+    step = share // PARTS
+    n = F.length(text_col)
+    parts = [F.substring(F.col(text_col), (F.floor((n - step) * i / (PARTS - 1)) + 1).cast("int"), F.lit(step)) for i in range(PARTS)]
+    t = docs.select(id_col, F.when(n <= share, F.col(text_col)).otherwise(F.concat_ws("\n", *parts)).alias("_text")).where(F.col(text_col).isNotNull())
     j = t.join(F.broadcast(ids), id_col).groupBy(*ids.columns).agg(F.min("_text").alias("_text"))
     return sorted(tuple(r) for r in j.collect())
 

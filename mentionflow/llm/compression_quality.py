@@ -22,7 +22,7 @@ LEVEL = 3
 #: Bounds of the labelled sample, for each class, and of a sampled text.
 DICT_ROWS = 1000
 CALIBRATION_ROWS = 2000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 120_000_000
 THRESHOLD = 0.3
 
 
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col="quality", id_col="doc_i
         part = sample_ids(lab.where(F.col("_y") == k), n, id_col).withColumn("_y", F.lit(k))
         ids = part if ids is None else ids.unionByName(part)
     first, rest = [], []
-    rows = texts_of(docs, ids, SAMPLE_CHARS, id_col, text_col)
+    rows = texts_of(docs, ids, 2 * n, SAMPLE_CHARS, id_col, text_col)
     for k in (0, 1):
         own = sorted(((hash_of(i), t, y) for i, y, t in rows if y == k))
         cut = min(dict_rows, (len(own) + 1) // 3 if len(own) < n else dict_rows)

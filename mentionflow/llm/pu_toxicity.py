@@ -17,7 +17,7 @@ from .common import each_text, held_out, map_arrow, sample_ids, texts_of
 #: Bounds of the training sample and of a sampled text.
 POSITIVE_ROWS = 2000
 UNLABELLED_ROWS = 6000
-SAMPLE_CHARS = 60_000
+SAMPLE_CHARS = 120_000_000
 #: Size of the feature table and the word-start lengths that count as features.
 FEATURES = 512
 PREFIXES = (4, 5, 6)
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col="toxic", id_col="doc_id"
     n, n1 = lab.agg(F.count("*"), F.count_if(F.col("_y") == 1)).first()
     positive = sample_ids(lab.where("_y = 1"), positive_rows, id_col).withColumn("_s", F.lit(1))
     rest = sample_ids(docs.where(~held_out(id_col)), unlabelled_rows, id_col).withColumn("_s", F.lit(0))
-    rows = texts_of(docs, positive.unionByName(rest), SAMPLE_CHARS, id_col, text_col)
+    rows = texts_of(docs, positive.unionByName(rest), positive_rows + unlabelled_rows, SAMPLE_CHARS, id_col, text_col)
     return fit([t for _, s, t in rows if s == 1], [t for _, s, t in rows if s == 0], n1 / n if n else 0.5)
 
 

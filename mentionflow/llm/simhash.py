@@ -123,23 +123,41 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int
     """(id, fp, component_id) of every row of ``docs``; ``component_id`` is the
     least id reachable over fingerprints within ``max_bits`` bits. A row with a NULL id
     gets the least id of its group (NULL if it has none); repeated rows are one group."""
+    return _rooted(docs, id_col, text_col, shingle_words, max_bits).select(id_col, "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(id, fp, component_id, root): with the fingerprint that names the group."""
     fp = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     least = stored(fp.groupBy("fp").agg(F.min(id_col).alias("least")), "least")
     nodes = components(links(least.select("fp"), max_bits))
     rooted = least.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(best, "root").select("fp", "component_id")
-    return fp.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_fp = rooted.join(best, "root").select("fp", "component_id", "root")
+    return fp.join(by_fp, "fp").select(id_col, "fp", "component_id", "root")
 
 
 def hex_of(col="fp") -> F.Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with the least id of each group, columns as they are.
-    Of rows that repeat this id one stays. Rows with a NULL id cannot be named as a copy, and stay."""
-    g = groups(docs, id_col, text_col, **options)
-    kept = docs.join(g.select(F.col("component_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), id_col, "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+    Rows that repeat an id are judged each by its own text: of those in one group the one with the least text
+    stays (of equal texts the least row), and those of other groups stay in theirs. Rows with a NULL id cannot be named as a copy, and stay."""
+    g = stored(_rooted(docs, id_col, text_col, shingle_words, max_bits), "simhash-groups").where(F.col(id_col).isNotNull())
+    own = {c: "_sh" + c for c in ("key", "fp", "root", "n")}
+    while set(own.values()) & set(docs.columns):
+        own = {c: "_" + x for c, x in own.items()}
+    key, fp, root, n = own.values()
+    again = stored(g.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "simhash-repeated")
+    kept = g.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
+    once = docs.join(kept, id_col, "left_semi").join(again, id_col, "left_anti")
+    several = docs.join(again, id_col, "left_semi").withColumn(key, F.md5(F.coalesce(text_col, F.lit(""))))
+    prints = fingerprints(several.select(key, text_col), key, text_col, shingle_words).distinct().select(key, F.col("fp").alias(fp))
+    named = g.where(F.col("component_id") == F.col(id_col)).select(id_col, F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
+    first = W.partitionBy(id_col, root).orderBy(text_col, F.to_json(F.struct(*docs.columns)))
+    several = several.join(prints, key).join(named, [id_col, fp]).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
+    return once.unionByName(several.select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

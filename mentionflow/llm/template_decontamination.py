@@ -1,7 +1,11 @@
 """Benchmark decontamination by template: numbers, names and units become typed
 placeholders, template windows of documents and benchmark items are hash-joined,
 and each value in the slots must map to one, which catches questions that
-were asked again with other parameters."""
+were asked again with other parameters.
+
+Next to the templates there are plain windows, of the words themselves in lower case: they find verbatim passages whatever
+the slots around them do, and copies in other case, where names can't be told. An item of fewer words than a window
+(two at least) is found where it is a whole line."""
 
 from __future__ import annotations
 
@@ -39,6 +43,7 @@ UNITS = frozenset("""mm cm m km in inch inches ft foot feet yard yards mile mile
 liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar
 dollars euro euros usd eur gbp percent % degrees °c °f mph kph km/h hz khz mhz ghz kb mb gb tb""".split())
 MIX = np.uint64(0x9E3779B97F4A7C15)
+PLAIN = np.uint64(0x5851F42D4C957F2D)
 
 
 class Canonical(dict):
@@ -60,13 +65,13 @@ class Canonical(dict):
         number = bool(NUMBER.match(word)) or low in NUMBER_WORDS
         capital = len(word) > 1 and word[0].isupper() and word[1:].islower()
         self.hash[code] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7)
-        self.flags[code] = number | capital << 1 | (low in UNITS) << 2 | raw.rstrip("\"')]”’»").endswith((".", "!", "?", "¶")) << 3
+        self.flags[code] = number | capital << 1 | (low in UNITS) << 2 | raw.rstrip("\"')]”’»").endswith((".", "!", "?", "¶")) << 3 | raw.endswith("¶") << 4
         self[raw] = code
         return code
 
     def windows(self, words: list[str], ends: np.ndarray):
-        """(kinds, hashes of the windows from each word on, which windows lie in
-        one text and have words enough) of texts that end before the positions ``ends``."""
+        """Of texts that end before the positions ``ends``: kinds, (hashes of the template windows from each word on, which of them lie in
+        one text and have words enough), the same of plain windows, and (starts, hashes) of the lines that are shorter than a window."""
         if len(self) > REMEMBERED:
             self.clear()
         n = len(words)
@@ -80,13 +85,27 @@ class Canonical(dict):
         kinds[1:][(f[1:] & 4 > 0) & number[:-1] & ~first[1:]] = UNIT
         h = np.where(kinds > 0, kinds.astype(np.uint64), self.hash[codes])
         m = max(0, n - self.window + 1)
-        acc, plain = np.zeros(m, np.uint64), np.zeros(m, np.int8)
+        acc, plain, own = np.zeros(m, np.uint64), np.zeros(m, np.int8), np.full(m, PLAIN, np.uint64)
         for i in range(self.window):
             acc = (acc ^ h[i:i + m]) * MIX
             acc ^= acc >> np.uint64(29)
+            own = (own ^ self.hash[codes[i:i + m]]) * MIX
+            own ^= own >> np.uint64(29)
             plain += kinds[i:i + m] == 0
         inside = np.repeat(ends, np.diff(np.append(0, ends)))[:m] - np.arange(m) >= self.window
-        return kinds, acc, inside & (plain >= self.min_plain)
+        return kinds, (acc, inside & (plain >= self.min_plain)), (own, inside), self._lines(codes, f, ends)
+
+    def _lines(self, codes: np.ndarray, f: np.ndarray, ends: np.ndarray):
+        stops = np.union1d(np.flatnonzero(f & 16) + 1, ends[ends > 0])
+        starts = np.append(0, stops)[:-1]
+        short = (stops - starts < self.window) & (stops - starts > 1)
+        starts, size = starts[short], (stops - starts)[short]
+        h = size.astype(np.uint64) * PLAIN
+        for i in range(self.window - 1):
+            on = size > i
+            step = (h[on] ^ self.hash[codes[starts[on] + i]]) * MIX
+            h[on] = step ^ step >> np.uint64(29)
+        return starts, h
 
     def slots(self, words: list[str], kinds: np.ndarray, at: int) -> list[str]:
         return [f"{kinds[i]}:{words[i].strip(EDGE).lower()}" for i in range(at, at + self.window) if kinds[i]]
@@ -105,28 +124,37 @@ def _in_parts(texts: list[str]):
 
 def windows(rows: DataFrame, id_col: str, text_col="text", window: int = WINDOW, min_plain: int = MIN_PLAIN,
             passing: np.ndarray | None = None) -> DataFrame:
-    """(id, pos, h, slots, total) of the template windows of every text, total
-    being their number in the text; ``passing``: only windows whose hash has its bit in this filter. Texts of
-    fewer words than a window have none."""
+    """(id, pos, h, slots, plain, total, total_plain) of the template windows of every text, of its plain windows (no slots) and of
+    its short lines, the totals being the numbers of the first and of the others in the text; ``passing``: only those whose hash has its bit in this filter."""
     def run(batches):
         canonical = Canonical(window, min_plain)
         for b in batches:
             for offset, words, ends in _in_parts(strings(b.column(1))):
-                kinds, h, good = canonical.windows(words, ends)
-                total = np.bincount(np.searchsorted(ends, np.flatnonzero(good), "right"), minlength=len(ends))
+                kinds, (h, good), (own, inside), (line, line_h) = canonical.windows(words, ends)
+                at = [np.flatnonzero(good), np.flatnonzero(inside), line]
+                hashes = [h[at[0]], own[at[1]], line_h]
+                total, plain, lines = (np.bincount(np.searchsorted(ends, x, "right"), minlength=len(ends)) for x in at)
+                if passing is None:  # an item is found by a line only if it has no window
+                    only = plain[np.searchsorted(ends, line, "right")] == 0
+                    at[2], hashes[2] = line[only], line_h[only]
+                plain = np.where(plain > 0, plain, lines)
                 if passing is not None:
-                    slot = h >> np.uint64(64 - FILTER_BITS)
-                    good = good & (passing[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                at = np.flatnonzero(good)
+                    for k, x in enumerate(hashes):
+                        slot = x >> np.uint64(64 - FILTER_BITS)
+                        hit = (passing[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        at[k], hashes[k] = at[k][hit], x[hit]
+                slots = [canonical.slots(words, kinds, p) for p in at[0].tolist()] + [[]] * (len(at[1]) + len(at[2]))
+                is_plain = np.arange(len(slots)) >= len(at[0])
+                at, h = np.concatenate(at).astype(np.int64), np.concatenate(hashes)
                 row = np.searchsorted(ends, at, "right")
                 starts = np.append(0, ends[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row + offset)), pa.array((at - starts[row]).astype(np.int32)),
-                     pa.array(h[at].view(np.int64)), pa.array([canonical.slots(words, kinds, p) for p in at.tolist()], pa.list_(pa.string())),
-                     pa.array(total[row].astype(np.int32))], ["id", "pos", "h", "slots", "total"])
+                    [b.column(0).take(pa.array(row + offset)), pa.array((at - starts[row]).astype(np.int32)), pa.array(h.view(np.int64)),
+                     pa.array(slots, pa.list_(pa.string())), pa.array(is_plain), pa.array(total[row].astype(np.int32)), pa.array(plain[row].astype(np.int32))],
+                    ["id", "pos", "h", "slots", "plain", "total", "total_plain"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return map_arrow(rows.select(id_col, text_col), run, f"id {kind}, pos int, h bigint, slots array<string>, total int")
+    return map_arrow(rows.select(id_col, text_col), run, f"id {kind}, pos int, h bigint, slots array<string>, plain boolean, total int, total_plain int")
 
 
 def _filter(items: DataFrame) -> np.ndarray:
@@ -146,32 +174,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
     the documents that hold a benchmark item.
 
     Windows that match at one offset form an alignment; those of its windows count
-    whose slots' item values have one value each in the document. An item is held if windows
-    that count cover ``min_share`` of its windows or one alignment has ``min_run`` of them. NULL and empty
+    whose slots' item values have one value each in the document, and all plain ones. An item is held if windows
+    that count cover ``min_share`` of its template windows or of its plain ones, or one alignment has ``min_run`` of them. NULL and empty
     texts and NULL ids match nothing; repeated rows of one id are one
     document; an empty benchmark gives no rows."""
     items = windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text, window, min_plain)
-    items = stored(items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "total"),
-                   "benchmark-windows")
+    items = stored(items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"),
+                                "total", "total_plain"), "benchmark-windows")
     passing, n = _filter(items), items.count()
-    own = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, min_plain, passing).drop("total")
+    own = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, min_plain, passing).drop("total", "total_plain")
     joined = own.join(F.broadcast(items) if n <= BROADCAST_WINDOWS else items, "h")
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    aligned = joined.groupBy("id", "item", "total", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
-        F.collect_set(F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs"))).alias("w"))
+    aligned = joined.groupBy("id", "item", "total", "total_plain", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
+        F.collect_set(F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs"), "plain")).alias("w"))
     # item values with several values in the document: only the windows that hold one are left out
     values = aligned.withColumn("i", F.array_sort(F.transform(F.array_distinct(F.flatten("w.pairs")), lambda p: p["i"])))
     values = values.withColumn("torn", F.filter("i", lambda x, n: (n > 0) & (x == F.get("i", n - 1))))
     good = values.withColumn("w", F.filter("w", lambda w: ~F.arrays_overlap(w["pairs"]["i"], F.col("torn")))).where(F.size("w") > 0)
-    good = good.select("id", "item", "total", F.array_distinct("w.at").alias("at"), F.flatten("w.pairs").alias("pairs"))
+
+    def at(test):
+        return F.array_distinct(F.transform(F.filter("w", test), lambda w: w["at"]))
+    good = good.select("id", "item", "total", "total_plain", at(lambda w: F.lit(True)).alias("at"), at(lambda w: ~w["plain"]).alias("as_template"),
+                       at(lambda w: w["plain"]).alias("as_plain"), F.flatten("w.pairs").alias("pairs"))
     per = good.groupBy("id", "item").agg(
-        F.max("total").alias("item_windows"), F.max(F.size("at")).alias("longest"),
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
+        F.max("total").alias("total"), F.max("total_plain").alias("total_plain"), F.max(F.size("at")).alias("longest"),
+        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("at", "as_template", "as_plain")],
         F.max(F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"))
-    share = F.size("at") / F.col("item_windows")
+    shares = [F.coalesce(F.size(c) / F.when(F.col(t) > 0, F.col(t)), F.lit(0.0)) for c, t in (("as_template", "total"), ("as_plain", "total_plain"))]
+    share = F.greatest(*shares)
     return per.where((share >= min_share) | (F.col("longest") >= min_run)).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.size("at").cast("long").alias("n_windows"),
-        F.col("item_windows").cast("long").alias("item_windows"), F.round(share, 6).alias("share"),
+        F.greatest("total", "total_plain").cast("long").alias("item_windows"), F.round(share, 6).alias("share"),
         F.col("longest").cast("long").alias("longest"), "reparameterised", F.lit(True).alias("contaminated"))
 
 

@@ -346,7 +346,34 @@ def test_decontamination(spark):
     b = spark.createDataFrame([(1, item), (2, twisted)], "item_id bigint, text string")
     d = spark.createDataFrame([(1, "Well. " + same + " Good."), (2, broken), (3, "no question at all, only words that go on and on and on"), (4, item), (5, twisted)], "doc_id bigint, text string")
     out = {(r.doc_id, r.item_id): r.reparameterised for r in template_decontamination.matches(d, b).collect()}
-    assert out == {(1, 1): True, (4, 1): False, (5, 2): False}
+    # (2, 2) has 21 words of its item in a row, from "towers" to the end
+    assert out == {(1, 1): True, (2, 2): False, (4, 1): False, (5, 2): False}
+
+
+def test_decontamination_in_any_case(spark):
+    """All benchmark items are found in upper, lower and title case, and nothing in documents without one."""
+    items = duckdb.sql(f"SELECT item_id, text FROM '{MID}/benchmark.parquet'").fetchall()
+    forms = [str, str.upper, str.lower, str.title]
+    docs = [(1000 * f + i, "Some words before it. " + forms[f](t) + " And after.") for i, t in items for f in range(4)]
+    got = {(r.doc_id, r.item_id) for r in template_decontamination.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), table(spark, "benchmark", MID)).collect()}
+    assert got >= {(1000 * f + i, i) for i, _ in items for f in range(4)} and len(items) == 40
+
+
+def test_decontamination_without_windows(spark):
+    """Formulas and lists are found verbatim, items of a few words where they are a line; one word is no item."""
+    items = [(1, "12 + 30 = 42 km"), (2, "Anna, Paul, Bern, Oslo, Rome and Lyon"), (3, "Name the capital"), (4, "yes"), (5, "two words")]
+    docs = [(1, "what is 12 + 30 = 42 km then"), (2, "they are ANNA, PAUL, BERN, OSLO, ROME AND LYON today"), (3, "line\nname the Capital\nline"),
+            (4, "yes\nyes"), (5, "only two words of many in a line"), (6, "two words"), (7, "12 + 31 = 43 km")]
+    out = template_decontamination.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (2, 2), (3, 3), (6, 5)}
+
+
+def test_decontamination_of_repeated_rows_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+    text = "Which river runs through the old town of Bern and then north to the Rhine near Basel at last?"
+    d = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, "")], "doc_id bigint, text string").withColumns({c: F.lit(c) for c in ("id", "pos", "h", "slots", "plain", "total", "item")})
+    out = template_decontamination.matches(d, spark.createDataFrame([(1, text), (1, text)], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.share, r.reparameterised) for r in out] == [(1, 1, 1.0, False)]
 
 
 def test_decontamination_with_one_value_changed(spark):
@@ -385,6 +412,39 @@ def test_toxicity_on_held_out_rows():
     assert sum(hit[1]) >= 0.9 * len(hit[1]) and sum(hit[0]) <= 0.01 * len(hit[0])
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    a, b = "one two three four five six seven eight nine ten", "entirely other words stand here and nothing is alike at all"
+    d = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (1, a, "x"), (2, a, "z"), (3, b, "z"), (4, "a third text on its own, longer than the others by far", "z")],
+                              "doc_id bigint, text string, key string")
+    got = sorted(tuple(r) for r in simhash.one_of_each(d.repartition(3)).collect())
+    assert got == sorted([(1, a, "x"), (1, b, "y"), (4, "a third text on its own, longer than the others by far", "z")])
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """A labelled text of 300,000 characters changes both models, and no more of it than its share moves."""
+    from mentionflow.llm.common import texts_of
+    long = " ".join(f"rare{i % 50} words{i % 7}" for i in range(20000))
+    docs = [(i, f"plain text number {i} with some words " * 5) for i in range(60)] + [(1001, long)]
+    labels = [(i, i % 2, int(i % 10 == 1)) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    with_it, without = (spark.createDataFrame(x, "doc_id bigint, quality int, toxic int") for x in (labels + [(1001, 0, 1)], labels))
+    assert len(long) > 250_000 and zlib.crc32(b"1001") % 5
+    assert compression_quality.train(d, with_it) != compression_quality.train(d, without)
+    assert pu_toxicity.train(d, with_it) != pu_toxicity.train(d, without)
+    (_, text), = texts_of(d, spark.createDataFrame([(1001,)], "doc_id bigint"), 10, 80_000)
+    assert len(text) <= 8000 + 8 and "rare0 " in text
+
+
+def test_labels_of_the_held_out_fold_change_no_score(spark):
+    docs = [(i, ("good prose about the harbour and its ships " if i % 2 else "zxcv qwer !!!! asdf ") * (3 + i % 4)) for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)]
+    one, two = (spark.createDataFrame([(i, (i % 2) ^ (flip & held[i]), (i % 2) ^ 1 ^ (flip & held[i])) for i in range(200)], "doc_id bigint, quality int, toxic int") for flip in (0, 1))
+    for op in (compression_quality, pu_toxicity):
+        a, b = ({r.doc_id: (r.score, r.held_out) for r in op.score(d, op.train(d, x)).collect()} for x in (one, two))
+        assert a == b and {i for i, r in a.items() if r[1]} == {i for i in range(200) if held[i]}
+
+
 def test_warc_round_trip(spark):
     page = ('<html lang="en"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- no --><p>One <b>two</b>&nbsp;three</p>'
             '<script>var x = "<p>";</script><ul><li>four<li>five &lt;6&gt;</ul><a href="/x?a=1&amp;b=2">l</a><a class=c href=\'y\'>m</a><a href="/x?a=1&amp;b=2">n</a></body></html>')
