@@ -29,6 +29,7 @@ from ..sources import driver_tables as D
 from ..sources import pages as PG
 from ..sources import store as ST
 from ..sources import tabs as TB
+from ..streaming import ordered as SO
 from ..streaming import streams as SS
 from . import report as RP
 
@@ -660,6 +661,37 @@ def q_stream_dedup(spark, sf_dir):
     return ST.load_posts(spark, layout).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register("stream_first_wins")
+def q_stream_first_wins(spark, sf_dir):
+    """T4 in capture order: files of documents in shuffled order, two per trigger; late copies at earlier
+    positions correct what was passed on before, so the result is the batch ``first_wins``."""
+    src = scratch_path(spark, f"docs-stream-{_uuid.uuid4().hex}")
+    d = D.documents_raw(spark, sf_dir)
+    d.repartition(8, F.xxhash64("ingest_seq")).write.parquet(src)
+    path = scratch_path(spark, f"first-seen-{_uuid.uuid4().hex}")
+    s = SO.first_seen(SS.post_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=2), key_fn="md5")
+    SS.run_once(SO.start_first_seen_sink(s, path, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
+                                         state_partitions=_state_partitions(spark)))
+    return SO.current_posts(SO.first_seen_log(spark, path)).select("id", "tab", "ingest_seq")
+
+
+@register("stream_isolated_tabs")
+def q_stream_isolated_tabs(spark, sf_dir):
+    """One tab fails in the stream and in the first re-drive, the others are stored; a second re-drive stores it once."""
+    src = _split_documents(spark, sf_dir)
+    layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_isolated")
+
+    def refuse(rows, tab):
+        if tab == "src3":
+            raise ValueError("rows of src3 refused")
+    s = SS.standardize_stream(SS.post_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=4), key_fn="md5")
+    SS.run_once(SO.start_isolated_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), refuse, available_now=True,
+                                       state_partitions=_state_partitions(spark), key_fn="md5"))
+    for check in (refuse, None, None):
+        SO.redrive(spark, layout, check, key_fn="md5")
+    return ST.load_posts(spark, layout).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("stream_summaries")
 def q_stream_summaries(spark, sf_dir):
     """The post stream enriched per micro-batch; summaries saved once per post."""

@@ -821,3 +821,7 @@ k AS (SELECT *, {md5key('text')} AS id FROM c
 SELECT tab, count(*) AS posts, CAST(sum(length(text)) AS BIGINT) AS chars,
        CAST(sum(len({URL_SQL.format(t='text')})) AS BIGINT) AS urls
 FROM k WHERE length(text) > 0 AND length(tab) > 0 GROUP BY tab"""
+
+# T4 in capture order is the batch result; T7 ends with every id stored once
+ORACLE["stream_first_wins"] = ORACLE["first_wins"]
+ORACLE["stream_isolated_tabs"] = ORACLE["stream_dedup"]
