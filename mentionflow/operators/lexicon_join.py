@@ -1,12 +1,11 @@
-"""Text × lexicon on sub-string containment, as an equi-join.
+"""Text × lexicon on sub-string containment, as an equi-join on rare grams.
 
 A nested-loop join of every text with every keyword grows with both sides.
-Instead each text is turned into its distinct sub-strings of the lengths that
-keywords have, and these are equi-joined with the lexicon table. The cost grows
-with the texts and with the number of distinct keyword lengths, not with the
-lexicon; of the lexicon only these lengths reach the driver (at most as many as
-the longest keyword has characters). Texts are first dealt out by key: the
-exploded rows are spread over all tasks, and the counts by key need no further shuffle.
+Here each keyword is filed under its rarest gram (of ``GRAM`` characters, shorter keywords under
+themselves), by the number of texts that hold it; a text can only hold the keywords filed under its
+own grams, and those candidates are tested with ``contains``. Keywords with a gram that no text holds are out
+at once. The rows joined are about as many as the texts have grams, plus the candidates: a small multiple of the hits,
+however large the lexicon is.
 """
 
 from __future__ import annotations
@@ -15,6 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import label_from_counts
+from ..session import staged
+
+#: Characters of a gram.
+GRAM = 4
+#: Keywords, or grams of keywords, that are sent to every task at most (some 60 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_KEYWORDS = 200_000
 
 
 def lexicon_frame(spark: SparkSession, lexicon: dict) -> DataFrame:
@@ -26,30 +31,35 @@ def keyword_hits(df: DataFrame, lexicon: DataFrame, key: str, text: str, lower:
     """(key, label, keyword), once for each keyword that is part of the text. Empty
     and NULL keywords are part of none; rows with a NULL key or text have none."""
     lex = lexicon.select("label", "keyword").filter(F.length("keyword") > 0).distinct()
-    lengths = sorted(r[0] for r in lex.select(F.length("keyword")).distinct().collect())
     src = df.select(key, (F.lower(text) if lower else F.col(text)).alias("_t")).filter(F.col("_t").isNotNull() & F.col(key).isNotNull())
-    if not lengths:
-        return src.select(key).join(lex, F.lit(False))
-
-    src = src.repartition(key).select(key, F.split("_t", "").alias("g1"))
-    for n in _steps(lengths):  # from characters to longer sub-strings: each is two shorter ones in a row
-        a = n // 2 if n % 2 == 0 else n - 1
-        many = F.size("g1") - (n - 1)
-        pairs = F.zip_with(F.slice(f"g{a}", F.lit(1), many), F.slice(f"g{n - a}", F.lit(a + 1), many), lambda x, y: F.concat(x, y))
-        src = src.withColumn(f"g{n}", F.when(many > 0, pairs).otherwise(F.array().cast("array<string>")))
-    every = F.array_distinct(F.concat(*[F.col(f"g{n}") for n in lengths]))
-    return src.select(key, F.explode(every).alias("keyword")).join(lex, "keyword").select(key, "label", "keyword").distinct()
-
-
-def _steps(lengths: list[int]) -> list[int]:
-    """Lengths over 1 to be made, in ascending order: each from its halves or from one less."""
-    need, todo = set(), [n for n in lengths if n > 1]
-    while todo:
-        n = todo.pop()
-        if n > 1 and n not in need:
-            need.add(n)
-            todo.append(n // 2 if n % 2 == 0 else n - 1)
-    return sorted(need)
+    # written once: the texts are read for their grams, and again for the candidates
+    src = staged(src.withColumn("_r", F.monotonically_increasing_id()), "lexicon-texts")
+    hits = candidates(src, lex.select("keyword").distinct()).join(src, "_r").filter(F.col("_t").contains(F.col("keyword")))
+    return hits.select(key, "keyword").join(_few(lex), "keyword").select(key, "label", "keyword").distinct()
+
+
+def _grams(c: str, n: int) -> F.Column:
+    """The ``n`` characters from each position on, once each."""
+    return F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1)))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS else df
+
+
+def candidates(src: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(_r, keyword): the texts that hold the rarest gram of a keyword. ``src``: (_r, _t) written; ``keywords``: distinct and not empty."""
+    own = F.when(F.length("keyword") == 1, _grams("keyword", 1))
+    for n in range(2, GRAM + 1):
+        own = own.when((F.length("keyword") == n) if n < GRAM else F.lit(True), _grams("keyword", n))
+    filed = staged(keywords.select("keyword", F.explode(own).alias("gram")), "lexicon-grams")
+    sizes = sorted(r[0] for r in filed.select(F.length("gram")).distinct().collect())  # of 1 to GRAM
+    every = F.array_distinct(F.concat(*[_grams("_t", n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    texts = src.select("_r", F.explode(every).alias("gram"))
+    count = texts.join(_few(filed.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    known = filed.join(count, "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    index = staged(known.where("least.n > 0").select("keyword", F.col("least.gram").alias("gram")), "lexicon-index")
+    return texts.join(_few(index), "gram").select("_r", "keyword")
 
 
 def sentiment_by_join(df: DataFrame, lexicon: DataFrame, key: str = "id",

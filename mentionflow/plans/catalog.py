@@ -155,6 +155,17 @@ def q_keyword_sentiment_join(spark, sf_dir):
     return out.select("doc_id", "label", _r6("score").alias("score"), "pos_hits", "neg_hits", "neu_hits")
 
 
+@register("lexicon_hits")
+def q_lexicon_hits(spark, sf_dir):
+    """J5 with a lexicon from the data: in how many documents each word of the benchmark, product name and nation occurs (as a sub-string)."""
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("keyword"))
+    words = words.unionByName(read_table(spark, sf_dir, "part").select(F.lower("p_name").alias("keyword"))).unionByName(
+        read_table(spark, sf_dir, "nation").select(F.lower("n_name").alias("keyword"))).filter(F.length("keyword").between(2, 30)).distinct()
+    d = _docs(spark, sf_dir).select("doc_id", clean_text("text").alias("text"))
+    hits = LJ.keyword_hits(d, words.select(F.lit("any").alias("label"), "keyword"), "doc_id", "text", lower=True)
+    return hits.groupBy("keyword").agg(F.count("*").alias("documents"))
+
+
 @register("sectors")
 def q_sectors(spark, sf_dir):
     """P9 with the test sector lexicon (case-sensitive, ordered)."""

@@ -185,6 +185,12 @@ SELECT doc_id, {_L} AS label, round({_SC}, 6) AS score,
        CAST(p AS BIGINT) AS pos_hits, CAST(n AS BIGINT) AS neg_hits, CAST(u AS BIGINT) AS neu_hits FROM h"""
 ORACLE["keyword_sentiment_join"] = ORACLE["keyword_sentiment"]
 
+ORACLE["lexicon_hits"] = f"""
+WITH w AS (SELECT DISTINCT keyword FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS keyword FROM benchmark
+           UNION ALL SELECT lower(p_name) FROM part UNION ALL SELECT lower(n_name) FROM nation) WHERE length(keyword) BETWEEN 2 AND 30),
+d AS (SELECT doc_id, lower({clean('text')}) AS t FROM documents)
+SELECT keyword, count(DISTINCT doc_id) AS documents FROM w JOIN d ON contains(t, keyword) GROUP BY keyword"""
+
 ORACLE["sectors"] = f"""
 WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents)
 SELECT doc_id, {joined(sectors_sql('t', TEST_SECTOR_KEYWORDS))} AS sectors FROM d"""

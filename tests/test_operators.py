@@ -196,3 +196,24 @@ def capture_loop_by_tab(rows, cap):
                 took += 1
                 out.append(r)
     return sorted(out)
+
+
+def test_large_lexicon(spark):
+    """100,000 keywords of 2 to 30 characters: the hits are those of ``in``, from a small multiple of them as candidates."""
+    from mentionflow.operators import lexicon_join as L
+    rng = random.Random(8)
+    syllables = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiouäé日本"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(120)) for _ in range(120)] + ["", "ba", "x" * 20000]
+    keywords = {"".join(rng.choice(syllables + [" "]) for _ in range(rng.randrange(1, 15)))[:30] for _ in range(118000)}
+    for t in texts[:100]:
+        at = rng.randrange(len(t) - 40)
+        keywords.add(t[at:at + rng.randrange(2, 31)])
+    keywords = sorted(k for k in keywords if 2 <= len(k) <= 30)[:100000] + ["b", "日", "xxx", "q", ""]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(None, "ba"), (500, None)], "id long, text string")
+    lex = spark.createDataFrame([("l", k) for k in keywords] + [("m", "ba"), ("l", None)], "label string, keyword string")
+    want = {(i, "l", k) for k in keywords if k for i, t in enumerate(texts) if k in t} | {(i, "m", "ba") for i, t in enumerate(texts) if "ba" in t}
+    got = [tuple(r) for r in L.keyword_hits(d, lex, "id", "text").collect()]
+    assert len(keywords) > 99000 and len(got) == len(want) and set(got) == want
+    src = L.staged(spark.createDataFrame(list(enumerate(texts)), "_r long, _t string"), "t")
+    made = L.candidates(src, lex.select("keyword").where("length(keyword) > 0").distinct()).count()
+    assert made < 6 * len(want)
