@@ -471,6 +471,21 @@ def q_job_totals(spark, sf_dir):
     return A.job_totals(p, s)
 
 
+@register("sketched_totals")
+def q_sketched_totals(spark, sf_dir):
+    """A8 by mergeable sketches: four saves in two jobs that share posts, one save replayed. The distinct totals of each tab and
+    of all come from the audits; beside them the exact ones, and whether the estimate is within four standard errors."""
+    p = staged(_posts_md5(spark, sf_dir), "posts")
+    layouts = [ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), f"run_{j}") for j in range(2)]
+    for j, k in ((0, 0), (0, 1), (0, 1), (1, 1), (1, 2)):
+        ST.save_posts(p.filter(F.col("ingest_seq") % 3 == k), layouts[j], save_id=f"save-{k}", key_fn="md5")
+    exact = ST.load_posts(spark, layouts[0]).unionByName(ST.load_posts(spark, layouts[1])).select("tab", "content_hash")
+    exact = exact.rollup("tab").agg(F.count_distinct("content_hash").alias("exact"))
+    named = F.coalesce("tab", F.lit("(all)")).alias("tab")
+    both = exact.select(named, "exact").join(ST.sketched_totals(spark, layouts).select(named, "unique_posts"), "tab", "left")
+    return both.select("tab", "exact", (F.abs(F.col("unique_posts") - F.col("exact")) <= F.col("exact") * 0.032 + 1).alias("close"))
+
+
 @register("top_discussions")
 def q_top_discussions(spark, sf_dir):
     """P17 + O3 + J2: top 10 posts by engagement with their summaries."""

@@ -831,3 +831,7 @@ FROM k WHERE length(text) > 0 AND length(tab) > 0 GROUP BY tab"""
 # T4 in capture order is the batch result; T7 ends with every id stored once
 ORACLE["stream_first_wins"] = ORACLE["first_wins"]
 ORACLE["stream_isolated_tabs"] = ORACLE["stream_dedup"]
+
+ORACLE["sketched_totals"] = f"""
+WITH {POSTS_HASH_CTE}
+SELECT coalesce(tab, '(all)') AS tab, count(DISTINCT content_hash) AS exact, true AS close FROM ph GROUP BY ROLLUP (tab)"""

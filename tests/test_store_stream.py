@@ -276,3 +276,21 @@ def test_envelope_values(spark):
     assert v[0].content_hash != "stale" and len(v[0].content_hash) == 16
     assert sorted(r.reasons[0] for r in rejected.collect()) == [
         "malformed_record", "wrong_type_id", "wrong_type_like_count", "wrong_type_symbols", "wrong_type_urls", "wrong_type_view_count"]
+
+
+def test_sketched_totals(spark):
+    """Sketches of saves: a replay counts once, a replacing save ends what its tab held, jobs merge."""
+    from pyspark.sql import functions as F
+    rows = lambda a, b, tab: spark.range(a, b).select(F.concat(F.lit("text "), "id").alias("text"), F.lit(tab).alias("tab"), F.concat(F.lit(f"{tab}-"), "id").alias("content_hash"))
+    one, two = ST.JobLayout(tempfile.mkdtemp(prefix="mf-sk-"), "run_1"), ST.JobLayout(tempfile.mkdtemp(prefix="mf-sk-"), "run_2")
+    ST.save_posts(rows(0, 3000, "a").unionByName(rows(0, 500, "b")), one, save_id="s1")
+    ST.save_posts(rows(2000, 4000, "a"), one, save_id="s2")
+    ST.save_posts(rows(2000, 4000, "a"), one, save_id="s2")
+    ST.save_posts(rows(3000, 5000, "a"), two, save_id="s1")
+    near = lambda got, want: all(abs(got[k] - n) <= 0.032 * n + 1 for k, n in want.items()) and set(got) == set(want)
+    totals = lambda *x: {r.tab: r.unique_posts for r in ST.sketched_totals(spark, list(x)).collect()}
+    assert near(totals(one), {"a": 4000, "b": 500, None: 4500})
+    assert near(totals(one, two), {"a": 5000, "b": 500, None: 5500})
+    ST.save_posts(rows(9000, 9100, "b"), one, incremental=False, save_id="s3")
+    assert near(totals(one), {"a": 4000, "b": 100, None: 4100})
+    assert totals(ST.JobLayout(tempfile.mkdtemp(prefix="mf-sk-"), "none")) == {}
