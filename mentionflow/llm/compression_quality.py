@@ -19,7 +19,7 @@ from .common import each_text, held_out, map_arrow, sample_ids, texts_of
 BLOCK = 256
 DICT_BYTES = 65536
 LEVEL = 3
-#: Bounds of the labelled sample, for each class, and of a sampled text.
+#: Bounds of the labelled sample: rows of each class, and characters in all.
 DICT_ROWS = 1000
 CALIBRATION_ROWS = 2000
 SAMPLE_CHARS = 120_000_000

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import each_text, held_out, map_arrow, sample_ids, texts_of
 
-#: Bounds of the training sample and of a sampled text.
+#: Bounds of the training sample: rows, and characters in all.
 POSITIVE_ROWS = 2000
 UNLABELLED_ROWS = 6000
 SAMPLE_CHARS = 120_000_000
@@ -95,7 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col="toxic", id_col="doc_id"
           positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
     """Fit on bounded samples outside the held-out fold: confirmed toxic rows,
     and texts whose label is not looked at. The class prior is the toxic share
-    of all labelled rows outside that fold."""
+    of all labelled rows outside that fold. NULL labels, ids and texts are not learned from, an id labelled twice counts with its
+    greatest label, rows of one id count once (with the least text); without labels the prior is 0.5. Texts beyond an even share of SAMPLE_CHARS count by parts."""
     lab = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()) \
         .groupBy(id_col).agg(F.max(label_col).alias("_y"))
     n, n1 = lab.agg(F.count("*"), F.count_if(F.col("_y") == 1)).first()
