@@ -673,14 +673,14 @@ def _split_documents(spark, sf_dir, rows_per_file=2000):
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    """T1 + T3 + T4 + T5: documents as a file stream (two files per trigger),
+    """T1 + T3 + T4 + T5: documents as a file stream (two files per trigger, more of a large table),
     de-duplicated by id, saved by foreachBatch; the stream is then replayed
     from a fresh checkpoint into the same store and must add nothing."""
     src = _split_documents(spark, sf_dir)
     schema = spark.read.parquet(src).schema
     layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_stream")
     for attempt in range(2):
-        s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
+        s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=SS.files_per_trigger(spark, src, 2)), key_fn="md5")
         q = SS.start_post_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
                                state_partitions=_state_partitions(spark), key_fn="md5")
         SS.run_once(q)
@@ -710,7 +710,8 @@ def q_stream_isolated_tabs(spark, sf_dir):
     def refuse(rows, tab):
         if tab == "src3":
             raise ValueError("rows of src3 refused")
-    s = SS.standardize_stream(SS.post_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=4), key_fn="md5")
+    s = SS.standardize_stream(SS.post_stream(spark, src, spark.read.parquet(src).schema,
+                                             max_files_per_trigger=SS.files_per_trigger(spark, src, 4)), key_fn="md5")
     SS.run_once(SO.start_isolated_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), refuse, available_now=True,
                                        state_partitions=_state_partitions(spark), key_fn="md5"))
     for check in (refuse, None, None):
@@ -724,7 +725,7 @@ def q_stream_summaries(spark, sf_dir):
     src = _split_documents(spark, sf_dir)
     schema = spark.read.parquet(src).schema
     layout = ST.JobLayout(scratch_path(spark, f"store-{_uuid.uuid4().hex}"), "run_stream")
-    s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=2), key_fn="md5")
+    s = SS.standardize_stream(SS.post_stream(spark, src, schema, max_files_per_trigger=SS.files_per_trigger(spark, src, 2)), key_fn="md5")
     s = s.withColumn("tab_rank", F.lit(0)).withColumn("ingest_seq", F.col("ingest_seq"))
     q = SS.start_summary_sink(s, layout, scratch_path(spark, f"ckpt-{_uuid.uuid4().hex}"), available_now=True,
                               state_partitions=_state_partitions(spark))
