@@ -1,7 +1,7 @@
 """First-wins de-dup of a stream in capture order, and micro-batches whose tabs fail alone.
 
 T4: ``first_seen`` holds for each id the first position (tab rank, capture order) seen so far, narrow state without
-texts. A copy at an earlier position that arrives late is passed on as a correction, with the position that it replaces; later
+texts, by bucket of ids. A copy at an earlier position that arrives late is passed on as a correction, with the position that it replaces; later
 copies are dropped. The content hash needs no state of its own: equal hashes have equal texts, so equal
 ids. The passed rows are a log; its first row of each id is the batch result, in whatever order files arrive.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,39 +27,82 @@ from ..sources.store import JobLayout, already_saved, read_stored, save_posts
 from .streams import _start, _stream_id, _trigger
 
 POSITION = ("tab_rank", "ingest_seq")
+#: Buckets of ids that the state is kept by.
+BUCKETS = 512
+#: A known id (16 hex digits), its first position, and when it was seen last (ms).
+SEEN = np.dtype([("id", "S16"), ("rank", "<i8"), ("seq", "<i8"), ("at", "<i8")])
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 REPLACES = T.StructType([T.StructField("replaces_rank", T.LongType()), T.StructField("replaces_seq", T.LongType())])
 
 
-def first_seen(raw: DataFrame, raw_text="raw_text", key_fn: str = "xxh64", ttl_seconds: int | None = None) -> DataFrame:
+def first_seen(raw: DataFrame, raw_text="raw_text", key_fn: str = "xxh64", ttl_seconds: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The stream of valid cleaned posts that are the first of their id so far, with the position they replace (NULL:
     none). ``ttl_seconds``: an id not seen for that long is forgotten; without it state is kept for the run.
 
-    The copies of an id in a micro-batch are read as batches, never gathered; ``tab_rank`` and ``ingest_seq`` must not be NULL."""
-    posts = cleaned_posts(raw, raw_text, key_fn).filter(cleaned_post_is_valid())
-    schema = T.StructType([*posts.schema.fields, *REPLACES.fields])
-    names = posts.columns
+    State is kept by bucket of ids, fixed in number by the checkpoint: a call of Python settles all ids of a bucket at once, and what a
+    micro-batch costs in calls does not grow with its ids. A bucket's copies are read as batches, which leave one row for
+    each id. ``tab_rank`` and ``ingest_seq`` must not be NULL."""
+    # a file is one task or a few, cleaning is dear: the rows are dealt out first. Blank texts have an id of their own, so they are left out
+    # at the end, and no filter cleans each text a second time
+    posts = cleaned_posts(raw.filter(F.length("tab") > 0).repartition(*POSITION), raw_text, key_fn)
+    # pandas has no NULL among whole numbers: columns that are neither texts nor the position go as one JSON text
+    rest = [f.name for f in posts.schema.fields if f.name not in POSITION and not isinstance(f.dataType, T.StringType)]
+    plain = [c for c in posts.columns if c not in rest]
+    kinds = T.StructType([posts.schema[c] for c in rest])
+    packed = posts.select(*plain, *([F.to_json(F.struct(*rest), JSON).alias("_rest")] if rest else []),
+                          F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("_bucket"))
+    names = packed.columns[:-1]
+    schema = T.StructType([*packed.schema.fields[:-1], *REPLACES.fields])
+    order = ["id", *POSITION]
 
     def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get if state.exists else None
+        known = np.frombuffer(state.get[0], SEEN) if state.exists else np.empty(0, SEEN)
+        now = 0
+        if ttl_seconds:
+            now = state.getCurrentProcessingTimeMs()
+            known = known[known["at"] + 1000 * ttl_seconds > now]
         best = None
         for f in frames:
-            own = f.sort_values(list(POSITION)).iloc[[0]]
-            if best is None or tuple(own[c].iloc[0] for c in POSITION) < tuple(best[c].iloc[0] for c in POSITION):
-                best = own
-        now = tuple(int(best[c].iloc[0]) for c in POSITION)
-        held = now if before is None else min(now, tuple(before))
-        if before is None or now < tuple(before):
-            state.update(held)
-            out = best[names].copy()
-            out["replaces_rank"], out["replaces_seq"] = (pd.array([None if before is None else before[i]], "Int64") for i in (0, 1))
-            yield out
-        if ttl_seconds:
-            state.setTimeoutDuration(1000 * ttl_seconds)
+            f = f[names] if best is None else pd.concat([best, f[names]], ignore_index=True)
+            best = f.sort_values(order, kind="stable").drop_duplicates("id")
+        if best is not None and len(best):
+            own = np.empty(len(best), SEEN)
+            own["id"] = best["id"].str.encode("ascii").to_numpy()
+            own["rank"], own["seq"], own["at"] = best[POSITION[0]].to_numpy(), best[POSITION[1]].to_numpy(), now
+            at = np.searchsorted(known["id"], own["id"])  # both are in the order of the id
+            old = np.zeros(len(own), bool)
+            old[at < len(known)] = known["id"][at[at < len(known)]] == own["id"][at < len(known)]
+            was = known[at[old]]
+            passed = ~old
+            passed[old] = (own["rank"][old] < was["rank"]) | (own["rank"][old] == was["rank"]) & (own["seq"][old] < was["seq"])
+            late = ~passed
+            out = best[passed].copy()
+            for c, f in zip(REPLACES.names, ("rank", "seq"), strict=True):
+                before = pd.array(np.zeros(len(own), np.int64), "Int64")
+                before[old] = was[f]
+                before[~old] = pd.NA
+                out[c] = before[passed]
+            for f in ("rank", "seq"):  # a later copy moves nothing but the time of its id
+                own[f][late] = known[f][at[late]]
+            gone = np.ones(len(known), bool)
+            gone[at[old]] = False
+            known = np.concatenate([known[gone], own])
+            known = known[np.argsort(known["id"], kind="stable")]
+            if len(out):
+                yield out
+        if len(known):
+            state.update((known.tobytes(),))
+            if ttl_seconds:
+                state.setTimeoutDuration(1000 * ttl_seconds)
+        elif state.exists:
+            state.remove()
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_seconds else GroupStateTimeout.NoTimeout
-    return posts.groupBy("id").applyInPandasWithState(step, schema, T.StructType([T.StructField(c, T.LongType()) for c in POSITION]), "append", timeout)
+    held = T.StructType([T.StructField("seen", T.BinaryType())])
+    out = packed.groupBy("_bucket").applyInPandasWithState(step, schema, held, "append", timeout)
+    if rest:
+        out = out.withColumn("_rest", F.from_json("_rest", kinds, JSON))
+    out = out.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in posts.columns], *REPLACES.names)
+    return out.filter(cleaned_post_is_valid())
 
 
 def start_first_seen_sink(stream: DataFrame, path: str, checkpoint: str, interval_seconds: int | None = None,

@@ -2,6 +2,7 @@
 
 import tempfile
 
+from mentionflow.streaming import ordered as O
 from mentionflow.streaming import streams as S
 
 
@@ -11,3 +12,16 @@ def test_micro_batches_do_not_grow_with_the_source(spark):
     n = len(spark.read.parquet(src).inputFiles())
     assert n > 2 * S.MAX_BATCHES and -(-n // S.files_per_trigger(spark, src, 2)) <= S.MAX_BATCHES
     assert S.files_per_trigger(spark, src, 40) == 40
+
+
+def test_first_seen_settles_buckets_of_ids(spark):
+    """One bucket of state: all ids of a micro-batch in one call; other columns come back as they were, NULL among whole numbers too."""
+    src, path, ckpt = (tempfile.mkdtemp(prefix="mf-b-") + "/x" for _ in range(3))
+    kind = "raw_text string, tab string, tab_rank int, ingest_seq long, author string, big long, at timestamp"
+    batches = [[(f"text number {i % 7}", "t", 0, 100 * (3 - b) + i, None, 2 ** 62 + 1 if i % 2 else None, None) for i in range(20)] for b in range(3)]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+    raw = S.post_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1)
+    S.run_once(O.start_first_seen_sink(O.first_seen(raw, buckets=1), path, ckpt, available_now=True, state_partitions=2), timeout_s=240)
+    now = O.current_posts(O.first_seen_log(spark, path)).collect()
+    assert sorted((r.text, r.ingest_seq, r.big) for r in now) == [(f"text number {i}", 100 + i, 2 ** 62 + 1 if i % 2 else None) for i in range(7)]
