@@ -2,6 +2,9 @@
 
 import tempfile
 
+import pyarrow as pa
+
+from mentionflow.sources import blocks as B
 from mentionflow.streaming import ordered as O
 from mentionflow.streaming import streams as S
 
@@ -25,3 +28,10 @@ def test_first_seen_settles_buckets_of_ids(spark):
     S.run_once(O.start_first_seen_sink(O.first_seen(raw, buckets=1), path, ckpt, available_now=True, state_partitions=2), timeout_s=240)
     now = O.current_posts(O.first_seen_log(spark, path)).collect()
     assert sorted((r.text, r.ingest_seq, r.big) for r in now) == [(f"text number {i}", 100 + i, 2 ** 62 + 1 if i % 2 else None) for i in range(7)]
+
+
+def test_pages_are_taken_in_slices():
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * B.CHUNK_CHARS, None, "", "y", "z" * (B.CHUNK_CHARS // 2), "w" * (B.CHUNK_CHARS // 2)])], ["html"])
+    parts = list(B._chunks(b, 0))
+    assert [p.num_rows for p in parts] == [3, 2, 1] and pa.Table.from_batches(parts).combine_chunks().column(0).to_pylist() == b.column(0).to_pylist()
+    assert list(B._chunks(b.slice(0, 0), 0)) == []
