@@ -3,7 +3,9 @@
 import tempfile
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from mentionflow.operators import lexicon_join as L
 from mentionflow.sources import blocks as B
 from mentionflow.streaming import ordered as O
 from mentionflow.streaming import streams as S
@@ -35,3 +37,17 @@ def test_pages_are_taken_in_slices():
     parts = list(B._chunks(b, 0))
     assert [p.num_rows for p in parts] == [3, 2, 1] and pa.Table.from_batches(parts).combine_chunks().column(0).to_pylist() == b.column(0).to_pylist()
     assert list(B._chunks(b.slice(0, 0), 0)) == []
+
+
+def test_texts_meet_keywords_by_pieces(spark):
+    texts = ["ab cd", "  ", "xab", "a b", "ab  cd", "b", "日本 ab c", " lead", "abcab cd ab"]
+    kws = [" ", "  ", "b c", "ab", "a", "b  ", "本 a", " l", "cd ", "d", "   ", "bcab cd"]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(0, "cd")], "id long, text string")
+    lex = spark.createDataFrame([("l", k) for k in kws], "label string, keyword string")
+    got = [tuple(r) for r in L.keyword_hits(d, lex, "id", "text").collect()]
+    want = {(i, "l", k) for k in kws for i, t in [*enumerate(texts), (0, "cd")] if k in t}
+    assert len(got) == len(want) and set(got) == want
+    # characters of the texts are looked at once for each distinct piece
+    same = spark.range(300).select(F.col("id").alias("_r"), F.lit("the same few words again").alias("_t"))
+    kw = L.staged(spark.createDataFrame([(0, "ame"), (1, "ords")], "_k long, keyword string"), "t")
+    assert sorted(r.token for r in L._found(L.staged(same, "t"), kw)[1].collect()) == ["same", "words"]
