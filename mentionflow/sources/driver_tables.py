@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import (clean_text, content_hash, extract_symbols, long_enough, post_id, sectors, truncate)
@@ -209,8 +209,15 @@ def write_envelopes(spark: SparkSession, sf_dir: str, path: str, per_file: int =
              F.when(k != 8, F.concat(F.lit('"like_count": '), count)),
              F.concat(F.lit('"symbols": '), symbols),
              F.when(k == 7, F.lit('"content_hash": "stale"'))]
-    rec = d.select(F.col("source").alias("tab"), F.floor(F.col("doc_id") / per_file).alias("part"), "doc_id",
+    # ranges of per_file ids hold a few rows of each tab: neighbouring ranges share an envelope while they fit
+    part = F.floor(F.col("doc_id") / per_file)
+    n = d.groupBy(F.col("source").alias("tab"), part.alias("range")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("tab")
+    room = F.greatest(F.lit(per_file) - F.max("n").over(w), F.lit(1))
+    part_of = n.select("tab", "range", F.floor((F.sum("n").over(w.orderBy("range")) - F.col("n")) / room).alias("part"))
+    rec = d.select(F.col("source").alias("tab"), part.alias("range"), "doc_id",
                    F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("r"))
+    rec = rec.join(part_of.select(F.col("tab").alias("_t"), F.col("range").alias("_g"), "part"), (F.col("tab") == F.col("_t")) & F.col("range").eqNullSafe(F.col("_g")))
     one = rec.groupBy("tab", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "r"))), lambda x: x["r"]), ",\n").alias("body"))
     env = one.select(F.concat(F.lit("posts_"), F.col("tab"), F.lit(".json")).alias("file"), F.concat(
         F.lit('{"metadata": {"tab": "'), F.col("tab"), F.lit('"}, "posts": ['), F.col("body"), F.lit("]}")).alias("value"))

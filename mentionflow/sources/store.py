@@ -34,7 +34,7 @@ from ..functions.lexicons import RAW_FILE_PREFIX, SUMMARY_FILE_PREFIX, TABS
 from ..functions.validate import POST_FIELDS, SUMMARY_FIELDS, record_problems, record_value
 from ..operators.dedup import dedup_new, new_summaries
 from ..schemas import POST, SUMMARY, ENVELOPE_META_POSTS, ENVELOPE_META_SUMMARIES
-from ..session import remove_path, scratch_path
+from ..session import remove_path, scratch_path, staged
 
 
 def job_name_at(ts: _dt.datetime | None = None) -> str:
@@ -279,17 +279,19 @@ def read_envelopes(spark: SparkSession, pattern: str, kind: str = "posts", tabs=
     recs = raw.select("file_tab", "file", F.posexplode(f"j.{key}").alias("pos", "record"))
     recs = recs.repartition("file", "pos").withColumn("_v", F.try_parse_json("record"))
     checked = recs.withColumn("reasons", record_problems("_v", fields))
-    good = checked.filter(F.size("reasons") == 0)
     values = {n: record_value("_v", n, fields) for n in names if n in fields}
-    valid = good.select("file_tab", "file", "pos", *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-                                                     for f in schema.fields if f.name != "ingest_seq"])
+    ok = F.size("reasons") == 0
+    # files are read and records parsed once: what is valid as its columns, what is not as its text
+    checked = staged(checked.select("file_tab", "file", "pos", "reasons", F.when(~ok, F.col("record")).alias("record"), *[
+        F.when(ok, values.get(f.name, F.lit(None)).cast(f.dataType)).alias(f"v_{f.name}") for f in schema.fields if f.name != "ingest_seq"]), "envelopes")
+    valid = checked.filter(ok).select("file_tab", "file", "pos", *[F.col(f"v_{f.name}").alias(f.name) for f in schema.fields if f.name != "ingest_seq"])
     if kind == "posts":
         valid = valid.withColumn("content_hash", content_hash("text", "author", "tab", key_fn=key_fn))
     order = {name: i for i, (name, _) in enumerate(tabs or TABS)}
     rank = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("tab")), F.lit(len(order)))
     # one row for each tab and for each file: small, numbered in one task
     dim = valid.select("tab", rank.alias("r")).distinct().withColumn("tab_rank", F.row_number().over(Window.orderBy("r", "tab")) - 1).drop("r")
-    files = raw.groupBy("file").agg(F.max(F.greatest(F.size(f"j.{key}"), F.lit(0))).alias("n")).withColumn(
+    files = checked.groupBy("file").agg((F.max("pos") + 1).alias("n")).withColumn(  # files without records have no row that asks for them
         "before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     valid = valid.join(dim, "tab").join(files.select("file", "before"), "file")
     valid = valid.withColumn("ingest_seq", (F.col("before") + F.col("pos")).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mentionflow.operators import lexicon_join as L
 from mentionflow.sources import blocks as B
+from mentionflow.sources import driver_tables as D
 from mentionflow.streaming import ordered as O
 from mentionflow.streaming import streams as S
 
@@ -51,3 +52,15 @@ def test_texts_meet_keywords_by_pieces(spark):
     same = spark.range(300).select(F.col("id").alias("_r"), F.lit("the same few words again").alias("_t"))
     kw = L.staged(spark.createDataFrame([(0, "ame"), (1, "ords")], "_k long, keyword string"), "t")
     assert sorted(r.token for r in L._found(L.staged(same, "t"), kw)[1].collect()) == ["same", "words"]
+
+
+def test_envelopes_are_filled(spark):
+    """Tabs that alternate by row still fill their envelopes, up to the limit."""
+    d = tempfile.mkdtemp(prefix="mf-e-")
+    docs = spark.range(1, 2001).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+                                       F.concat(F.lit("src"), (F.col("id") % 10).cast("string")).alias("source"))
+    docs.write.parquet(f"{d}/documents.parquet")
+    D.write_envelopes(spark, d, f"{d}/out", per_file=100)
+    files = spark.read.text(f"{d}/out/*/*", wholetext=True).select(F.regexp_count("value", F.lit('"id": "')).alias("n"))
+    sizes = [r.n for r in files.collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 100 and len(sizes) <= 30
