@@ -2,10 +2,8 @@
 verification, and a distributed union-find that keeps one line of each component.
 DataFrame functions only.
 
-Lines are compared trimmed and in lower case, by their sets of shingles of ``SHINGLE`` characters at every position.
-Signatures are taken from the whole set of short lines, and of those with few spaces; of longer ones from the
-shingles at the starts of words, and of the longest at the starts of words after certain letters: a choice by what stands there, so a
-change moves these no more than others. Lines near a border have the signatures of both sides.
+Lines are compared trimmed and in lower case, by their sets of shingles of ``SHINGLE`` characters at every position;
+signatures are taken from the same whole sets, whatever the length of a line.
 
 A bucket gives star-shaped candidates: each line with the bucket's first and last line, however many there are. Lines of buckets
 of three and more also have finer keys, so two similar lines among many less similar ones meet in a
@@ -27,20 +25,12 @@ SIMILARITY = 0.8
 #: Bands of rows: at similarity 0.8 a pair is found with chance 1 - (1 - 0.8^4)^8 = 0.985, at 0.9 with 0.9999.
 BANDS = 8
 ROWS = 4
-#: Finer keys, each of so many values of the whole set's signature. Among 350 versions of a line with 1 to 3 of 24 words changed,
+#: Finer keys, each of so many values of the signature. Among 350 versions of a line with 1 to 3 of 24 words changed,
 #: where most are no more than 0.7 similar, they connect over 99 % of the similar pairs.
 FINE = 64
 FINE_ROWS = 10
 #: Every line that is not blank counts; those shorter than a shingle join equal ones only.
 MIN_CHARS = 1
-#: Whole sets sign lines under WHOLE characters, or with a word start in more than SPARSE characters; word starts those of MARKS characters
-#: and one in at most DENSE. Both hold for some lines: similar sets differ in size by a fifth at most.
-WHOLE, MARKS = 100, 80
-SPARSE, DENSE = 12, 16
-#: Starts of words after these characters, about half of them, sign lines of LONG[0] characters and more if there is one in LONG_DENSE characters;
-#: every start those under LONG[1], or with fewer than one in LONG_SPARSE.
-AFTER = "a-m0-4\u00e0-\u00ee\u03b1-\u03bb\u0430-\u043f"
-LONG, LONG_SPARSE, LONG_DENSE = (400, 500), 24, 32
 #: Candidates with fewer equal signature values are not compared on the whole sets: at similarity 0.8 a pair has
 #: 25.6 of 32 equal on average, and fewer than 18 with a chance of about 1 in 1,000.
 MIN_EQUAL = 18
@@ -66,46 +56,22 @@ def _pieces(c: str) -> F.Column:
     return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
 
 
-def _starts(c: str) -> F.Column:
-    """Those from each start of a word on."""
-    return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?:^| )(?=([^ ].{{{SHINGLE - 1}}}))"), F.lit(1))
-
-
-def _chosen_starts(c: str) -> F.Column:
-    """Those from each start of a word after one of the characters AFTER on."""
-    return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)[{AFTER}] (?=([^ ].{{{SHINGLE - 1}}}))"), F.lit(1))
-
-
-def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, all_whole: bool = False) -> DataFrame:
-    """(k1, k2, kind, m0 ...) of the distinct lines: for each constant the least of the shingles' hashes
-    combined with it; ``kind`` is 0 of whole sets (``all_whole``: of every line), 1 of word starts, 2 of chosen ones. All copies of a line meet in one row, by partial minima before the shuffle."""
-    if all_whole:
-        of = lines.select("k1", "k2", F.lit(0).alias("kind"), F.explode(_pieces("norm")).alias("x"))
-        return _minima(of, bands, rows)
-    at = lines.select("k1", "k2", "norm", F.length("norm").alias("n")).withColumn("chosen", F.when(F.col("n") >= LONG[0], _chosen_starts("norm")))
-    at = at.withColumn("c", F.coalesce(F.size("chosen"), F.lit(0)))
-    every = (F.col("n") < LONG[1]) | (F.col("c") * LONG_SPARSE < F.col("n"))
-    some = (F.col("n") >= LONG[0]) & (F.col("c") * LONG_DENSE >= F.col("n"))
-    at = at.withColumns({"every": every, "some": some}).withColumn("starts", F.when(F.col("every"), _starts("norm"))).withColumn("m", F.size("starts"))
-    whole = F.col("every") & ((F.col("n") < WHOLE) | (F.col("m") * SPARSE < F.col("n")))
-    marks = F.col("every") & (F.col("n") >= MARKS) & (F.col("m") * DENSE >= F.col("n"))
-    kinds = F.filter(F.array(F.when(whole, 0), F.when(marks, 1), F.when(F.col("some"), 2)), lambda k: k.isNotNull())
-    of = at.withColumn("kind", F.explode(kinds))
-    pieces = F.when(F.col("kind") == 0, _pieces("norm")).when(F.col("kind") == 1, F.col("starts")).otherwise(F.col("chosen"))
-    of = of.select("k1", "k2", "kind", F.explode(pieces).alias("x"))
-    return _minima(of, bands, rows)
+def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(k1, k2, m0 ...) of the distinct lines: for each constant the least of the hashes of the line's shingles, those
+    at every position, combined with it. All copies of a line meet in one row, by partial minima before the shuffle."""
+    return _minima(lines.select("k1", "k2", F.explode(_pieces("norm")).alias("x")), bands, rows)
 
 
 def _minima(of: DataFrame, bands: int, rows: int) -> DataFrame:
     """The rows of a band come from hashes of their own: one hash combined with several constants depends too much on itself in small sets."""
-    h = of.select("k1", "k2", "kind", *[F.xxhash64(F.lit(r), F.col("x")).alias(f"h{r}") for r in range(rows)])
+    h = of.select("k1", "k2", *[F.xxhash64(F.lit(r), F.col("x")).alias(f"h{r}") for r in range(rows)])
     values = [F.col(f"h{i % rows}").bitwiseXOR(F.lit(_constants(bands)[i // rows])) for i in range(bands * rows)]
-    return h.groupBy("k1", "k2", "kind").agg(*[F.min(F.shiftright(v, 32).cast("int")).alias(f"m{i}") for i, v in enumerate(values)])
+    return h.groupBy("k1", "k2").agg(*[F.min(F.shiftright(v, 32).cast("int")).alias(f"m{i}") for i, v in enumerate(values)])
 
 
 def keyed(sigs: DataFrame, groups: list[list[int]], salt: int) -> DataFrame:
     """(k1, k2, bucket): for each group of signature values a key of the line."""
-    keys = [F.xxhash64(F.lit(salt + g), F.col("kind"), *[F.col(f"m{i}") for i in rows]) for g, rows in enumerate(groups)]
+    keys = [F.xxhash64(F.lit(salt + g), *[F.col(f"m{i}") for i in rows]) for g, rows in enumerate(groups)]
     return sigs.select("k1", "k2", F.explode(F.array(*keys)).alias("bucket"))
 
 
@@ -152,10 +118,10 @@ def _both(pairs: DataFrame, of: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs with MIN_EQUAL equal values of signatures of one kind."""
+    """The pairs with MIN_EQUAL equal values of their signatures."""
     values = [f"m{i}" for i in range(BANDS * ROWS)]
     equal = reduce(lambda x, y: x + y, [(F.col(f"a_{c}") == F.col(f"b_{c}")).cast("int") for c in values])
-    return _both(pairs, sigs, ["kind", *values]).where("a_kind = b_kind").where(equal >= MIN_EQUAL).select("a1", "a2", "b1", "b2").distinct()
+    return _both(pairs, sigs, values).where(equal >= MIN_EQUAL).select("a1", "a2", "b1", "b2")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -180,11 +146,9 @@ def links(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     texts = lines_of(docs, id_col, text_col).join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("norm").alias("norm"))
     texts = held(texts, "line-texts")
     crowded = _few(coarse.where("n > 2").select("k1", "k2").distinct())
-    whole = held(signatures(texts.join(crowded, ["k1", "k2"], "left_semi"), all_whole=True), "line-whole")
-    fine = held(shared(keyed(whole, FINE_KEYS, BANDS)), "line-fine")
-    sigs = every.where("kind > 0").join(wanted, ["k1", "k2"], "left_semi").unionByName(
-        every.where("kind = 0").join(wanted, ["k1", "k2"], "left_semi").join(crowded, ["k1", "k2"], "left_anti")).unionByName(whole)
-    pairs = held(near(stars(coarse.unionByName(fine)), held(sigs, "line-signatures")), "line-pairs")
+    fine = held(shared(keyed(every.join(crowded, ["k1", "k2"], "left_semi"), FINE_KEYS, BANDS)), "line-fine")
+    sigs = every.join(wanted, ["k1", "k2"], "left_semi")
+    pairs = held(near(stars(coarse.unionByName(fine)), sigs), "line-pairs")
     good = stored(verified(pairs, texts).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"), "a1", "a2", "b1", "b2"), "line-links")
     for df in made:
         remove_staged(df)

@@ -5,6 +5,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from mentionflow.llm import fuzzy_lines
 from mentionflow.operators import lexicon_join as L
 from mentionflow.sources import blocks as B
 from mentionflow.sources import driver_tables as D
@@ -64,3 +65,14 @@ def test_envelopes_are_filled(spark):
     files = spark.read.text(f"{d}/out/*/*", wholetext=True).select(F.regexp_count("value", F.lit('"id": "')).alias("n"))
     sizes = [r.n for r in files.collect()]
     assert sum(sizes) == 2000 and max(sizes) <= 100 and len(sizes) <= 30
+
+
+def test_signatures_are_of_every_position(spark):
+    """Long lines too: the least hash of each value is that of the whole set of shingles."""
+    line = " ".join(f"word{i * i}" for i in range(200))
+    d = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    got = fuzzy_lines.signatures(fuzzy_lines.lines_of(d)).collect()
+    every = {line[i:i + fuzzy_lines.SHINGLE] for i in range(len(line) - fuzzy_lines.SHINGLE + 1)}
+    h = F.shiftright(F.xxhash64(F.lit(0), F.col("x")).bitwiseXOR(F.lit(fuzzy_lines._constants(1)[0])), 32).cast("int")
+    want = spark.createDataFrame([(x,) for x in every], "x string").agg(F.min(h)).first()[0]
+    assert [r.m0 for r in got] == [want]
