@@ -95,20 +95,27 @@ def _write_audit(spark, layout: JobLayout, table: str, path: str, save_id: str,
     ``save_id`` column and, for posts, the hash: a mergeable sketch of the hashes that this save added
     goes into the row, so distinct totals need no stored post (``sketched_totals``)."""
     now = read_stored(spark, path)
-    mine = F.col("save_id") == save_id
     if now is None:
         counts = tabs.select("tab", F.lit(0).cast("long").alias("total_rows"), F.lit(0).cast("long").alias("new_rows"), F.lit(None).cast("binary").alias("sketch"))
     else:
-        sketch = F.hll_sketch_agg(F.when(mine, F.col("content_hash")), F.lit(SKETCH_K)) if table == "posts" else F.lit(None).cast("binary")
-        per = now.join(tabs, "tab", "left_semi").groupBy("tab").agg(
-            F.count(F.lit(1)).alias("total_rows"), F.count_if(mine).cast("long").alias("new_rows"), sketch.alias("sketch"))
-        counts = tabs.join(per, "tab", "left").na.fill(0, ["total_rows", "new_rows"])
+        counts = tabs.join(_audit_counts(now, table, save_id, tabs), "tab", "left").na.fill(0, ["total_rows", "new_rows"])
     rows = counts.select(F.lit(table).alias("table"), "tab", F.lit(layout.job_name).alias("job_name"), "total_rows", "new_rows",
                          F.current_timestamp().alias("last_updated"), F.lit(save_id).alias("save_id"), "sketch", F.lit(replaces).alias("replaces"))
-    rows.coalesce(1).write.mode("append").parquet(layout.audit)  # a row for each tab of the batch
+    # one file, a row for each tab of the batch; only these rows meet in one task, the stages before keep theirs
+    rows.repartition(1).write.mode("append").parquet(layout.audit)
     return int(_audit_of(spark, layout, table, save_id).agg(F.sum("new_rows")).first()[0] or 0)
 
 
+def _audit_counts(now: DataFrame, table: str, save_id: str, tabs: DataFrame) -> DataFrame:
+    """(tab, total_rows, new_rows, sketch) of the stored rows ``now``. Each task counts its own rows before the shuffle:
+    no stored row is dealt out by its tab. The tabs are sent to every task, or, if many, joined to the counts."""
+    mine = F.col("save_id") == save_id
+    sketch = F.hll_sketch_agg(F.when(mine, F.col("content_hash")), F.lit(SKETCH_K)) if table == "posts" else F.lit(None).cast("binary")
+    if _few(tabs):
+        now = now.join(F.broadcast(tabs), "tab", "left_semi")
+    return now.groupBy("tab").agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(mine).cast("long").alias("new_rows"), sketch.alias("sketch"))
+
+
 def _audit_of(spark, layout: JobLayout, table: str, save_id: str) -> DataFrame | None:
     a = read_stored(spark, layout.audit)
     return None if a is None else a.filter((F.col("table") == table) & (F.col("save_id") == save_id))

@@ -9,6 +9,7 @@ from mentionflow.llm import fuzzy_lines
 from mentionflow.operators import lexicon_join as L
 from mentionflow.sources import blocks as B
 from mentionflow.sources import driver_tables as D
+from mentionflow.sources import store as ST
 from mentionflow.streaming import ordered as O
 from mentionflow.streaming import streams as S
 
@@ -67,6 +68,26 @@ def test_envelopes_are_filled(spark):
     assert sum(sizes) == 2000 and max(sizes) <= 100 and len(sizes) <= 30
 
 
+def test_audits_count_stored_rows_where_they_are(spark, monkeypatch):
+    """No stored row is dealt out by its tab, or read in one task with all others; counts and sketches are those of each save, for few tabs and many."""
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("content_hash"), F.concat(F.lit("t"), F.col("id") % 3).alias("tab"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (10, 1):
+            monkeypatch.setattr(ST, "BROADCAST_TABS", few)
+            at = ST.JobLayout(tempfile.mkdtemp(prefix="mf-a-"), "j")
+            assert ST.save_posts(rows.where("content_hash < 900"), at, save_id="a") == 900
+            assert ST.save_posts(rows.where("tab <> 't2'"), at, save_id="b") == 734
+            plan = ST._audit_counts(ST.read_stored(spark, at.raw), "posts", "b", rows.select("tab").distinct())._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "partial_count" in plan
+            got = {(r.tab, r.total_rows, r.new_rows) for r in spark.read.parquet(at.audit).where("save_id = 'b'").collect()}
+            assert got == {("t0", 667, 367), ("t1", 667, 367)}
+            assert {r.tab: round(r.unique_posts / 10) for r in ST.sketched_totals(spark, [at]).where("tab < 't2'").collect()} == {"t0": 67, "t1": 67}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_signatures_are_of_every_position(spark):
     """Long lines too: the least hash of each value is that of the whole set of shingles."""
     line = " ".join(f"word{i * i}" for i in range(200))
