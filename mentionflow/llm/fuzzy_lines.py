@@ -22,6 +22,8 @@ from .common import components, stored
 
 SHINGLE = 8
 SIMILARITY = 0.8
+#: Shingles that are taken from one chunk of a line: a regular expression finds chunks, not each of them.
+SPAN = 16
 #: Bands of rows: at similarity 0.8 a pair is found with chance 1 - (1 - 0.8^4)^8 = 0.985, at 0.9 with 0.9999.
 BANDS = 8
 ROWS = 4
@@ -56,17 +58,32 @@ def _pieces(c: str) -> F.Column:
     return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
 
 
-def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k1, k2, m0 ...) of the distinct lines: for each constant the least of the hashes of the line's shingles, those
-    at every position, combined with it. All copies of a line meet in one row, by partial minima before the shuffle."""
-    return _minima(lines.select("k1", "k2", F.explode(_pieces("norm")).alias("x")), bands, rows)
+def _chunks(c: str) -> F.Column:
+    """The line in one pass as chunks of SPAN + SHINGLE - 1 characters, of which neighbours share SHINGLE - 1, so each
+    position has its shingle in one of them; the last one may be shorter, and a line shorter than a shingle has none."""
+    return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{SHINGLE},{SPAN + SHINGLE - 1}}})).{{1,{SPAN}}}"), F.lit(1))
+
 
+def _pieces_of_chunk(chunk: str) -> list[F.Column]:
+    """The bytes of the shingle at each of the SPAN positions of a chunk; a shorter chunk repeats its last one, which changes
+    no minimum. Chunks of one byte for each character are cut as bytes."""
+    n = F.length(chunk)
+    at = [F.least(F.lit(i + 1), n - (SHINGLE - 1)) for i in range(SPAN)]
+    size = F.lit(SHINGLE)
+    plain = F.octet_length(chunk) == n
+    return [F.when(plain, F.substring(F.col(chunk).cast("binary"), p, size)).otherwise(F.substring(chunk, p, size).cast("binary")) for p in at]
 
-def _minima(of: DataFrame, bands: int, rows: int) -> DataFrame:
-    """The rows of a band come from hashes of their own: one hash combined with several constants depends too much on itself in small sets."""
-    h = of.select("k1", "k2", *[F.xxhash64(F.lit(r), F.col("x")).alias(f"h{r}") for r in range(rows)])
-    values = [F.col(f"h{i % rows}").bitwiseXOR(F.lit(_constants(bands)[i // rows])) for i in range(bands * rows)]
-    return h.groupBy("k1", "k2").agg(*[F.min(F.shiftright(v, 32).cast("int")).alias(f"m{i}") for i, v in enumerate(values)])
+
+def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(k1, k2, m0 ...) of the distinct lines: for each constant the least of the hashes of the line's shingles, those
+    at every position, combined with it. All copies of a line meet in one row, by partial minima before the shuffle.
+    The rows of a band come from hashes of their own: one hash combined with several constants depends too much on itself in small sets."""
+    chunks = lines.select("k1", "k2", F.explode(_chunks("norm")).alias("chunk"))
+    # a projection of its own for each step: Spark evaluates a column that later ones use many times once
+    x = chunks.select("k1", "k2", *[p.alias(f"x{i}") for i, p in enumerate(_pieces_of_chunk("chunk"))])
+    h = x.select("k1", "k2", *[F.xxhash64(F.lit(r), F.col(f"x{i}")).alias(f"h{r}_{i}") for r in range(rows) for i in range(SPAN)])
+    values = [F.least(*[F.col(f"h{m % rows}_{i}").bitwiseXOR(F.lit(_constants(bands)[m // rows])) for i in range(SPAN)]) for m in range(bands * rows)]
+    return h.groupBy("k1", "k2").agg(*[F.shiftright(F.min(v), 32).cast("int").alias(f"m{m}") for m, v in enumerate(values)])
 
 
 def keyed(sigs: DataFrame, groups: list[list[int]], salt: int) -> DataFrame:

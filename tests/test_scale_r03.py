@@ -97,3 +97,21 @@ def test_signatures_are_of_every_position(spark):
     h = F.shiftright(F.xxhash64(F.lit(0), F.col("x")).bitwiseXOR(F.lit(fuzzy_lines._constants(1)[0])), 32).cast("int")
     want = spark.createDataFrame([(x,) for x in every], "x string").agg(F.min(h)).first()[0]
     assert [r.m0 for r in got] == [want]
+
+
+def test_signatures_and_sets_of_lines_of_any_length(spark):
+    """Chunks lose, add and shorten no shingle: lengths around theirs, other alphabets and planes, breaks inside the line."""
+    abc = "abcdefg \r\u2028hij klmäöüß日本語😀xyz0123456789"
+    lines = [(abc * 3)[k:k + n] for k in (0, 5, 25) for n in range(1, 60)] + ["plain ascii only, " * 4]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    of = fuzzy_lines.lines_of(d).where(F.length("norm") >= fuzzy_lines.SHINGLE)
+    pos = of.select("k1", "k2", "norm", F.explode(F.sequence(F.lit(1), F.length("norm") - fuzzy_lines.SHINGLE + 1)).alias("p"))
+    pos = pos.select("k1", "k2", F.substring("norm", F.col("p"), F.lit(fuzzy_lines.SHINGLE)).alias("x"))
+    cs, rows = fuzzy_lines._constants(fuzzy_lines.BANDS), fuzzy_lines.ROWS
+    want = pos.groupBy("k1", "k2").agg(*[F.min(F.shiftright(F.xxhash64(F.lit(m % rows), F.col("x")).bitwiseXOR(F.lit(cs[m // rows])), 32).cast("int")).alias(f"m{m}") for m in range(len(cs) * rows)])
+    got = fuzzy_lines.signatures(of)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    sets = {(r.k1, r.k2): sorted(r.s) for r in pos.groupBy("k1", "k2").agg(F.collect_set(F.xxhash64("x")).alias("s")).collect()}
+    assert {(r.k1, r.k2): sorted(r.s) for r in of.select("k1", "k2", fuzzy_lines._shingles("norm").alias("s")).collect()} == sets
+    # one regular expression match for each chunk, not for each shingle
+    assert of.agg(F.max(F.size(fuzzy_lines._chunks("norm")))).first()[0] <= -(-72 // fuzzy_lines.SPAN)
