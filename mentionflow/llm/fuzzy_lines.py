@@ -23,7 +23,7 @@ from .common import components, stored
 SHINGLE = 8
 SIMILARITY = 0.8
 #: Shingles that are taken from one chunk of a line: a regular expression finds chunks, not each of them.
-SPAN = 16
+SPAN = 32
 #: Bands of rows: at similarity 0.8 a pair is found with chance 1 - (1 - 0.8^4)^8 = 0.985, at 0.9 with 0.9999.
 BANDS = 8
 ROWS = 4
@@ -53,25 +53,17 @@ def lines_of(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return norm.select("id", "pos", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), F.col("norm")).alias("k2"))
 
 
-def _pieces(c: str) -> F.Column:
-    """The ``SHINGLE`` characters from each position on, in one pass; none of a shorter line."""
-    return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-
-
 def _chunks(c: str) -> F.Column:
     """The line in one pass as chunks of SPAN + SHINGLE - 1 characters, of which neighbours share SHINGLE - 1, so each
     position has its shingle in one of them; the last one may be shorter, and a line shorter than a shingle has none."""
     return F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{SHINGLE},{SPAN + SHINGLE - 1}}})).{{1,{SPAN}}}"), F.lit(1))
 
 
-def _pieces_of_chunk(chunk: str) -> list[F.Column]:
+def _pieces_of_chunk() -> list[F.Column]:
     """The bytes of the shingle at each of the SPAN positions of a chunk; a shorter chunk repeats its last one, which changes
     no minimum. Chunks of one byte for each character are cut as bytes."""
-    n = F.length(chunk)
-    at = [F.least(F.lit(i + 1), n - (SHINGLE - 1)) for i in range(SPAN)]
-    size = F.lit(SHINGLE)
-    plain = F.octet_length(chunk) == n
-    return [F.when(plain, F.substring(F.col(chunk).cast("binary"), p, size)).otherwise(F.substring(chunk, p, size).cast("binary")) for p in at]
+    at = ["1", *[f"if(last < {i}, last, {i})" for i in range(2, SPAN + 1)]]
+    return [F.expr(f"if(plain, substring(bytes, {p}, {SHINGLE}), cast(substring(chunk, {p}, {SHINGLE}) AS binary))") for p in at]
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -79,11 +71,15 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     at every position, combined with it. All copies of a line meet in one row, by partial minima before the shuffle.
     The rows of a band come from hashes of their own: one hash combined with several constants depends too much on itself in small sets."""
     chunks = lines.select("k1", "k2", F.explode(_chunks("norm")).alias("chunk"))
-    # a projection of its own for each step: Spark evaluates a column that later ones use many times once
-    x = chunks.select("k1", "k2", *[p.alias(f"x{i}") for i, p in enumerate(_pieces_of_chunk("chunk"))])
-    h = x.select("k1", "k2", *[F.xxhash64(F.lit(r), F.col(f"x{i}")).alias(f"h{r}_{i}") for r in range(rows) for i in range(SPAN)])
-    values = [F.least(*[F.col(f"h{m % rows}_{i}").bitwiseXOR(F.lit(_constants(bands)[m // rows])) for i in range(SPAN)]) for m in range(bands * rows)]
-    return h.groupBy("k1", "k2").agg(*[F.shiftright(F.min(v), 32).cast("int").alias(f"m{m}") for m, v in enumerate(values)])
+    n = F.length("chunk")
+    chunks = chunks.select("k1", "k2", "chunk", F.col("chunk").cast("binary").alias("bytes"), (n - (SHINGLE - 1)).alias("last"),
+                           (F.octet_length("chunk") == n).alias("plain"))
+    # shingles and hashes stay inside the aggregate, which evaluates each once, in a function of its own; as columns they make one long function
+    x = _pieces_of_chunk()
+    h = [[F.xxhash64(F.lit(r), x[i]) for i in range(SPAN)] for r in range(rows)]
+    cs = [F.lit(c) for c in _constants(bands)]
+    values = [F.least(*[v.bitwiseXOR(cs[m // rows]) for v in h[m % rows]]) for m in range(bands * rows)]
+    return chunks.groupBy("k1", "k2").agg(*[F.shiftright(F.min(v), 32).cast("int").alias(f"m{m}") for m, v in enumerate(values)])
 
 
 def keyed(sigs: DataFrame, groups: list[list[int]], salt: int) -> DataFrame:
@@ -122,8 +118,14 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def _shingles(c: str) -> F.Column:
-    """Distinct shingles of a line by 64-bit hashes."""
-    return F.array_distinct(F.transform(_pieces(c), lambda x: F.xxhash64(x)))
+    """Distinct shingles of a line by 64-bit hashes, cut by position: lines of one byte for each character as bytes, others chunk by chunk."""
+    def at_each(x, n):
+        return F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda p: F.xxhash64(F.substring(x, p, F.lit(SHINGLE))))
+    n = F.length(c)
+    # the array of one has the bytes made once, not at each position
+    plain = F.transform(F.array(F.col(c).cast("binary")), lambda b: at_each(b, n))
+    chunked = F.transform(_chunks(c), lambda x: at_each(x, F.length(x)))
+    return F.array_distinct(F.flatten(F.when((n == F.octet_length(c)) & (n >= SHINGLE), plain).otherwise(chunked)))
 
 
 def _both(pairs: DataFrame, of: DataFrame, cols: list[str]) -> DataFrame:
@@ -198,7 +200,8 @@ def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n_lines, n_removed, removed) of every row of ``docs``; ``removed`` are the
     positions as text. NULL texts have no lines, an empty text has one; rows that
     repeat an id are one document and lose the same lines; rows with a NULL id lose none."""
-    n = F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
+    # a line break is one byte: no character is counted
+    n = F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     out = docs.select(id_col, n).join(removed(docs, id_col, text_col), id_col, "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(id_col, "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
